@@ -30,29 +30,39 @@ def split_valid(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("error IS NULL").drop("error"), marked.filter("error IS NOT NULL")
 
 
-def _by_identity(writes: DataFrame) -> DataFrame:
-    """Writes folded to one row per (key, identity), then ranked per key by who came first.
+def fold_writes(writes: DataFrame) -> DataFrame:
+    """Writes folded to one row per (key, identity): who came first, how many, and the last payload.
 
-    Two partial aggregations and no join: however many replays one key has, its group shrinks before the shuffle.
+    A partial aggregation and no join: however many replays one key has, its group shrinks before the shuffle.
     groupBy treats NULL entry names as equal, as the key requires.
     """
     rest = [c for c in writes.columns if c not in (*KEY, "seq")]
-    folded = writes.groupBy(*KEY, *[F.col(c).alias(f"_id_{c}") for c in IDENTITY]).agg(
+    return writes.groupBy(*KEY, *[F.col(c).alias(f"_id_{c}") for c in IDENTITY]).agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("writes"),
         F.max_by(F.struct(*rest), "seq").alias("last"))
-    return folded
 
 
-def upsert(writes: DataFrame) -> DataFrame:
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """Folds of several write batches as one; merging is associative, so batches may be folded in any grouping."""
+    return folds.groupBy(*KEY, *[f"_id_{c}" for c in IDENTITY]).agg(
+        F.min("first_seq").alias("first_seq"), F.sum("writes").alias("writes"), F.max_by("last", "last_seq").alias("last"),
+        F.max("last_seq").alias("last_seq"))
+
+
+def resolve(folds: DataFrame) -> DataFrame:
     """Latest accepted row per key. The first write fixes (index, name, ext); a write that differs changes nothing."""
-    return _by_identity(writes).groupBy(*KEY).agg(F.min_by("last", "first_seq").alias("last"),
-                                                 F.min_by("last_seq", "first_seq").alias("seq")).select(
-        *KEY, "last.*", "seq")
+    return folds.groupBy(*KEY).agg(F.min_by("last", "first_seq").alias("last"),
+                                   F.min_by("last_seq", "first_seq").alias("seq")).select(*KEY, "last.*", "seq")
+
+
+def upsert(writes: DataFrame) -> DataFrame:
+    """Last write wins per (file, entry, sequence), within the identity its first write fixed."""
+    return resolve(fold_writes(writes))
 
 
 def mismatches(writes: DataFrame) -> DataFrame:
     """Refused identities per key, with how many writes carried each."""
-    folded = _by_identity(writes).drop("last")
+    folded = fold_writes(writes).drop("last")
     owner = folded.groupBy(*KEY).agg(F.min("first_seq").alias("_owner"))
     same = F.lit(True)
     for k in KEY:

@@ -18,6 +18,7 @@ from folioworks.settings import UploadLimits, MIB
 from folioworks.sources import archives as archive_source
 from folioworks.sources import logs
 from folioworks.sources import objects as object_source
+from folioworks.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +39,11 @@ def _marked(spark, sf):
 
 
 def _log(spark, sf):
-    return logs.parse_lines(V.log_lines(spark, sf))
+    return logs.parse_lines(V.log_lines(V.events(spark, sf)))
 
 
 def _states(spark, sf):
-    return lifecycle.lifecycle_state(V.lifecycle(spark, sf), V.LIFECYCLE_AGES)
+    return lifecycle.lifecycle_state(V.lifecycle(V.events(spark, sf)), V.LIFECYCLE_AGES)
 
 
 def _outcome(spark, sf):
@@ -241,7 +242,7 @@ def truncate_msg(spark, sf):
 
 @query
 def candidate_validity(spark, sf):
-    return V.candidate_writes(spark, sf).groupBy(candidates.validity_error().alias("error")).agg(
+    return V.candidate_writes(V.events(spark, sf)).groupBy(candidates.validity_error().alias("error")).agg(
         F.count(F.lit(1)).alias("writes"))
 
 
@@ -337,7 +338,7 @@ def unknown_batches(spark, sf):
 
 @query
 def fenced_writes(spark, sf):
-    return lifecycle.fenced_writes(V.lifecycle(spark, sf), _states(spark, sf))
+    return lifecycle.fenced_writes(V.lifecycle(V.events(spark, sf)), _states(spark, sf))
 
 
 @query
@@ -414,7 +415,7 @@ def item_count(spark, sf):
 
 @query
 def dq_duplicate_candidates(spark, sf):
-    return quality.repeated_keys(V.candidate_writes(spark, sf), candidates.KEY).drop("video_script_seq")
+    return quality.repeated_keys(V.candidate_writes(V.events(spark, sf)), candidates.KEY).drop("video_script_seq")
 
 
 @query
@@ -488,14 +489,14 @@ def resume_entries(spark, sf):
 
 @query
 def candidate_upsert(spark, sf):
-    return candidates.upsert(V.candidate_writes(spark, sf)).select(
+    return candidates.upsert(V.candidate_writes(V.events(spark, sf))).select(
         "source_file_id", "source_entry_name", "entry_index", "file_name", "size_bytes", "status", "reject_reason",
         "content_hash", "seq")
 
 
 @query
 def candidate_mismatch(spark, sf):
-    return candidates.mismatches(V.candidate_writes(spark, sf)).select(
+    return candidates.mismatches(V.candidate_writes(V.events(spark, sf))).select(
         "source_file_id", "source_entry_name", "entry_index", "file_name", "writes")
 
 
@@ -588,12 +589,12 @@ def lifecycle_state(spark, sf):
 
 @query
 def confirm_result(spark, sf):
-    return lifecycle.confirm_results(V.lifecycle(spark, sf))
+    return lifecycle.confirm_results(V.lifecycle(V.events(spark, sf)))
 
 
 @query
 def claims(spark, sf):
-    return lifecycle.claim_results(V.lifecycle(spark, sf), _states(spark, sf))
+    return lifecycle.claim_results(V.lifecycle(V.events(spark, sf)), _states(spark, sf))
 
 
 @query
@@ -625,12 +626,12 @@ def sweep_abandoned(spark, sf):
 
 @query
 def classify_failures(spark, sf):
-    return lifecycle.classify_failures(V.failures(spark, sf)).select("seq", "failure_class")
+    return lifecycle.classify_failures(V.failures(V.events(spark, sf))).select("seq", "failure_class")
 
 
 @query
 def attempt_outcome(spark, sf):
-    return lifecycle.attempt_outcomes(lifecycle.classify_failures(V.failures(spark, sf)), V.LIFECYCLE_AGES).select(
+    return lifecycle.attempt_outcomes(lifecycle.classify_failures(V.failures(V.events(spark, sf))), V.LIFECYCLE_AGES).select(
         "seq", "action", "final_status", "status_message", "countdown")
 
 
@@ -661,7 +662,7 @@ def remaining_candidates(spark, sf):
 
 @query
 def heartbeat_sessions(spark, sf):
-    beats = V.lifecycle(spark, sf).filter("kind IN ('claim', 'heartbeat', 'progress')")
+    beats = V.lifecycle(V.events(spark, sf)).filter("kind IN ('claim', 'heartbeat', 'progress')")
     return metrics.heartbeat_sessions(beats, 12 * 3600)
 
 
@@ -675,6 +676,40 @@ def log_event_counts(spark, sf):
     return metrics.event_counts(_log(spark, sf))
 
 
+# ---- streams (each runs over all files there are, then its table is read back)
+
+@query
+def stream_intake(spark, sf):
+    return jobs.read_back(jobs.intake(V.lifecycle(V.event_stream(spark, sf)), "40 days"), spark).select("file_id")
+
+
+@query
+def stream_lifecycle(spark, sf):
+    out = jobs.lifecycle_updates(V.lifecycle(V.event_stream(spark, sf)), V.LIFECYCLE_AGES)
+    return jobs.latest_states(jobs.read_back(out, spark)).select(
+        "file_id", "status", "status_message", "attempt_count", "claim_token", "heartbeat_us", "uploaded_us",
+        "entries_total", "entries_done", "detected_type")
+
+
+@query
+def stream_stale(spark, sf):
+    out = jobs.stale_alerts(V.lifecycle(V.event_stream(spark, sf)), V.LIFECYCLE_AGES, "1 hour")
+    return jobs.read_back(out, spark).select("file_id", "heartbeat_us", "attempt_count")
+
+
+@query
+def stream_log_counts(spark, sf):
+    lines = logs.parse_lines(V.log_lines(V.event_stream(spark, sf)))
+    return jobs.run_counts(metrics.event_counts(lines), ["level", "event"], spark)
+
+
+@query
+def stream_candidates(spark, sf):
+    table = jobs.run_candidates(V.candidate_writes(V.event_stream(spark, sf)), spark)
+    return jobs.read_candidates(spark, table).select(
+        "source_file_id", "source_entry_name", "entry_index", "file_name", "size_bytes", "status", "content_hash", "seq")
+
+
 # ---- data quality
 
 @query
@@ -739,5 +774,5 @@ def dq_invariants(spark, sf):
 
 @query
 def dq_claims(spark, sf):
-    return quality.claim_violations(lifecycle.claim_results(V.lifecycle(spark, sf), _states(spark, sf)),
+    return quality.claim_violations(lifecycle.claim_results(V.lifecycle(V.events(spark, sf)), _states(spark, sf)),
                                     V.LIFECYCLE_AGES.max_attempts)

@@ -17,7 +17,7 @@ TERMINAL = quoted(M.TERMINAL)
 
 
 def base(x: str) -> str:
-    return f"coalesce(list_filter(string_split({x}, '/'), p -> p NOT IN ('', '.'))[-1], '')"
+    return f"coalesce(list_filter(string_split({x}, '/'), lambda p: p NOT IN ('', '.'))[-1], '')"
 
 
 def ext(x: str) -> str:
@@ -186,7 +186,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "visible": (("ent", "guarded"), f"""
         SELECT e.*, row_number() OVER (PARTITION BY archive ORDER BY pos) - 1 AS entry_index, {base('name')} AS file_name,
                {ext('name')} AS x,
-               CASE WHEN len(list_filter(string_split(name, '/'), p -> p NOT IN ('', '.'))) - 1 > 1 THEN '{M.TOO_DEEP}'
+               CASE WHEN len(list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.'))) - 1 > 1 THEN '{M.TOO_DEEP}'
                     WHEN {ext('name')} = '' THEN '{M.NO_EXTENSION}'
                     WHEN {ext('name')} NOT IN ('docx', 'pdf') THEN concat('.', {ext('name')}, ' is not supported') END
                    AS entry_reason
@@ -194,13 +194,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE g.reason IS NULL AND NOT list_contains(string_split(name, '/')[:-2], '__MACOSX')
               AND NOT starts_with({base('name')}, '.')"""),
     "broken": (("visible",), f"""
-        SELECT archive, min(entry_index) AS at, arg_min(concat('''', name, ''' does not match its index ({M.BAD_CRC} for file ''',
+        SELECT archive, min(entry_index) AS cut, arg_min(concat('''', name, ''' does not match its index ({M.BAD_CRC} for file ''',
                name, ''')'), entry_index) AS told FROM visible WHERE entry_reason IS NULL AND crc_error GROUP BY 1"""),
     "kept": (("visible", "broken"), f"""
         SELECT v.*, CASE WHEN entry_reason IS NOT NULL THEN entry_reason
                          WHEN detected <> x THEN concat('File content does not match .', x, ' — it appears to be ', detected)
-                         WHEN at IS NOT NULL THEN concat('{M.ARCHIVE_REJECTED}: ', told) END AS reject_reason
-        FROM visible v LEFT JOIN broken USING (archive) WHERE at IS NULL OR entry_index < at"""),
+                         WHEN cut IS NOT NULL THEN concat('{M.ARCHIVE_REJECTED}: ', told) END AS reject_reason
+        FROM visible v LEFT JOIN broken USING (archive) WHERE cut IS NULL OR entry_index < cut"""),
     "ev": ((), """
         SELECT *, epoch_us(ts) AS ts_us, event_id AS seq, (props->>'$.k')::INTEGER AS k,
                concat(user_id, '-', date_diff('day', DATE '2024-01-01', ts::DATE) // 3) AS file_id FROM events"""),
@@ -417,7 +417,7 @@ ORACLES: dict[str, str] = {
             SELECT id, lower(regexp_extract({strip('name')}, '(?i)\\.([a-z0-9]+)$', 1)) AS x FROM nm)"""),
     "object_keys": over("docs", f"""
         SELECT doc_id, concat('incoming/', lang, '/', source, '/', doc_id, '_', {base('file_name')}) AS incoming_key,
-               concat('staging/', lang, '/', source, '/', doc_id, '/', lpad((doc_id * 7)::VARCHAR, greatest(4, length((doc_id * 7)::VARCHAR)), '0'),
+               concat('staging/', lang, '/', source, '/', doc_id, '/', lpad((doc_id * 7)::VARCHAR, greatest(4, length((doc_id * 7)::VARCHAR))::INTEGER, '0'),
                       '_', {base('file_name')}) AS staging_key,
                concat('processed/', lang, '/', doc_id, '/v1_', file_name) AS processed_key,
                concat('s3://bucket/processed/', lang, '/', doc_id, '/v1_', file_name) AS location FROM docs"""),
@@ -441,7 +441,7 @@ ORACLES: dict[str, str] = {
         SELECT e AS declared, detected, {MISMATCH.format(d='e', t='detected')} AS reason, count(*) AS entries
         FROM ent GROUP BY ALL"""),
     "folder_depth": over("ent", """
-        SELECT archive, pos::INTEGER AS entry_pos, len(list_filter(string_split(name, '/'), p -> p NOT IN ('', '.'))) - 1 AS depth FROM ent"""),
+        SELECT archive, pos::INTEGER AS entry_pos, len(list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.'))) - 1 AS depth FROM ent"""),
     "archive_guard": over("guarded", "SELECT archive, n_entries, total_bytes, reason FROM guarded"),
     "archive_candidates": over("visible", """
         SELECT archive, entry_index::INTEGER AS entry_index, name, file_name,
@@ -460,22 +460,21 @@ ORACLES: dict[str, str] = {
                concat('scan ', split_part(file_id, '-', 1), '.docx') AS file_name, events * 1000 AS size_bytes, status, created_us
         FROM state WHERE status NOT IN ('staged', 'uploading')"""),
     "queue_validation": over("up", """
-        SELECT u.position, u.file_name, CASE
+        SELECT *, error IS NULL AS startable FROM (SELECT u.position, u.file_name, CASE
             WHEN file_ext = '' THEN 'Unsupported file type. Supported formats: DOCX, PDF, ZIP.'
             WHEN file_ext NOT IN ('docx', 'pdf', 'zip') THEN concat('.', file_ext, ' is not a supported format')
             WHEN size_bytes = 0 THEN 'File is empty.'
             WHEN size_bytes > 5368709120 THEN 'File exceeds the maximum size of 5.0 GB.'
             WHEN EXISTS (SELECT 1 FROM up o WHERE lower(o.file_name) = lower(u.file_name) AND o.size_bytes = u.size_bytes
                          AND (o.phase = 'F' OR o.position < u.position))
-                THEN concat('Duplicate file — ', file_name, ' is already in the upload queue.') END AS error,
-            error IS NULL AS startable
-        FROM up u WHERE phase <> 'F'"""),
+                THEN concat('Duplicate file — ', file_name, ' is already in the upload queue.') END AS error
+        FROM up u WHERE phase <> 'F')"""),
     "zip_precheck": over("ent", f"""
         SELECT archive, count(*) FILTER (WHERE problem IS NULL) AS usable, count(problem) AS warnings,
                bool_or(problem IS NULL) AS archive_valid, count(*) FILTER (WHERE problem = 'File is empty.') AS empty,
                count(*) FILTER (WHERE problem LIKE 'The PDF%') AS damaged
         FROM (SELECT archive, CASE
-                WHEN len(list_filter(string_split(name, '/'), p -> p <> '')) - 1 > 1 THEN '{M.TOO_DEEP}'
+                WHEN len(list_filter(string_split(name, '/'), lambda p: p <> '')) - 1 > 1 THEN '{M.TOO_DEEP}'
                 WHEN e = '' THEN 'Files without an extension are not supported.'
                 WHEN e NOT IN ('docx', 'pdf') THEN concat('.', e, ' is not supported inside a ZIP.')
                 WHEN e = 'pdf' AND l_discount = 0 THEN 'File is empty.'
@@ -590,11 +589,11 @@ ORACLES: dict[str, str] = {
                retries = claims - 1 AS as_expected FROM log WHERE event IN ('claim_ok', 'retrying') GROUP BY 1"""),
     # ordered work
     "archive_outcome": over("guarded visible broken kept", f"""
-        SELECT g.archive, CASE WHEN reason IS NOT NULL OR at IS NOT NULL THEN 'rejected' WHEN coalesce(r, 0) > 0 THEN 'partial'
+        SELECT g.archive, CASE WHEN reason IS NOT NULL OR cut IS NOT NULL THEN 'rejected' WHEN coalesce(r, 0) > 0 THEN 'partial'
                     ELSE 'processed' END AS status,
                CASE WHEN reason IS NOT NULL THEN concat('File is unsafe: ', reason) ELSE told END AS status_message,
                CASE WHEN reason IS NULL THEN coalesce(t, 0) END::INTEGER AS entries_total,
-               coalesce(at, t, 0)::INTEGER AS entries_done, coalesce(p, 0) AS processed, coalesce(r, 0) AS rejected
+               coalesce(cut, t, 0)::INTEGER AS entries_done, coalesce(p, 0) AS processed, coalesce(r, 0) AS rejected
         FROM guarded g LEFT JOIN broken USING (archive)
         LEFT JOIN (SELECT archive, count(*) AS t FROM visible GROUP BY 1) USING (archive)
         LEFT JOIN (SELECT archive, count(*) FILTER (WHERE reject_reason IS NULL) AS p, count(reject_reason) AS r FROM kept GROUP BY 1)
@@ -620,11 +619,12 @@ ORACLES: dict[str, str] = {
         SELECT file_id, min(entry_index) AS resumed_at FROM log WHERE attempt = 2 AND event IN ('entry_staged', 'entry_rejected')
         GROUP BY 1"""),
     "recovery_timeline": over("log", """
-        SELECT file_id, k AS killed_us, r AS reset_us, c AS claimed_us FROM (
-            SELECT file_id, k, (SELECT min(s.ts_us) FROM (SELECT ts_us, unnest(file_ids) AS f FROM log WHERE sweep) s
-                                WHERE s.f = file_id AND s.ts_us > k) AS r,
-                   (SELECT min(x.ts_us) FROM log x WHERE x.file_id = q.file_id AND x.event = 'claim_ok' AND x.ts_us >= r) AS c
-            FROM (SELECT file_id, min(ts_us) AS k FROM log WHERE event = 'retrying' GROUP BY 1) q)"""),
+        SELECT q.file_id, k AS killed_us, r AS reset_us, min(x.ts_us) AS claimed_us
+        FROM (SELECT z.file_id, k, min(s.ts_us) AS r
+              FROM (SELECT file_id, min(ts_us) AS k FROM log WHERE event = 'retrying' GROUP BY 1) z
+              LEFT JOIN (SELECT ts_us, unnest(file_ids) AS f FROM log WHERE sweep) s ON s.f = z.file_id AND s.ts_us > k
+              GROUP BY ALL) q
+        LEFT JOIN log x ON x.file_id = q.file_id AND x.event = 'claim_ok' AND x.ts_us >= r GROUP BY ALL"""),
     # order and lookups
     "list_library": over("lib", "SELECT organization_id, document_id, title, title_norm, file_name, file_ext, size_bytes, added_us FROM lib"),
     "get_document": over("lib", "SELECT document_id, title, file_name, size_bytes FROM lib WHERE organization_id = 'en' AND document_id = 'lib-1'"),
@@ -714,6 +714,21 @@ ORACLES: dict[str, str] = {
     "sweep_windows": over("log", """
         SELECT event, ts_us // 15000000 * 15000000 AS start_us, count(*) AS sweeps FROM log WHERE sweep GROUP BY ALL"""),
     "log_event_counts": over("log", "SELECT level, event, count(*) AS lines FROM log GROUP BY ALL"),
+    # streams, against the batch answers
+    "stream_intake": over("life", "SELECT DISTINCT file_id FROM life WHERE kind = 'confirm'"),
+    "stream_lifecycle": over("state", """
+        SELECT file_id, status, status_message, attempt_count, claim_token, heartbeat_us, uploaded_us, entries_total, entries_done,
+               detected_type FROM state"""),
+    "stream_stale": over("state", f"""
+        SELECT file_id, heartbeat_us, attempt_count FROM state WHERE status = 'processing'
+               AND heartbeat_us < (SELECT max(ts_us) FROM life) - {HOUR_US} - {STALE_US}"""),
+    "stream_log_counts": over("log", "SELECT level, event, count(*) AS lines FROM log GROUP BY ALL"),
+    "stream_candidates": over("writes", """
+        SELECT source_file_id, source_entry_name, entry_index, file_name, size_bytes, status, content_hash, seq
+        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM writes w
+              WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
+        WHERE entry_index IS NOT DISTINCT FROM i0 AND file_name = n0
+        QUALIFY row_number() OVER (PARTITION BY source_file_id, source_entry_name ORDER BY seq DESC) = 1"""),
     # data quality
     "dq_unique_title": over("cand", """
         SELECT organization_id, title_norm, count(*) AS copies FROM cand GROUP BY ALL HAVING count(*) > 1"""),

@@ -128,20 +128,34 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("string").alias("detected_reason"))
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
+EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table."""
+    return table(spark, sf, "events")
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of its files."""
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
+            .option("maxFilesPerTrigger", 64).parquet(sf))
+
+
+def _events(raw: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     day = F.datediff(ts, F.lit("2024-01-01").cast("date"))
-    return table(spark, sf, "events").select(
+    return raw.select(
         ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col("event_id").alias("seq"), "user_id", "event_type",
         "value", F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.floor(day / 3).cast("string")).alias("file_id"))
 
 
-def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+def lifecycle(raw: DataFrame) -> DataFrame:
     """Lifecycle events: a file per user and three days, two workers, each with its token."""
     k, kind = F.col("k"), F.col("event_type")
     progress = (kind == "click") & (k >= 50)
-    return _events(spark, sf).select(
+    return _events(raw).select(
         "file_id", "ts", "ts_us", "seq",
         F.when(kind == "signup", F.when(k < 5, "cancel").when(k < 15, "uploading").otherwise("confirm"))
         .when(kind == "view", "claim").when(progress, "progress").when(kind == "click", "heartbeat")
@@ -165,7 +179,7 @@ def lifecycle_files(states: DataFrame) -> DataFrame:
         "size_bytes", F.col("events") * 1000)
 
 
-def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+def log_lines(raw: DataFrame) -> DataFrame:
     """JSON log lines of the same events (column `value`); some lines are plain notices."""
     k, kind = F.col("k"), F.col("event_type")
     sweep = (kind == "error") & (k >= 50)
@@ -188,16 +202,16 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(sweep, F.array("file_id", later)).alias("file_ids"),
         F.when(sweep & (k < 75), k % 4).alias("reset"), F.when(sweep & (k >= 75), k % 5).alias("requeued"),
         F.when(sweep, k % 3).alias("errored"), F.when(sweep, k % 2).alias("enqueue_failed"))
-    return _events(spark, sf).select(F.when((k == 99) & (kind == "click"), "worker: Warm shutdown").otherwise(
+    return _events(raw).select(F.when((k == 99) & (kind == "click"), "worker: Warm shutdown").otherwise(
         F.to_json(line)).alias("value"))
 
 
-def candidate_writes(spark: SparkSession, sf: str) -> DataFrame:
+def candidate_writes(raw: DataFrame) -> DataFrame:
     """Candidate upserts in order: purchases write the direct upload, other events one of six entries."""
     k, direct = F.col("k"), F.col("event_type") == "purchase"
     name = F.concat(F.lit("entry-"), (k % 6).cast("string"), F.lit(".docx"))
     good = F.col("event_type") != "error"
-    return _events(spark, sf).select(
+    return _events(raw).select(
         F.col("file_id").alias("source_file_id"), F.when(~direct, name).alias("source_entry_name"),
         F.lit(None).cast("int").alias("video_script_seq"),
         F.when(~direct, k % 6 + F.when(k > 90, 1).otherwise(0)).cast("int").alias("entry_index"),
@@ -210,10 +224,10 @@ def candidate_writes(spark: SparkSession, sf: str) -> DataFrame:
         F.when(~good & (k != 15), M.FILE_DAMAGED).alias("reject_reason"), "seq")
 
 
-def failures(spark: SparkSession, sf: str) -> DataFrame:
+def failures(raw: DataFrame) -> DataFrame:
     """Failed attempts: one per event, with where it failed, the code and the HTTP status."""
     k = F.col("k")
-    return _events(spark, sf).select(
+    return _events(raw).select(
         "seq", "file_id", (k % 4 + 1).alias("attempt"),
         F.when(k < 50, "storage").when(k < 75, "api").when(k < 85, "transport").when(k < 95, "content")
         .otherwise("code").alias("origin"),

@@ -1,0 +1,96 @@
+"""Keyed lifecycle state for streams: the batch fold's rules, one event at a time, with a timer for silence."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from folioworks.operators.lifecycle import RULES
+from folioworks.settings import Ages
+
+FIELDS = {"status": StringType(), "status_message": StringType(), "attempt_count": IntegerType(),
+          "claim_token": StringType(), "heartbeat_us": LongType(), "uploaded_us": LongType(),
+          "entries_total": IntegerType(), "entries_done": IntegerType(), "detected_type": StringType()}
+STATE = StructType([StructField(name, kind) for name, kind in FIELDS.items()])
+OUTPUT = StructType([StructField("file_id", StringType()), StructField("change", StringType()),
+                     StructField("at_us", LongType()), StructField("at_seq", LongType()), *STATE.fields])
+NEW_FILE = {**dict.fromkeys(FIELDS), "status": "staged", "attempt_count": 0, "entries_done": 0}
+
+
+def apply_event(state: dict, event: dict, ages: Ages) -> dict:
+    """State after one event, by the shared rule table; the same dict when the event does not apply."""
+    kind, at, token = event["kind"], event["ts_us"], event["token"]
+    if kind == "claim":
+        silent = state["status"] == "processing" and state["heartbeat_us"] < at - ages.stale_seconds * 1_000_000
+        if state["attempt_count"] < ages.max_attempts and (state["status"] == "uploaded" or silent):
+            return {**state, "status": "processing", "attempt_count": state["attempt_count"] + 1,
+                    "claim_token": token, "heartbeat_us": at}
+        return state
+    rule = RULES.get(kind)
+    if rule is None or state["status"] not in rule.sources:
+        return state
+    if rule.fenced and (token is None or token != state["claim_token"]):
+        return state
+    after = dict(state)
+    if rule.to:
+        after["status"] = event["status"] if rule.to == "event" else rule.to
+    if rule.message:
+        after["status_message"] = event["message"] if rule.message == "event" else rule.message
+    if rule.stamps:
+        after[rule.stamps] = at
+    if rule.ends_claim:
+        after["claim_token"] = None
+    if kind == "progress":
+        for name in ("entries_total", "entries_done", "detected_type"):
+            if event[name] is not None:
+                after[name] = event[name]
+    return after
+
+
+class LifecycleProcessor(StatefulProcessor):
+    """Keeps one small state row per file, never its history. With `timers`, a file that stays silent past the
+    limit while processing yields a `stale` row once the watermark proves it."""
+
+    def __init__(self, ages: Ages, timers: bool) -> None:
+        self.ages, self.timers = ages, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.file = handle.getValueState("file", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.file.get()
+        state = dict(zip(FIELDS, held)) if held is not None else dict(NEW_FILE)
+        # Order within one trigger only; its size is the source's limit per trigger.
+        batch = pd.concat(list(rows)).sort_values(["ts_us", "seq"]).astype(object)
+        batch = batch.where(batch.notna(), None)
+        last = None
+        for event in batch.to_dict("records"):
+            state, last = apply_event(state, event, self.ages), event
+        state = {n: int(v) if v is not None and not isinstance(FIELDS[n], StringType) else v for n, v in state.items()}
+        self.file.update(tuple(state.values()))
+        if self.timers:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if state["status"] == "processing":
+                self.handle.registerTimer(state["heartbeat_us"] // 1000 + self.ages.stale_seconds * 1000 + 1)
+        yield self._row(key, "state", last["ts_us"], last["seq"], state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.file.get()
+        if held is not None:
+            state = dict(zip(FIELDS, held))
+            if state["status"] == "processing":
+                yield self._row(key, "stale", state["heartbeat_us"], -1, state)
+
+    def _row(self, key, change, at, seq, state) -> pd.DataFrame:
+        frame = pd.DataFrame([(key[0], change, int(at), int(seq), *state.values())], columns=OUTPUT.fieldNames())
+        ints = {f.name: "Int64" if isinstance(f.dataType, LongType) else "Int32" for f in OUTPUT.fields
+                if not isinstance(f.dataType, StringType)}
+        return frame.astype(ints)
+
+    def close(self) -> None:
+        """Nothing to release."""
