@@ -52,50 +52,57 @@ def _entry_violation(limits: ArchiveLimits) -> Column:
                            F.lit(f"…' has a path longer than {limits.max_path_chars} characters"))))
 
 
-def _examined(entries: DataFrame, order: list[str], limits: ArchiveLimits) -> DataFrame:
-    """Entries of archives within both archive-level limits, with the archive's first violation in `_why`.
+def _fitting(entries: DataFrame, totals: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """Entries of archives within both archive-level limits, now hashed by archive."""
+    fits = totals.filter((F.col("n_entries") <= limits.max_entries)
+                         & (F.col("total_bytes") <= limits.max_total_bytes)).select("archive")
+    return entries.join(fits, "archive", "left_semi")
 
-    The join leaves rows hashed by archive, and every window below clusters on it: one shuffle in all.
+
+def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: ArchiveLimits) -> DataFrame:
+    """Entries of fitting archives with the archive's first violation (`_why`), visibility, `entry_index` among the
+    visible ones, name parts and the reason an entry is refused before extraction.
+
+    All windows cluster on the archive, as the semi join left the rows: one shuffle in all.
     """
-    fits = archive_totals(entries).filter((F.col("n_entries") <= limits.max_entries)
-                                          & (F.col("total_bytes") <= limits.max_total_bytes)).select("archive")
-    within = entries.join(fits, "archive", "left_semi")
     in_order = Window.partitionBy("archive").orderBy(*order)
-    per_name = Window.partitionBy("archive", "name").orderBy("_pos")
-    numbered = within.withColumn("_pos", F.row_number().over(in_order) - 1).withColumn(
-        "_copy", F.row_number().over(per_name))
-    numbered = numbered.withColumn("_bad", _entry_violation(limits))
-    first_bad = F.min(F.when(F.col("_bad").isNotNull(), F.struct("_pos", "_bad"))).over(Window.partitionBy("archive"))
-    return numbered.withColumn("_why", first_bad["_bad"]).drop("_copy", "_bad")
+    whole = Window.partitionBy("archive")
+    rows = _fitting(entries, totals, limits).withColumn("_pos", F.row_number().over(in_order) - 1)
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("archive", "name").orderBy("_pos")))
+    bad = _entry_violation(limits)
+    rows = rows.withColumn("_bad", F.when(bad.isNotNull(), F.struct(F.col("_pos"), bad.alias("why"))))
+    rows = rows.withColumn("_why", F.min("_bad").over(whole)["why"]).withColumn("_ext", file_ext(F.col("name")))
+    rows = rows.withColumn("_shown", F.col("_why").isNull() & ~hidden(F.col("name")))
+    reason = (F.when(folder_depth(F.col("name")) > limits.max_depth, M.TOO_DEEP)
+              .when(F.col("_ext") == "", M.NO_EXTENSION)
+              .when(~F.col("_ext").isin(*limits.entry_exts), F.concat(F.lit("."), F.col("_ext"), F.lit(" is not supported"))))
+    up_to_here = Window.partitionBy("archive").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("entry_index", (F.sum(F.col("_shown").cast("int")).over(up_to_here) - 1).cast("int"))
+            .withColumn("file_name", base_name(F.col("name"))).withColumn("entry_reason", reason)
+            .withColumn("file_ext", F.when(F.col("entry_reason").isNull(), F.col("_ext")).otherwise(
+                F.substring("_ext", 1, 10))))
+
+
+def _archive_reason(limits: ArchiveLimits) -> Column:
+    """The guard's verdict from n_entries, total_bytes and the first violation `_why`."""
+    n = F.col("n_entries")
+    return (F.when(n > limits.max_entries, F.concat(n.cast("string"), F.lit(f" files; limit is {limits.max_entries}")))
+            .when(F.col("total_bytes") > limits.max_total_bytes, M.TOO_LARGE_UNPACKED).otherwise(F.col("_why")))
 
 
 def archive_guard(entries: DataFrame, order: list[str], limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
     """Per archive: n_entries, total_bytes and the first violation (`reason`, NULL when it is safe)."""
-    why = _examined(entries, order, limits).groupBy("archive").agg(F.max("_why").alias("_why"))
-    n = F.col("n_entries")
-    reason = (F.when(n > limits.max_entries,
-                     F.concat(n.cast("string"), F.lit(f" files; limit is {limits.max_entries}")))
-              .when(F.col("total_bytes") > limits.max_total_bytes, M.TOO_LARGE_UNPACKED).otherwise(F.col("_why")))
-    return archive_totals(entries).join(why, "archive", "left").select(
-        "archive", "n_entries", "total_bytes", reason.alias("reason"))
+    totals = archive_totals(entries)
+    why = _examined(entries, totals, order, limits).groupBy("archive").agg(F.max("_why").alias("_why"))
+    return totals.join(why, "archive", "left").select("archive", "n_entries", "total_bytes",
+                                                      _archive_reason(limits).alias("reason"))
 
 
 def archive_candidates(entries: DataFrame, order: list[str], limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
     """Visible entries of safe archives: entry_index over what is left after hiding, file_name, file_ext, and the
     reason an entry is refused before extraction (NULL: extract it)."""
-    visible = _examined(entries, order, limits).filter(F.col("_why").isNull() & ~hidden(F.col("name")))
-    ext = file_ext(F.col("name"))
-    return (visible
-            .withColumn("entry_index", F.row_number().over(Window.partitionBy("archive").orderBy("_pos")) - 1)
-            .withColumn("file_name", base_name(F.col("name")))
-            .withColumn("_ext", ext)
-            .withColumn("entry_reason", F.when(folder_depth(F.col("name")) > limits.max_depth, M.TOO_DEEP)
-                        .when(F.col("_ext") == "", M.NO_EXTENSION)
-                        .when(~F.col("_ext").isin(*limits.entry_exts),
-                              F.concat(F.lit("."), F.col("_ext"), F.lit(" is not supported"))))
-            .withColumn("file_ext", F.when(F.col("entry_reason").isNull(), F.col("_ext"))
-                        .otherwise(F.substring("_ext", 1, 10)))
-            .drop("_why", "_pos", "_ext"))
+    seen = _examined(entries, archive_totals(entries), order, limits)
+    return seen.filter("_shown").drop("_pos", "_copy", "_bad", "_why", "_ext", "_shown")
 
 
 def resume_entries(candidates: DataFrame, progress: DataFrame) -> DataFrame:
@@ -105,51 +112,55 @@ def resume_entries(candidates: DataFrame, progress: DataFrame) -> DataFrame:
         F.col("entry_index") >= F.coalesce("entries_done", F.lit(0))).drop("entries_done")
 
 
+def _decided(rows: DataFrame, shown: Column) -> DataFrame:
+    """Add `_cut` (index and text of the first broken entry among those extracted), whether the row is kept, and
+    its reject_reason."""
+    broken = shown & F.col("entry_reason").isNull() & F.col("crc_error")
+    told = F.concat(F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"),
+                    F.col("name"), F.lit("')"))
+    cut = F.min(F.when(broken, F.struct("entry_index", told.alias("told")))).over(Window.partitionBy("archive"))
+    own = F.coalesce("entry_reason", F.when(F.col("detected") != F.col("file_ext"), mismatch_reason(
+        F.col("file_ext"), F.col("detected"), F.col("detected_reason"))))
+    rows = rows.withColumn("_cut", cut)
+    return rows.withColumn("_kept", shown & (F.col("_cut").isNull() | (F.col("entry_index") < F.col("_cut.entry_index")))
+                           ).withColumn("reject_reason", F.coalesce(own, F.when(
+                               F.col("_cut").isNotNull(), F.concat(F.lit(M.ARCHIVE_REJECTED + ": "), F.col("_cut.told")))))
+
+
 def entry_outcomes(candidates: DataFrame) -> DataFrame:
     """Candidate rows after extraction. Needs crc_error, detected, detected_reason on every row to be extracted.
 
     The first broken entry among those extracted ends its archive: entries before it are kept as rejected ("Archive
     rejected: …", unless they have a reason of their own), it and later ones never appear.
     """
-    broken = F.col("entry_reason").isNull() & F.col("crc_error")
-    told = F.concat(F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"),
-                    F.col("name"), F.lit("')"))
-    first = F.min(F.when(broken, F.struct("entry_index", told.alias("told")))).over(Window.partitionBy("archive"))
-    marked = candidates.withColumn("_first", first).filter(
-        F.col("_first").isNull() | (F.col("entry_index") < F.col("_first.entry_index")))
-    own = F.coalesce("entry_reason", F.when(F.col("detected") != F.col("file_ext"), mismatch_reason(
-        F.col("file_ext"), F.col("detected"), F.col("detected_reason"))))
-    reason = F.coalesce(own, F.when(F.col("_first").isNotNull(),
-                                    F.concat(F.lit(M.ARCHIVE_REJECTED + ": "), F.col("_first.told"))))
-    return marked.withColumn("reject_reason", reason).withColumn(
-        "status", F.when(reason.isNull(), "processed").otherwise("rejected")).drop("_first", "entry_reason")
+    return _decided(candidates, F.lit(True)).filter("_kept").withColumn(
+        "status", F.when(F.col("reject_reason").isNull(), "processed").otherwise("rejected")).drop(
+        "_cut", "_kept", "entry_reason")
 
 
 def archive_outcome(entries: DataFrame, order: list[str], limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
-    """Final status per archive, with message, entries_total, entries_done and its candidate counts."""
-    found = archive_candidates(entries, order, limits)
-    broken = F.col("entry_reason").isNull() & F.col("crc_error")
-    told = F.concat(F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"),
-                    F.col("name"), F.lit("')"))
-    totals = found.groupBy("archive").agg(
-        F.count(F.lit(1)).cast("int").alias("entries_total"),
-        F.min(F.when(broken, F.struct("entry_index", told.alias("told")))).alias("_first"))
-    kept = entry_outcomes(found).groupBy("archive").agg(
-        F.count_if(F.col("status") == "processed").alias("processed"),
-        F.count_if(F.col("status") == "rejected").alias("rejected"))
-    safe = archive_guard(entries, order, limits).select("archive", F.col("reason").alias("_guard"))
+    """Final status per archive, with message, entries_total, entries_done and its candidate counts.
+
+    Guard, numbering, reasons and counts come out of one pass over the rows of each archive.
+    """
+    totals = archive_totals(entries)
+    kept = F.col("_kept")
+    per_archive = _decided(_examined(entries, totals, order, limits), F.col("_shown")).groupBy("archive").agg(
+        F.max("_why").alias("_why"), F.count_if("_shown").alias("_total"), F.max("_cut").alias("_cut"),
+        F.count_if(kept & F.col("reject_reason").isNull()).alias("_processed"),
+        F.count_if(kept & F.col("reject_reason").isNotNull()).alias("_rejected"))
     zero = F.lit(0)
-    return safe.join(totals, "archive", "left").join(kept, "archive", "left").select(
+    rows = totals.join(per_archive, "archive", "left").withColumn("_guard", _archive_reason(limits))
+    return rows.select(
         "archive",
-        F.when(F.col("_guard").isNotNull() | F.col("_first").isNotNull(), "rejected")
-        .when(F.coalesce("rejected", zero) > 0, "partial").otherwise("processed").alias("status"),
+        F.when(F.col("_guard").isNotNull() | F.col("_cut").isNotNull(), "rejected")
+        .when(F.col("_rejected") > 0, "partial").otherwise("processed").alias("status"),
         F.when(F.col("_guard").isNotNull(), F.concat(F.lit("File is unsafe: "), F.col("_guard")))
-        .otherwise(F.col("_first.told")).alias("status_message"),
-        F.when(F.col("_guard").isNull(), F.coalesce("entries_total", zero)).alias("entries_total"),
-        F.coalesce(F.col("_first.entry_index"), F.when(F.col("_guard").isNull(), F.col("entries_total")), zero)
-        .cast("int").alias("entries_done"),
-        F.coalesce("processed", zero).cast("bigint").alias("processed"),
-        F.coalesce("rejected", zero).cast("bigint").alias("rejected"))
+        .otherwise(F.col("_cut.told")).alias("status_message"),
+        F.when(F.col("_guard").isNull(), F.col("_total")).cast("int").alias("entries_total"),
+        F.coalesce(F.col("_cut.entry_index"), F.when(F.col("_guard").isNull(), F.col("_total")), zero).cast("int")
+        .alias("entries_done"),
+        F.coalesce("_processed", zero).alias("processed"), F.coalesce("_rejected", zero).alias("rejected"))
 
 
 def zip_precheck(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:

@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.operators.ranking import HOT_ROWS, ordered_scan
-
-
-def _minute(seconds: int) -> int:
-    return seconds * 1_000_000
+from folioworks.session import durable
 
 
 def merge_snapshots(*snapshots: DataFrame) -> DataFrame:
@@ -36,22 +33,23 @@ def confirm_to_claim(lines: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, percent: float,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact nearest-rank percentile per group: position round_half_even(p/100·n + 0.5), at least 1."""
-    ranked = ordered_scan(values, keys, [value, tie], {"_rank": ("number", None)}, hot_rows)
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ranked = _ranked(values, keys, value, tie, hot_rows)
     wanted = F.greatest(F.lit(1), F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0)).cast("bigint")
-    return ranked.join(sizes, keys).filter(F.col("_rank") == wanted).select(
-        *keys, "n", F.col(value).alias("percentile"))
+    return ranked.filter(F.col("_rank") == wanted).select(*keys, "n", F.col(value).alias("percentile"))
+
+
+def _ranked(values: DataFrame, keys: list[str], value: str, tie: str, hot_rows: int) -> DataFrame:
+    """`_rank` by value and the group's size `n`. The values are computed once, counted and ranked from a copy."""
+    return ordered_scan(durable(values.select(*keys, value, tie)), keys, [value, tie],
+                        {"_rank": ("number", None), "n": ("size", None)}, hot_rows)
 
 
 def spread(values: DataFrame, keys: list[str], value: str, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Median (mean of the two middle values), minimum and maximum per group."""
-    ranked = ordered_scan(values, keys, [value, tie], {"_rank": ("number", None)}, hot_rows)
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lowest"),
-                                      F.max(value).alias("highest"))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = ranked.join(sizes, keys).filter(F.col("_rank").between(low, high))
-    return middle.groupBy(*keys).agg(F.avg(value).alias("median"), F.first("lowest").alias("lowest"),
-                                     F.first("highest").alias("highest"))
+    ranked = _ranked(values, keys, value, tie, hot_rows)
+    middle = F.col("_rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    return ranked.groupBy(*keys).agg(F.avg(F.when(middle, F.col(value))).alias("median"),
+                                     F.min(value).alias("lowest"), F.max(value).alias("highest"))
 
 
 def sweep_totals(lines: DataFrame) -> DataFrame:
@@ -151,4 +149,4 @@ def event_counts(lines: DataFrame) -> DataFrame:
 
 def late(column: Column, as_of_us: int, seconds: int) -> Column:
     """Older than `seconds` at `as_of`."""
-    return column < F.lit(as_of_us - _minute(seconds))
+    return column < F.lit(as_of_us - seconds * 1_000_000)

@@ -24,7 +24,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], measures: dic
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add running measures to `df`, per `keys`, along `order` (columns whose values are unique within a group).
 
-    Kinds: `number` (1, 2, …), `sum` (inclusive), `before` (last non-NULL value strictly earlier).
+    Kinds: `number` (1, 2, …), `sum` (inclusive), `before` (last non-NULL value strictly earlier), `size` (rows of the
+    group). `df` is read more than once, so an expensive input should be durable.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     facts = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
@@ -43,6 +44,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], measures: dic
 def _measure(kind: str, value: Column | None, window) -> Column:
     if kind == "number":
         return F.row_number().over(window).cast("bigint")
+    if kind == "size":
+        return F.count(F.lit(1)).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     if kind == "sum":
         return F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
@@ -62,7 +65,7 @@ def _sliced(df, keys, order, measures, slices):
     local = _windowed(ranged, [*keys, "_slice"], order, inputs)
 
     def total(name, kind):
-        if kind == "number":
+        if kind in ("number", "size"):
             return F.count(F.lit(1))
         if kind == "sum":
             return F.sum(values[name])
@@ -70,6 +73,8 @@ def _sliced(df, keys, order, measures, slices):
 
     def carried(name, kind, window):
         column = F.col(f"_t_{name}")
+        if kind == "size":
+            return F.sum(column).over(Window.partitionBy(*keys)) - column
         return F.last(column, ignorenulls=True).over(window) if kind == "before" else F.sum(column).over(window)
 
     totals = ranged.groupBy(*keys, "_slice").agg(

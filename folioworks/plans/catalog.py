@@ -13,7 +13,7 @@ from folioworks.functions import names, text
 from folioworks.operators import (admission, archives, candidates, commit, duplicates, lifecycle, metrics, objects,
                                   quality, review, sweeps)
 from folioworks.plans import views as V
-from folioworks.session import configure
+from folioworks.session import configure, durable
 from folioworks.settings import UploadLimits, MIB
 from folioworks.sources import archives as archive_source
 from folioworks.sources import logs
@@ -34,8 +34,8 @@ def query(build: Query) -> Query:
 
 # ---- shared inputs
 
-def _marked(spark, sf):
-    return duplicates.find_duplicate(V.candidates(spark, sf), V.library(spark, sf))
+def _marked(docs):
+    return duplicates.find_duplicate(V.candidates(docs), V.library(docs))
 
 
 def _log(spark, sf):
@@ -46,9 +46,9 @@ def _states(spark, sf):
     return lifecycle.lifecycle_state(V.lifecycle(V.events(spark, sf)), V.LIFECYCLE_AGES)
 
 
-def _outcome(spark, sf):
-    cands = V.candidates(spark, sf)
-    return commit.commit(cands, V.files(cands), V.library(spark, sf), batch_order="block")
+def _outcome(docs):
+    cands = V.candidates(docs)
+    return commit.commit(cands, V.files(cands), V.library(docs), batch_order="block")
 
 
 def _admitted(spark, sf):
@@ -90,7 +90,7 @@ def zip_index(spark, sf):
 
 @query
 def zip_extract(spark, sf):
-    packs = V.packed(spark, sf, "zip")
+    packs = durable(V.packed(spark, sf, "zip"))          # bytes at rest, indexed and then read
     wanted = archive_source.zip_index(packs).filter("error IS NULL").select("archive", "entry_pos")
     with_bytes = wanted.join(packs.select(F.col("path").alias("archive"), "content"), "archive")
     return archive_source.zip_extract(with_bytes).select(
@@ -106,25 +106,29 @@ def log_parse(spark, sf):
 
 @query
 def commit_documents(spark, sf):
-    return commit.new_documents(_outcome(spark, sf), V.AS_OF_US).select(
+    docs = V.documents(spark, sf)
+    return commit.new_documents(_outcome(docs), V.AS_OF_US).select(
         "document_id", "organization_id", "title", "title_norm", "file_name", "file_name_norm", "s3_key", "file_ext",
         "size_bytes", "content_hash", "source_file_id")
 
 
 @query
 def commit_audit(spark, sf):
-    files = V.files(V.candidates(spark, sf))
-    return commit.commit_audit(_outcome(spark, sf), files).select("organization_id", "entity_id", "action", "details")
+    docs = V.documents(spark, sf)
+    files = V.files(V.candidates(docs))
+    return commit.commit_audit(_outcome(docs), files).select("organization_id", "entity_id", "action", "details")
 
 
 @query
 def commit_object_plan(spark, sf):
-    return commit.object_plan(_outcome(spark, sf))
+    docs = V.documents(spark, sf)
+    return commit.object_plan(_outcome(docs))
 
 
 @query
 def purge_rejected(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     doomed = V.files(cands).filter("status = 'rejected' AND is_archive")
     return objects.purge_rejected(V.staged_objects(cands), doomed)
 
@@ -279,7 +283,8 @@ def empty_docs(spark, sf):
 
 @query
 def status_label(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return review.status_label(V.files(cands), review.file_candidate_counts(cands))
 
 
@@ -290,7 +295,8 @@ def review_action(spark, sf):
 
 @query
 def review_split(spark, sf):
-    marked = _marked(spark, sf)
+    docs = V.documents(spark, sf)
+    marked = _marked(docs)
     return review.finished_pending(marked, V.files(marked)).groupBy("batch_id", "review_class").agg(
         F.count(F.lit(1)).alias("candidates"))
 
@@ -311,22 +317,26 @@ def dup_name_size(spark, sf):
 
 @query
 def find_duplicate(spark, sf):
-    return _marked(spark, sf).select("staged_id", "duplicate_of_document_id", "duplicate_kind")
+    docs = V.documents(spark, sf)
+    return _marked(docs).select("staged_id", "duplicate_of_document_id", "duplicate_kind")
 
 
 @query
 def find_duplicate_union(spark, sf):
-    return duplicates.find_duplicate_union(V.candidates(spark, sf), V.library(spark, sf))
+    docs = V.documents(spark, sf)
+    return duplicates.find_duplicate_union(V.candidates(docs), V.library(docs))
 
 
 @query
 def batch_staged(spark, sf):
-    return review.batch_staged(_marked(spark, sf), V.library(spark, sf))
+    docs = V.documents(spark, sf)
+    return review.batch_staged(_marked(docs), V.library(docs))
 
 
 @query
 def finished_candidates(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return commit.finished_candidates(cands, V.files(cands)).select("staged_id", "source_file_id", "batch_id", "status",
                                                                    "file_created_us")
 
@@ -353,7 +363,8 @@ def upload_lookup(spark, sf):
 
 @query
 def carry_counts(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     fresh = review.file_candidate_counts(cands.filter("status = 'processed'"))
     return review.carry_counts(fresh, review.file_candidate_counts(cands))
 
@@ -365,21 +376,24 @@ def confirm_to_claim(spark, sf):
 
 @query
 def orphan_objects(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return objects.orphan_objects(cands.filter("s3_key IS NOT NULL").select(F.col("s3_key").alias("key")),
                                   V.staged_objects(cands))
 
 
 @query
 def stopped_archives(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return review.stopped_archives(V.files(cands), cands)
 
 
 @query
 def purge_batch(spark, sf):
-    cands = V.candidates(spark, sf)
-    files, library = V.files(cands), V.library(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
+    files, library = V.files(cands), V.library(docs)
     batches = files.select("batch_id", "organization_id").distinct()
     left = candidates.purge_batches(batches, files, cands, library, batches.filter("organization_id = 'es'"))
     parts = [rows.agg(F.count(F.lit(1)).alias("rows"), (F.count_if(F.col("source_file_id").isNull()) if name == "library"
@@ -392,18 +406,21 @@ def purge_batch(spark, sf):
 
 @query
 def file_candidate_counts(spark, sf):
-    return review.file_candidate_counts(V.candidates(spark, sf))
+    docs = V.documents(spark, sf)
+    return review.file_candidate_counts(V.candidates(docs))
 
 
 @query
 def batch_status(spark, sf):
-    marked = _marked(spark, sf)
+    docs = V.documents(spark, sf)
+    marked = _marked(docs)
     return review.batch_status(V.files(marked), marked)
 
 
 @query
 def batch_files(spark, sf):
-    return review.batch_files(V.files(V.candidates(spark, sf)))
+    docs = V.documents(spark, sf)
+    return review.batch_files(V.files(V.candidates(docs)))
 
 
 @query
@@ -420,7 +437,8 @@ def dq_duplicate_candidates(spark, sf):
 
 @query
 def dq_open_files(spark, sf):
-    return quality.open_files(V.files(V.candidates(spark, sf)))
+    docs = V.documents(spark, sf)
+    return quality.open_files(V.files(V.candidates(docs)))
 
 
 @query
@@ -453,12 +471,14 @@ def claim_counts(spark, sf):
 
 @query
 def risk_distribution(spark, sf):
-    return review.risk_distribution(V.library(spark, sf))
+    docs = V.documents(spark, sf)
+    return review.risk_distribution(V.library(docs))
 
 
 @query
 def commit_summary(spark, sf):
-    return commit.commit_summary(_outcome(spark, sf), V.files(V.candidates(spark, sf)))
+    docs = V.documents(spark, sf)
+    return commit.commit_summary(_outcome(docs), V.files(V.candidates(docs)))
 
 
 @query
@@ -514,12 +534,14 @@ def recovery_timeline(spark, sf):
 
 @query
 def list_library(spark, sf):
-    return review.list_library(V.library(spark, sf))
+    docs = V.documents(spark, sf)
+    return review.list_library(V.library(docs))
 
 
 @query
 def get_document(spark, sf):
-    return review.get_document(V.library(spark, sf), "en", "lib-1").select("document_id", "title", "file_name",
+    docs = V.documents(spark, sf)
+    return review.get_document(V.library(docs), "en", "lib-1").select("document_id", "title", "file_name",
                                                                           "size_bytes")
 
 
@@ -599,7 +621,7 @@ def claims(spark, sf):
 
 @query
 def finish_outcome(spark, sf):
-    cands = V.candidates(spark, sf)
+    cands = V.candidates(docs)
     status, source = F.col("status"), F.col("source")
     asked = (F.when(source == "src9", "stopped").when(status == "partial", "processed")
              .when(status.isin("uploaded", "processing"), "error").otherwise(status))
@@ -637,24 +659,28 @@ def attempt_outcome(spark, sf):
 
 @query
 def commit_skipped(spark, sf):
-    return commit.skipped(_outcome(spark, sf))
+    docs = V.documents(spark, sf)
+    return commit.skipped(_outcome(docs))
 
 
 @query
 def commit_resolutions(spark, sf):
-    cands = V.candidates(spark, sf)
-    return commit.resolutions(cands, V.files(cands), _outcome(spark, sf))
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
+    return commit.resolutions(cands, V.files(cands), _outcome(docs))
 
 
 @query
 def committed_batches(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return commit.committed_batches(V.files(cands), cands)
 
 
 @query
 def remaining_candidates(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return commit.remaining_candidates(cands, V.files(cands)).select("staged_id", "batch_id")
 
 
@@ -714,7 +740,8 @@ def stream_candidates(spark, sf):
 
 @query
 def dq_unique_title(spark, sf):
-    return quality.repeated_keys(V.candidates(spark, sf), ["organization_id", "title_norm"])
+    docs = V.documents(spark, sf)
+    return quality.repeated_keys(V.candidates(docs), ["organization_id", "title_norm"])
 
 
 @query
@@ -731,9 +758,10 @@ def dq_unique_upload(spark, sf):
 
 @query
 def dq_enums(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     files = V.files(cands).withColumn("status", F.when(F.col("source") == "src9", "stopped").otherwise(F.col("status")))
-    library = V.library(spark, sf).withColumn("highest_risk", F.coalesce("highest_risk", F.lit("UNRATED")))
+    library = V.library(docs).withColumn("highest_risk", F.coalesce("highest_risk", F.lit("UNRATED")))
     return quality.enum_violations({"file": files, "candidate": cands, "batch": V.upload_batches(spark, sf),
                                     "library": library})
 
@@ -749,9 +777,10 @@ def dq_replace_target(spark, sf):
 
 @query
 def dq_orphans(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     files = V.files(cands)
-    return quality.orphans(V.library(spark, sf), "source_file_id", files, "file_id", "library.source_file_id").unionByName(
+    return quality.orphans(V.library(docs), "source_file_id", files, "file_id", "library.source_file_id").unionByName(
         quality.orphans(cands, "source_file_id", files, "file_id", "candidate.source_file_id")).unionByName(
         quality.orphans(V.uploads(spark, sf), "batch_id", V.upload_batches(spark, sf), "batch_id", "upload.batch_id"))
 
@@ -768,7 +797,8 @@ def dq_fields(spark, sf):
 
 @query
 def dq_invariants(spark, sf):
-    cands = V.candidates(spark, sf)
+    docs = V.documents(spark, sf)
+    cands = V.candidates(docs)
     return quality.invariants(V.files(cands), cands)
 
 

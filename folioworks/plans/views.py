@@ -16,6 +16,7 @@ from pyspark.sql.types import BinaryType
 
 from folioworks import messages as M
 from folioworks.functions import names
+from folioworks.session import durable
 from folioworks.settings import Ages, ArchiveLimits
 
 EPOCH_US = 1_704_067_200_000_000          # 2024-01-01
@@ -34,20 +35,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with labels, titles and hashes. The title is built on the greatest word of the whole text."""
+    """Documents with labels, titles and hashes. The title is built on the greatest word of the whole text.
+
+    Texts are read and hashed once, into a narrow durable table; everything else works on that.
+    """
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     ext = F.when(F.col("lang") == "de", "pdf").otherwise("docx")
     word = F.array_max(F.split("text", r"\s+"))
-    return docs.select(
+    return durable(docs.select(
         "doc_id", "lang", "source", "quality", "toxic", "n_chars", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block"),
         ext.alias("file_ext"), F.concat(F.lit("Guide_"), word, F.lit(" ("), F.col("source"), F.lit(")."), ext)
         .alias("file_name"), F.octet_length("text").cast("bigint").alias("size_bytes"),
-        F.sha2("text", 256).alias("content_hash"))
+        F.sha2("text", 256).alias("content_hash")))
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
+def candidates(docs: DataFrame) -> DataFrame:
     """Documents not (yet) approved: labelled ones are direct uploads, the rest are archive entries."""
-    docs = documents(spark, sf).filter("quality IS NULL OR quality = 0")
+    docs = docs.filter("quality IS NULL OR quality = 0")
     entry = F.col("quality").isNull()
     rejected = (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("source") == "src11")
     named = docs.withColumn("proposed_title", names.title_of(F.col("file_name"))).withColumn(
@@ -91,9 +95,9 @@ def files(cands: DataFrame) -> DataFrame:
         (F.lit(EPOCH_US) + F.col("block") * HOUR_US).alias("created_us"))
 
 
-def library(spark: SparkSession, sf: str) -> DataFrame:
+def library(docs: DataFrame) -> DataFrame:
     """Approved documents, the first of each title per organization."""
-    docs = documents(spark, sf).filter("quality = 1").withColumn("title", names.title_of(F.col("file_name")))
+    docs = docs.filter("quality = 1").withColumn("title", names.title_of(F.col("file_name")))
     docs = docs.withColumn("title_norm", names.title_norm(F.col("title")))
     kept = docs.groupBy("lang", "title_norm").agg(F.min_by(F.struct(
         "doc_id", "title", "file_name", "file_ext", "size_bytes", "content_hash", "block", "source", "n_chars",
@@ -341,4 +345,6 @@ def packed(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
             .when(F.col("lang") == "de", "zip").otherwise("unknown"))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     chosen = F.lit(kind) if kind else form
+    # Packing costs far more than moving the text, so it is spread over all cores first.
+    docs = docs.repartition("doc_id")
     return docs.select(name.alias("path"), chosen.alias("kind"), _pack(chosen, name, F.col("text")).alias("content"))

@@ -13,8 +13,10 @@ import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -32,6 +34,20 @@ EXTRACT_SCHEMA = ("archive string, entry_pos int, sha256 string, bytes_read bigi
                   "detected string, detected_reason string")
 
 
+INDEX_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("name", pa.string()),
+                          ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32()), ("error", pa.string())])
+EXTRACT_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("sha256", pa.string()),
+                            ("bytes_read", pa.int64()), ("crc_error", pa.bool_()), ("error", pa.string()),
+                            ("detected", pa.string()), ("detected_reason", pa.string())])
+
+
+def _record_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size, whatever the size of the archives they come from."""
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(values), type=field.type) for values, field in
+                                          zip(zip(*part), schema)], schema=schema)
+
+
 def _source(path: str, content: bytes | None):
     return io.BytesIO(content) if content is not None else open_object(path)
 
@@ -133,21 +149,21 @@ def zip_index(archives: DataFrame) -> DataFrame:
     `error`. `archives`: path and, where bytes are inline, content."""
     inline = "content" in archives.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.strip().split(" ")[0] for part in INDEX_SCHEMA.split(",")]
+    def index(row) -> Iterator[tuple]:
+        try:
+            with _source(row.path, row.content if inline else None) as source, zipfile.ZipFile(source) as box:
+                files = [e for e in box.infolist() if not e.is_dir()]
+            for at, e in enumerate(files):
+                yield row.path, at, e.filename, e.file_size, e.compress_size, e.flag_bits, None
+        except FORMAT_ERRORS:
+            yield row.path, None, None, None, None, None, M.DAMAGED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                try:
-                    with _source(row.path, row.content if inline else None) as source, zipfile.ZipFile(source) as box:
-                        files = [e for e in box.infolist() if not e.is_dir()]
-                    rows = [(row.path, at, e.filename, e.file_size, e.compress_size, e.flag_bits, None)
-                            for at, e in enumerate(files)]
-                except FORMAT_ERRORS:
-                    rows = [(row.path, None, None, None, None, None, M.DAMAGED)]
-                frame = pd.DataFrame(rows, columns=columns)
-                yield frame.astype({"entry_pos": "Int32", "size": "Int64", "csize": "Int64", "flags": "Int32"})
+            rows = (entry for row in batch.to_pandas().itertuples(index=False) for entry in index(row))
+            yield from _record_batches(rows, INDEX_FIELDS)
 
-    return archives.select("path", *(["content"] if inline else [])).mapInPandas(run, INDEX_SCHEMA)
+    return archives.select("path", *(["content"] if inline else [])).mapInArrow(run, INDEX_SCHEMA)
 
 
 def zip_extract(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
@@ -180,14 +196,15 @@ def zip_extract(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> D
             copy.seek(0)
             return (digest.hexdigest(), total, False, None, *detect(copy, limits))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.strip().split(" ")[0] for part in EXTRACT_SCHEMA.split(",")]
+    def extract(archive: str, group: pd.DataFrame) -> Iterator[tuple]:
+        with _source(archive, group["content"].iloc[0] if inline else None) as source, zipfile.ZipFile(source) as box:
+            files = [e for e in box.infolist() if not e.is_dir()]
+            for at in group["entry_pos"]:
+                yield archive, at, *read(box, files[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, group in batch.groupby("archive", sort=False):
-                content = group["content"].iloc[0] if inline else None
-                with _source(archive, content) as source, zipfile.ZipFile(source) as box:
-                    files = [e for e in box.infolist() if not e.is_dir()]
-                    rows = [(archive, at, *read(box, files[at])) for at in group["entry_pos"]]
-                yield pd.DataFrame(rows, columns=columns)
-
-    return spread.mapInPandas(run, EXTRACT_SCHEMA)
+            groups = batch.to_pandas().groupby("archive", sort=False)
+            yield from _record_batches((row for key, group in groups for row in extract(key, group)), EXTRACT_FIELDS)
+
+    return spread.mapInArrow(run, EXTRACT_SCHEMA)

@@ -25,8 +25,8 @@ def intake(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def _keyed(events: DataFrame, ages: Ages, timers: bool) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("file_id").transformWithStateInPandas(
-        LifecycleProcessor(ages, timers), OUTPUT, "Append", "EventTime" if timers else "None")
+    return events.groupBy("file_id").transformWithState(
+        LifecycleProcessor(events.columns, ages, timers), OUTPUT, "Append", "EventTime" if timers else "None")
 
 
 def lifecycle_updates(events: DataFrame, ages: Ages = AGES) -> DataFrame:

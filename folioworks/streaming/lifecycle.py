@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -15,6 +15,7 @@ FIELDS = {"status": StringType(), "status_message": StringType(), "attempt_count
           "claim_token": StringType(), "heartbeat_us": LongType(), "uploaded_us": LongType(),
           "entries_total": IntegerType(), "entries_done": IntegerType(), "detected_type": StringType()}
 STATE = StructType([StructField(name, kind) for name, kind in FIELDS.items()])
+HELD = StructType([*STATE.fields, StructField("timer_ms", LongType())])
 OUTPUT = StructType([StructField("file_id", StringType()), StructField("change", StringType()),
                      StructField("at_us", LongType()), StructField("at_seq", LongType()), *STATE.fields])
 NEW_FILE = {**dict.fromkeys(FIELDS), "status": "staged", "attempt_count": 0, "entries_done": 0}
@@ -54,43 +55,38 @@ class LifecycleProcessor(StatefulProcessor):
     """Keeps one small state row per file, never its history. With `timers`, a file that stays silent past the
     limit while processing yields a `stale` row once the watermark proves it."""
 
-    def __init__(self, ages: Ages, timers: bool) -> None:
-        self.ages, self.timers = ages, timers
+    def __init__(self, columns: list[str], ages: Ages, timers: bool) -> None:
+        self.columns, self.ages, self.timers = columns, ages, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.file = handle.getValueState("file", STATE)
+        self.file = handle.getValueState("file", HELD)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.file.get()
-        state = dict(zip(FIELDS, held)) if held is not None else dict(NEW_FILE)
+        state, timer = (dict(zip(FIELDS, held)), held[-1]) if held is not None else (dict(NEW_FILE), None)
         # Order within one trigger only; its size is the source's limit per trigger.
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "seq"]).astype(object)
-        batch = batch.where(batch.notna(), None)
         last = None
-        for event in batch.to_dict("records"):
+        for event in sorted((dict(zip(self.columns, row)) for row in rows), key=lambda e: (e["ts_us"], e["seq"])):
             state, last = apply_event(state, event, self.ages), event
-        state = {n: int(v) if v is not None and not isinstance(FIELDS[n], StringType) else v for n, v in state.items()}
-        self.file.update(tuple(state.values()))
         if self.timers:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if state["status"] == "processing":
-                self.handle.registerTimer(state["heartbeat_us"] // 1000 + self.ages.stale_seconds * 1000 + 1)
-        yield self._row(key, "state", last["ts_us"], last["seq"], state)
+            due = (state["heartbeat_us"] // 1000 + self.ages.stale_seconds * 1000 + 1
+                   if state["status"] == "processing" else None)
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+            timer = due
+        self.file.update((*state.values(), timer))
+        yield Row(file_id=key[0], change="state", at_us=last["ts_us"], at_seq=last["seq"], **state)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.file.get()
-        if held is not None:
+        if held is not None and held[0] == "processing":
             state = dict(zip(FIELDS, held))
-            if state["status"] == "processing":
-                yield self._row(key, "stale", state["heartbeat_us"], -1, state)
-
-    def _row(self, key, change, at, seq, state) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], change, int(at), int(seq), *state.values())], columns=OUTPUT.fieldNames())
-        ints = {f.name: "Int64" if isinstance(f.dataType, LongType) else "Int32" for f in OUTPUT.fields
-                if not isinstance(f.dataType, StringType)}
-        return frame.astype(ints)
+            self.file.update((*state.values(), None))
+            yield Row(file_id=key[0], change="stale", at_us=state["heartbeat_us"], at_seq=-1, **state)
 
     def close(self) -> None:
         """Nothing to release."""
