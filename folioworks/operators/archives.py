@@ -116,8 +116,8 @@ def _decided(rows: DataFrame, shown: Column) -> DataFrame:
     """Add `_cut` (index and text of the first broken entry among those extracted), whether the row is kept, and
     its reject_reason."""
     broken = shown & F.col("entry_reason").isNull() & F.col("crc_error")
-    told = F.concat(F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"),
-                    F.col("name"), F.lit("')"))
+    told = (F.col("read_error") if "read_error" in rows.columns else F.concat(
+        F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"), F.col("name"), F.lit("')")))
     cut = F.min(F.when(broken, F.struct("entry_index", told.alias("told")))).over(Window.partitionBy("archive"))
     own = F.coalesce("entry_reason", F.when(F.col("detected") != F.col("file_ext"), mismatch_reason(
         F.col("file_ext"), F.col("detected"), F.col("detected_reason"))))
@@ -128,7 +128,8 @@ def _decided(rows: DataFrame, shown: Column) -> DataFrame:
 
 
 def entry_outcomes(candidates: DataFrame) -> DataFrame:
-    """Candidate rows after extraction. Needs crc_error, detected, detected_reason on every row to be extracted.
+    """Candidate rows after extraction. Needs crc_error, detected, detected_reason on every row to be extracted, and
+    takes the text of a failed reading from `read_error` where there is one.
 
     The first broken entry among those extracted ends its archive: entries before it are kept as rejected ("Archive
     rejected: …", unless they have a reason of their own), it and later ones never appear.

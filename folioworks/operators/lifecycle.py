@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
-from folioworks.operators.ranking import HOT_ROWS, ordered_scan
+from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 from folioworks.settings import AGES, Ages
 
@@ -39,6 +39,7 @@ RULES: dict[str, Rule] = {
     "release": Rule(("processing",), "uploaded", fenced=True, stamps="uploaded_us", ends_claim=True),
     "finish": Rule(("processing",), "event", fenced=True, message="event", ends_claim=True),
 }
+FOLD_ROWS = 100_000          # longest history gathered for one fold
 FENCED = tuple(kind for kind, rule in RULES.items() if rule.fenced)
 
 WIN = "struct<from_us:bigint,from_seq:bigint,to_us:bigint,to_seq:bigint,token:string,attempt:int>"
@@ -109,7 +110,7 @@ def step(state: Column, event: Column, ages: Ages) -> Column:
         pick("wins", [(takeover | ends, F.concat(state["wins"], F.array(closed)))]))
 
 
-def lifecycle_state(events: DataFrame, ages: Ages = AGES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lifecycle_state(events: DataFrame, ages: Ages = AGES, hot_rows: int = FOLD_ROWS) -> DataFrame:
     """Current state per file: (file_id, created_us, last_us, events, state…, wins).
 
     `events` has file_id, ts_us, seq and the other EVENT_FIELDS. A file's history is folded in one pass inside the

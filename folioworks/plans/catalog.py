@@ -12,6 +12,7 @@ from folioworks import messages as M
 from folioworks.functions import names, text
 from folioworks.operators import (admission, archives, candidates, commit, duplicates, lifecycle, metrics, objects,
                                   quality, review, sweeps)
+from folioworks.plans import ingest
 from folioworks.plans import views as V
 from folioworks.session import configure, durable
 from folioworks.settings import UploadLimits, MIB
@@ -91,13 +92,27 @@ def zip_index(spark, sf):
 @query
 def zip_extract(spark, sf):
     packs = durable(V.packed(spark, sf, "zip"))          # bytes at rest, indexed and then read
-    wanted = archive_source.zip_index(packs).filter("error IS NULL").select("archive", "entry_pos")
-    with_bytes = wanted.join(packs.select(F.col("path").alias("archive"), "content"), "archive")
-    return archive_source.zip_extract(with_bytes).select(
+    wanted = archive_source.zip_index(packs).filter("error IS NULL")
+    return archive_source.zip_extract(wanted, packs).select(
         "archive", "entry_pos", F.when(F.col("entry_pos") > 0, F.col("sha256")).alias("plain_sha256"), "detected",
         "crc_error")
 
 
+@query
+def ingest_files(spark, sf):
+    files, _ = ingest.process(V.packed_uploads(spark, sf))
+    return files.select("file_id", "detected_type", "status", "status_message", "entries_total", "entries_done")
+
+
+@query
+def ingest_candidates(spark, sf):
+    _, found = ingest.process(V.packed_uploads(spark, sf))
+    plain = F.col("file_ext") == "pdf"
+    return found.select("source_file_id", "source_entry_name", "entry_index", "file_name", "file_ext", "status",
+                        "reject_reason", "s3_key", F.when(plain, F.col("content_hash")).alias("pdf_hash"),
+                        F.when(plain, F.col("size_bytes")).alias("pdf_bytes"))
+
+
 @query
 def log_parse(spark, sf):
     return _log(spark, sf).select("ts_us", "level", "event", "pid", "file_id", "task_id", "attempt", "entry_index",
@@ -621,7 +636,7 @@ def claims(spark, sf):
 
 @query
 def finish_outcome(spark, sf):
-    cands = V.candidates(docs)
+    cands = V.candidates(V.documents(spark, sf))
     status, source = F.col("status"), F.col("source")
     asked = (F.when(source == "src9", "stopped").when(status == "partial", "processed")
              .when(status.isin("uploaded", "processing"), "error").otherwise(status))

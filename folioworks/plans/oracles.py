@@ -335,7 +335,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE p_type WHEN 'ECONOMY' THEN '.DOCX' WHEN 'SMALL' THEN '.tar.gz' WHEN 'PROMO' THEN ' .pdf '
                     WHEN 'LARGE' THEN '.htm' WHEN 'MEDIUM' THEN '.' ELSE '' END) FROM part"""),
     "packs": ((), """
-        SELECT doc_id, text, CASE WHEN toxic = 1 THEN 'corrupt' WHEN lang = 'en' THEN 'docx' WHEN lang = 'fr' THEN 'pdf'
+        SELECT doc_id, lang, text, CASE WHEN toxic = 1 THEN 'corrupt' WHEN lang = 'en' THEN 'docx' WHEN lang = 'fr' THEN 'pdf'
                WHEN lang = 'de' THEN 'zip' ELSE 'unknown' END AS kind
         FROM documents LEFT JOIN labels USING (doc_id)"""),
 }
@@ -372,6 +372,26 @@ ORACLES: dict[str, str] = {
                CASE p WHEN 1 THEN sha256('%PDF-' || text) WHEN 2 THEN sha256(text) END AS plain_sha256,
                CASE p WHEN 0 THEN 'docx' WHEN 1 THEN 'pdf' ELSE 'unknown' END AS detected, false AS crc_error
         FROM documents, unnest([0, 1, 2]) AS t(p)""",
+    "ingest_files": over("packs", f"""
+        SELECT concat('doc', doc_id) AS file_id, kind AS detected_type,
+               CASE WHEN zip AND kind = 'zip' THEN 'partial' WHEN NOT zip AND kind = 'docx' THEN 'processed' ELSE 'rejected' END AS status,
+               CASE WHEN kind = 'corrupt' THEN CASE WHEN zip THEN '{M.DAMAGED}' ELSE '{M.FILE_DAMAGED}' END
+                    WHEN zip AND kind <> 'zip' THEN {MISMATCH.format(d="'zip'", t='kind')}
+                    WHEN NOT zip AND kind <> 'docx' THEN {MISMATCH.format(d="'docx'", t='kind')} END AS status_message,
+               CASE WHEN zip AND kind = 'zip' THEN 3 END AS entries_total, CASE WHEN zip AND kind = 'zip' THEN 3 ELSE 0 END AS entries_done
+        FROM (SELECT *, lang IN ('de', 'es') AS zip FROM packs)"""),
+    "ingest_candidates": over("packs", """
+        SELECT concat('doc', doc_id) AS source_file_id, NULL AS source_entry_name, NULL::INTEGER AS entry_index,
+               concat('doc', doc_id, '.docx') AS file_name, 'docx' AS file_ext, 'processed' AS status, NULL AS reject_reason,
+               concat('staging/', lang, '/b1/doc', doc_id, '/0000_doc', doc_id, '.docx') AS s3_key, NULL AS pdf_hash, NULL::BIGINT AS pdf_bytes
+        FROM packs WHERE lang NOT IN ('de', 'es') AND kind = 'docx'
+        UNION ALL
+        SELECT concat('doc', doc_id), concat(CASE WHEN p < 2 THEN 'docs/' ELSE '' END, f), p, f, e,
+               CASE WHEN p < 2 THEN 'processed' ELSE 'rejected' END, CASE WHEN p = 2 THEN '.txt is not supported' END,
+               CASE WHEN p < 2 THEN concat('staging/', lang, '/b1/doc', doc_id, '/000', p, '_', f) END,
+               CASE WHEN p = 1 THEN sha256('%PDF-' || text) END, CASE WHEN p = 1 THEN octet_length(encode(text)) + 5 END
+        FROM (SELECT *, ['docx', 'pdf', 'txt'][p + 1] AS e, concat('doc', doc_id, '.', e) AS f
+              FROM packs, unnest([0, 1, 2]) AS t(p) WHERE lang IN ('de', 'es') AND kind = 'zip')"""),
     "log_parse": over("log", "SELECT ts_us, level, event, pid, file_id, task_id, attempt, entry_index, countdown, "
                              "list_aggregate(file_ids, 'string_agg', ',') AS file_ids FROM log"),
     "commit_documents": over("decided", f"""

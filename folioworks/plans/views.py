@@ -348,3 +348,12 @@ def packed(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
     # Packing costs far more than moving the text, so it is spread over all cores first.
     docs = docs.repartition("doc_id")
     return docs.select(name.alias("path"), chosen.alias("kind"), _pack(chosen, name, F.col("text")).alias("content"))
+
+
+def packed_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """The packed documents as uploads: German and Spanish ones are named .zip, the rest .docx."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "lang")
+    ext = F.when(F.col("lang").isin("de", "es"), "zip").otherwise("docx")
+    return durable(packed(spark, sf).join(docs, "path").select(
+        F.col("path").alias("file_id"), F.col("lang").alias("organization_id"), F.lit("b1").alias("batch_id"),
+        F.concat("path", F.lit("."), ext).alias("file_name"), ext.alias("file_ext"), "path", "content"))

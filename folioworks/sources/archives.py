@@ -166,17 +166,23 @@ def zip_index(archives: DataFrame) -> DataFrame:
     return archives.select("path", *(["content"] if inline else [])).mapInArrow(run, INDEX_SCHEMA)
 
 
-def zip_extract(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
+def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS,
+                tasks: int | None = None) -> DataFrame:
     """Read each entry once, in 64 KB blocks: hash, length, index agreement, and the type of what is inside.
 
-    Entries spread over tasks in runs of neighbours, so a huge archive is shared out and still not reopened for
-    every entry; what is inside is spooled to a temporary file past 8 MiB. `entries`: archive, entry_pos and,
-    where bytes are inline, content.
+    The unit of work is a run of up to 64 neighbouring entries, so a huge archive is shared out and still not
+    reopened for every entry; what is inside is spooled to a temporary file past 8 MiB. `entries`: archive,
+    entry_pos. `archives`: path and, where bytes are inline, content, which then travels once per run.
     """
-    inline = "content" in entries.columns
-    runs = F.floor(F.col("entry_pos") / RUN_LENGTH)
-    spread = (entries.select("archive", "entry_pos", *(["content"] if inline else []))
-              .repartition("archive", runs).sortWithinPartitions("archive", "entry_pos"))
+    inline = "content" in archives.columns
+    runs = entries.groupBy("archive", F.floor(F.col("entry_pos") / RUN_LENGTH).alias("_run")).agg(
+        F.sort_array(F.collect_list("entry_pos")).alias("positions"))
+    if inline:
+        runs = runs.join(archives.select(F.col("path").alias("archive"), "content"), "archive")
+    # A fixed number of tasks: these rows are tiny, and adaptive coalescing would put the reading into a few tasks.
+    spark = entries.sparkSession
+    tasks = tasks or max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = runs.repartition(tasks, "archive", "_run")
 
     def read(box: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
         digest, total = hashlib.sha256(), 0
@@ -196,15 +202,15 @@ def zip_extract(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> D
             copy.seek(0)
             return (digest.hexdigest(), total, False, None, *detect(copy, limits))
 
-    def extract(archive: str, group: pd.DataFrame) -> Iterator[tuple]:
-        with _source(archive, group["content"].iloc[0] if inline else None) as source, zipfile.ZipFile(source) as box:
+    def extract(run) -> Iterator[tuple]:
+        with _source(run.archive, run.content if inline else None) as source, zipfile.ZipFile(source) as box:
             files = [e for e in box.infolist() if not e.is_dir()]
-            for at in group["entry_pos"]:
-                yield archive, at, *read(box, files[at])
+            for at in run.positions:
+                yield run.archive, int(at), *read(box, files[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.to_pandas().groupby("archive", sort=False)
-            yield from _record_batches((row for key, group in groups for row in extract(key, group)), EXTRACT_FIELDS)
+            rows = (row for run in batch.to_pandas().itertuples(index=False) for row in extract(run))
+            yield from _record_batches(rows, EXTRACT_FIELDS)
 
-    return spread.mapInArrow(run, EXTRACT_SCHEMA)
+    return spread.drop("_run").mapInArrow(work, EXTRACT_SCHEMA)
