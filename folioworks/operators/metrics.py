@@ -34,7 +34,8 @@ def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, perce
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact nearest-rank percentile per group: position round_half_even(p/100·n + 0.5), at least 1."""
     ranked = _ranked(values, keys, value, tie, hot_rows)
-    wanted = F.greatest(F.lit(1), F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0)).cast("bigint")
+    wanted = F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0).cast("bigint")
+    wanted = F.least(F.col("n"), F.greatest(F.lit(1), wanted))
     return ranked.filter(F.col("_rank") == wanted).select(*keys, "n", F.col(value).alias("percentile"))
 
 

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.driver.memory", "6g").config("spark.sql.maxMetadataStringLength", "4000").config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     from folioworks.session import configure
