@@ -66,18 +66,20 @@ def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: A
     All windows cluster on the archive, as the semi join left the rows: one shuffle in all.
     """
     in_order = Window.partitionBy("archive").orderBy(*order)
-    whole = Window.partitionBy("archive")
-    rows = _fitting(entries, totals, limits).withColumn("_pos", F.row_number().over(in_order) - 1)
+    rows = _fitting(entries, totals, limits).withColumn("_visible", ~hidden(F.col("name")))
+    # Visible entries are numbered in the same sort as all entries; an archive with a violation shows none anyway.
+    rows = rows.withColumn("_pos", F.row_number().over(in_order) - 1).withColumn(
+        "entry_index", (F.sum(F.col("_visible").cast("int")).over(
+            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).cast("int"))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("archive", "name").orderBy("_pos")))
     bad = _entry_violation(limits)
     rows = rows.withColumn("_bad", F.when(bad.isNotNull(), F.struct(F.col("_pos"), bad.alias("why"))))
-    rows = rows.withColumn("_why", F.min("_bad").over(whole)["why"]).withColumn("_ext", file_ext(F.col("name")))
-    rows = rows.withColumn("_shown", F.col("_why").isNull() & ~hidden(F.col("name")))
+    rows = rows.withColumn("_why", F.min("_bad").over(Window.partitionBy("archive"))["why"]).withColumn(
+        "_ext", file_ext(F.col("name")))
     reason = (F.when(folder_depth(F.col("name")) > limits.max_depth, M.TOO_DEEP)
               .when(F.col("_ext") == "", M.NO_EXTENSION)
               .when(~F.col("_ext").isin(*limits.entry_exts), F.concat(F.lit("."), F.col("_ext"), F.lit(" is not supported"))))
-    up_to_here = Window.partitionBy("archive").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (rows.withColumn("entry_index", (F.sum(F.col("_shown").cast("int")).over(up_to_here) - 1).cast("int"))
+    return (rows.withColumn("_shown", F.col("_why").isNull() & F.col("_visible")).drop("_visible")
             .withColumn("file_name", base_name(F.col("name"))).withColumn("entry_reason", reason)
             .withColumn("file_ext", F.when(F.col("entry_reason").isNull(), F.col("_ext")).otherwise(
                 F.substring("_ext", 1, 10))))

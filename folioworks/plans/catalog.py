@@ -744,6 +744,12 @@ def stream_log_counts(spark, sf):
     return jobs.run_counts(metrics.event_counts(lines), ["level", "event"], spark)
 
 
+@query
+def stream_sweep_windows(spark, sf):
+    lines = logs.parse_lines(V.log_lines(V.event_stream(spark, sf))).withWatermark("ts", "1 minute")
+    return jobs.run_counts(metrics.sweep_windows(lines), ["event", "start_us"], spark)
+
+
 @query
 def stream_candidates(spark, sf):
     table = jobs.run_candidates(V.candidate_writes(V.event_stream(spark, sf)), spark)

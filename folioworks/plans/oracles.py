@@ -743,6 +743,8 @@ ORACLES: dict[str, str] = {
         SELECT file_id, heartbeat_us, attempt_count FROM state WHERE status = 'processing'
                AND heartbeat_us < (SELECT max(ts_us) FROM life) - {HOUR_US} - {STALE_US}"""),
     "stream_log_counts": over("log", "SELECT level, event, count(*) AS lines FROM log GROUP BY ALL"),
+    "stream_sweep_windows": over("log", """
+        SELECT event, ts_us // 15000000 * 15000000 AS start_us, count(*) AS sweeps FROM log WHERE sweep GROUP BY ALL"""),
     "stream_candidates": over("writes", """
         SELECT source_file_id, source_entry_name, entry_index, file_name, size_bytes, status, content_hash, seq
         FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM writes w
