@@ -122,7 +122,7 @@ def staging_prefix(org: Column, batch: Column, file_id: Column) -> Column:
 
 def staging_key(org: Column, batch: Column, file_id: Column, index: Column, name: Column) -> Column:
     """Key of one staged candidate: at least four digits of index, never cut."""
-    return F.concat(staging_prefix(org, batch, file_id), F.format_string("%04d_%s", index, base_name(name)))
+    return F.concat(staging_prefix(org, batch, file_id), F.format_string("%04d_%s", index, name))
 
 
 def processed_key(org: Column, document: Column, name: Column) -> Column:

@@ -77,3 +77,9 @@ def video_sections(text: Column) -> Column:
 def is_blank(text: Column) -> Column:
     """True when nothing but space is left."""
     return trim(text) == ""
+
+
+def empty_error(text: Column, kind: str) -> Column:
+    """Client message for a document without any text, or NULL."""
+    message = {"html": "The HTML file is empty."}.get(kind, "The document appears to be empty.")
+    return F.when(is_blank(text), message)

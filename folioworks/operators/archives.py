@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
-from folioworks.functions.names import base_name, file_ext, folder_depth, path_parts
+from folioworks.functions.names import base_name, file_ext, folder_depth, path_parts, trim
 from folioworks.functions.text import mismatch_reason
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
 
@@ -167,23 +167,30 @@ def archive_outcome(entries: DataFrame, order: list[str], limits: ArchiveLimits
 
 
 def zip_precheck(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
-    """The browser's look at an archive: per visible entry valid or a warning text (its wording differs from the
-    worker's), plus `archive_valid`. `signature_ok` and `size` decide for PDFs."""
-    name, ext = F.col("name"), F.lower(F.regexp_extract(base_name(F.col("name")), r"(?i)\.([a-z0-9]+)$", 1))
+    """The browser's look at an archive: per visible entry NULL or a `problem` (its wording differs from the
+    worker's) and the `warning` shown. `signature_ok` and `size` decide for PDFs."""
+    name, segments = F.col("name"), F.filter(F.split("name", "/"), lambda part: part != "")
+    ext = F.lower(F.regexp_extract(trim(F.try_element_at(segments, F.lit(-1))), r"(?i)\.([a-z0-9]+)$", 1))
     shown = entries.filter(~(F.contains(name, F.lit("__MACOSX/")) | F.startswith(
         F.try_element_at(F.split(name, "/"), F.lit(-1)), F.lit("."))))
-    depth = F.size(F.filter(F.split(name, "/"), lambda p: p != "")) - 1
-    problem = (F.when(depth > limits.max_depth, M.TOO_DEEP)
+    problem = (F.when(F.size(segments) - 1 > limits.max_depth, M.TOO_DEEP)
                .when(ext == "", "Files without an extension are not supported.")
                .when(~ext.isin(*limits.entry_exts), F.concat(F.lit("."), ext, F.lit(" is not supported inside a ZIP.")))
                .when((ext == "pdf") & (F.col("size") == 0), "File is empty.")
                .when((ext == "pdf") & ~F.col("signature_ok"), "The PDF file is corrupted or invalid."))
-    return shown.withColumn("problem", problem)
+    return shown.withColumn("problem", problem).withColumn(
+        "warning", F.when(F.col("problem").isNotNull(), F.concat(name, F.lit(": "), F.col("problem"))))
 
 
-def zip_precheck_verdict(checked: DataFrame) -> DataFrame:
-    """Per archive: usable entries and warnings; blocked only when no entry at all is usable."""
-    return checked.groupBy("archive").agg(
-        F.count_if(F.col("problem").isNull()).alias("usable"),
-        F.count_if(F.col("problem").isNotNull()).alias("warnings"),
-        F.bool_or(F.col("problem").isNull()).alias("archive_valid"))
+def zip_precheck_verdict(archives: DataFrame, checked: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
+    """Per archive: usable entries, warnings and the `error` that blocks it: it cannot be opened (`archives.error`),
+    or no entry at all is usable."""
+    allowed = ", ".join(ext.upper() for ext in limits.entry_exts)
+    counts = checked.groupBy("archive").agg(F.count_if(F.col("problem").isNull()).alias("usable"),
+                                            F.count("problem").alias("warnings"))
+    rows = archives.join(counts, "archive", "left").fillna({"usable": 0, "warnings": 0})
+    return rows.select(
+        "archive", "usable", "warnings",
+        F.when(F.col("error").isNotNull(), "The ZIP file is corrupted or cannot be read.")
+        .when(F.col("usable") == 0, f"The ZIP file does not contain any {allowed} files that can be added.")
+        .alias("error")).withColumn("archive_valid", F.col("error").isNull())

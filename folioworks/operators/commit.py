@@ -20,6 +20,8 @@ from folioworks.session import durable
 
 ORG_HASH = ["organization_id", "content_hash"]
 ORG_TITLE = ["organization_id", "title_norm"]
+ROUNDS = 12
+TAIL_EDGES = 20_000
 
 
 def finished_candidates(candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,9 +69,13 @@ def commit(candidates: DataFrame, files: DataFrame, library: DataFrame, batch_or
             .drop("_hash_held", "_title_held", "_hash_pos", "_title_pos"))
 
 
-def greedy_matching(edges: DataFrame) -> DataFrame:
-    """Edges the sequential pass would accept. `edges`: organization_id, content_hash, title_norm, unique `pos`."""
-    accepted, alive = [], edges
+def greedy_matching(edges: DataFrame, patience: int = ROUNDS, tail_edges: int = TAIL_EDGES) -> DataFrame:
+    """Edges the sequential pass would accept. `edges`: organization_id, content_hash, title_norm, unique `pos`.
+
+    Rounds go on until nothing is left. What is still contended after `patience` rounds can only be chains of
+    conflicts in rank order; once no more than `tail_edges` of them remain, one ordered pass ends the matter.
+    """
+    accepted, alive, rounds = [], edges, 0
     while True:
         first_hash = alive.groupBy(*ORG_HASH).agg(F.min("pos").alias("_h"))
         first_title = alive.groupBy(*ORG_TITLE).agg(F.min("pos").alias("_t"))
@@ -77,11 +83,35 @@ def greedy_matching(edges: DataFrame) -> DataFrame:
             *edges.columns, ((F.col("pos") == F.col("_h")) & (F.col("pos") == F.col("_t"))).alias("_wins")))
         winners = marked.filter("_wins").drop("_wins")
         accepted.append(winners)
-        if marked.filter("NOT _wins").isEmpty():
+        rounds += 1
+        waiting = marked.filter("NOT _wins").count()
+        if waiting == 0:
             return reduce(DataFrame.unionByName, accepted)
         alive = (marked.filter("NOT _wins").drop("_wins")
                  .join(winners.select(*ORG_HASH), ORG_HASH, "left_anti")
                  .join(winners.select(*ORG_TITLE), ORG_TITLE, "left_anti"))
+        if rounds >= patience and waiting <= tail_edges:
+            return reduce(DataFrame.unionByName, [*accepted, durable(_in_order(alive))])
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """Sequential matching of a few edges (their number has been checked), in one task."""
+    def walk(batches):
+        hashes, titles = set(), set()
+        for batch in batches:
+            keep = []
+            for org, content, title in zip(batch["organization_id"], batch["content_hash"], batch["title_norm"]):
+                free = (org, content) not in hashes and (org, title) not in titles
+                if free:
+                    hashes.add((org, content))
+                    titles.add((org, title))
+                keep.append(free)
+            yield batch.loc[keep, ["organization_id", "content_hash", "title_norm"]]
+
+    columns = ["organization_id", "content_hash", "title_norm"]
+    ordered = edges.repartition(1).sortWithinPartitions("pos").select(*columns)
+    chosen = ordered.mapInPandas(walk, ", ".join(f"{c} string" for c in columns))
+    return edges.join(chosen, columns, "left_semi").select(*edges.columns)
 
 
 def new_documents(outcome: DataFrame, committed_us: int) -> DataFrame:

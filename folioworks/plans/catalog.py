@@ -280,16 +280,22 @@ def queue_validation(spark, sf):
 def zip_precheck(spark, sf):
     rows = V.entries(spark, sf).withColumn("size", F.when(F.col("l_discount") == 0, 0).otherwise(F.col("size"))).withColumn(
         "signature_ok", F.col("l_tax") < 0.07)
-    checked = archives.zip_precheck(rows, V.ENTRY_LIMITS)
-    return archives.zip_precheck_verdict(checked).join(
-        checked.groupBy("archive").agg(F.count_if(F.col("problem") == "File is empty.").alias("empty"),
-                                       F.count_if(F.startswith("problem", F.lit("The PDF"))).alias("damaged")), "archive")
+    opened = rows.groupBy("archive").agg(F.lit(None).cast("string").alias("error"))
+    return archives.zip_precheck_verdict(opened, archives.zip_precheck(rows, V.ENTRY_LIMITS), V.ENTRY_LIMITS)
+
+
+@query
+def zip_precheck_entries(spark, sf):
+    rows = V.entries(spark, sf).withColumn("size", F.when(F.col("l_discount") == 0, 0).otherwise(F.col("size"))).withColumn(
+        "signature_ok", F.col("l_tax") < 0.07)
+    return archives.zip_precheck(rows, V.ENTRY_LIMITS).groupBy("name", "warning").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query
 def empty_docs(spark, sf):
     def part(name, label, column):
-        return V.table(spark, sf, name).select(label.alias("id"), text.is_blank(F.col(column)).alias("empty"))
+        return V.table(spark, sf, name).select(label.alias("id"), text.is_blank(F.col(column)).alias("empty"),
+                                               text.empty_error(F.col(column), column).alias("error"))
     turn = F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     return part("documents", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "text").unionByName(
         part("pages", F.concat(F.lit("page-"), F.col("page_id").cast("string")), "html")).unionByName(

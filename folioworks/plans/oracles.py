@@ -71,7 +71,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                concat('staging/', lang, '/', lang, '-', block, '/', lang, '-', source, '-',
                       CASE WHEN quality IS NULL THEN block::VARCHAR ELSE 'd' || doc_id END, '/',
                       CASE WHEN quality IS NULL THEN lpad((doc_id - block * {BLOCK_DOCS})::VARCHAR, 4, '0') ELSE '0000' END,
-                      '_', {base('file_name')}) AS full_key,
+                      '_', file_name) AS full_key,
                CASE WHEN coalesce(toxic, 0) = 1 OR source = 'src11' THEN NULL ELSE full_key END AS s3_key,
                CASE WHEN coalesce(toxic, 0) = 1 OR source = 'src11' THEN 'rejected' ELSE 'processed' END AS status,
                CASE WHEN source = 'src11' THEN '{M.ARCHIVE_REJECTED}' WHEN toxic = 1 THEN '{M.FILE_DAMAGED}' END
@@ -201,6 +201,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                          WHEN detected <> x THEN concat('File content does not match .', x, ' — it appears to be ', detected)
                          WHEN cut IS NOT NULL THEN concat('{M.ARCHIVE_REJECTED}: ', told) END AS reject_reason
         FROM visible v LEFT JOIN broken USING (archive) WHERE cut IS NULL OR entry_index < cut"""),
+    "checked": (("ent",), f"""
+        SELECT archive, name, CASE
+            WHEN len(list_filter(string_split(name, '/'), lambda p: p <> '')) - 1 > 1 THEN '{M.TOO_DEEP}'
+            WHEN e = '' THEN 'Files without an extension are not supported.'
+            WHEN e NOT IN ('docx', 'pdf') THEN concat('.', e, ' is not supported inside a ZIP.')
+            WHEN e = 'pdf' AND l_discount = 0 THEN 'File is empty.'
+            WHEN e = 'pdf' AND NOT l_tax < 0.07 THEN 'The PDF file is corrupted or invalid.' END AS problem
+        FROM ent WHERE NOT contains(name, '__MACOSX/') AND NOT starts_with(string_split(name, '/')[-1], '.')"""),
     "ev": ((), """
         SELECT *, epoch_us(ts) AS ts_us, event_id AS seq, (props->>'$.k')::INTEGER AS k,
                concat(user_id, '-', date_diff('day', DATE '2024-01-01', ts::DATE) // 3) AS file_id FROM events"""),
@@ -438,7 +446,7 @@ ORACLES: dict[str, str] = {
     "object_keys": over("docs", f"""
         SELECT doc_id, concat('incoming/', lang, '/', source, '/', doc_id, '_', {base('file_name')}) AS incoming_key,
                concat('staging/', lang, '/', source, '/', doc_id, '/', lpad((doc_id * 7)::VARCHAR, greatest(4, length((doc_id * 7)::VARCHAR))::INTEGER, '0'),
-                      '_', {base('file_name')}) AS staging_key,
+                      '_', file_name) AS staging_key,
                concat('processed/', lang, '/', doc_id, '/v1_', file_name) AS processed_key,
                concat('s3://bucket/processed/', lang, '/', doc_id, '/v1_', file_name) AS location FROM docs"""),
     "part_plan": over("up", """
@@ -489,22 +497,23 @@ ORACLES: dict[str, str] = {
                          AND (o.phase = 'F' OR o.position < u.position))
                 THEN concat('Duplicate file — ', file_name, ' is already in the upload queue.') END AS error
         FROM up u WHERE phase <> 'F')"""),
-    "zip_precheck": over("ent", f"""
-        SELECT archive, count(*) FILTER (WHERE problem IS NULL) AS usable, count(problem) AS warnings,
-               bool_or(problem IS NULL) AS archive_valid, count(*) FILTER (WHERE problem = 'File is empty.') AS empty,
-               count(*) FILTER (WHERE problem LIKE 'The PDF%') AS damaged
-        FROM (SELECT archive, CASE
-                WHEN len(list_filter(string_split(name, '/'), lambda p: p <> '')) - 1 > 1 THEN '{M.TOO_DEEP}'
-                WHEN e = '' THEN 'Files without an extension are not supported.'
-                WHEN e NOT IN ('docx', 'pdf') THEN concat('.', e, ' is not supported inside a ZIP.')
-                WHEN e = 'pdf' AND l_discount = 0 THEN 'File is empty.'
-                WHEN e = 'pdf' AND NOT l_tax < 0.07 THEN 'The PDF file is corrupted or invalid.' END AS problem
-              FROM ent WHERE NOT contains(name, '__MACOSX/') AND NOT starts_with(string_split(name, '/')[-1], '.'))
-        GROUP BY archive"""),
+    "zip_precheck": over("ent checked", """
+        SELECT archive, coalesce(usable, 0) AS usable, coalesce(warnings, 0) AS warnings,
+               CASE WHEN coalesce(usable, 0) = 0 THEN 'The ZIP file does not contain any DOCX, PDF files that can be added.' END AS error,
+               coalesce(usable, 0) > 0 AS archive_valid
+        FROM (SELECT DISTINCT archive FROM ent) LEFT JOIN (
+            SELECT archive, count(*) FILTER (WHERE problem IS NULL) AS usable, count(problem) AS warnings FROM checked GROUP BY 1)
+        USING (archive)"""),
+    "zip_precheck_entries": over("checked", """
+        SELECT name, CASE WHEN problem IS NOT NULL THEN concat(name, ': ', problem) END AS warning, count(*) AS entries
+        FROM checked GROUP BY ALL"""),
     "empty_docs": f"""
-        SELECT concat('doc-', doc_id) AS id, {strip('text')} = '' AS empty FROM documents
-        UNION ALL SELECT concat('page-', page_id), {strip('html')} = '' FROM pages
-        UNION ALL SELECT concat('turn-', conv_id, '-', turn), {strip('text')} = '' FROM conversations""",
+        SELECT concat('doc-', doc_id) AS id, {strip('text')} = '' AS empty,
+               CASE WHEN {strip('text')} = '' THEN 'The document appears to be empty.' END AS error FROM documents
+        UNION ALL SELECT concat('page-', page_id), {strip('html')} = '',
+               CASE WHEN {strip('html')} = '' THEN 'The HTML file is empty.' END FROM pages
+        UNION ALL SELECT concat('turn-', conv_id, '-', turn), {strip('text')} = '',
+               CASE WHEN {strip('text')} = '' THEN 'The document appears to be empty.' END FROM conversations""",
     "status_label": over("files counts", f"""
         SELECT file_id, CASE WHEN status IN ('uploaded', 'processing') THEN
                    CASE WHEN coalesce(entries_total, 0) <> 0 THEN concat('Checking… — ', entries_done, ' of ', entries_total)

@@ -142,8 +142,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of its files."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
-            .option("maxFilesPerTrigger", 64).parquet(sf))
+    # A pattern, so that the table may be one file or a folder of files.
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 64)
+            .parquet(f"{sf.rstrip('/')}/event[s].parquet"))
 
 
 def _events(raw: DataFrame) -> DataFrame:

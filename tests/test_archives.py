@@ -217,3 +217,18 @@ def test_object_plan_runs_twice(spark, tmp_path):
     for _ in range(2):
         O.run_object_plan(plan, f"file:{tmp_path}")
         assert (tmp_path / "processed/d/v1_a").read_bytes() == b"one" and not (tmp_path / "staging/a").exists()
+
+
+def test_browser_precheck(spark):
+    rows = [("z", 0, "a.docx", 1, True), ("z", 1, "d/e/b.docx", 1, True), ("z", 2, "x.exe", 1, True), ("z", 3, "noext", 1, True),
+            ("z", 4, "p.pdf", 1, False), ("z", 5, "q.pdf", 0, True), ("z", 6, "r.PDF", 1, True), ("z", 7, "__MACOSX/s.docx", 1, True),
+            ("z", 8, ".t.docx", 1, True), ("none", 0, "a.txt", 1, True)]
+    df = spark.createDataFrame(rows, "archive string, entry_pos int, name string, size bigint, signature_ok boolean")
+    checked = A.zip_precheck(df)
+    assert [r.problem for r in checked.filter("archive = 'z'").orderBy("entry_pos").collect()] == [
+        None, M.TOO_DEEP, ".exe is not supported inside a ZIP.", "Files without an extension are not supported.",
+        "The PDF file is corrupted or invalid.", "File is empty.", None]
+    archives = spark.createDataFrame([("z", None), ("none", None), ("bad", "x")], "archive string, error string")
+    got = {r.archive: (r.usable, r.warnings, r.error, r.archive_valid) for r in A.zip_precheck_verdict(archives, checked).collect()}
+    assert got == {"z": (2, 5, None, True), "bad": (0, 0, "The ZIP file is corrupted or cannot be read.", False),
+                   "none": (0, 1, "The ZIP file does not contain any DOCX, PDF files that can be added.", False)}

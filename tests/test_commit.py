@@ -77,6 +77,21 @@ def test_an_alternating_chain(spark):
     assert {r.staged_id: r.reason for r in out.collect()} == sequential(cands, [("fb", "b", "processed", 0)], [])
 
 
+@pytest.mark.parametrize("patience, tail", [(10 ** 9, 0), (1, 10 ** 9), (3, 8)])
+def test_a_long_chain_ends_exactly(spark, patience, tail):
+    """With and without the ordered pass over a small rest."""
+    rng = random.Random(8)
+    rows = [("o", f"h{(i + 1) // 2}", f"t{i // 2}", i) for i in range(26)] + [
+        ("o", f"x{rng.randint(0, 9)}", f"y{rng.randint(0, 9)}", 100 + i) for i in range(60)]
+    rows = list({r[:3]: r for r in reversed(rows)}.values())
+    edges = spark.createDataFrame(rows, "organization_id string, content_hash string, title_norm string, pos int")
+    hashes, titles, want = set(), set(), set()
+    for _, h, t, pos in sorted(rows, key=lambda r: r[3]):
+        if h not in hashes and t not in titles:
+            hashes.add(h), titles.add(t), want.add(pos)
+    assert {r.pos for r in C.greedy_matching(edges, patience, tail).collect()} == want
+
+
 @pytest.mark.parametrize("seed, hot", [(1, False), (2, False), (3, True)])
 def test_rounds_equal_the_sequential_pass(spark, seed, hot):
     cands, files, lib = world(seed, hot=hot)
