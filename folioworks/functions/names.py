@@ -100,15 +100,25 @@ def file_name_norm(name: Column) -> Column:
     return normalize(name, False)
 
 
-def document_id(staged_id: Column) -> Column:
-    """Name-based (version 5) UUID of a candidate, so that a repeated commit yields the same document."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(DOCUMENT_NAMESPACE.replace("-", ""))), F.encode(staged_id, "UTF-8")))
+def _name_uuid(name: Column) -> Column:
+    """Version 5 UUID of a name in the fixed namespace."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(DOCUMENT_NAMESPACE.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4),
                        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
                        F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+def document_id(staged_id: Column) -> Column:
+    """Id of the document a candidate becomes, so that a repeated commit yields the same document."""
+    return _name_uuid(staged_id)
+
+
+def staged_id(file_id: Column, entry_name: Column) -> Column:
+    """Id of a file's candidate (entry_name NULL: the file itself), so that a replay yields the same candidate."""
+    return _name_uuid(F.concat_ws("/", F.lit("candidate"), file_id, entry_name))
+
+
 def incoming_key(org: Column, batch: Column, file_id: Column, name: Column) -> Column:
     """Key of an uploaded object; an unnamed upload is called upload.bin."""
     base = base_name(F.coalesce(F.nullif(name, F.lit("")), F.lit("upload.bin")))

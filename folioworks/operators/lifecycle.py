@@ -39,7 +39,7 @@ RULES: dict[str, Rule] = {
     "release": Rule(("processing",), "uploaded", fenced=True, stamps="uploaded_us", ends_claim=True),
     "finish": Rule(("processing",), "event", fenced=True, message="event", ends_claim=True),
 }
-FOLD_ROWS = 100_000          # longest history gathered for one fold
+FOLD_ROWS = 250_000          # longest history gathered for one fold
 FENCED = tuple(kind for kind, rule in RULES.items() if rule.fenced)
 
 WIN = "struct<from_us:bigint,from_seq:bigint,to_us:bigint,to_seq:bigint,token:string,attempt:int>"

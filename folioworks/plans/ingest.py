@@ -96,4 +96,19 @@ def process(uploads: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> tuple
         F.when(good, names.staging_key(F.col("organization_id"), F.col("batch_id"), F.col("source_file_id"),
                                        F.col("entry_index"), F.col("file_name"))).alias("s3_key"),
         "status", "reject_reason")
-    return files, singles.select(*CANDIDATE).unionByName(inside.select(*CANDIDATE))
+    found = singles.select(*CANDIDATE).unionByName(inside.select(*CANDIDATE))
+    title = names.title_of(F.col("file_name"))
+    return files, found.select(
+        names.staged_id(F.col("source_file_id"), F.col("source_entry_name")).alias("staged_id"), *CANDIDATE,
+        title.alias("proposed_title"), names.title_norm(title).alias("title_norm"))
+
+
+def uploads_of(objects: DataFrame) -> DataFrame:
+    """Uploads from objects under …/incoming/{org}/{batch}/{file_id}_{name} (`path`); other keys are left out.
+
+    The file id ends at the first underscore, as ids contain none.
+    """
+    found = objects.withColumn("_k", F.regexp_extract("path", r"incoming/([^/]+)/([^/]+)/([^/_]+)_([^/]+)$", 0))
+    part = [F.regexp_extract("path", r"incoming/([^/]+)/([^/]+)/([^/_]+)_([^/]+)$", i).alias(n) for i, n in
+            ((1, "organization_id"), (2, "batch_id"), (3, "file_id"), (4, "file_name"))]
+    return found.filter("_k <> ''").select("path", *part).withColumn("file_ext", names.file_ext(F.col("file_name")))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.operators.candidates import fold_writes, merge_folds, resolve
+from folioworks.plans import ingest
 from folioworks.session import scratch
-from folioworks.settings import AGES, Ages
+from folioworks.settings import AGES, ARCHIVE_LIMITS, Ages, ArchiveLimits
 from folioworks.streaming.lifecycle import FIELDS, OUTPUT, LifecycleProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +24,29 @@ def intake(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return confirmed.dropDuplicatesWithinWatermark(["file_id"]).select("file_id", "ts")
 
 
+MANIFEST = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_manifest(spark: SparkSession, prefix: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Objects as they arrive under a prefix; only their names and sizes are read."""
+    reader = spark.readStream.format("binaryFile").schema(MANIFEST).option("recursiveFileLookup", "true")
+    return reader.option("maxFilesPerTrigger", files_per_trigger).load(prefix).select(
+        "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def run_ingest(objects: DataFrame, out: str, checkpoint: str, limits: ArchiveLimits = ARCHIVE_LIMITS,
+               now: bool = True) -> None:
+    """Type, guard and explode arriving objects. Each trigger writes its own folder of `files` and `candidates`, with
+    ids and keys derived from names, so a repeated trigger leaves the same tables."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        files, candidates = ingest.process(ingest.uploads_of(batch), limits)
+        files.write.mode("overwrite").parquet(f"{out}/files/trigger={batch_id}")
+        candidates.write.mode("overwrite").parquet(f"{out}/candidates/trigger={batch_id}")
+
+    writer = objects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    (writer.trigger(availableNow=True) if now else writer).start().awaitTermination()
+
+
 def _keyed(events: DataFrame, ages: Ages, timers: bool) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return events.groupBy("file_id").transformWithState(
