@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from folioworks import messages as M
 from folioworks.functions.text import mismatch_reason
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
-from folioworks.sources.objects import BLOCK, open_object
+from folioworks.sources.objects import BLOCK, open_object, spread
 
 FORMAT_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError)
 SPOOL_BYTES = 8 * 1024 * 1024
@@ -163,7 +163,9 @@ def zip_index(archives: DataFrame) -> DataFrame:
             rows = (entry for row in batch.to_pandas().itertuples(index=False) for entry in index(row))
             yield from _record_batches(rows, INDEX_FIELDS)
 
-    return archives.select("path", *(["content"] if inline else [])).mapInArrow(run, INDEX_SCHEMA)
+    if not inline:
+        return spread(archives.select("path"), "path").mapInArrow(run, INDEX_SCHEMA)
+    return archives.select("path", "content").mapInArrow(run, INDEX_SCHEMA)
 
 
 def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS,
@@ -179,10 +181,7 @@ def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits =
         F.sort_array(F.collect_list("entry_pos")).alias("positions"))
     if inline:
         runs = runs.join(archives.select(F.col("path").alias("archive"), "content"), "archive")
-    # A fixed number of tasks: these rows are tiny, and adaptive coalescing would put the reading into a few tasks.
-    spark = entries.sparkSession
-    tasks = tasks or max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = runs.repartition(tasks, "archive", "_run")
+    runs = spread(runs, "archive", "_run", tasks=tasks)
 
     def read(box: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
         digest, total = hashlib.sha256(), 0
@@ -213,4 +212,4 @@ def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits =
             rows = (row for run in batch.to_pandas().itertuples(index=False) for row in extract(run))
             yield from _record_batches(rows, EXTRACT_FIELDS)
 
-    return spread.drop("_run").mapInArrow(work, EXTRACT_SCHEMA)
+    return runs.drop("_run").mapInArrow(work, EXTRACT_SCHEMA)

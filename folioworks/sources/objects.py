@@ -39,19 +39,29 @@ def open_object(path: str):
 
 def hash_objects(objects: DataFrame) -> DataFrame:
     """SHA-256 and byte count of each `path`, streamed in 64 KB blocks: any object size, constant memory."""
+    def digest(path: str) -> tuple[str, str, int]:
+        seen, total = hashlib.sha256(), 0
+        with open_object(path) as source:
+            while block := source.read(BLOCK):
+                seen.update(block)
+                total += len(block)
+        return path, seen.hexdigest(), total
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
-                digest, total = hashlib.sha256(), 0
-                with open_object(path) as source:
-                    while block := source.read(BLOCK):
-                        digest.update(block)
-                        total += len(block)
-                yield pd.DataFrame({"path": [path], "sha256": [digest.hexdigest()], "bytes_read": [total]})
+            yield pd.DataFrame([digest(path) for path in batch["path"]], columns=["path", "sha256", "bytes_read"])
 
     return objects.select("path").mapInPandas(run, "path string, sha256 string, bytes_read bigint")
 
 
+def spread(rows: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Rows over a fixed number of tasks. Rows that only name objects are tiny, and adaptive coalescing would put
+    the reading of all those objects into a few tasks."""
+    spark = rows.sparkSession
+    tasks = tasks or max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *keys)
+
+
 def hash_content(objects: DataFrame) -> DataFrame:
     """SHA-256 of an inline `content` column, natively."""
     return objects.withColumn("sha256", F.sha2("content", 256))
