@@ -175,8 +175,8 @@ def _by_phases(events: DataFrame, ages: Ages, hot_rows: int) -> DataFrame:
             "file_id", "e", "pos", F.col("pos.ts_us").alias("_us"), F.col("pos.seq").alias("_seq"),
             F.col("state.heartbeat_us").alias("_base"), F.coalesce(beat, F.lit(False)).alias("_beat"),
             F.coalesce(moves, F.lit(False)).alias("_moves"))
-        rows = ordered_scan(rows, ["file_id"], ["_us", "_seq"],
-                            {"_last": ("before", F.when(F.col("_beat"), F.col("_us")))}, hot_rows)
+        rows = durable(ordered_scan(durable(rows), ["file_id"], ["_us", "_seq"],
+                                    {"_last": ("before", F.when(F.col("_beat"), F.col("_us")))}, hot_rows))
         silent = F.coalesce(F.col("_last"), F.col("_base")) < F.col("_us") - ages.stale_seconds * 1_000_000
         rows = rows.filter(F.col("_beat") | F.col("_moves") | silent)
         following = rows.filter(~F.col("_beat")).groupBy("file_id").agg(F.min("pos").alias("to"),

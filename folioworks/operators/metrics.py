@@ -13,6 +13,11 @@ from folioworks.operators.ranking import HOT_ROWS, ordered_scan
 from folioworks.session import durable
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows that several steps read: parsed or joined once, kept narrow."""
+    return durable(rows)
+
+
 def merge_snapshots(*snapshots: DataFrame) -> DataFrame:
     """Union of log snapshots, one line per (ts, event, pid) and file."""
     merged = snapshots[0]
@@ -23,6 +28,7 @@ def merge_snapshots(*snapshots: DataFrame) -> DataFrame:
 
 def confirm_to_claim(lines: DataFrame) -> DataFrame:
     """Per file: first `enqueued`, first `claim_ok` at or after it, and the delay."""
+    lines = _once(lines.filter("event IN ('enqueued', 'claim_ok')").select("event", "file_id", "ts_us"))
     sent = lines.filter("event = 'enqueued'").groupBy("file_id").agg(F.min("ts_us").alias("confirmed_us"))
     claims = lines.filter("event = 'claim_ok'").select("file_id", "ts_us")
     first = claims.join(sent, "file_id").filter("ts_us >= confirmed_us").groupBy("file_id").agg(
@@ -41,7 +47,7 @@ def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, perce
 
 def _ranked(values: DataFrame, keys: list[str], value: str, tie: str, hot_rows: int) -> DataFrame:
     """`_rank` by value and the group's size `n`. The values are computed once, counted and ranked from a copy."""
-    return ordered_scan(durable(values.select(*keys, value, tie)), keys, [value, tie],
+    return ordered_scan(_once(values.select(*keys, value, tie)), keys, [value, tie],
                         {"_rank": ("number", None), "n": ("size", None)}, hot_rows)
 
 
@@ -79,7 +85,7 @@ def peak_concurrency(intervals: DataFrame, keys: list[str], hot_rows: int = HOT_
                     F.struct(F.col("to_us").alias("at"), F.lit(-1).alias("delta")))
     marks = intervals.select(*keys, "id", F.explode(edges).alias("m")).select(
         *keys, "id", F.col("m.at").alias("at"), F.col("m.delta").alias("delta")).filter("at IS NOT NULL")
-    running = ordered_scan(marks, keys, ["at", "delta", "id"], {"open": ("sum", F.col("delta"))}, hot_rows)
+    running = ordered_scan(_once(marks), keys, ["at", "delta", "id"], {"open": ("sum", F.col("delta"))}, hot_rows)
     return running.groupBy(*keys).agg(F.max("open").cast("bigint").alias("peak"))
 
 
@@ -118,6 +124,8 @@ def recovery_timeline(lines: DataFrame) -> DataFrame:
 
     Sweep lines name many files, so they are exploded; each step is a grouped minimum behind an equi join.
     """
+    lines = _once(lines.filter("event IN ('retrying', 'claim_ok') OR event LIKE '%_sweep'").select(
+        "event", "file_id", "file_ids", "ts_us"))
     killed = lines.filter("event = 'retrying'").groupBy("file_id").agg(F.min("ts_us").alias("killed_us"))
     sweeps = lines.filter(F.col("event").endswith("_sweep")).select(F.explode("file_ids").alias("file_id"), "ts_us")
     reset = sweeps.join(killed, "file_id").filter("ts_us > killed_us").groupBy("file_id").agg(
