@@ -110,12 +110,21 @@ def step(state: Column, event: Column, ages: Ages) -> Column:
         pick("wins", [(takeover | ends, F.concat(state["wins"], F.array(closed)))]))
 
 
+def _judged(events: DataFrame) -> DataFrame:
+    """Writes that make no sense become kind `invalid` and change nothing: a finish needs a terminal status, progress
+    at least one field."""
+    senseless = (F.col("kind") == "finish") & ~F.coalesce(F.col("status").isin(*M.TERMINAL), F.lit(False)) | (
+        (F.col("kind") == "progress") & F.coalesce("entries_total", "entries_done").isNull() & F.col("detected_type").isNull())
+    return events.withColumn("kind", F.when(senseless, "invalid").otherwise(F.col("kind")))
+
+
 def lifecycle_state(events: DataFrame, ages: Ages = AGES, hot_rows: int = FOLD_ROWS) -> DataFrame:
     """Current state per file: (file_id, created_us, last_us, events, state…, wins).
 
     `events` has file_id, ts_us, seq and the other EVENT_FIELDS. A file's history is folded in one pass inside the
     JVM; a file with more than `hot_rows` events is never gathered, see `_by_phases`.
     """
+    events = _judged(events)
     sizes = events.groupBy("file_id").agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("created_us"),
                                           F.max("ts_us").alias("last_us"))
     hot = sizes.filter(F.col("events") > hot_rows)
@@ -216,18 +225,22 @@ def claim_results(events: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def fenced_writes(events: DataFrame, states: DataFrame) -> DataFrame:
-    """Each fenced write with `accepted` or `superseded`: accepted inside a claim interval of the token it carries.
+    """Each fenced write with `accepted`, `superseded` or `invalid`: accepted inside a claim interval of the token it
+    carries.
 
     The intervals travel as an array of at most max_attempts on the file's state row, so this is one equi join.
     """
-    writes = events.filter(F.col("kind").isin(*FENCED)).select("file_id", "ts_us", "seq", "kind", "token")
+    judged = _judged(events.withColumn("_kind", F.col("kind"))).filter(F.col("_kind").isin(*FENCED))
+    writes = judged.select("file_id", "ts_us", "seq", F.col("_kind").alias("kind"), "token",
+                           (F.col("kind") == "invalid").alias("_invalid"))
     at = F.struct("ts_us", "seq")
     owned = F.exists("wins", lambda w: (w["token"] == F.col("token"))
                      & (F.struct(w["from_us"].alias("ts_us"), w["from_seq"].alias("seq")) < at)
                      & (w["to_us"].isNull() | (at <= F.struct(w["to_us"].alias("ts_us"), w["to_seq"].alias("seq")))))
     return writes.join(states.select("file_id", "wins"), "file_id").select(
         "file_id", "seq", "kind", "token",
-        F.when(F.coalesce(owned, F.lit(False)), "accepted").otherwise("superseded").alias("result"))
+        F.when(F.col("_invalid"), "invalid").when(F.coalesce(owned, F.lit(False)), "accepted").otherwise("superseded")
+        .alias("result"))
 
 
 def confirm_results(events: DataFrame) -> DataFrame:

@@ -317,8 +317,7 @@ def review_action(spark, sf):
 @query
 def review_split(spark, sf):
     docs = V.documents(spark, sf)
-    marked = _marked(docs)
-    return review.finished_pending(marked, V.files(marked)).groupBy("batch_id", "review_class").agg(
+    return review.finished_pending(_marked(docs), V.files(V.candidates(docs))).groupBy("batch_id", "review_class").agg(
         F.count(F.lit(1)).alias("candidates"))
 
 
@@ -434,8 +433,7 @@ def file_candidate_counts(spark, sf):
 @query
 def batch_status(spark, sf):
     docs = V.documents(spark, sf)
-    marked = _marked(docs)
-    return review.batch_status(V.files(marked), marked)
+    return review.batch_status(V.files(V.candidates(docs)), _marked(docs))
 
 
 @query
@@ -586,7 +584,7 @@ def active_batches(spark, sf):
 
 @query
 def title_norm(spark, sf):
-    return V.documents(spark, sf).select("doc_id", names.title_norm(names.title_of(F.col("file_name"))).alias("title_norm"))
+    return V.documents(spark, sf).select("doc_id", "title_norm")
 
 
 @query

@@ -42,11 +42,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     ext = F.when(F.col("lang") == "de", "pdf").otherwise("docx")
     word = F.array_max(F.split("text", r"\s+"))
-    return durable(docs.select(
+    docs = docs.withColumn("file_name", F.concat(F.lit("Guide_"), word, F.lit(" ("), F.col("source"), F.lit(")."), ext))
+    named = docs.select(
         "doc_id", "lang", "source", "quality", "toxic", "n_chars", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block"),
-        ext.alias("file_ext"), F.concat(F.lit("Guide_"), word, F.lit(" ("), F.col("source"), F.lit(")."), ext)
-        .alias("file_name"), F.octet_length("text").cast("bigint").alias("size_bytes"),
-        F.sha2("text", 256).alias("content_hash")))
+        ext.alias("file_ext"), "file_name", F.octet_length("text").cast("bigint").alias("size_bytes"),
+        F.sha2("text", 256).alias("content_hash"), names.title_of(F.col("file_name")).alias("title"))
+    return durable(named.withColumn("title_norm", names.title_norm(F.col("title"))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     docs = docs.filter("quality IS NULL OR quality = 0")
     entry = F.col("quality").isNull()
     rejected = (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("source") == "src11")
-    named = docs.withColumn("proposed_title", names.title_of(F.col("file_name"))).withColumn(
+    named = docs.withColumn(
         "batch_id", F.concat_ws("-", "lang", F.col("block").cast("string"))).withColumn(
         "source_file_id", F.concat_ws("-", "lang", "source", F.when(entry, F.col("block").cast("string")).otherwise(
             F.concat(F.lit("d"), F.col("doc_id").cast("string"))))).withColumn(
@@ -68,7 +69,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                                             F.coalesce("entry_index", F.lit(0)), F.col("file_name"))).alias("s3_key"),
         F.when(rejected, "rejected").otherwise("processed").alias("status"),
         F.when(F.col("source") == "src11", M.ARCHIVE_REJECTED).when(rejected, M.FILE_DAMAGED).alias("reject_reason"),
-        "proposed_title", names.title_norm(F.col("proposed_title")).alias("title_norm"))
+        F.col("title").alias("proposed_title"), "title_norm")
 
 
 def files(cands: DataFrame) -> DataFrame:
@@ -97,8 +98,7 @@ def files(cands: DataFrame) -> DataFrame:
 
 def library(docs: DataFrame) -> DataFrame:
     """Approved documents, the first of each title per organization."""
-    docs = docs.filter("quality = 1").withColumn("title", names.title_of(F.col("file_name")))
-    docs = docs.withColumn("title_norm", names.title_norm(F.col("title")))
+    docs = docs.filter("quality = 1")
     kept = docs.groupBy("lang", "title_norm").agg(F.min_by(F.struct(
         "doc_id", "title", "file_name", "file_ext", "size_bytes", "content_hash", "block", "source", "n_chars",
         "toxic"), "doc_id").alias("d"))

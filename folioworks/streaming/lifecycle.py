@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from folioworks.messages import TERMINAL
 from folioworks.operators.lifecycle import RULES
 from folioworks.settings import Ages
 
@@ -18,6 +19,7 @@ STATE = StructType([StructField(name, kind) for name, kind in FIELDS.items()])
 HELD = StructType([*STATE.fields, StructField("timer_ms", LongType())])
 OUTPUT = StructType([StructField("file_id", StringType()), StructField("change", StringType()),
                      StructField("at_us", LongType()), StructField("at_seq", LongType()), *STATE.fields])
+PROGRESS = ("entries_total", "entries_done", "detected_type")
 NEW_FILE = {**dict.fromkeys(FIELDS), "status": "staged", "attempt_count": 0, "entries_done": 0}
 
 
@@ -35,6 +37,10 @@ def apply_event(state: dict, event: dict, ages: Ages) -> dict:
         return state
     if rule.fenced and (token is None or token != state["claim_token"]):
         return state
+    if kind == "finish" and event["status"] not in TERMINAL:
+        return state
+    if kind == "progress" and all(event[name] is None for name in PROGRESS):
+        return state
     after = dict(state)
     if rule.to:
         after["status"] = event["status"] if rule.to == "event" else rule.to
@@ -45,7 +51,7 @@ def apply_event(state: dict, event: dict, ages: Ages) -> dict:
     if rule.ends_claim:
         after["claim_token"] = None
     if kind == "progress":
-        for name in ("entries_total", "entries_done", "detected_type"):
+        for name in PROGRESS:
             if event[name] is not None:
                 after[name] = event[name]
     return after

@@ -26,10 +26,10 @@ def histories(seed, files=40, longest=60):
             seq += 1
             kind = rng.choices([*L.RULES, "claim"], [1, 4, 1, 9, 4, 2, 1, 8])[0]
             token = None if kind in ("uploading", "confirm", "cancel") else rng.choice("ab")
-            status = rng.choice(M.TERMINAL) if kind == "finish" else None
+            status = rng.choice([*M.TERMINAL, "uploaded", None]) if kind == "finish" else None
             prog = kind == "progress"
             rows.append((f"f{f}", at, seq, kind, token, status, "done" if status else None,
-                         rng.choice([None, 9]) if prog else None, rng.randint(0, 9) if prog else None,
+                         rng.choice([None, 9]) if prog else None, rng.choice([None, 1, 2]) if prog else None,
                          rng.choice([None, "zip"]) if prog else None))
     return rows
 
