@@ -14,7 +14,7 @@ from folioworks.operators import (admission, archives, candidates, commit, dupli
                                   quality, review, sweeps)
 from folioworks.plans import ingest
 from folioworks.plans import views as V
-from folioworks.session import configure, durable
+from folioworks.session import configure
 from folioworks.settings import UploadLimits, MIB
 from folioworks.sources import archives as archive_source
 from folioworks.sources import logs
@@ -91,9 +91,7 @@ def zip_index(spark, sf):
 
 @query
 def zip_extract(spark, sf):
-    packs = durable(V.packed(spark, sf, "zip"))          # bytes at rest, indexed and then read
-    wanted = archive_source.zip_index(packs).filter("error IS NULL")
-    return archive_source.zip_extract(wanted, packs).select(
+    return archive_source.zip_extract(None, V.packed(spark, sf, "zip")).select(
         "archive", "entry_pos", F.when(F.col("entry_pos") > 0, F.col("sha256")).alias("plain_sha256"), "detected",
         "crc_error")
 
@@ -812,11 +810,11 @@ def dq_orphans(spark, sf):
 
 @query
 def dq_fields(spark, sf):
-    docs = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id", "left")
     digest = F.sha2("text", 256)
-    rows = docs.select("doc_id", F.col("text").alias("file_name"), F.col("lang").alias("file_ext"),
-                       F.when(F.col("toxic") == 1, F.upper(digest)).otherwise(digest).alias("content_hash"),
-                       F.lit(0).alias("entry_index"), F.col("n_chars").alias("size_bytes"))
+    rows = V.table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("file_name"), F.col("lang").alias("file_ext"),
+        F.when(F.col("lang") == "es", F.upper(digest)).otherwise(digest).alias("content_hash"),
+        F.lit(0).alias("entry_index"), F.col("n_chars").alias("size_bytes"))
     return quality.field_violations(rows, "doc_id")
 
 

@@ -782,7 +782,7 @@ ORACLES: dict[str, str] = {
               OR o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY ALL"""),
     "dq_fields": """
         SELECT doc_id, 'file_name longer than 512' AS rule FROM documents WHERE length(text) > 512
-        UNION ALL SELECT doc_id, 'content_hash is no SHA-256' FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+        UNION ALL SELECT doc_id, 'content_hash is no SHA-256' FROM documents WHERE lang = 'es'
                   AND regexp_matches(sha256(text), '[a-f]')""",
     "dq_invariants": over("files cand", f"""
         SELECT 'duplicate_candidates' AS rule, count(*) AS broken FROM (

@@ -39,15 +39,16 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
     Texts are read and hashed once, into a narrow durable table; everything else works on that.
     """
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     ext = F.when(F.col("lang") == "de", "pdf").otherwise("docx")
     word = F.array_max(F.split("text", r"\s+"))
-    docs = docs.withColumn("file_name", F.concat(F.lit("Guide_"), word, F.lit(" ("), F.col("source"), F.lit(")."), ext))
-    named = docs.select(
-        "doc_id", "lang", "source", "quality", "toxic", "n_chars", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block"),
-        ext.alias("file_ext"), "file_name", F.octet_length("text").cast("bigint").alias("size_bytes"),
-        F.sha2("text", 256).alias("content_hash"), names.title_of(F.col("file_name")).alias("title"))
-    return durable(named.withColumn("title_norm", names.title_norm(F.col("title"))))
+    # Everything derived from the text comes before the join, so that no text is shuffled.
+    named = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", "n_chars", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block"), ext.alias("file_ext"),
+        F.concat(F.lit("Guide_"), word, F.lit(" ("), F.col("source"), F.lit(")."), ext).alias("file_name"),
+        F.octet_length("text").cast("bigint").alias("size_bytes"), F.sha2("text", 256).alias("content_hash"))
+    named = named.withColumn("title", names.title_of(F.col("file_name"))).withColumn(
+        "title_norm", names.title_norm(F.col("title")))
+    return durable(named.join(table(spark, sf, "labels"), "doc_id", "left"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -340,21 +341,22 @@ def _pack(kind: pd.Series, name: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def packed(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
-    """Every document as file bytes (path, kind, content), in a form that follows its language, or all in one."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    """Every document as file bytes (path, lang, kind, content), in a form that follows its language, or all in one."""
+    docs = table(spark, sf, "documents")
     form = (F.when(F.col("toxic") == 1, "corrupt").when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "pdf")
             .when(F.col("lang") == "de", "zip").otherwise("unknown"))
+    if kind is None:
+        docs = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     chosen = F.lit(kind) if kind else form
     # Packing costs far more than moving the text, so it is spread over all cores first.
     docs = docs.repartition("doc_id")
-    return docs.select(name.alias("path"), chosen.alias("kind"), _pack(chosen, name, F.col("text")).alias("content"))
+    return docs.select(name.alias("path"), "lang", chosen.alias("kind"), _pack(chosen, name, F.col("text")).alias("content"))
 
 
 def packed_uploads(spark: SparkSession, sf: str) -> DataFrame:
     """The packed documents as uploads: German and Spanish ones are named .zip, the rest .docx."""
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "lang")
     ext = F.when(F.col("lang").isin("de", "es"), "zip").otherwise("docx")
-    return durable(packed(spark, sf).join(docs, "path").select(
+    return durable(packed(spark, sf).select(
         F.col("path").alias("file_id"), F.col("lang").alias("organization_id"), F.lit("b1").alias("batch_id"),
         F.concat("path", F.lit("."), ext).alias("file_name"), ext.alias("file_ext"), "path", "content"))

@@ -168,20 +168,25 @@ def zip_index(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, INDEX_SCHEMA)
 
 
-def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS,
+def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS,
                 tasks: int | None = None) -> DataFrame:
     """Read each entry once, in 64 KB blocks: hash, length, index agreement, and the type of what is inside.
 
     The unit of work is a run of up to 64 neighbouring entries, so a huge archive is shared out and still not
     reopened for every entry; what is inside is spooled to a temporary file past 8 MiB. `entries`: archive,
-    entry_pos. `archives`: path and, where bytes are inline, content, which then travels once per run.
+    entry_pos. `archives`: path and, where bytes are inline, content, which then travels once per run. Without
+    `entries`, all entries of inline archives are read where the bytes lie; damaged archives yield nothing.
     """
     inline = "content" in archives.columns
-    runs = entries.groupBy("archive", F.floor(F.col("entry_pos") / RUN_LENGTH).alias("_run")).agg(
-        F.sort_array(F.collect_list("entry_pos")).alias("positions"))
-    if inline:
-        runs = runs.join(archives.select(F.col("path").alias("archive"), "content"), "archive")
-    runs = spread(runs, "archive", "_run", tasks=tasks)
+    if entries is None:
+        runs = archives.select(F.col("path").alias("archive"), "content",
+                               F.lit(None).cast("array<int>").alias("positions"))
+    else:
+        runs = entries.groupBy("archive", F.floor(F.col("entry_pos") / RUN_LENGTH).alias("_run")).agg(
+            F.sort_array(F.collect_list("entry_pos")).alias("positions"))
+        if inline:
+            runs = runs.join(archives.select(F.col("path").alias("archive"), "content"), "archive")
+        runs = spread(runs, "archive", "_run", tasks=tasks).drop("_run")
 
     def read(box: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
         digest, total = hashlib.sha256(), 0
@@ -202,14 +207,21 @@ def zip_extract(entries: DataFrame, archives: DataFrame, limits: ArchiveLimits =
             return (digest.hexdigest(), total, False, None, *detect(copy, limits))
 
     def extract(run) -> Iterator[tuple]:
-        with _source(run.archive, run.content if inline else None) as source, zipfile.ZipFile(source) as box:
-            files = [e for e in box.infolist() if not e.is_dir()]
-            for at in run.positions:
-                yield run.archive, int(at), *read(box, files[at])
+        with _source(run.archive, run.content if inline else None) as source:
+            try:
+                box = zipfile.ZipFile(source)
+            except FORMAT_ERRORS:
+                if run.positions is None:
+                    return
+                raise                      # it was readable when it was indexed: try again
+            with box:
+                files = [e for e in box.infolist() if not e.is_dir()]
+                for at in range(len(files)) if run.positions is None else run.positions:
+                    yield run.archive, int(at), *read(box, files[at])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = (row for run in batch.to_pandas().itertuples(index=False) for row in extract(run))
             yield from _record_batches(rows, EXTRACT_FIELDS)
 
-    return runs.drop("_run").mapInArrow(work, EXTRACT_SCHEMA)
+    return runs.mapInArrow(work, EXTRACT_SCHEMA)
