@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +26,36 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; a shared folder for checkpoints is set only where the cluster names none."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark application."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_folioworks_shipped", False) or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="folioworks-code-"), "folioworks.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._folioworks_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, else (tests) a fresh local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; a fresh local one only where the whole session is on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="folioworks-")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="folioworks-")
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
