@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import grammar_store, packing, token_counts
+from folioworks.llm import grammar_store, packing, quality, token_counts, toxicity
 from folioworks.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in grammar-compressed blocks, read back."""
     blocks = grammar_store.write_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2)
@@ -31,5 +41,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_grammar_store, op5_best_two_fit, op8_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity_machine, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op8_token_counts)}
 ORACLES: dict[str, str] = {}
