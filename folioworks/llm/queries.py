@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import grammar_store, packing, quality, token_counts, toxicity
+from folioworks.llm import chat, decontaminate, grammar_store, lines, packing, quality, token_counts, toxicity
+from folioworks.llm.oracles import ORACLES  # noqa: F401  for the entry module
 from folioworks.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,10 +37,29 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=0, size=2048)
 
 
+def op6_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of ten benchmark words."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.drop("text_key", "spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity_machine, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op8_token_counts)}
-ORACLES: dict[str, str] = {}
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the conversations that begin no longer one."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's visible lines without its host's boilerplate."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = lines.drop_boilerplate(pages, lines.url_host(F.col("url")), lines.html_lines(F.col("html")), 0.1, 10)
+    return found.select("page_id", "host", "n_lines", "n_dropped", "kept")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_toxicity_machine, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op6_prefix_filter, op8_token_counts,
+    op9_chat_snapshots, op10_site_lines)}
