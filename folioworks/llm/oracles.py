@@ -57,4 +57,15 @@ SELECT page_id, host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
 FROM p LEFT JOIN k USING (rid)
 """
 
-ORACLES = {"op6_prefix_filter": OP6, "op9_chat_snapshots": OP9, "op10_site_lines": OP10}
+OP2 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+ORACLES = {"op2_segment_topk": OP2, "op6_prefix_filter": OP6, "op9_chat_snapshots": OP9, "op10_site_lines": OP10}

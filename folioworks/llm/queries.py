@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, decontaminate, grammar_store, lines, packing, quality, token_counts, toxicity
+from folioworks.llm import chat, decontaminate, grammar_store, lines, packing, quality, token_counts, topk, toxicity
 from folioworks.llm.oracles import ORACLES  # noqa: F401  for the entry module
 from folioworks.llm.tables import table
 
@@ -21,6 +21,11 @@ def op1_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
 def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,5 +66,5 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_toxicity_machine, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op6_prefix_filter, op8_token_counts,
-    op9_chat_snapshots, op10_site_lines)}
+    op1_toxicity_machine, op2_segment_topk, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op6_prefix_filter,
+    op8_token_counts, op9_chat_snapshots, op10_site_lines)}
