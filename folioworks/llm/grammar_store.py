@@ -133,7 +133,7 @@ def decode_span(row: dict, doc: int, start: int, stop: int) -> np.ndarray:
     return expand(own[a:b], rules, lengths)[start - skipped:stop - skipped]
 
 
-def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_tokens: int = 1 << 21,
+def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_tokens: int = 1 << 20,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts and store them as grammar-compressed blocks in ascending id order; returns the stored table.
 

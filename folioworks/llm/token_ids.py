@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once per task.
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its space-separated
-chunks in order. A chunk of Latin letters with trailing stops is one word and one mark; any other chunk goes through the
+chunks in order. A chunk of Latin letters with trailing punctuation is one word and one mark; any other chunk goes through the
 library's whole pipeline. Memory is bounded: the caches start anew when full, which changes nothing in the ids.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]*)")
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@[-`{-~]*)")
 CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
 
 
@@ -36,47 +37,60 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        """Chunk → place of its two parts; part → place in `starts` and `lengths`; place 0 is the empty part."""
         self.index: dict[str, int] = {"": 0}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            inner = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [token.id for token in self.model.tokenize(inner)]
-        return ids
+        self.parts = np.zeros((1 << 17, 2), np.int32)
+        self.words: dict[str, int] = {"": 0}
+        self.flat, self.used, self.known = np.zeros(1 << 20, np.int32), 0, 1
+        self.starts, self.lengths = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32)
+
+    def _store(self, encoded: list[list[int]]) -> None:
+        """Append the ids of new parts."""
+        sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
+        last, more = self.known + len(encoded), int(sizes.sum())
+        self.flat = _room(self.flat, self.used + more)
+        self.starts, self.lengths = _room(self.starts, last), _room(self.lengths, last)
+        self.flat[self.used:self.used + more] = np.fromiter(chain.from_iterable(encoded), np.int32, more)
+        self.lengths[self.known:last] = sizes
+        self.starts[self.known:last] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = self.used + more, last
+
+    def _tokenize(self, word: str) -> list[int]:
+        inner = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(inner)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Give every chunk an index and its ids."""
-        odd, found = [], []
+        """Give every chunk an index: a word and a mark each, or one part of its own from the library's pipeline."""
+        words, new, odd, split = self.words, [], [], LATIN.fullmatch
+        firsts, seconds, regular = [], [], []
         for chunk in chunks:
-            match = LATIN.fullmatch(chunk)
+            match = split(chunk)
             if match is None:
                 odd.append(chunk)
                 continue
-            word, marks = match.groups()
-            ids = self._word(word.lower())
-            found.append((chunk, ids + self._word(marks) if marks else ids))
+            regular.append(chunk)
+            word, mark = match.groups()
+            word = word.lower()
+            for part, places in ((word, firsts), (mark, seconds)):
+                place = words.get(part)
+                if place is None:
+                    place = words[part] = self.known + len(new)
+                    new.append(part)
+                places.append(place)
+        self._store([self._tokenize(word) for word in new])
+        own = self.known
         if odd:
-            encoded = self.library.encode_batch_fast(odd, add_special_tokens=False)
-            found += [(chunk, e.ids) for chunk, e in zip(odd, encoded, strict=True)]
-        first, sizes = len(self.index), [len(ids) for _, ids in found]
-        last, more = first + len(found), sum(sizes)
-        while self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while last > len(self.lengths):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used:self.used + more] = [i for _, ids in found for i in ids]
-        self.lengths[first:last] = sizes
-        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.used += more
-        self.index.update((chunk, first + k) for k, (chunk, _) in enumerate(found))
+            self._store([e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)])
+        first, last = len(self.index), len(self.index) + len(chunks)
+        self.parts = _room(self.parts, last)
+        self.parts[first:first + len(regular)] = np.array([firsts, seconds], np.int32).T
+        self.parts[first + len(regular):last, 0] = np.arange(own, own + len(odd))
+        self.parts[first + len(regular):last, 1] = 0
+        self.index.update(zip(chain(regular, odd), range(first, last), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of ids of each. A null text is an empty one."""
-        if len(self.index) > CACHE_WORDS or self.used > CACHE_IDS:
+        if max(len(self.index), self.known) > CACHE_WORDS or self.used > CACHE_IDS:
             self._reset()
         per_text, chunks = [], []
         for text in texts:
@@ -88,14 +102,22 @@ class TextEncoder:
         if unknown:
             self._learn(list(unknown))
         at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        ids, sizes = gather(self.flat, self.starts[at], self.lengths[at])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        both = self.parts[at].reshape(-1)       # a word, its mark, the next word, …
+        ids, sizes = gather(self.flat, self.starts[both], self.lengths[both])
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(per_text)])
-        return ids, np.diff(ends[bounds])
+        return ids, np.diff(ends[2 * bounds])
+
+
+def _room(values: np.ndarray, rows: int) -> np.ndarray:
+    """`values`, grown so that it has at least `rows` rows."""
+    while len(values) < rows:
+        values = np.concatenate([values, np.zeros_like(values)])
+    return values
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[s:s+n] for every start and size, concatenated."""
     total = int(sizes.sum())
-    before = np.cumsum(sizes) - sizes
+    before = np.cumsum(sizes, dtype=np.int64) - sizes
     return flat[np.repeat(starts - before, sizes) + np.arange(total)], sizes
