@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, decontaminate, grammar_store, lines, packing, quality, token_counts, topk, toxicity
+from folioworks.llm import chat, decontaminate, grammar_store, jaccard, lines, packing, quality, token_counts, topk, toxicity
 from folioworks.llm.oracles import ORACLES  # noqa: F401  for the entry module
 from folioworks.llm.tables import table
 
@@ -48,6 +48,11 @@ def op6_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key", "spans")
 
 
+def op7_signature_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by three-word shingles at 0.9."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
@@ -67,4 +72,4 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity_machine, op2_segment_topk, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op6_prefix_filter,
-    op8_token_counts, op9_chat_snapshots, op10_site_lines)}
+    op7_signature_forest, op8_token_counts, op9_chat_snapshots, op10_site_lines)}

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folioworks.llm.samples import fold, labelled
 from folioworks.llm.tables import runs
@@ -151,7 +152,8 @@ def _descend(row, col, y, features, s: Settings):
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """All columns of `docs` that are its id and text, scored: doc_id, text, score (0 to 1), predicted (score >= threshold).
+    """All columns of `docs` (a string column `text` among them, none named score or predicted), and score (0 to 1) and
+    predicted (1 where score >= threshold).
 
     A null or empty text has no features and gets the base rate. Repeated rows and null ids are scored like any other;
     an empty table gives no rows. Works on whole texts of any length.
@@ -167,8 +169,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
                 yield pa.RecordBatch.from_arrays([*run.columns, pa.array(model.score(flat, sizes))],
                                                  [*run.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return (docs.mapInArrow(judge, f"{schema}, score double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return (docs.mapInArrow(judge, schema)
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
