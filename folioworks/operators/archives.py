@@ -34,17 +34,17 @@ def archive_totals(entries: DataFrame) -> DataFrame:
     return entries.groupBy("archive").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("size").alias("total_bytes"))
 
 
-def _entry_violation(limits: ArchiveLimits) -> Column:
-    name = F.col("name")
-
+def _entry_violation(limits: ArchiveLimits, name: Column, size: Column, csize: Column, flags: Column,
+                     repeated: Column) -> Column:
+    """First rule an index entry breaks, or NULL."""
     def says(text: str) -> Column:
         return F.concat(F.lit("'"), name, F.lit(text))
 
-    too_dense = (F.col("csize") != 0) & (F.col("size") / F.nullif(F.col("csize"), F.lit(0)) > limits.max_ratio)
+    too_dense = (csize != 0) & (size / F.nullif(csize, F.lit(0)) > limits.max_ratio)
     return (F.when(too_dense, says("' has an implausible compression ratio"))
             .when(unsafe_path(name), says("' has an unsafe path"))
-            .when(F.col("flags").bitwiseAND(1) == 1, says("' is encrypted"))
-            .when(F.col("_copy") > 1, says("' appears more than once"))
+            .when(flags.bitwiseAND(1) == 1, says("' is encrypted"))
+            .when(repeated, says("' appears more than once"))
             .when(F.octet_length(base_name(name)) > limits.max_name_bytes,
                   says(f"' has a file name longer than {limits.max_name_bytes} bytes"))
             .when(F.length(name) > limits.max_path_chars,
@@ -52,6 +52,16 @@ def _entry_violation(limits: ArchiveLimits) -> Column:
                            F.lit(f"…' has a path longer than {limits.max_path_chars} characters"))))
 
 
+def container_reason(look: Column, limits: ArchiveLimits) -> Column:
+    """The guard's verdict on one container whose index travels as a column (`entries`, empty over the count limit)."""
+    def broken(e: Column, at: Column) -> Column:
+        earlier = F.exists(F.slice(look["entries"], F.lit(1), at), lambda o: o["name"] == e["name"])
+        return _entry_violation(limits, e["name"], e["size"], e["csize"], e["flags"], earlier)
+
+    first = F.get(F.filter(F.transform(look["entries"], broken), lambda text: text.isNotNull()), F.lit(0))
+    return _archive_reason(limits, look["n_entries"], look["total_bytes"], first)
+
+
 def _fitting(entries: DataFrame, totals: DataFrame, limits: ArchiveLimits) -> DataFrame:
     """Entries of archives within both archive-level limits, now hashed by archive."""
     fits = totals.filter((F.col("n_entries") <= limits.max_entries)
@@ -72,7 +82,7 @@ def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: A
         "entry_index", (F.sum(F.col("_visible").cast("int")).over(
             in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).cast("int"))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("archive", "name").orderBy("_pos")))
-    bad = _entry_violation(limits)
+    bad = _entry_violation(limits, *[F.col(c) for c in ("name", "size", "csize", "flags")], F.col("_copy") > 1)
     rows = rows.withColumn("_bad", F.when(bad.isNotNull(), F.struct(F.col("_pos"), bad.alias("why"))))
     rows = rows.withColumn("_why", F.min("_bad").over(Window.partitionBy("archive"))["why"]).withColumn(
         "_ext", file_ext(F.col("name")))
@@ -85,19 +95,18 @@ def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: A
                 F.substring("_ext", 1, 10))))
 
 
-def _archive_reason(limits: ArchiveLimits) -> Column:
-    """The guard's verdict from n_entries, total_bytes and the first violation `_why`."""
-    n = F.col("n_entries")
+def _archive_reason(limits: ArchiveLimits, n: Column, total: Column, first: Column) -> Column:
+    """The guard's verdict from the entry count, the unpacked bytes and the first violation."""
     return (F.when(n > limits.max_entries, F.concat(n.cast("string"), F.lit(f" files; limit is {limits.max_entries}")))
-            .when(F.col("total_bytes") > limits.max_total_bytes, M.TOO_LARGE_UNPACKED).otherwise(F.col("_why")))
+            .when(total > limits.max_total_bytes, M.TOO_LARGE_UNPACKED).otherwise(first))
 
 
 def archive_guard(entries: DataFrame, order: list[str], limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
     """Per archive: n_entries, total_bytes and the first violation (`reason`, NULL when it is safe)."""
     totals = archive_totals(entries)
     why = _examined(entries, totals, order, limits).groupBy("archive").agg(F.max("_why").alias("_why"))
-    return totals.join(why, "archive", "left").select("archive", "n_entries", "total_bytes",
-                                                      _archive_reason(limits).alias("reason"))
+    reason = _archive_reason(limits, F.col("n_entries"), F.col("total_bytes"), F.col("_why"))
+    return totals.join(why, "archive", "left").select("archive", "n_entries", "total_bytes", reason.alias("reason"))
 
 
 def archive_candidates(entries: DataFrame, order: list[str], limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
@@ -153,7 +162,8 @@ def archive_outcome(entries: DataFrame, order: list[str], limits: ArchiveLimits
         F.count_if(kept & F.col("reject_reason").isNull()).alias("_processed"),
         F.count_if(kept & F.col("reject_reason").isNotNull()).alias("_rejected"))
     zero = F.lit(0)
-    rows = totals.join(per_archive, "archive", "left").withColumn("_guard", _archive_reason(limits))
+    rows = totals.join(per_archive, "archive", "left").withColumn(
+        "_guard", _archive_reason(limits, F.col("n_entries"), F.col("total_bytes"), F.col("_why")))
     return rows.select(
         "archive",
         F.when(F.col("_guard").isNotNull() | F.col("_cut").isNotNull(), "rejected")

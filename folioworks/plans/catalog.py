@@ -215,12 +215,12 @@ def detect_magic(spark, sf):
 
 @query
 def detect_full(spark, sf):
-    return V.packed(spark, sf).select("path", archive_source.detect_content(F.col("content"))["type"].alias("detected"))
+    return archive_source.detect_content(V.packed(spark, sf), "d").select("path", F.col("d.type").alias("detected"))
 
 
 @query
 def document_outcome(spark, sf):
-    found = V.packed(spark, sf).select("path", archive_source.detect_content(F.col("content")).alias("d"))
+    found = archive_source.detect_content(V.packed(spark, sf), "d").select("path", "d")
     status, reason = archive_source.document_outcome(F.lit("docx"), F.col("d.type"), F.col("d.reason"))
     return found.select("path", status.alias("status"), reason.alias("reason"))
 

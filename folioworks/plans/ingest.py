@@ -31,9 +31,9 @@ def process(uploads: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> tuple
     inline = "content" in uploads.columns
     meta = ["file_id", "organization_id", "batch_id", "file_name", "file_ext", "path"]
     if inline:
-        typed = uploads.select(*meta, source.detect_content(F.col("content")).alias("_d"),
-                               F.octet_length("content").cast("bigint").alias("size_bytes"),
-                               F.sha2("content", 256).alias("content_hash"))
+        typed = source.detect_content(uploads, "_d", limits).select(
+            *meta, "_d", F.octet_length("content").cast("bigint").alias("size_bytes"),
+            F.sha2("content", 256).alias("content_hash"))
         typed = typed.select(*meta, "size_bytes", "content_hash", F.col("_d.type").alias("detected_type"),
                              F.col("_d.reason").alias("_why"))
     else:

@@ -8,37 +8,39 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
-import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from folioworks import messages as M
 from folioworks.functions.text import mismatch_reason
+from folioworks.operators.archives import container_reason
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
 from folioworks.sources.objects import BLOCK, open_object, spread
 
 FORMAT_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError)
-SPOOL_BYTES = 8 * 1024 * 1024
+HEAD_OF_PART = 64 * 1024     # of the content-types part, where the document type is declared
 RUN_LENGTH = 64
 INDEX_SCHEMA = "archive string, entry_pos int, name string, size bigint, csize bigint, flags int, error string"
-EXTRACT_SCHEMA = ("archive string, entry_pos int, sha256 string, bytes_read bigint, crc_error boolean, error string, "
-                  "detected string, detected_reason string")
-
+LOOK = ("struct<opens: boolean, damage: string, n_entries: bigint, total_bytes: bigint, "
+        "entries: array<struct<name: string, size: bigint, csize: bigint, flags: int>>, declares_wordml: boolean>")
+_ENTRY = pa.struct([("name", pa.string()), ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32())])
+LOOK_TYPE = pa.struct([("opens", pa.bool_()), ("damage", pa.string()), ("n_entries", pa.int64()), ("total_bytes", pa.int64()),
+                       ("entries", pa.list_(_ENTRY)), ("declares_wordml", pa.bool_())])
 
 INDEX_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("name", pa.string()),
                           ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32()), ("error", pa.string())])
 EXTRACT_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("sha256", pa.string()),
                             ("bytes_read", pa.int64()), ("crc_error", pa.bool_()), ("error", pa.string()),
-                            ("detected", pa.string()), ("detected_reason", pa.string())])
+                            ("head", pa.binary()), ("look", LOOK_TYPE)])
+EXTRACT_SCHEMA = ("archive string, entry_pos int, sha256 string, bytes_read bigint, crc_error boolean, error string, "
+                  f"head binary, look {LOOK}")
 
 
 def _record_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -52,56 +54,32 @@ def _source(path: str, content: bytes | None):
     return io.BytesIO(content) if content is not None else open_object(path)
 
 
-def container_violation(entries: list[zipfile.ZipInfo], limits: ArchiveLimits) -> str | None:
-    """First rule the index of one container breaks (used for containers met inside a task)."""
-    if len(entries) > limits.max_entries:
-        return f"{len(entries)} files; limit is {limits.max_entries}"
-    if sum(entry.file_size for entry in entries) > limits.max_total_bytes:
-        return M.TOO_LARGE_UNPACKED
-    names: set[str] = set()
-    for entry in entries:
-        path = entry.filename
-        slashed = path.replace("\\", "/")
-        last = next((p for p in reversed(path.split("/")) if p not in ("", ".")), "")
-        broken = {
-            "has an implausible compression ratio":
-                entry.compress_size > 0 and entry.file_size / entry.compress_size > limits.max_ratio,
-            "has an unsafe path":
-                slashed.startswith("/") or ".." in slashed.split("/") or bool(re.match("[A-Za-z]:", path)),
-            "is encrypted": bool(entry.flag_bits & 1),
-            "appears more than once": path in names,
-            f"has a file name longer than {limits.max_name_bytes} bytes":
-                len(last.encode("utf-8", "surrogatepass")) > limits.max_name_bytes,
-        }
-        names.add(path)
-        for text, hit in broken.items():
-            if hit:
-                return f"'{path}' {text}"
-        if len(path) > limits.max_path_chars:
-            return f"'{path[:80]}…' has a path longer than {limits.max_path_chars} characters"
-    return None
-
-
-def detect(source, limits: ArchiveLimits = ARCHIVE_LIMITS) -> tuple[str, str | None]:
-    """(type, reason) of a seekable file by its bytes: docx, zip, pdf, unknown, unsafe or corrupt."""
-    head = source.read(8)
-    if head.startswith(M.PDF_MAGIC):
-        return "pdf", None
-    if not head.startswith(M.ZIP_MAGIC):
-        return "unknown", None
-    source.seek(0)
+def files_of(box: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Index entries that are files."""
+    return [e for e in box.infolist() if not e.is_dir()]
+
+
+def look_inside(source, limits: ArchiveLimits) -> dict:
+    """What a zip's index says, as data; rules are applied to it in Spark.
+
+    A container over the entry limit is refused on its count alone, so its entries are not listed.
+    """
     try:
-        with zipfile.ZipFile(source) as container:
-            violation = container_violation([e for e in container.infolist() if not e.is_dir()], limits)
-            if violation:
-                return "unsafe", violation
-            if {M.CONTENT_TYPES_PART, M.DOCUMENT_PART}.issubset(container.namelist()):
-                with container.open(M.CONTENT_TYPES_PART) as part:
-                    if M.WORDML_TYPE.encode() in part.read(BLOCK):
-                        return "docx", None
-            return "zip", None
+        box = zipfile.ZipFile(source)
     except FORMAT_ERRORS as problem:
-        return "corrupt", str(problem) or type(problem).__name__
+        return {"opens": False, "damage": str(problem) or type(problem).__name__}
+    with box:
+        files, damage, wordml = files_of(box), None, False
+        if {M.CONTENT_TYPES_PART, M.DOCUMENT_PART}.issubset(box.namelist()):
+            try:
+                with box.open(M.CONTENT_TYPES_PART) as part:
+                    wordml = part.read(HEAD_OF_PART).find(M.WORDML_TYPE.encode()) >= 0
+            except (*FORMAT_ERRORS, RuntimeError) as problem:
+                damage = str(problem) or type(problem).__name__
+    listed = files if len(files) <= limits.max_entries else []
+    return {"opens": True, "damage": damage, "n_entries": len(files), "total_bytes": sum(e.file_size for e in files),
+            "entries": [{"name": e.filename, "size": e.file_size, "csize": e.compress_size, "flags": e.flag_bits}
+                        for e in listed], "declares_wordml": wordml}
 
 
 def magic_type(content: Column) -> Column:
@@ -110,31 +88,46 @@ def magic_type(content: Column) -> Column:
             .when(F.substring(content, 1, 4) == F.lit(bytearray(M.ZIP_MAGIC)), "zip").otherwise("unknown"))
 
 
-@F.pandas_udf(StructType([StructField("type", StringType()), StructField("reason", StringType())]))
-def _detect_zip(content: pd.Series) -> pd.DataFrame:
-    found = [(None, None) if value is None else detect(io.BytesIO(value)) for value in content]
-    return pd.DataFrame(found, columns=["type", "reason"])
+def judged(head: Column, look: Column, limits: ArchiveLimits = ARCHIVE_LIMITS) -> Column:
+    """struct<type, reason> from leading bytes and, for zips, the look inside: docx, zip, pdf, unknown, unsafe, corrupt.
+
+    The guard is the one that judges outer archives, applied to the listed entries.
+    """
+    magic, zipped = magic_type(head), magic_type(head) == "zip"
+    refused = container_reason(look, limits)
+    kind = (F.when(~zipped, magic).when(~look["opens"], "corrupt").when(refused.isNotNull(), "unsafe")
+            .when(look["damage"].isNotNull(), "corrupt").when(look["declares_wordml"], "docx").otherwise("zip"))
+    why = F.when(zipped, F.when(~look["opens"], look["damage"]).otherwise(F.coalesce(refused, look["damage"])))
+    return F.struct(kind.alias("type"), why.cast("string").alias("reason"))
+
 
+def detect_content(objects: DataFrame, into: str, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
+    """Add struct<type, reason> of the inline `content` column; only zip bytes cross to Python."""
+    @F.arrow_udf(LOOK)
+    def look(values: pa.Array) -> pa.Array:
+        return pa.array([look_inside(io.BytesIO(v.as_py()), limits) if v.is_valid else None for v in values], LOOK_TYPE)
 
-def detect_content(content: Column) -> Column:
-    """struct<type, reason> of an inline content column; only zip bytes cross to Python."""
-    magic = magic_type(content)
-    inside = _detect_zip(F.when(magic == "zip", content))
-    return F.when(magic == "zip", inside).otherwise(
-        F.struct(magic.alias("type"), F.lit(None).cast("string").alias("reason")))
+    zipped = F.when(magic_type(F.col("content")) == "zip", F.col("content"))
+    return (objects.withColumn("_look", look(zipped))
+            .withColumn(into, judged(F.substring("content", 1, 8), F.col("_look"), limits)).drop("_look"))
 
 
 def detect_objects(objects: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
     """(path, detected, detected_reason) of objects opened by path."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
+            heads, looks = [], []
+            for path in batch.column("path").to_pylist():
                 with open_object(path) as source:
-                    rows.append((path, *detect(source, limits)))
-            yield pd.DataFrame(rows, columns=["path", "detected", "detected_reason"])
+                    heads.append(source.read(8))
+                    source.seek(0)
+                    looks.append(look_inside(source, limits) if heads[-1].startswith(M.ZIP_MAGIC) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary()), pa.array(looks, LOOK_TYPE)],
+                                             ["path", "head", "look"])
 
-    return objects.select("path").mapInPandas(run, "path string, detected string, detected_reason string")
+    seen = objects.select("path").mapInArrow(run, f"path string, head binary, look {LOOK}")
+    found = seen.select("path", judged(F.col("head"), F.col("look"), limits).alias("d"))
+    return found.select("path", F.col("d.type").alias("detected"), F.col("d.reason").alias("detected_reason"))
 
 
 def document_outcome(declared: Column, detected: Column, reason: Column) -> tuple[Column, Column]:
@@ -152,7 +145,7 @@ def zip_index(archives: DataFrame) -> DataFrame:
     def index(row) -> Iterator[tuple]:
         try:
             with _source(row.path, row.content if inline else None) as source, zipfile.ZipFile(source) as box:
-                files = [e for e in box.infolist() if not e.is_dir()]
+                files = files_of(box)
             for at, e in enumerate(files):
                 yield row.path, at, e.filename, e.file_size, e.compress_size, e.flag_bits, None
         except FORMAT_ERRORS:
@@ -170,10 +163,10 @@ def zip_index(archives: DataFrame) -> DataFrame:
 
 def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS,
                 tasks: int | None = None) -> DataFrame:
-    """Read each entry once, in 64 KB blocks: hash, length, index agreement, and the type of what is inside.
+    """Read each entry once, in blocks: hash, length, index agreement, and the type of what is inside.
 
     The unit of work is a run of up to 64 neighbouring entries, so a huge archive is shared out and still not
-    reopened for every entry; what is inside is spooled to a temporary file past 8 MiB. `entries`: archive,
+    reopened for every entry; nothing is copied to disk. `entries`: archive,
     entry_pos. `archives`: path and, where bytes are inline, content, which then travels once per run. Without
     `entries`, all entries of inline archives are read where the bytes lie; damaged archives yield nothing.
     """
@@ -189,22 +182,21 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
         runs = spread(runs, "archive", "_run", tasks=tasks).drop("_run")
 
     def read(box: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple:
-        digest, total = hashlib.sha256(), 0
-        with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as copy:
-            try:
-                with box.open(info) as part:
-                    while block := part.read(BLOCK):
-                        total += len(block)
-                        if total > info.file_size:
-                            return (None, total, True, f"'{info.filename}' is larger than its index claims", None, None)
-                        digest.update(block)
-                        copy.write(block)
-            except (*FORMAT_ERRORS, RuntimeError) as problem:
-                # zipfile reports a password-protected entry as a bare RuntimeError.
-                text = str(problem) or type(problem).__name__
-                return (None, total, True, f"'{info.filename}' does not match its index ({text})", None, None)
-            copy.seek(0)
-            return (digest.hexdigest(), total, False, None, *detect(copy, limits))
+        """One pass for hash, length and agreement with the index; a zip inside is looked into through the archive."""
+        digest, length, head = hashlib.sha256(), 0, b""
+        try:
+            with box.open(info) as part:
+                for block in iter(partial(part.read, BLOCK), b""):
+                    digest.update(block)
+                    length, head = length + len(block), head or block[:8]
+            if head.startswith(M.ZIP_MAGIC):
+                with box.open(info) as part:            # seekable: only what the look needs is read again
+                    return digest.hexdigest(), length, False, None, head, look_inside(part, limits)
+        except (*FORMAT_ERRORS, RuntimeError) as problem:
+            # zipfile reports a password-protected entry as a bare RuntimeError.
+            text = str(problem) or type(problem).__name__
+            return None, length, True, f"'{info.filename}' does not match its index ({text})", None, None
+        return digest.hexdigest(), length, False, None, head, None
 
     def extract(run) -> Iterator[tuple]:
         with _source(run.archive, run.content if inline else None) as source:
@@ -215,7 +207,7 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
                     return
                 raise                      # it was readable when it was indexed: try again
             with box:
-                files = [e for e in box.infolist() if not e.is_dir()]
+                files = files_of(box)
                 for at in range(len(files)) if run.positions is None else run.positions:
                     yield run.archive, int(at), *read(box, files[at])
 
@@ -224,4 +216,8 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
             rows = (row for run in batch.to_pandas().itertuples(index=False) for row in extract(run))
             yield from _record_batches(rows, EXTRACT_FIELDS)
 
-    return runs.mapInArrow(work, EXTRACT_SCHEMA)
+    seen = runs.mapInArrow(work, EXTRACT_SCHEMA)
+    kind = F.when(F.col("head").isNotNull(), judged(F.col("head"), F.col("look"), limits))
+    return seen.withColumn("_d", kind).select(
+        "archive", "entry_pos", "sha256", "bytes_read", "crc_error", "error", F.col("_d.type").alias("detected"),
+        F.col("_d.reason").alias("detected_reason"))

@@ -106,7 +106,7 @@ def test_manifest_hash_and_detection_by_path(spark, folder):
 
 def test_inline_and_by_path_detection_agree(spark, folder):
     found = spark.read.format("binaryFile").load(str(folder))
-    inline = {r.path: tuple(r.d) for r in found.select("path", S.detect_content(F.col("content")).alias("d")).collect()}
+    inline = {r.path: tuple(r.d) for r in S.detect_content(found, "d").select("path", "d").collect()}
     by_path = {r.path: (r.detected, r.detected_reason) for r in S.detect_objects(found.select("path")).collect()}
     assert inline == by_path
 
@@ -171,9 +171,8 @@ def test_guard_at_its_limits(spark, row, reason):
     ("ab:c", False), ("a/b../c", False)])
 def test_unsafe_paths(spark, name, unsafe):
     assert spark.range(1).select(A.unsafe_path(F.lit(name))).first()[0] is unsafe
-    info = zipfile.ZipInfo("x")
-    info.filename = name
-    assert (S.container_violation([info], ArchiveLimits()) is not None) is unsafe
+    look = spark.createDataFrame([((True, None, 1, 1, [(name, 1, 1, 0)], False),)], f"look {S.LOOK}")
+    assert (look.select(A.container_reason(F.col("look"), ArchiveLimits())).first()[0] is not None) is unsafe
 
 
 def test_guard_precedence_and_scope(spark):
