@@ -15,6 +15,8 @@ INTENTS = ("new", "replace")
 ALREADY_IN_LIBRARY = "Already in the library"
 SAME_FILE_IN_BATCH = "Same file as another in this batch"
 TITLE_IN_LIBRARY = "A document with this title is already in the library"
+# Our own: a candidate that can be matched by neither content nor title.
+INCOMPLETE_CANDIDATE = "Candidate has no content hash or no title"
 
 # Lifecycle endings.
 CANCELLED = "Upload cancelled"

@@ -4,7 +4,8 @@ A candidate that loses on content never occupies its title, so this is a greedy
 windows. It runs as rounds: every edge (content, title) that ranks first among the live edges of both its keys is
 accepted, then all edges sharing a key with it leave. Each round is grouped minima plus equi joins; copies of the
 same (content, title) collapse before the first round, so a content that makes up a third of all candidates is one
-edge. The number of rounds is logarithmic in expectation (Blelloch, Fineman, Shun, SPAA 2012); there is no cap.
+edge. The number of rounds is logarithmic in expectation (Blelloch, Fineman, Shun, SPAA 2012); there is no cap, and no
+other path for what is left: rounds go on until every edge is decided.
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from pyspark.sql import functions as F
 
 from folioworks import messages as M
 from folioworks.functions import names
+from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 
 ORG_HASH = ["organization_id", "content_hash"]
 ORG_TITLE = ["organization_id", "title_norm"]
-ROUNDS = 12
-TAIL_EDGES = 20_000
 
 
 def finished_candidates(candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def commit(candidates: DataFrame, files: DataFrame, library: DataFrame, batch_or
     held_hash = library.select(*ORG_HASH).distinct().withColumn("_hash_held", F.lit(True))
     held_title = library.select(*ORG_TITLE).distinct().withColumn("_title_held", F.lit(True))
     live = durable(live.join(held_hash, ORG_HASH, "left").join(held_title, ORG_TITLE, "left"))
-    edges = (live.filter("_hash_held IS NULL AND _title_held IS NULL")
+    whole = F.col("content_hash").isNotNull() & F.col("title_norm").isNotNull()
+    edges = (live.filter(whole & F.col("_hash_held").isNull() & F.col("_title_held").isNull())
              .groupBy("organization_id", "content_hash", "title_norm").agg(F.min("pos").alias("pos")))
     accepted = greedy_matching(edges)
 
@@ -55,7 +56,7 @@ def commit(candidates: DataFrame, files: DataFrame, library: DataFrame, batch_or
     by_title = accepted.select(*ORG_TITLE, F.col("pos").alias("_title_pos"))
     same_content = F.col("_hash_pos") < F.col("pos")
     added = F.coalesce(F.col("_hash_pos") == F.col("pos"), F.lit(False))
-    reason = (F.when(added, F.lit(None))
+    reason = (F.when(added, F.lit(None)).when(~whole, M.INCOMPLETE_CANDIDATE)
               .when(F.col("_hash_held"), M.ALREADY_IN_LIBRARY)
               .when(same_content & (F.col("_hash_pos.batch") == F.col("batch_id")), M.SAME_FILE_IN_BATCH)
               .when(same_content, M.ALREADY_IN_LIBRARY)
@@ -69,49 +70,37 @@ def commit(candidates: DataFrame, files: DataFrame, library: DataFrame, batch_or
             .drop("_hash_held", "_title_held", "_hash_pos", "_title_pos"))
 
 
-def greedy_matching(edges: DataFrame, patience: int = ROUNDS, tail_edges: int = TAIL_EDGES) -> DataFrame:
+def greedy_matching(edges: DataFrame) -> DataFrame:
     """Edges the sequential pass would accept. `edges`: organization_id, content_hash, title_norm, unique `pos`.
 
-    Rounds go on until nothing is left. What is still contended after `patience` rounds can only be chains of
-    conflicts in rank order; once no more than `tail_edges` of them remain, one ordered pass ends the matter.
+    Every edge gets its rank once, and each content and title the smallest rank among its edges as an id, so a round
+    works on three integers: two hash aggregates, equi joins and one write, until nothing is left.
     """
-    accepted, alive, rounds = [], edges, 0
+    ranked = durable(ordered_scan(edges, [], ["pos"], {"rank": ("number", None)}))
+    contents = ranked.groupBy(*ORG_HASH).agg(F.min("rank").alias("h"))
+    titles = ranked.groupBy(*ORG_TITLE).agg(F.min("rank").alias("t"))
+    alive = durable(ranked.join(contents, ORG_HASH).join(titles, ORG_TITLE).select("rank", "h", "t"))
+    accepted = []
     while True:
-        first_hash = alive.groupBy(*ORG_HASH).agg(F.min("pos").alias("_h"))
-        first_title = alive.groupBy(*ORG_TITLE).agg(F.min("pos").alias("_t"))
-        marked = durable(alive.join(first_hash, ORG_HASH).join(first_title, ORG_TITLE).select(
-            *edges.columns, ((F.col("pos") == F.col("_h")) & (F.col("pos") == F.col("_t"))).alias("_wins")))
-        winners = marked.filter("_wins").drop("_wins")
-        accepted.append(winners)
-        rounds += 1
-        waiting = marked.filter("NOT _wins").count()
-        if waiting == 0:
-            return reduce(DataFrame.unionByName, accepted)
-        alive = (marked.filter("NOT _wins").drop("_wins")
-                 .join(winners.select(*ORG_HASH), ORG_HASH, "left_anti")
-                 .join(winners.select(*ORG_TITLE), ORG_TITLE, "left_anti"))
-        if rounds >= patience and waiting <= tail_edges:
-            return reduce(DataFrame.unionByName, [*accepted, durable(_in_order(alive))])
-
-
-def _in_order(edges: DataFrame) -> DataFrame:
-    """Sequential matching of a few edges (their number has been checked), in one task."""
-    def walk(batches):
-        hashes, titles = set(), set()
-        for batch in batches:
-            keep = []
-            for org, content, title in zip(batch["organization_id"], batch["content_hash"], batch["title_norm"]):
-                free = (org, content) not in hashes and (org, title) not in titles
-                if free:
-                    hashes.add((org, content))
-                    titles.add((org, title))
-                keep.append(free)
-            yield batch.loc[keep, ["organization_id", "content_hash", "title_norm"]]
-
-    columns = ["organization_id", "content_hash", "title_norm"]
-    ordered = edges.repartition(1).sortWithinPartitions("pos").select(*columns)
-    chosen = ordered.mapInPandas(walk, ", ".join(f"{c} string" for c in columns))
-    return edges.join(chosen, columns, "left_semi").select(*edges.columns)
+        judged = durable(_round(alive))
+        accepted.append(judged.filter("wins").select("rank"))
+        alive = judged.filter("NOT wins AND NOT lost").select("rank", "h", "t")
+        if alive.isEmpty():
+            return ranked.join(reduce(DataFrame.unionByName, accepted), "rank", "left_semi").select(*edges.columns)
+
+
+def _round(alive: DataFrame) -> DataFrame:
+    """One round: `wins` where an edge ranks first among the live ones of both its keys, `lost` where such an edge takes
+    one of its keys. A key is taken exactly if its first edge is also the first of that edge's other key."""
+    first_h = alive.groupBy("h").agg(F.min("rank").alias("first"), F.min_by("t", "rank").alias("t"))
+    first_t = alive.groupBy("t").agg(F.min("rank").alias("first"))
+    heads = first_h.join(first_t.withColumnRenamed("first", "other"), "t")
+    won = heads.filter("first = other").select("h", "t", F.col("first").alias("rank"))
+    by_h, by_t = won.select("h", F.col("rank").alias("_h")), won.select("t", F.col("rank").alias("_t"))
+    marked = alive.join(by_h, "h", "left").join(by_t, "t", "left")
+    wins = F.coalesce(F.col("_h") == F.col("rank"), F.lit(False))
+    return marked.select("rank", "h", "t", wins.alias("wins"),
+                         (~wins & (F.col("_h").isNotNull() | F.col("_t").isNotNull())).alias("lost"))
 
 
 def new_documents(outcome: DataFrame, committed_us: int) -> DataFrame:
@@ -160,27 +149,23 @@ def commit_summary(outcome: DataFrame, files: DataFrame) -> DataFrame:
     return unfinished_counts(files).join(per_batch, "batch_id", "left").fillna(0)
 
 
-def commit_audit(outcome: DataFrame, files: DataFrame, user_id: int = 0, part_rows: int = 50_000) -> DataFrame:
-    """Audit rows with JSON details. One per batch; a batch with more than `part_rows` decisions gets several,
-    numbered by `part`, so that no list outgrows a task."""
-    sizes = outcome.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / part_rows)
-    spread = outcome.join(sizes, "batch_id").withColumn(
-        "part", F.when(parts > 1, F.pmod(F.xxhash64("staged_id"), parts)).otherwise(F.lit(0)).cast("int"))
-    item = F.struct("pos", "document_id", "staged_id", "reason")
-    # Partial lists are bounded by part_rows in expectation, whatever the size of the batch.
-    lists = spread.groupBy("batch_id", "organization_id", "part").agg(
-        F.sort_array(F.collect_list(F.when(F.col("outcome") == "added", item))).alias("added"),
-        F.sort_array(F.collect_list(F.when(F.col("outcome") == "skipped", item))).alias("skipped"))
-    details = F.to_json(F.struct(
-        F.transform("added", lambda x: x["document_id"]).alias("added"),
-        F.coalesce("still_in_progress", F.lit(0)).alias("still_in_progress"),
-        F.transform("skipped", lambda x: F.struct(x["staged_id"].alias("staged_id"), x["reason"].alias("reason")))
-        .alias("skipped")))
-    return lists.join(unfinished_counts(files), "batch_id", "left").select(
+def commit_audit(outcome: DataFrame, files: DataFrame, user_id: int = 0) -> DataFrame:
+    """One audit row per batch: action, how many were added and skipped, files still in progress. What was decided for
+    each candidate is a row of `commit_audit_items`, so no list grows with a batch."""
+    counts = outcome.groupBy("batch_id", "organization_id").agg(
+        F.count_if(F.col("outcome") == "added").alias("added"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
+    return counts.join(unfinished_counts(files), "batch_id", "left").select(
         "organization_id", F.lit(user_id).cast("bigint").alias("user_id"), F.lit("batch_committed").alias("action"),
-        F.lit("upload_batch").alias("entity_type"), F.col("batch_id").alias("entity_id"), "part",
-        details.alias("details"))
+        F.lit("upload_batch").alias("entity_type"), F.col("batch_id").alias("entity_id"), "added", "skipped",
+        F.coalesce("still_in_progress", F.lit(0)).alias("still_in_progress"))
+
+
+def commit_audit_items(outcome: DataFrame) -> DataFrame:
+    """One row per decision of a commit: batch, place in its commit order, and the document added or the reason skipped."""
+    added = F.col("outcome") == "added"
+    rows = outcome.select("batch_id", "pos", "staged_id", "outcome", F.when(added, F.col("document_id")).alias("document_id"), "reason")
+    placed = ordered_scan(rows, ["batch_id"], ["pos"], {"position": ("number", None)})
+    return placed.select(F.col("batch_id").alias("entity_id"), "position", "staged_id", "outcome", "document_id", "reason")
 
 
 def committed_batches(files: DataFrame, candidates: DataFrame) -> DataFrame:

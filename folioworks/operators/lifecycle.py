@@ -131,7 +131,7 @@ def lifecycle_state(events: DataFrame, ages: Ages = AGES, hot_rows: int = FOLD_R
     if hot.isEmpty():
         return _open_claims(_fold(events, ages))
     hot = hot.select("file_id")
-    slow = _by_phases(events.join(hot, "file_id", "left_semi"), ages, hot_rows)
+    slow = _by_phases(events.join(hot, "file_id", "left_semi"), ages)
     return _open_claims(_fold(events.join(hot, "file_id", "left_anti"), ages).unionByName(slow))
 
 
@@ -154,7 +154,7 @@ def _open_claims(folded: DataFrame) -> DataFrame:
                          *[state[n].alias(n) for n in kept], wins.alias("wins"))
 
 
-def _by_phases(events: DataFrame, ages: Ages, hot_rows: int) -> DataFrame:
+def _by_phases(events: DataFrame, ages: Ages) -> DataFrame:
     """The same result for files with huge histories, without gathering any of them.
 
     Only a few events change a file's status: the first confirm, at most max_attempts claims, and what ends each.
@@ -185,7 +185,7 @@ def _by_phases(events: DataFrame, ages: Ages, hot_rows: int) -> DataFrame:
             F.col("state.heartbeat_us").alias("_base"), F.coalesce(beat, F.lit(False)).alias("_beat"),
             F.coalesce(moves, F.lit(False)).alias("_moves"))
         rows = durable(ordered_scan(durable(rows), ["file_id"], ["_us", "_seq"],
-                                    {"_last": ("before", F.when(F.col("_beat"), F.col("_us")))}, hot_rows))
+                                    {"_last": ("before", F.when(F.col("_beat"), F.col("_us")))}))
         silent = F.coalesce(F.col("_last"), F.col("_base")) < F.col("_us") - ages.stale_seconds * 1_000_000
         rows = rows.filter(F.col("_beat") | F.col("_moves") | silent)
         following = rows.filter(~F.col("_beat")).groupBy("file_id").agg(F.min("pos").alias("to"),

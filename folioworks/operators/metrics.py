@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.operators.ranking import HOT_ROWS, ordered_scan
+from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 
 
@@ -36,24 +36,23 @@ def confirm_to_claim(lines: DataFrame) -> DataFrame:
     return first.withColumn("delay_us", F.col("claimed_us") - F.col("confirmed_us"))
 
 
-def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, percent: float,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, percent: float) -> DataFrame:
     """Exact nearest-rank percentile per group: position round_half_even(p/100·n + 0.5), at least 1."""
-    ranked = _ranked(values, keys, value, tie, hot_rows)
+    ranked = _ranked(values, keys, value, tie)
     wanted = F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0).cast("bigint")
     wanted = F.least(F.col("n"), F.greatest(F.lit(1), wanted))
     return ranked.filter(F.col("_rank") == wanted).select(*keys, "n", F.col(value).alias("percentile"))
 
 
-def _ranked(values: DataFrame, keys: list[str], value: str, tie: str, hot_rows: int) -> DataFrame:
+def _ranked(values: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """`_rank` by value and the group's size `n`. The values are computed once, counted and ranked from a copy."""
     return ordered_scan(_once(values.select(*keys, value, tie)), keys, [value, tie],
-                        {"_rank": ("number", None), "n": ("size", None)}, hot_rows)
+                        {"_rank": ("number", None), "n": ("size", None)})
 
 
-def spread(values: DataFrame, keys: list[str], value: str, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def spread(values: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """Median (mean of the two middle values), minimum and maximum per group."""
-    ranked = _ranked(values, keys, value, tie, hot_rows)
+    ranked = _ranked(values, keys, value, tie)
     middle = F.col("_rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
     return ranked.groupBy(*keys).agg(F.avg(F.when(middle, F.col(value))).alias("median"),
                                      F.min(value).alias("lowest"), F.max(value).alias("highest"))
@@ -76,7 +75,7 @@ def sweep_coverage(lines: DataFrame) -> DataFrame:
     return lines.filter("event = 'enqueued'").select("file_id").distinct().join(named, "file_id", "left_anti")
 
 
-def peak_concurrency(intervals: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def peak_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Most intervals open at once per group. `intervals`: keys, id, from_us, to_us (NULL: still open).
 
     Ends sort before starts at the same instant. The running sum is a sliced scan, not one global window.
@@ -85,7 +84,7 @@ def peak_concurrency(intervals: DataFrame, keys: list[str], hot_rows: int = HOT_
                     F.struct(F.col("to_us").alias("at"), F.lit(-1).alias("delta")))
     marks = intervals.select(*keys, "id", F.explode(edges).alias("m")).select(
         *keys, "id", F.col("m.at").alias("at"), F.col("m.delta").alias("delta")).filter("at IS NOT NULL")
-    running = ordered_scan(_once(marks), keys, ["at", "delta", "id"], {"open": ("sum", F.col("delta"))}, hot_rows)
+    running = ordered_scan(_once(marks), keys, ["at", "delta", "id"], {"open": ("sum", F.col("delta"))})
     return running.groupBy(*keys).agg(F.max("open").cast("bigint").alias("peak"))
 
 

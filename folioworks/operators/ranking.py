@@ -1,15 +1,13 @@
 """Running values over an order, for groups of any size.
 
-A window sorts each group in one task. That is right while groups are bounded, and wrong once a single archive, file
-or batch may hold a third of all rows. `ordered_scan` takes a window for ordinary groups and, for groups above
-`hot_rows`, a two-level scan: range-partition by (group, order), scan every slice on its own, then add what the
-earlier slices of the group carry over. A group has at most as many slices as there are partitions, so the carry
+A window sorts each group in one task, which is wrong where a single archive, file or batch may hold a third of all rows.
+`ordered_scan` is a two-level scan: range-partition by (group, order), scan every slice of a group on its own, then add
+what the group's earlier slices carry over. A group has at most as many slices as there are partitions, so the carry
 table stays small whatever the group's size.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,28 +15,16 @@ from pyspark.sql import functions as F
 
 from folioworks.session import durable
 
-HOT_ROWS = 2_000_000
 
-
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, tuple[str, Column | None]],
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str],
+                 measures: dict[str, tuple[str, Column | None]]) -> DataFrame:
     """Add running measures to `df`, per `keys`, along `order` (columns whose values are unique within a group).
 
     Kinds: `number` (1, 2, …), `sum` (inclusive), `before` (last non-NULL value strictly earlier), `size` (rows of the
-    group). `df` is read more than once, so an expensive input should be durable.
+    group).
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    facts = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
-    if facts["groups"] == 0:
-        return _windowed(df, keys, order, measures)
-    slices = max(2, math.ceil(facts["rows"] / hot_rows) * 2)
-    if not keys:
-        return _sliced(df, keys, order, measures, slices)
-    hot_keys = sizes.drop("_n")
-    same = reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
-    hot = df.alias("d").join(hot_keys.alias("h"), same, "left_semi")
-    cold = df.alias("d").join(hot_keys.alias("h"), same, "left_anti")
-    return _windowed(cold, keys, order, measures).unionByName(_sliced(hot, keys, order, measures, slices))
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _sliced(df, keys, order, measures, slices)
 
 
 def _measure(kind: str, value: Column | None, window) -> Column:

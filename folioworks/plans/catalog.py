@@ -129,7 +129,12 @@ def commit_documents(spark, sf):
 def commit_audit(spark, sf):
     docs = V.documents(spark, sf)
     files = V.files(V.candidates(docs))
-    return commit.commit_audit(_outcome(docs), files).select("organization_id", "entity_id", "action", "details")
+    return commit.commit_audit(_outcome(docs), files).drop("user_id", "entity_type")
+
+
+@query
+def commit_audit_items(spark, sf):
+    return commit.commit_audit_items(_outcome(V.documents(spark, sf)))
 
 
 @query

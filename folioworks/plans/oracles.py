@@ -408,11 +408,12 @@ ORACLES: dict[str, str] = {
                source_file_id FROM decided WHERE outcome = 'added'"""),
     "commit_audit": over("decided unfinished", """
         SELECT any_value(organization_id) AS organization_id, batch_id AS entity_id, 'batch_committed' AS action,
-               concat('{"added":[', coalesce(string_agg('"' || document_id || '"', ',' ORDER BY n) FILTER (WHERE outcome = 'added'), ''),
-                      '],"still_in_progress":', any_value(still_in_progress), ',"skipped":[',
-                      coalesce(string_agg('{"staged_id":"' || staged_id || '","reason":"' || reason || '"}', ',' ORDER BY n)
-                               FILTER (WHERE outcome = 'skipped'), ''), ']}') AS details
+               count(*) FILTER (WHERE outcome = 'added') AS added, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+               any_value(still_in_progress) AS still_in_progress
         FROM decided JOIN unfinished USING (batch_id) GROUP BY batch_id"""),
+    "commit_audit_items": over("decided", """
+        SELECT batch_id AS entity_id, row_number() OVER (PARTITION BY batch_id ORDER BY n) AS position, staged_id, outcome,
+               CASE WHEN outcome = 'added' THEN document_id END AS document_id, reason FROM decided"""),
     "commit_object_plan": over("decided", """
         SELECT 'copy' AS op, s3_key AS src, document_key AS dst FROM decided WHERE outcome = 'added'
         UNION ALL SELECT 'delete', s3_key, NULL FROM decided

@@ -9,6 +9,8 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Adaptive execution splits skewed join partitions even where that costs an extra shuffle downstream; session
 # windows merge inside map tasks first, so a file with a third of all heartbeats ships one row per session.
@@ -58,12 +60,27 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="folioworks-")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own place under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A new path under the shared folder, for stream checkpoints and written tables."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there."""
-    configure(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared folder as Parquet and go on from there: pruned columns, statistics, no lost lineage."""
+    spark = configure(df.sparkSession)
+    path, kept = scratch(spark, "table"), [f for f in df.schema.fields if f.dataType.simpleString() != "void"]
+    df.select(*[F.col(f"`{f.name}`") for f in kept]).write.parquet(path)
+    back = spark.read.schema(StructType(kept)).parquet(path)
+    names = {f.name for f in kept}
+    return back.select(*[F.col(f"`{f.name}`") if f.name in names else F.lit(None).alias(f.name) for f in df.schema.fields])
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application wrote under the shared folder; call it when its results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

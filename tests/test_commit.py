@@ -77,8 +77,7 @@ def test_an_alternating_chain(spark):
     assert {r.staged_id: r.reason for r in out.collect()} == sequential(cands, [("fb", "b", "processed", 0)], [])
 
 
-@pytest.mark.parametrize("patience, tail", [(10 ** 9, 0), (1, 10 ** 9), (3, 8)])
-def test_a_long_chain_ends_exactly(spark, patience, tail):
+def test_a_long_chain_ends_exactly(spark):
     """With and without the ordered pass over a small rest."""
     rng = random.Random(8)
     rows = [("o", f"h{(i + 1) // 2}", f"t{i // 2}", i) for i in range(26)] + [
@@ -89,7 +88,7 @@ def test_a_long_chain_ends_exactly(spark, patience, tail):
     for _, h, t, pos in sorted(rows, key=lambda r: r[3]):
         if h not in hashes and t not in titles:
             hashes.add(h), titles.add(t), want.add(pos)
-    assert {r.pos for r in C.greedy_matching(edges, patience, tail).collect()} == want
+    assert {r.pos for r in C.greedy_matching(edges).collect()} == want
 
 
 @pytest.mark.parametrize("seed, hot", [(1, False), (2, False), (3, True)])
@@ -122,18 +121,16 @@ def test_everything_after_a_commit(spark, tmp_path):
                         for c in cands if c[3] in finished}
 
     summary = {r.batch_id: r for r in C.commit_summary(out, df).collect()}
-    audit = C.commit_audit(out, df)
-    assert {(r.entity_id, r.part) for r in audit.collect()} == {(b, 0) for b in {c[2] for c in cands if c[0] in want}}
-    for row in audit.collect():
-        details = json.loads(row.details)
-        mine = [c for c in cands if c[2] == row.entity_id and c[0] in want]
-        assert len(details["added"]) == summary[row.entity_id].added == sum(want[c[0]] is None for c in mine)
-        assert {s["staged_id"]: s["reason"] for s in details["skipped"]} == {c[0]: want[c[0]] for c in mine if want[c[0]]}
-        assert details["still_in_progress"] == summary[row.entity_id].still_in_progress
-    parts = C.commit_audit(out, df, part_rows=5)
-    assert parts.count() > audit.count()
-    whole = [i for r in parts.collect() for i in json.loads(r.details)["added"]]
-    assert sorted(whole) == sorted(r.document_id for r in docs.collect())
+    audit = {r.entity_id: r for r in C.commit_audit(out, df).collect()}
+    assert set(audit) == {b for b in {c[2] for c in cands if c[0] in want}}
+    items = C.commit_audit_items(out).collect()
+    for batch, row in audit.items():
+        mine = [c for c in cands if c[2] == batch and c[0] in want]
+        own = sorted((r for r in items if r.entity_id == batch), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(mine) + 1))
+        assert row.added == summary[batch].added == sum(want[c[0]] is None for c in mine) == sum(r.document_id is not None for r in own)
+        assert {r.staged_id: r.reason for r in own} == {c[0]: want[c[0]] for c in mine} and row.skipped == len(mine) - row.added
+        assert row.still_in_progress == summary[batch].still_in_progress
 
     busy = {b for _, b, s, _ in files if s not in M.TERMINAL}
     assert {r.batch_id for r in C.committed_batches(df, dc).collect()} == {b for _, b, _, _ in files} - busy
