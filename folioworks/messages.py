@@ -18,6 +18,9 @@ TITLE_IN_LIBRARY = "A document with this title is already in the library"
 # Our own: a candidate that can be matched by neither content nor title.
 INCOMPLETE_CANDIDATE = "Candidate has no content hash or no title"
 
+# Our own: a write under a claim that is not, or no longer, the file's.
+CLAIM_SUPERSEDED = "claim superseded"
+
 # Lifecycle endings.
 CANCELLED = "Upload cancelled"
 ABANDONED = "Upload was not completed"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
+from folioworks.functions.text import truncate_message
+from folioworks.operators.lifecycle import owns_claim
 
 KEY = ["source_file_id", "source_entry_name", "video_script_seq"]
 IDENTITY = ["entry_index", "file_name", "file_ext"]
@@ -24,10 +26,26 @@ def validity_error() -> Column:
                   "entry name and index go together"))
 
 
-def split_valid(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows with `error`)."""
-    marked = writes.withColumn("error", validity_error())
-    return marked.filter("error IS NULL").drop("error"), marked.filter("error IS NOT NULL")
+def judge(writes: DataFrame, claims: DataFrame) -> DataFrame:
+    """Writes with `error`: the validity rule they break, else superseded where no claim of their token covers them.
+
+    `writes` carry token, ts_us and seq; `claims`: file_id and wins, one row per file with its few claim intervals.
+    """
+    owners = claims.select(F.col("file_id").alias("source_file_id"), "wins")
+    owned = owns_claim(F.col("wins"), F.col("token"), F.col("ts_us"), F.col("seq"))
+    return writes.join(owners, "source_file_id", "left").withColumn(
+        "error", F.coalesce(validity_error(), F.when(~owned, M.CLAIM_SUPERSEDED))).drop("wins")
+
+
+def accepted(writes: DataFrame, claims: DataFrame) -> DataFrame:
+    """What may be stored, with its reason cut to the message length; batch and stream write through this."""
+    good = judge(writes, claims).filter("error IS NULL").drop("error", "token", "ts_us")
+    return good.withColumn("reject_reason", truncate_message(F.col("reject_reason")))
+
+
+def quarantined(writes: DataFrame, claims: DataFrame) -> DataFrame:
+    """Refused writes with the rule they break."""
+    return judge(writes, claims).filter("error IS NOT NULL")
 
 
 def fold_writes(writes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
+from folioworks.functions.text import truncate_message
 from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 from folioworks.settings import AGES, Ages
@@ -95,7 +96,7 @@ def step(state: Column, event: Column, ages: Ages) -> Column:
         pick("status", [(claims, F.lit("processing"))] + [
             (applies[kind], event["status"] if rule.to == "event" else F.lit(rule.to))
             for kind, rule in RULES.items() if rule.to]),
-        pick("status_message", [(applies[kind], event["message"] if rule.message == "event" else F.lit(rule.message))
+        pick("status_message", [(applies[kind], truncate_message(event["message"]) if rule.message == "event" else F.lit(rule.message))
                                 for kind, rule in RULES.items() if rule.message]),
         pick("attempt_count", [(claims, state["attempt_count"] + 1)]),
         pick("claim_token", [(claims, event["token"]), (ends, none)]),
@@ -224,6 +225,15 @@ def claim_results(events: DataFrame, states: DataFrame) -> DataFrame:
                     F.col("win.attempt").alias("attempt")))
 
 
+def owns_claim(wins: Column, token: Column, ts_us: Column, seq: Column) -> Column:
+    """Whether a write at (ts_us, seq) falls into a claim interval of the token it carries."""
+    at = F.struct(ts_us.alias("ts_us"), seq.alias("seq"))
+    return F.coalesce(F.exists(wins, lambda w: (w["token"] == token)
+                               & (F.struct(w["from_us"].alias("ts_us"), w["from_seq"].alias("seq")) < at)
+                               & (w["to_us"].isNull() | (at <= F.struct(w["to_us"].alias("ts_us"), w["to_seq"].alias("seq"))))),
+                      F.lit(False))
+
+
 def fenced_writes(events: DataFrame, states: DataFrame) -> DataFrame:
     """Each fenced write with `accepted`, `superseded` or `invalid`: accepted inside a claim interval of the token it
     carries.
@@ -233,13 +243,10 @@ def fenced_writes(events: DataFrame, states: DataFrame) -> DataFrame:
     judged = _judged(events.withColumn("_kind", F.col("kind"))).filter(F.col("_kind").isin(*FENCED))
     writes = judged.select("file_id", "ts_us", "seq", F.col("_kind").alias("kind"), "token",
                            (F.col("kind") == "invalid").alias("_invalid"))
-    at = F.struct("ts_us", "seq")
-    owned = F.exists("wins", lambda w: (w["token"] == F.col("token"))
-                     & (F.struct(w["from_us"].alias("ts_us"), w["from_seq"].alias("seq")) < at)
-                     & (w["to_us"].isNull() | (at <= F.struct(w["to_us"].alias("ts_us"), w["to_seq"].alias("seq")))))
+    owned = owns_claim(F.col("wins"), F.col("token"), F.col("ts_us"), F.col("seq"))
     return writes.join(states.select("file_id", "wins"), "file_id").select(
         "file_id", "seq", "kind", "token",
-        F.when(F.col("_invalid"), "invalid").when(F.coalesce(owned, F.lit(False)), "accepted").otherwise("superseded")
+        F.when(F.col("_invalid"), "invalid").when(owned, "accepted").otherwise("superseded")
         .alias("result"))
 
 
@@ -283,7 +290,6 @@ def reject_candidates_of(candidates: DataFrame, rejected_files: DataFrame) -> Da
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("status") == "processed")
     reason = F.when(F.col("_why").isNull(), M.ARCHIVE_REJECTED).otherwise(
         F.concat(F.lit(M.ARCHIVE_REJECTED + ": "), F.col("_why")))
-    from folioworks.functions.text import truncate_message
     changed = {"status": F.when(hit, "rejected").otherwise(F.col("status")),
                "s3_key": F.when(~hit, F.col("s3_key")),
                "reject_reason": F.when(hit, truncate_message(reason)).otherwise(F.col("reject_reason"))}
@@ -319,7 +325,8 @@ def attempt_outcomes(failures: DataFrame, ages: Ages = AGES) -> DataFrame:
         .when(retry, "release_and_retry").when(kind == "superseded", "stop").otherwise("leave").alias("action"),
         F.when(kind == "rejected", "rejected").when((kind == "not_found") | ((kind == "transient") & last), "error")
         .alias("final_status"),
-        F.when(kind == "rejected", F.col("detail")).when(kind == "not_found", M.OBJECT_MISSING)
-        .when((kind == "transient") & last, F.concat(F.lit("Could not be processed after "), attempt.cast("string"),
-                                                      F.lit(" attempts: "), F.col("detail"))).alias("status_message"),
+        truncate_message(
+            F.when(kind == "rejected", F.col("detail")).when(kind == "not_found", M.OBJECT_MISSING)
+            .when((kind == "transient") & last, F.concat(F.lit("Could not be processed after "), attempt.cast("string"),
+                                                          F.lit(" attempts: "), F.col("detail")))).alias("status_message"),
         F.when(retry, (F.pow(F.lit(2), attempt) * 5).cast("bigint")).alias("countdown"))

@@ -14,7 +14,7 @@ from folioworks.operators import (admission, archives, candidates, commit, dupli
                                   quality, review, sweeps)
 from folioworks.plans import ingest
 from folioworks.plans import views as V
-from folioworks.session import configure
+from folioworks.session import configure, durable
 from folioworks.settings import UploadLimits, MIB
 from folioworks.sources import archives as archive_source
 from folioworks.sources import logs
@@ -47,6 +47,10 @@ def _states(spark, sf):
     return lifecycle.lifecycle_state(V.lifecycle(V.events(spark, sf)), V.LIFECYCLE_AGES)
 
 
+def _accepted_writes(spark, sf):
+    return candidates.accepted(V.candidate_writes(V.events(spark, sf)), _states(spark, sf))
+
+
 def _outcome(docs):
     cands = V.candidates(docs)
     return commit.commit(cands, V.files(cands), V.library(docs), batch_order="block")
@@ -531,14 +535,20 @@ def resume_entries(spark, sf):
 
 @query
 def candidate_upsert(spark, sf):
-    return candidates.upsert(V.candidate_writes(V.events(spark, sf))).select(
+    return candidates.upsert(_accepted_writes(spark, sf)).select(
         "source_file_id", "source_entry_name", "entry_index", "file_name", "size_bytes", "status", "reject_reason",
         "content_hash", "seq")
 
 
+@query
+def candidate_quarantine(spark, sf):
+    return candidates.quarantined(V.candidate_writes(V.events(spark, sf)), _states(spark, sf)).select(
+        "seq", "source_file_id", "source_entry_name", "status", "error")
+
+
 @query
 def candidate_mismatch(spark, sf):
-    return candidates.mismatches(V.candidate_writes(V.events(spark, sf))).select(
+    return candidates.mismatches(_accepted_writes(spark, sf)).select(
         "source_file_id", "source_entry_name", "entry_index", "file_name", "writes")
 
 
@@ -759,7 +769,7 @@ def stream_sweep_windows(spark, sf):
 
 @query
 def stream_candidates(spark, sf):
-    table = jobs.run_candidates(V.candidate_writes(V.event_stream(spark, sf)), spark)
+    table = jobs.run_candidates(V.candidate_writes(V.event_stream(spark, sf)), durable(_states(spark, sf)), spark)
     return jobs.read_candidates(spark, table).select(
         "source_file_id", "source_entry_name", "entry_index", "file_name", "size_bytes", "status", "content_hash", "seq")
 

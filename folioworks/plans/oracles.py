@@ -299,7 +299,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN k <> 13 THEN sha256(seq::VARCHAR) END AS content_hash,
                CASE WHEN event_type <> 'error' OR k = 14 THEN concat('staging/', file_id, '/', k) END AS s3_key,
                CASE WHEN event_type <> 'error' THEN 'processed' ELSE 'rejected' END AS status,
-               CASE WHEN event_type = 'error' AND k <> 15 THEN '{M.FILE_DAMAGED}' END AS reject_reason, seq FROM ev"""),
+               CASE WHEN event_type = 'error' AND k <> 15 THEN CASE WHEN k % 3 = 0 THEN '{M.FILE_DAMAGED}' || repeat(' x', 300)
+                    ELSE '{M.FILE_DAMAGED}' END END AS reject_reason, seq, ts_us, concat('w', k % 2) AS token FROM ev"""),
+    "judged": (("writes", "walk", "spans"), f"""
+        SELECT w.*, coalesce(CASE
+            WHEN status = 'processed' AND (s3_key IS NULL OR reject_reason IS NOT NULL) THEN 'processed needs a key and no reason'
+            WHEN status = 'processed' AND content_hash IS NULL THEN 'processed needs a content hash'
+            WHEN status = 'rejected' AND (s3_key IS NOT NULL OR reject_reason IS NULL) THEN 'rejected needs a reason and no key'
+            WHEN (source_entry_name IS NULL) <> (entry_index IS NULL) THEN 'entry name and index go together' END,
+            CASE WHEN NOT EXISTS (SELECT 1 FROM spans s JOIN walk c ON c.file_id = s.file_id AND c.seq = s.seq
+                                  WHERE s.file_id = w.source_file_id AND c.tok = w.token AND s.from_us < w.ts_us
+                                    AND (s.to_us IS NULL OR w.ts_us <= s.to_us)) THEN '{M.CLAIM_SUPERSEDED}' END) AS error
+        FROM writes w"""),
+    "good": (("judged",), """
+        SELECT * REPLACE (CASE WHEN length(reject_reason) > 512 THEN left(reject_reason, 511) || '…' ELSE reject_reason END AS reject_reason)
+        FROM judged WHERE error IS NULL"""),
     "fails": (("ev",), """
         SELECT seq, file_id, k % 4 + 1 AS attempt, concat('failure ', k) AS detail,
                CASE WHEN k < 10 THEN 'not_found' WHEN k < 20 THEN 'config' WHEN k < 45 THEN 'transient' WHEN k < 50
@@ -634,15 +648,17 @@ ORACLES: dict[str, str] = {
     "resume_entries": over("visible", """
         SELECT archive, entry_index::INTEGER AS entry_index, name FROM visible JOIN (
             SELECT l_orderkey AS archive, count(*) // 3 AS done FROM lineitem GROUP BY 1) USING (archive) WHERE entry_index >= done"""),
-    "candidate_upsert": over("writes", """
+    "candidate_upsert": over("good", """
         SELECT source_file_id, source_entry_name, entry_index, file_name, size_bytes, status, reject_reason, content_hash, seq
-        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM writes w
+        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM good w
               WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
         WHERE entry_index IS NOT DISTINCT FROM i0 AND file_name = n0
         QUALIFY row_number() OVER (PARTITION BY source_file_id, source_entry_name ORDER BY seq DESC) = 1"""),
-    "candidate_mismatch": over("writes", """
+    "candidate_quarantine": over("judged", """
+        SELECT seq, source_file_id, source_entry_name, status, error FROM judged WHERE error IS NOT NULL"""),
+    "candidate_mismatch": over("good", """
         SELECT source_file_id, source_entry_name, entry_index, file_name, count(*) AS writes
-        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM writes w
+        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM good w
               WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
         WHERE NOT (entry_index IS NOT DISTINCT FROM i0 AND file_name = n0) GROUP BY ALL"""),
     "resume_point": over("log", """
@@ -755,9 +771,9 @@ ORACLES: dict[str, str] = {
     "stream_log_counts": over("log", "SELECT level, event, count(*) AS lines FROM log GROUP BY ALL"),
     "stream_sweep_windows": over("log", """
         SELECT event, ts_us // 15000000 * 15000000 AS start_us, count(*) AS sweeps FROM log WHERE sweep GROUP BY ALL"""),
-    "stream_candidates": over("writes", """
+    "stream_candidates": over("good", """
         SELECT source_file_id, source_entry_name, entry_index, file_name, size_bytes, status, content_hash, seq
-        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM writes w
+        FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM good w
               WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
         WHERE entry_index IS NOT DISTINCT FROM i0 AND file_name = n0
         QUALIFY row_number() OVER (PARTITION BY source_file_id, source_entry_name ORDER BY seq DESC) = 1"""),

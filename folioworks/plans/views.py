@@ -227,7 +227,9 @@ def candidate_writes(raw: DataFrame) -> DataFrame:
         F.when(good | (k == 14), F.concat(F.lit("staging/"), F.col("file_id"), F.lit("/"), k.cast("string")))
         .alias("s3_key"),
         F.when(good, "processed").otherwise("rejected").alias("status"),
-        F.when(~good & (k != 15), M.FILE_DAMAGED).alias("reject_reason"), "seq")
+        F.when(~good & (k != 15), F.when(k % 3 == 0, F.concat(F.lit(M.FILE_DAMAGED), F.repeat(F.lit(" x"), 300)))
+               .otherwise(M.FILE_DAMAGED)).alias("reject_reason"),
+        "seq", "ts_us", F.concat(F.lit("w"), (k % 2).cast("string")).alias("token"))
 
 
 def failures(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.operators.candidates import fold_writes, merge_folds, resolve
+from folioworks.operators.candidates import accepted, fold_writes, merge_folds, resolve
 from folioworks.plans import ingest
 from folioworks.session import scratch
 from folioworks.settings import AGES, ARCHIVE_LIMITS, Ages, ArchiveLimits
@@ -96,13 +96,14 @@ def run_counts(counts: DataFrame, keys: list[str], spark: SparkSession) -> DataF
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
 
 
-def run_candidates(writes: DataFrame, spark: SparkSession, table: str | None = None, now: bool = True) -> str:
-    """Stream candidate writes into a table of folded batches. A replayed batch overwrites its own folder, and
+def run_candidates(writes: DataFrame, claims: DataFrame, spark: SparkSession, table: str | None = None,
+                   now: bool = True) -> str:
+    """Stream candidate writes into a table of folded batches, through the same checks as in batch. A replayed batch overwrites its own folder, and
     folds merge in any order, so each write counts once."""
     table = table or scratch(spark, "candidates")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fold_writes(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        fold_writes(accepted(batch, claims)).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     writer = writes.writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, "stream-state"))
     (writer.trigger(availableNow=True) if now else writer).start().awaitTermination()

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioworks.operators import candidates, metrics
+from folioworks.operators import candidates, metrics, lifecycle
 from folioworks.sources import logs
 from folioworks.streaming import jobs
 from tests.test_tables import WRITE, write
@@ -29,13 +29,17 @@ def test_log_lines_from_files_and_stream(spark, tmp_path):
 def test_candidate_table_survives_replays(spark, tmp_path):
     rows = [write(i, ["e", "g", None][i % 3], 0 if i % 3 != 2 else None, size=i) for i in range(12)] + [write(20, "e", 7, size=99)]
     df = spark.createDataFrame(rows, WRITE)
+    always = [(f, [(0, 0, None, None, "t", 1)]) for f in {r.source_file_id for r in df.collect()}]
+    claims = spark.createDataFrame(always, f"file_id string, wins array<{lifecycle.WIN}>")
+    stamped = df.withColumn("token", F.when(F.col("seq") == 20, "late").otherwise("t")).withColumn("ts_us", F.col("seq") + 1)
+    df = df.filter("seq <> 20")                                # its token has no claim
     for part in range(3):
-        df.filter(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stamped.filter(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table = str(tmp_path / "table")
     seen = []
     for per_trigger in (1, 1, 3):
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(str(tmp_path / "in"))
-        jobs.run_candidates(stream, spark, table if per_trigger == 1 else None)
+        stream = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", per_trigger).parquet(str(tmp_path / "in"))
+        jobs.run_candidates(stream, claims, spark, table if per_trigger == 1 else None)
         seen.append(sorted(map(str, jobs.read_candidates(spark, table).select(*df.columns).collect())))
     assert seen[0] == seen[1] == seen[2] == sorted(map(str, candidates.upsert(df).select(*df.columns).collect()))
 

@@ -47,7 +47,8 @@ def test_validity(spark, change, error):
     base = dict(status="processed", s3_key="k", reject_reason=None, content_hash="h", source_entry_name="e", entry_index=1)
     df = spark.createDataFrame([tuple({**base, **change}.values())],
                                "status string, s3_key string, reject_reason string, content_hash string, source_entry_name string, entry_index int")
-    valid, quarantined = candidates.split_valid(df)
+    marked = df.withColumn("error", candidates.validity_error())
+    valid, quarantined = marked.filter("error IS NULL"), marked.filter("error IS NOT NULL")
     assert [r.error for r in quarantined.collect()] == ([error] if error else [])
     assert valid.count() == (0 if error else 1)
 
