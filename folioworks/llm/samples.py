@@ -17,7 +17,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     """doc_id, text, y (0/1) of labelled documents outside fold `held`, about `rows` of them at most.
 
     Where more are labelled, those whose hashed id falls below a threshold are taken: the same filter holds on both
-    tables, so only that share of the texts is joined. Null ids and labels are left out; of several labels of one id the
+    tables, and the labels, whose number is bounded by `rows`, go to the texts, which stay where they are. Null ids and labels are left out; of several labels of one id the
     greatest counts.
     """
     usable = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -26,4 +26,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(SPAN)) < int(share * SPAN)
     truth = usable.filter(chosen).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.filter(chosen).join(truth, "doc_id")
+    return texts.filter(chosen).join(F.broadcast(truth), "doc_id")     # as many rows as are learned from, at most
