@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioworks import messages as M
 from folioworks.functions.names import base_name, file_ext, folder_depth, path_parts, trim
-from folioworks.functions.text import mismatch_reason
+from folioworks.functions.text import mismatch_reason, truncate_message
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
 
 
@@ -134,8 +134,8 @@ def _decided(rows: DataFrame, shown: Column) -> DataFrame:
         F.col("file_ext"), F.col("detected"), F.col("detected_reason"))))
     rows = rows.withColumn("_cut", cut)
     return rows.withColumn("_kept", shown & (F.col("_cut").isNull() | (F.col("entry_index") < F.col("_cut.entry_index")))
-                           ).withColumn("reject_reason", F.coalesce(own, F.when(
-                               F.col("_cut").isNotNull(), F.concat(F.lit(M.ARCHIVE_REJECTED + ": "), F.col("_cut.told")))))
+                           ).withColumn("reject_reason", truncate_message(F.coalesce(own, F.when(
+                               F.col("_cut").isNotNull(), F.concat(F.lit(M.ARCHIVE_REJECTED + ": "), F.col("_cut.told"))))))
 
 
 def entry_outcomes(candidates: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def archive_outcome(entries: DataFrame, order: list[str], limits: ArchiveLimits
         "archive",
         F.when(F.col("_guard").isNotNull() | F.col("_cut").isNotNull(), "rejected")
         .when(F.col("_rejected") > 0, "partial").otherwise("processed").alias("status"),
-        F.when(F.col("_guard").isNotNull(), F.concat(F.lit("File is unsafe: "), F.col("_guard")))
-        .otherwise(F.col("_cut.told")).alias("status_message"),
+        truncate_message(F.when(F.col("_guard").isNotNull(), F.concat(F.lit("File is unsafe: "), F.col("_guard")))
+                         .otherwise(F.col("_cut.told"))).alias("status_message"),
         F.when(F.col("_guard").isNull(), F.col("_total")).cast("int").alias("entries_total"),
         F.coalesce(F.col("_cut.entry_index"), F.when(F.col("_guard").isNull(), F.col("_total")), zero).cast("int")
         .alias("entries_done"),

@@ -196,7 +196,7 @@ def client_ext(spark, sf):
 def object_keys(spark, sf):
     doc, org = F.col("doc_id").cast("string"), F.col("lang")
     processed = names.processed_key(org, doc, F.col("file_name"))
-    return V.documents(spark, sf).select(
+    return V.described(spark, sf).select(
         "doc_id", names.incoming_key(org, F.col("source"), doc, F.col("file_name")).alias("incoming_key"),
         names.staging_key(org, F.col("source"), doc, F.col("doc_id") * 7, F.col("file_name")).alias("staging_key"),
         processed.alias("processed_key"), names.location("bucket", processed).alias("location"))
@@ -433,7 +433,7 @@ def purge_batch(spark, sf):
 
 @query
 def file_candidate_counts(spark, sf):
-    docs = V.documents(spark, sf)
+    docs = V.described(spark, sf)
     return review.file_candidate_counts(V.candidates(docs))
 
 
@@ -445,7 +445,7 @@ def batch_status(spark, sf):
 
 @query
 def batch_files(spark, sf):
-    docs = V.documents(spark, sf)
+    docs = V.described(spark, sf)
     return review.batch_files(V.files(V.candidates(docs)))
 
 
@@ -463,7 +463,7 @@ def dq_duplicate_candidates(spark, sf):
 
 @query
 def dq_open_files(spark, sf):
-    docs = V.documents(spark, sf)
+    docs = V.described(spark, sf)
     return quality.open_files(V.files(V.candidates(docs)))
 
 
@@ -497,7 +497,7 @@ def claim_counts(spark, sf):
 
 @query
 def risk_distribution(spark, sf):
-    docs = V.documents(spark, sf)
+    docs = V.described(spark, sf)
     return review.risk_distribution(V.library(docs))
 
 
@@ -557,6 +557,35 @@ def resume_point(spark, sf):
     return metrics.resume_point(_log(spark, sf))
 
 
+@query
+def resume_check(spark, sf):
+    lines = _log(spark, sf)
+    kills = lines.filter("event = 'retrying'").groupBy("file_id").agg(
+        F.max((F.unix_seconds("ts") % 7).cast("int")).alias("killed_at_entry"))
+    return metrics.check_resume(metrics.resume_point(lines), kills).select(
+        "file_id", "resumed_at", "killed_at_entry", "as_expected")
+
+
+@query
+def upload_eligibility(spark, sf):
+    rows = V.uploads(spark, sf).withColumn("_k", F.col("position") % 7).withColumn(
+        "file_ext", names.file_ext(F.col("file_name")))
+    state = {"status": F.when(F.col("_k") == 0, "validation-failed").otherwise("ready"), "valid": F.when(F.col("_k") != 1, F.col("_k") != 2),
+             "validated": F.when(F.col("_k") != 3, F.lit(True)),
+             "cloud": F.when(F.col("_k") == 4, "idle").when(F.col("_k") == 5, "failed").when(F.col("_k") == 6, "uploading")}
+    return rows.select("position", "file_ext", admission.can_start(
+        state["status"], state["valid"], F.col("file_ext"), state["validated"], state["cloud"]).alias("can_start"))
+
+
+@query
+def rejected_candidates(spark, sf):
+    cands = V.candidates(V.documents(spark, sf))
+    refused = V.files(cands).filter("is_archive AND source IN ('src2', 'src9', 'src11')").select(
+        "file_id", F.when(F.col("source") == "src9", F.repeat(F.lit("why "), 200)).when(
+            F.col("source") == "src11", F.col("status_message")).alias("status_message"))
+    return lifecycle.reject_candidates_of(cands, refused).select("staged_id", "status", "s3_key", "reject_reason")
+
+
 @query
 def recovery_timeline(spark, sf):
     return metrics.recovery_timeline(_log(spark, sf))
@@ -566,15 +595,15 @@ def recovery_timeline(spark, sf):
 
 @query
 def list_library(spark, sf):
-    docs = V.documents(spark, sf)
+    docs = V.described(spark, sf)
     return review.list_library(V.library(docs))
 
 
 @query
 def get_document(spark, sf):
-    docs = V.documents(spark, sf)
-    return review.get_document(V.library(docs), "en", "lib-1").select("document_id", "title", "file_name",
-                                                                          "size_bytes")
+    # The first of a title is only known among all of an organization's documents, so its filter is what the scan gets.
+    library = V.library(V.described(spark, sf).filter("lang = 'en'"))
+    return review.get_document(library, "en", "lib-1").select("document_id", "title", "file_name", "size_bytes")
 
 
 @query
@@ -597,12 +626,12 @@ def active_batches(spark, sf):
 
 @query
 def title_norm(spark, sf):
-    return V.documents(spark, sf).select("doc_id", "title_norm")
+    return V.described(spark, sf).select("doc_id", "title_norm")
 
 
 @query
 def file_name_norm(spark, sf):
-    return V.documents(spark, sf).select("doc_id", names.file_name_norm(F.col("file_name")).alias("file_name_norm"))
+    return V.described(spark, sf).select("doc_id", names.file_name_norm(F.col("file_name")).alias("file_name_norm"))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioworks import messages as M
 from folioworks.functions import names
-from folioworks.functions.text import mismatch_reason
+from folioworks.functions.text import mismatch_reason, truncate_message
 from folioworks.operators import archives as rules
 from folioworks.session import durable
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
@@ -46,7 +46,7 @@ def process(uploads: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> tuple
 
     documents = typed.filter("file_ext <> 'zip'")
     status, reason = source.document_outcome(F.col("file_ext"), F.col("detected_type"), F.col("_why"))
-    documents = documents.withColumn("status", status).withColumn("status_message", reason)
+    documents = documents.withColumn("status", status).withColumn("status_message", truncate_message(reason))
 
     boxes = typed.filter("file_ext = 'zip'")
     opened = boxes.filter("detected_type = 'zip'").select("path")
@@ -70,7 +70,7 @@ def process(uploads: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> tuple
     why = (F.when(F.col("detected_type") == "corrupt", M.DAMAGED)
            .when(~fits, mismatch_reason(F.lit("zip"), F.col("detected_type"), F.col("_why")))
            .otherwise(F.col("_cut.read_error")))
-    per_box = per_box.withColumn("status_message", why).withColumn(
+    per_box = per_box.withColumn("status_message", truncate_message(why)).withColumn(
         "status", F.when(F.col("status_message").isNotNull(), "rejected").when(F.col("_rejected") > 0, "partial")
         .otherwise("processed"))
     files = documents.select(

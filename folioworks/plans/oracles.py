@@ -661,6 +661,26 @@ ORACLES: dict[str, str] = {
         FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM good w
               WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
         WHERE NOT (entry_index IS NOT DISTINCT FROM i0 AND file_name = n0) GROUP BY ALL"""),
+    # The scale the SQL is compared at; these two read the table files themselves.
+    "src_manifest": "SELECT parse_filename(filename) AS name, size AS length FROM read_blob('/root/testdata/sf0.01/*.parquet')",
+    "src_file_hash": "SELECT parse_filename(filename) AS name, sha256(content) AS sha256, size AS bytes_read "
+                     "FROM read_blob('/root/testdata/sf0.01/*.parquet')",
+    "resume_check": over("log", """
+        SELECT file_id, resumed_at, killed_at_entry, resumed_at IN (killed_at_entry, killed_at_entry - 1) AS as_expected
+        FROM (SELECT file_id, min(entry_index) AS resumed_at FROM log WHERE attempt = 2
+              AND event IN ('entry_staged', 'entry_rejected') GROUP BY 1)
+        JOIN (SELECT file_id, max((ts_us // 1000000) % 7)::INTEGER AS killed_at_entry FROM log WHERE event = 'retrying' GROUP BY 1)
+        USING (file_id)"""),
+    "upload_eligibility": over("up", """
+        SELECT position, file_ext, NOT (k = 0 OR k IN (2, 3) OR file_ext = '') AND k <> 6 AS can_start
+        FROM (SELECT *, position % 7 AS k FROM up)"""),
+    "rejected_candidates": over("cand files", f"""
+        SELECT staged_id, CASE WHEN hit THEN 'rejected' ELSE status END AS status, CASE WHEN NOT hit THEN s3_key END AS s3_key,
+               CASE WHEN hit THEN CASE WHEN source = 'src9' THEN left('{M.ARCHIVE_REJECTED}: ' || repeat('why ', 200), 511) || '…'
+                                       WHEN source = 'src2' THEN '{M.ARCHIVE_REJECTED}'
+                                       ELSE '{M.ARCHIVE_REJECTED}: ' || said END ELSE reject_reason END AS reject_reason
+        FROM (SELECT c.*, f.status_message AS said, f.is_archive AND c.source IN ('src2', 'src9', 'src11') AND c.status = 'processed' AS hit
+              FROM cand c JOIN files f ON f.file_id = c.source_file_id)"""),
     "resume_point": over("log", """
         SELECT file_id, min(entry_index) AS resumed_at FROM log WHERE attempt = 2 AND event IN ('entry_staged', 'entry_rejected')
         GROUP BY 1"""),

@@ -34,11 +34,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with labels, titles and hashes. The title is built on the greatest word of the whole text.
-
-    Texts are read and hashed once, into a narrow durable table; everything else works on that.
-    """
+def described(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with labels, titles and hashes. The title is built on the greatest word of the whole text. Columns that
+    a query doesn't use are not computed, and its filters on given columns reach the scan."""
     ext = F.when(F.col("lang") == "de", "pdf").otherwise("docx")
     word = F.array_max(F.split("text", r"\s+"))
     # Everything derived from the text comes before the join, so that no text is shuffled.
@@ -48,7 +46,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("size_bytes"), F.sha2("text", 256).alias("content_hash"))
     named = named.withColumn("title", names.title_of(F.col("file_name"))).withColumn(
         "title_norm", names.title_norm(F.col("title")))
-    return durable(named.join(table(spark, sf, "labels"), "doc_id", "left"))
+    return named.join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a narrow written table, for queries that use it more than once: texts are read and hashed once."""
+    return durable(described(spark, sf))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
