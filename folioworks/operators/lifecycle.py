@@ -1,4 +1,4 @@
-"""File lifecycle: one table of transition rules, read by the batch fold here and by the keyed stream.
+"""File lifecycle: one table of transition rules, applied natively by the batch fold and, trigger by trigger, by the stream.
 
 staged → uploading → uploaded → processing → processed / partial / rejected / error. Writes after a claim are
 fenced: they count only while the file is processing under the token they carry. Every clock is in the data or an
@@ -136,12 +136,36 @@ def lifecycle_state(events: DataFrame, ages: Ages = AGES, hot_rows: int = FOLD_R
     return _open_claims(_fold(events.join(hot, "file_id", "left_anti"), ages).unionByName(slow))
 
 
-def _fold(events: DataFrame, ages: Ages) -> DataFrame:
-    history = events.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("created_us"), F.max("ts_us").alias("last_us"),
+def advance(events: DataFrame, ages: Ages, previous: DataFrame | None = None) -> DataFrame:
+    """Fold events onto `previous` (or onto new files): file_id, events, created_us, last_us, last_seq, late, state.
+
+    Events at or before a file's last one came too late: they are counted in `late` and change nothing. The events given
+    are gathered per file, so a stream calls this with what one trigger holds.
+    """
+    history = _judged(events).groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("_events"), F.min("ts_us").alias("_created"),
         F.sort_array(F.collect_list(F.struct(*EVENT_FIELDS))).alias("history"))
-    return history.select("file_id", "events", "created_us", "last_us",
-                          F.aggregate("history", initial_state(), lambda s, e: step(s, e, ages)).alias("state"))
+    if previous is None:
+        rows = history.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("events", "created_us", "last_us", "last_seq",
+                                                                                  "late")], initial_state().alias("_start"))
+    else:
+        rows = previous.withColumnRenamed("state", "_start").join(history, "file_id", "full_outer").withColumn(
+            "_start", F.coalesce("_start", initial_state())).withColumn(
+            "history", F.coalesce("history", F.array().cast(history.schema["history"].dataType)))
+    last = F.struct(F.col("last_us").alias("ts_us"), F.col("last_seq").alias("seq"))
+    fresh = F.filter("history", lambda e: F.col("last_us").isNull() | (F.struct(e["ts_us"], e["seq"]) > last))
+    rows = rows.withColumn("_fresh", fresh)
+    newest = F.try_element_at("_fresh", F.lit(-1))
+    return rows.select(
+        "file_id", (F.coalesce("events", F.lit(0)) + F.coalesce("_events", F.lit(0))).alias("events"),
+        F.least("created_us", "_created").alias("created_us"), F.coalesce(newest["ts_us"], "last_us").alias("last_us"),
+        F.coalesce(newest["seq"], "last_seq").alias("last_seq"),
+        (F.coalesce("late", F.lit(0)) + F.size("history") - F.size("_fresh")).cast("bigint").alias("late"),
+        F.aggregate("_fresh", F.col("_start"), lambda s, e: step(s, e, ages)).alias("state"))
+
+
+def _fold(events: DataFrame, ages: Ages) -> DataFrame:
+    return advance(events, ages).select("file_id", "events", "created_us", "last_us", "state")
 
 
 def _open_claims(folded: DataFrame) -> DataFrame:

@@ -47,6 +47,10 @@ def _states(spark, sf):
     return lifecycle.lifecycle_state(V.lifecycle(V.events(spark, sf)), V.LIFECYCLE_AGES)
 
 
+def _streamed_states(spark, sf):
+    return jobs.read_states(spark, jobs.run_lifecycle(V.lifecycle(V.event_stream(spark, sf)), spark, V.LIFECYCLE_AGES))
+
+
 def _accepted_writes(spark, sf):
     return candidates.accepted(V.candidate_writes(V.events(spark, sf)), _states(spark, sf))
 
@@ -772,16 +776,15 @@ def stream_intake(spark, sf):
 
 @query
 def stream_lifecycle(spark, sf):
-    out = jobs.lifecycle_updates(V.lifecycle(V.event_stream(spark, sf)), V.LIFECYCLE_AGES)
-    return jobs.latest_states(jobs.read_back(out, spark)).select(
+    return _streamed_states(spark, sf).select(
         "file_id", "status", "status_message", "attempt_count", "claim_token", "heartbeat_us", "uploaded_us",
         "entries_total", "entries_done", "detected_type")
 
 
 @query
 def stream_stale(spark, sf):
-    out = jobs.stale_alerts(V.lifecycle(V.event_stream(spark, sf)), V.LIFECYCLE_AGES, "1 hour")
-    return jobs.read_back(out, spark).select("file_id", "heartbeat_us", "attempt_count")
+    stale = jobs.stale_alerts(_streamed_states(spark, sf), V.LIFECYCLE_AGES, V.HOUR_US)
+    return stale.select("file_id", "heartbeat_us", "attempt_count")
 
 
 @query

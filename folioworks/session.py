@@ -80,7 +80,18 @@ def durable(df: DataFrame) -> DataFrame:
     return back.select(*[F.col(f"`{f.name}`") if f.name in names else F.lit(None).alias(f.name) for f in df.schema.fields])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application wrote under the shared folder; call it when its results are stored elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, application_dir(spark))

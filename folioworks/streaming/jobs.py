@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: intake, lifecycle state, silence alerts, log counts and the candidate table.
+"""Structured Streaming jobs: intake, lifecycle snapshots, silence alerts, log counts and the candidate table.
 
 Each function takes a streaming DataFrame and returns one, or writes through foreachBatch with one folder per batch
 id, which a replay overwrites: exactly once in effect. Checkpoints live in the cluster's shared folder.
@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from folioworks import messages as M
 from folioworks.operators.candidates import accepted, fold_writes, merge_folds, resolve
 from folioworks.plans import ingest
-from folioworks.session import scratch
+from folioworks.operators.lifecycle import STATE_FIELDS, advance
+from folioworks.session import durable, exists, remove, scratch
 from folioworks.settings import AGES, ARCHIVE_LIMITS, Ages, ArchiveLimits
-from folioworks.streaming.lifecycle import FIELDS, OUTPUT, LifecycleProcessor
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def intake(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -47,26 +47,56 @@ def run_ingest(objects: DataFrame, out: str, checkpoint: str, limits: ArchiveLim
     (writer.trigger(availableNow=True) if now else writer).start().awaitTermination()
 
 
-def _keyed(events: DataFrame, ages: Ages, timers: bool) -> DataFrame:
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.groupBy("file_id").transformWithState(
-        LifecycleProcessor(events.columns, ages, timers), OUTPUT, "Append", "EventTime" if timers else "None")
-
-
-def lifecycle_updates(events: DataFrame, ages: Ages = AGES) -> DataFrame:
-    """State of each file touched by a trigger. Events of one file are expected in order across triggers."""
-    return _keyed(events, ages, timers=False)
+SNAPSHOT = ("file_id string, events bigint, created_us bigint, last_us bigint, last_seq bigint, late bigint, state struct<"
+            + ", ".join(f"{name}: {kind}" for name, kind in STATE_FIELDS.items()) + ">")
+
+
+def run_lifecycle(events: DataFrame, spark: SparkSession, ages: Ages = AGES, table: str | None = None,
+                  keep_us: int | None = None, now: bool = True) -> str:
+    """Stream lifecycle events into a snapshot table: every trigger folds its events onto the previous snapshot with the
+    batch transition, by an equi join on the file.
+
+    A trigger's snapshot lies under its number, so a repeated trigger starts from the same one and overwrites its own.
+    Files that ended more than `keep_us` before the newest event of the previous snapshot are put aside as closed (None:
+    never), so the snapshot that travels on stays bounded. Snapshots before the previous one are deleted.
+    """
+    table = table or scratch(spark, "lifecycle")
+
+    def write(batch: DataFrame, trigger: int) -> None:
+        before, horizon = None, None
+        if trigger and exists(spark, f"{table}/open/trigger={trigger - 1}"):
+            before = spark.read.schema(SNAPSHOT).parquet(f"{table}/open/trigger={trigger - 1}")
+            horizon = before.agg(F.max("last_us")).first()[0]
+        after = advance(batch, ages, before)
+        if keep_us is not None and horizon is not None:
+            after = durable(after)
+            done = F.col("state.status").isin(*M.TERMINAL) & (F.col("last_us") < horizon - keep_us)
+            after.filter(done).write.mode("overwrite").parquet(f"{table}/closed/trigger={trigger}")
+            after = after.filter(~done)
+        after.write.mode("overwrite").parquet(f"{table}/open/trigger={trigger}")
+        remove(spark, f"{table}/open/trigger={trigger - 2}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/stream-state")
+    (writer.trigger(availableNow=True) if now else writer).start().awaitTermination()
+    return table
 
 
-def latest_states(updates: DataFrame) -> DataFrame:
-    """Newest state row per file."""
-    newest = F.max_by(F.struct(*FIELDS), F.struct("at_us", "at_seq"))
-    return updates.filter("change = 'state'").groupBy("file_id").agg(newest.alias("s")).select("file_id", "s.*")
+def read_states(spark: SparkSession, table: str) -> DataFrame:
+    """Every file's state in a streamed table: the newest snapshot and what was put aside as closed."""
+    found = spark.createDataFrame([], SNAPSHOT)
+    if exists(spark, f"{table}/open"):
+        rows = spark.read.schema(f"{SNAPSHOT}, trigger bigint").parquet(f"{table}/open")
+        newest = rows.agg(F.max("trigger")).first()[0]
+        found = found.unionByName(rows.filter(F.col("trigger") == newest).drop("trigger"))
+    if exists(spark, f"{table}/closed"):
+        found = found.unionByName(spark.read.schema(SNAPSHOT).parquet(f"{table}/closed").drop("trigger"))
+    return found.select("file_id", "events", "created_us", "last_us", "late", "state.*")
 
 
-def stale_alerts(events: DataFrame, ages: Ages = AGES, delay: str = "1 minute") -> DataFrame:
-    """Files whose heartbeat stayed silent past the limit, as the watermark passes it."""
-    return _keyed(events.withWatermark("ts", delay), ages, timers=True).filter("change = 'stale'")
+def stale_alerts(states: DataFrame, ages: Ages = AGES, delay_us: int = 60_000_000) -> DataFrame:
+    """Files whose heartbeat is older than the limit at the watermark: the newest event seen, less the delay."""
+    mark = states.agg((F.max("last_us") - delay_us - ages.stale_seconds * 1_000_000).alias("mark")).first()["mark"]
+    return states.filter((F.col("status") == "processing") & (F.col("heartbeat_us") < mark))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, now: bool = True):
@@ -91,7 +121,8 @@ def run_counts(counts: DataFrame, keys: list[str], spark: SparkSession) -> DataF
 
     (counts.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True)
      .option("checkpointLocation", scratch(spark, "stream-state")).start().awaitTermination())
-    rows = spark.read.parquet(path)
+    schema = StructType([*counts.schema.fields, StructField("batch_id", LongType())])
+    rows = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
     values = [c for c in counts.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
 

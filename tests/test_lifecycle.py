@@ -10,9 +10,47 @@ from folioworks.operators import lifecycle as L
 from folioworks.operators import sweeps
 from folioworks.settings import Ages
 from folioworks.streaming import jobs
-from folioworks.streaming.lifecycle import FIELDS, NEW_FILE, apply_event
 
 AGES = Ages(stale_seconds=30, max_attempts=3)
+PROGRESS = ("entries_total", "entries_done", "detected_type")
+FIELDS = ("status", "status_message", "attempt_count", "claim_token", "heartbeat_us", "uploaded_us", *PROGRESS)
+NEW_FILE = {**dict.fromkeys(FIELDS), "status": "staged", "attempt_count": 0, "entries_done": 0}
+
+
+def apply_event(state: dict, event: dict, ages: Ages) -> dict:
+    """State after one event, one dict at a time."""
+    kind, at, token = event["kind"], event["ts_us"], event["token"]
+    if kind == "claim":
+        silent = state["status"] == "processing" and state["heartbeat_us"] < at - ages.stale_seconds * 1_000_000
+        if state["attempt_count"] < ages.max_attempts and (state["status"] == "uploaded" or silent):
+            return {**state, "status": "processing", "attempt_count": state["attempt_count"] + 1,
+                    "claim_token": token, "heartbeat_us": at}
+        return state
+    rule = L.RULES.get(kind)
+    if rule is None or state["status"] not in rule.sources:
+        return state
+    if rule.fenced and (token is None or token != state["claim_token"]):
+        return state
+    if kind == "finish" and event["status"] not in M.TERMINAL:
+        return state
+    if kind == "progress" and all(event[name] is None for name in PROGRESS):
+        return state
+    after = dict(state)
+    if rule.to:
+        after["status"] = event["status"] if rule.to == "event" else rule.to
+    if rule.message:
+        after["status_message"] = event["message"] if rule.message == "event" else rule.message
+    if rule.stamps:
+        after[rule.stamps] = at
+    if rule.ends_claim:
+        after["claim_token"] = None
+    if kind == "progress":
+        for name in PROGRESS:
+            if event[name] is not None:
+                after[name] = event[name]
+    return after
+
+
 SCHEMA = ("file_id string, ts_us bigint, seq bigint, kind string, token string, status string, message string, "
           "entries_total int, entries_done int, detected_type string")
 
@@ -91,8 +129,19 @@ def test_stream_equals_fold_over_several_files_of_events(spark, tmp_path):
         spark.createDataFrame(order[part::1][part * len(order) // 3 - part:(part + 1) * len(order) // 3 - part], SCHEMA
                               ).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p={part}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = jobs.latest_states(jobs.read_back(jobs.lifecycle_updates(stream, AGES), spark))
-    assert as_dict(got) == by_loop(rows)[0]
+    table = jobs.run_lifecycle(stream, spark, AGES)
+    assert as_dict(jobs.read_states(spark, table)) == by_loop(rows)[0]
+    closed = jobs.run_lifecycle(stream, spark, AGES, str(tmp_path / "kept"), keep_us=1)
+    assert as_dict(jobs.read_states(spark, closed)) == by_loop(rows)[0]
+
+
+def test_late_events_are_counted_and_change_nothing(spark):
+    rows = sorted(histories(4, files=6, longest=20), key=lambda r: r[1])
+    half = len(rows) // 2
+    first = L.advance(spark.createDataFrame(rows[:half], SCHEMA), AGES)
+    again = L.advance(spark.createDataFrame(rows[half:] + rows[:5], SCHEMA), AGES, first)
+    assert as_dict(again.select("file_id", "state.*")) == by_loop(rows)[0]
+    assert again.agg(F.sum("late")).first()[0] == 5
 
 
 def test_sweeps(spark):
