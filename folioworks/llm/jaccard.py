@@ -8,9 +8,10 @@ more than d parts, and at least one part holds the same shingles in both. Sets w
 In a tree, documents are leaves in order of size; a node holds the OR of the token bitmaps below it and their range of
 sizes. Two nodes are traversed together only if their sizes are compatible and their bitmaps leave room for enough
 common shingles, and only while their documents are not all linked already; pairs of leaves that remain are compared
-exactly. Trees of the same members are one tree. A tree too large for a task is split into blocks: each block is
-traversed with the tree's first member; then, should links still be missing, members outside the largest component meet
-all blocks. So copies of one text, however many, never meet in all pairs, and no pair of different texts goes unseen.
+exactly. Trees that share members are one tree, so that each set is sent to one task. Only where that would be too
+large for a task, a tree stays with one signature (trees of the same members still are one) and is split into blocks:
+each block is traversed with the tree's first member; then, should links still be missing, members outside the largest
+component meet all blocks. So copies of one text, however many, never meet in all pairs, and no pair of different texts goes unseen.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ CACHE_WORDS = 400_000
 GROWTH = 1.25               # ratio of neighbouring size ranges
 BITS = 4096                 # of a token bitmap
 FANOUT = 8
-BLOCK_BYTES = 4 << 20       # shingles of one block of a tree
+BLOCK_BYTES = 8 << 20       # shingles of one block of a tree
 BROADCAST_ROWS = 1_000_000  # rows of two integers that may be broadcast; larger sides are shuffled
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -255,29 +256,38 @@ def forest(docs: DataFrame, sketches: DataFrame, classes: DataFrame, width: int,
     few = shared.count() <= BROADCAST_ROWS
     members = written(each.join(F.broadcast(shared) if few else shared, "sig").distinct()
                       .select("sig", F.col("k1").alias("node")), "members")
-    alike = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                       F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("first"))
+    # Sets joined by shared signatures form a cluster; all of a cluster stand in one tree, each once.
+    leaders = members.groupBy("sig").agg(F.min("node").alias("first"))
+    roots = components(members.join(leaders, "sig").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    nodes = members.select("node").distinct()
+    clusters = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"))
+    reps = classes.groupBy(F.col("k1").alias("node")).agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"))
+    placed = written(clusters.join(reps, "node"), "tree-nodes")
+    heavy = placed.groupBy("tree").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 > BLOCK_BYTES).select("tree")
+    # A cluster too large for one task stands in a tree per signature instead, trees of the same members in one.
+    inside = members.join(placed.join(heavy, "tree", "left_semi").select("node"), "node", "left_semi")
+    alike = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                      F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("first"))
     trees = alike.groupBy("c", "x", "y", "first").agg(F.min("sig").alias("sig")).select("sig", "first")
-    in_trees = written(members.join(trees, "sig").select(F.col("sig").alias("tree"), "node", "first"), "tree-members")
+    single = placed.join(heavy, "tree", "left_anti").select("tree", "node", F.col("tree").alias("first"))
+    in_trees = written(single.unionByName(inside.join(trees, "sig").select(F.col("sig").alias("tree"), "node", "first")),
+                       "tree-members")
 
-    reps = written(in_trees.select("node").distinct().join(
-        classes.groupBy(F.col("k1").alias("node")).agg(F.min("rep").alias("doc_id")), "node"), "tree-nodes")
-    chosen = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+    chosen = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
     sets = written(token_sets(docs.join(chosen, "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
 
-    rows = in_trees.join(sets, "node")
-    split = (in_trees.join(sets.select("node", "n"), "node").groupBy("tree")
+    split = (in_trees.join(placed.select("node", "n"), "node").groupBy("tree")
              .agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")))
-    rows = rows.join(split, "tree")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def traversed(members: DataFrame, places) -> DataFrame:
-        dealt = members.withColumn("block", F.explode(places)).select("tree", "block", "node", "tokens", "label")
-        return dealt.repartition("tree", "block").sortWithinPartitions("tree", "block").mapInArrow(
-            _traverse(num, den), "a bigint, b bigint")
+        """Tokens come last: what is dealt to blocks before is narrow."""
+        dealt = members.select("tree", "node", "label", F.explode(places).alias("block")).join(sets, "node")
+        return dealt.select("tree", "block", "node", "tokens", "label").repartition("tree", "block").sortWithinPartitions(
+            "tree", "block").mapInArrow(_traverse(num, den), "a bigint, b bigint")
 
-    first = written(traversed(rows.withColumn("label", F.col("node")),
+    first = written(traversed(in_trees.join(split, "tree").withColumn("label", F.col("node")),
                               F.when(F.col("node") == F.col("first"), every).otherwise(F.array(own))), "tree-links")
     wide = written(in_trees.join(split.filter("blocks > 1"), "tree"), "split-trees")
     if wide.isEmpty():
@@ -287,7 +297,7 @@ def forest(docs: DataFrame, sketches: DataFrame, classes: DataFrame, width: int,
     sizes = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c"))
     main = (sizes.groupBy("tree").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"))
             .filter("labels > 1").select("tree", F.col("most.label").alias("main")))
-    apart = labelled.join(main, "tree").join(sets, "node")
+    apart = labelled.join(main, "tree")
     second = traversed(apart, F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(every))
     return first.unionByName(second)
 
