@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioworks import messages as M
 from folioworks.functions.names import trim
 
 MESSAGE_MAX = 512
@@ -19,20 +20,20 @@ def truncate_message(message: Column) -> Column:
 
 def mismatch_reason(declared: Column, detected: Column, reason: Column) -> Column:
     """Why a file's content is not what its name claims."""
-    return (F.when(detected == "unsafe", F.concat(F.lit("File is unsafe: "), reason))
-            .when(detected == "corrupt", F.lit("File is damaged and cannot be read"))
-            .otherwise(F.concat(F.lit("File content does not match ."), declared,
-                                F.lit(" — it appears to be "), detected)))
+    return (F.when(detected == "unsafe", F.concat(F.lit(M.UNSAFE_FILE), reason))
+            .when(detected == "corrupt", F.lit(M.FILE_DAMAGED))
+            .otherwise(F.concat(F.lit(M.WRONG_TYPE), declared,
+                                F.lit(M.WRONG_TYPE_FOUND), detected)))
 
 
 def duplicate_upload_message(name: Column) -> Column:
     """Refusal of a name and size that the library already holds."""
-    return F.concat(F.lit("Duplicate file — "), name, F.lit(" has already been uploaded."))
+    return F.concat(F.lit(M.DUPLICATE), name, F.lit(M.ALREADY_UPLOADED))
 
 
 def duplicate_queue_message(name: Column) -> Column:
     """Refusal of a file that is already waiting."""
-    return F.concat(F.lit("Duplicate file — "), name, F.lit(" is already in the upload queue."))
+    return F.concat(F.lit(M.DUPLICATE), name, F.lit(M.ALREADY_QUEUED))
 
 
 def is_duplicate_message(message: Column) -> Column:
@@ -81,5 +82,5 @@ def is_blank(text: Column) -> Column:
 
 def empty_error(text: Column, kind: str) -> Column:
     """Client message for a document without any text, or NULL."""
-    message = {"html": "The HTML file is empty."}.get(kind, "The document appears to be empty.")
+    message = M.EMPTY_HTML if kind == "html" else M.EMPTY_DOCUMENT
     return F.when(is_blank(text), message)

@@ -36,6 +36,42 @@ FILE_DAMAGED = "File is damaged and cannot be read"
 ARCHIVE_REJECTED = "Archive rejected"
 BAD_CRC = "Bad CRC-32"
 
+# What breaks the guard; the first six follow an entry's name in single quotes.
+TOO_DENSE = " has an implausible compression ratio"
+UNSAFE_PATH = " has an unsafe path"
+ENCRYPTED = " is encrypted"
+REPEATED = " appears more than once"
+NAME_TOO_LONG = " has a file name longer than {} bytes"
+PATH_TOO_LONG = " has a path longer than {} characters"
+INDEX_DISAGREES = " does not match its index ("
+TOO_MANY_FILES = " files; limit is {}"
+
+# What is wrong with a file or an entry.
+UNSAFE_FILE = "File is unsafe: "
+WRONG_TYPE, WRONG_TYPE_FOUND = "File content does not match .", " — it appears to be "
+NOT_SUPPORTED = " is not supported"
+DUPLICATE, ALREADY_UPLOADED, ALREADY_QUEUED = "Duplicate file — ", " has already been uploaded.", " is already in the upload queue."
+EMPTY_HTML, EMPTY_DOCUMENT = "The HTML file is empty.", "The document appears to be empty."
+
+# The browser's checks of a selection and of what is inside an archive.
+EMPTY_FILE = "File is empty."
+BAD_PDF = "The PDF file is corrupted or invalid."
+BAD_ZIP = "The ZIP file is corrupted or cannot be read."
+ZIP_HAS_NOTHING = "The ZIP file does not contain any {} files that can be added."
+NO_EXTENSION_INSIDE = "Files without an extension are not supported."
+NOT_SUPPORTED_INSIDE = " is not supported inside a ZIP."
+NOT_A_FORMAT = " is not a supported format"
+FORMATS = "Unsupported file type. Supported formats: {}."
+OVER_MAXIMUM = "File exceeds the maximum size of "
+
+# Refusals of an upload request.
+OVER_CLOUD_LIMIT = "File exceeds the {} MB limit for cloud uploads."
+UNSUPPORTED = "Unsupported file type: "
+BATCH, BATCH_CLOSED = "Batch ", " is already "
+UPLOAD_NOT_FOUND = "404 Upload not found."
+EXTENSION_NOT_ALLOWED = "': extension not allowed (allowed: {})"
+KEY_OUTSIDE = "': s3_key must be under incoming/"
+
 # Failure codes of the object store, by meaning.
 NOT_FOUND_CODES = ("NoSuchKey", "404", "NotFound")
 DENIED_CODES = ("AccessDenied", "403", "Forbidden", "InvalidAccessKeyId", "SignatureDoesNotMatch",

@@ -30,10 +30,10 @@ def admit(requests: DataFrame, library: DataFrame, batches: DataFrame,
     return known.select(
         *requests.columns, "file_ext",
         F.when(big, 413).when(wrong, 400).when(twice | closed, 409).alias("http_status"),
-        F.when(big, f"File exceeds the {limits.max_bytes // MIB} MB limit for cloud uploads.")
-        .when(wrong, F.concat(F.lit("Unsupported file type: "), F.col("file_name")))
+        F.when(big, M.OVER_CLOUD_LIMIT.format(limits.max_bytes // MIB))
+        .when(wrong, F.concat(F.lit(M.UNSUPPORTED), F.col("file_name")))
         .when(twice, duplicate_upload_message(F.col("file_name")))
-        .when(closed, F.concat(F.lit("Batch "), F.col("batch_id"), F.lit(" is already "), F.col("_batch"),
+        .when(closed, F.concat(F.lit(M.BATCH), F.col("batch_id"), F.lit(M.BATCH_CLOSED), F.col("_batch"),
                                F.lit("."))).alias("detail"))
 
 
@@ -71,9 +71,9 @@ def seed_files(manifest: DataFrame, batch_id: str, organization_id: str,
         name.alias("file_name"), ext.alias("file_ext"), F.col("length").alias("size_bytes"),
         F.col("key").alias("s3_key"), (ext == "zip").alias("is_archive"), F.lit("staged").alias("status"),
         F.when(~ext.isin(*limits.exts), F.concat(F.lit("'"), name, F.lit(
-            f"': extension not allowed (allowed: {allowed})")))
+            M.EXTENSION_NOT_ALLOWED.format(allowed))))
         .when(~F.startswith("key", F.lit("incoming/")), F.concat(
-            F.lit("'"), F.col("key"), F.lit("': s3_key must be under incoming/"))).alias("error"))
+            F.lit("'"), F.col("key"), F.lit(M.KEY_OUTSIDE))).alias("error"))
 
 
 def upload_lookup(asked: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def upload_lookup(asked: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("upload_id", "s3_key", "file_id", F.col("status").alias("_status"))
     return asked.join(known, ["upload_id", "s3_key"], "left").select(
         *asked.columns, "file_id",
-        F.when(F.col("file_id").isNull(), "404 Upload not found.")
+        F.when(F.col("file_id").isNull(), M.UPLOAD_NOT_FOUND)
         .when(F.col("_status").isin("staged", "uploading"), "open").otherwise("done").alias("result"))
 
 
@@ -103,11 +103,11 @@ def queue_validation(selection: DataFrame, queued: DataFrame, limits: UploadLimi
     joined = keyed.join(_is_earlier_copy(selection), ["_name", "size_bytes"], "left").join(
         waiting, ["_name", "size_bytes"], "left")
     listed = ", ".join(e.upper() for e in limits.exts)
-    error = (F.when(~ext.isin(*limits.exts) & (raw != ""), F.concat(F.lit("."), raw, F.lit(" is not a supported format")))
-             .when(~ext.isin(*limits.exts), f"Unsupported file type. Supported formats: {listed}.")
-             .when(F.col("size_bytes") == 0, "File is empty.")
+    error = (F.when(~ext.isin(*limits.exts) & (raw != ""), F.concat(F.lit("."), raw, F.lit(M.NOT_A_FORMAT)))
+             .when(~ext.isin(*limits.exts), M.FORMATS.format(listed))
+             .when(F.col("size_bytes") == 0, M.EMPTY_FILE)
              .when(F.col("size_bytes") > limits.max_bytes, F.concat(
-                 F.lit("File exceeds the maximum size of "), format_bytes(F.lit(limits.max_bytes).cast("bigint")),
+                 F.lit(M.OVER_MAXIMUM), format_bytes(F.lit(limits.max_bytes).cast("bigint")),
                  F.lit(".")))
              .when(F.col("_queued") | (F.col("_first") < F.col("position")),
                    duplicate_queue_message(F.col("file_name"))))

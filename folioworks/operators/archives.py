@@ -38,18 +38,18 @@ def _entry_violation(limits: ArchiveLimits, name: Column, size: Column, csize: C
                      repeated: Column) -> Column:
     """First rule an index entry breaks, or NULL."""
     def says(text: str) -> Column:
-        return F.concat(F.lit("'"), name, F.lit(text))
+        return F.concat(F.lit("'"), name, F.lit("'" + text))
 
     too_dense = (csize != 0) & (size / F.nullif(csize, F.lit(0)) > limits.max_ratio)
-    return (F.when(too_dense, says("' has an implausible compression ratio"))
-            .when(unsafe_path(name), says("' has an unsafe path"))
-            .when(flags.bitwiseAND(1) == 1, says("' is encrypted"))
-            .when(repeated, says("' appears more than once"))
+    return (F.when(too_dense, says(M.TOO_DENSE))
+            .when(unsafe_path(name), says(M.UNSAFE_PATH))
+            .when(flags.bitwiseAND(1) == 1, says(M.ENCRYPTED))
+            .when(repeated, says(M.REPEATED))
             .when(F.octet_length(base_name(name)) > limits.max_name_bytes,
-                  says(f"' has a file name longer than {limits.max_name_bytes} bytes"))
+                  says(M.NAME_TOO_LONG.format(limits.max_name_bytes)))
             .when(F.length(name) > limits.max_path_chars,
                   F.concat(F.lit("'"), F.substring(name, 1, 80),
-                           F.lit(f"…' has a path longer than {limits.max_path_chars} characters"))))
+                           F.lit("…'" + M.PATH_TOO_LONG.format(limits.max_path_chars)))))
 
 
 def container_reason(look: Column, limits: ArchiveLimits) -> Column:
@@ -88,7 +88,7 @@ def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: A
         "_ext", file_ext(F.col("name")))
     reason = (F.when(folder_depth(F.col("name")) > limits.max_depth, M.TOO_DEEP)
               .when(F.col("_ext") == "", M.NO_EXTENSION)
-              .when(~F.col("_ext").isin(*limits.entry_exts), F.concat(F.lit("."), F.col("_ext"), F.lit(" is not supported"))))
+              .when(~F.col("_ext").isin(*limits.entry_exts), F.concat(F.lit("."), F.col("_ext"), F.lit(M.NOT_SUPPORTED))))
     return (rows.withColumn("_shown", F.col("_why").isNull() & F.col("_visible")).drop("_visible")
             .withColumn("file_name", base_name(F.col("name"))).withColumn("entry_reason", reason)
             .withColumn("file_ext", F.when(F.col("entry_reason").isNull(), F.col("_ext")).otherwise(
@@ -97,7 +97,7 @@ def _examined(entries: DataFrame, totals: DataFrame, order: list[str], limits: A
 
 def _archive_reason(limits: ArchiveLimits, n: Column, total: Column, first: Column) -> Column:
     """The guard's verdict from the entry count, the unpacked bytes and the first violation."""
-    return (F.when(n > limits.max_entries, F.concat(n.cast("string"), F.lit(f" files; limit is {limits.max_entries}")))
+    return (F.when(n > limits.max_entries, F.concat(n.cast("string"), F.lit(M.TOO_MANY_FILES.format(limits.max_entries))))
             .when(total > limits.max_total_bytes, M.TOO_LARGE_UNPACKED).otherwise(first))
 
 
@@ -128,7 +128,7 @@ def _decided(rows: DataFrame, shown: Column) -> DataFrame:
     its reject_reason."""
     broken = shown & F.col("entry_reason").isNull() & F.col("crc_error")
     told = (F.col("read_error") if "read_error" in rows.columns else F.concat(
-        F.lit("'"), F.col("name"), F.lit(f"' does not match its index ({M.BAD_CRC} for file '"), F.col("name"), F.lit("')")))
+        F.lit("'"), F.col("name"), F.lit(f"'{M.INDEX_DISAGREES}{M.BAD_CRC} for file '"), F.col("name"), F.lit("')")))
     cut = F.min(F.when(broken, F.struct("entry_index", told.alias("told")))).over(Window.partitionBy("archive"))
     own = F.coalesce("entry_reason", F.when(F.col("detected") != F.col("file_ext"), mismatch_reason(
         F.col("file_ext"), F.col("detected"), F.col("detected_reason"))))
@@ -168,7 +168,7 @@ def archive_outcome(entries: DataFrame, order: list[str], limits: ArchiveLimits
         "archive",
         F.when(F.col("_guard").isNotNull() | F.col("_cut").isNotNull(), "rejected")
         .when(F.col("_rejected") > 0, "partial").otherwise("processed").alias("status"),
-        truncate_message(F.when(F.col("_guard").isNotNull(), F.concat(F.lit("File is unsafe: "), F.col("_guard")))
+        truncate_message(F.when(F.col("_guard").isNotNull(), F.concat(F.lit(M.UNSAFE_FILE), F.col("_guard")))
                          .otherwise(F.col("_cut.told"))).alias("status_message"),
         F.when(F.col("_guard").isNull(), F.col("_total")).cast("int").alias("entries_total"),
         F.coalesce(F.col("_cut.entry_index"), F.when(F.col("_guard").isNull(), F.col("_total")), zero).cast("int")
@@ -184,10 +184,10 @@ def zip_precheck(entries: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) ->
     shown = entries.filter(~(F.contains(name, F.lit("__MACOSX/")) | F.startswith(
         F.try_element_at(F.split(name, "/"), F.lit(-1)), F.lit("."))))
     problem = (F.when(F.size(segments) - 1 > limits.max_depth, M.TOO_DEEP)
-               .when(ext == "", "Files without an extension are not supported.")
-               .when(~ext.isin(*limits.entry_exts), F.concat(F.lit("."), ext, F.lit(" is not supported inside a ZIP.")))
-               .when((ext == "pdf") & (F.col("size") == 0), "File is empty.")
-               .when((ext == "pdf") & ~F.col("signature_ok"), "The PDF file is corrupted or invalid."))
+               .when(ext == "", M.NO_EXTENSION_INSIDE)
+               .when(~ext.isin(*limits.entry_exts), F.concat(F.lit("."), ext, F.lit(M.NOT_SUPPORTED_INSIDE)))
+               .when((ext == "pdf") & (F.col("size") == 0), M.EMPTY_FILE)
+               .when((ext == "pdf") & ~F.col("signature_ok"), M.BAD_PDF))
     return shown.withColumn("problem", problem).withColumn(
         "warning", F.when(F.col("problem").isNotNull(), F.concat(name, F.lit(": "), F.col("problem"))))
 
@@ -201,6 +201,6 @@ def zip_precheck_verdict(archives: DataFrame, checked: DataFrame, limits: Archiv
     rows = archives.join(counts, "archive", "left").fillna({"usable": 0, "warnings": 0})
     return rows.select(
         "archive", "usable", "warnings",
-        F.when(F.col("error").isNotNull(), "The ZIP file is corrupted or cannot be read.")
-        .when(F.col("usable") == 0, f"The ZIP file does not contain any {allowed} files that can be added.")
+        F.when(F.col("error").isNotNull(), M.BAD_ZIP)
+        .when(F.col("usable") == 0, M.ZIP_HAS_NOTHING.format(allowed))
         .alias("error")).withColumn("archive_valid", F.col("error").isNull())

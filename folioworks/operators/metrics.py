@@ -153,8 +153,3 @@ def sweep_windows(lines: DataFrame, seconds: int = 15) -> DataFrame:
 def event_counts(lines: DataFrame) -> DataFrame:
     """Lines per level and event."""
     return lines.groupBy("level", "event").agg(F.count(F.lit(1)).alias("lines"))
-
-
-def late(column: Column, as_of_us: int, seconds: int) -> Column:
-    """Older than `seconds` at `as_of`."""
-    return column < F.lit(as_of_us - seconds * 1_000_000)

@@ -1,41 +1,7 @@
-"""Row shapes of the document-ingest tables."""
+"""Row shape of the JSON logs."""
 
 from __future__ import annotations
 
-UPLOAD_BATCH = "batch_id string, organization_id string, created_by bigint, status string, created_at timestamp"
-
-UPLOAD_FILE = (
-    "file_id string, batch_id string, organization_id string, client_ref string, file_name string, file_ext string, "
-    "size_bytes bigint, content_type string, content_hash string, s3_key string, upload_id string, "
-    "is_archive boolean, intent string, replaces_document_id string, detected_type string, status string, "
-    "status_message string, entries_total int, entries_done int, attempt_count int, claim_token string, "
-    "heartbeat_at timestamp, uploaded_at timestamp, created_at timestamp, updated_at timestamp")
-
-STAGED_DOCUMENT = (
-    "staged_id string, batch_id string, organization_id string, source_file_id string, source_entry_name string, "
-    "entry_index int, file_name string, file_ext string, size_bytes bigint, content_hash string, s3_key string, "
-    "status string, reject_reason string, proposed_title string, confirmed_title string, title_norm string, "
-    "proposed_document_type_id bigint, confirmed_document_type_id bigint, duplicate_of_document_id string, "
-    "duplicate_kind string, resolution string, video_script_seq int, created_at timestamp, updated_at timestamp")
-
-LIBRARY_DOCUMENT = (
-    "document_id string, organization_id string, title string, title_norm string, file_name string, "
-    "file_name_norm string, document_type_id bigint, current_version int, s3_key string, file_ext string, "
-    "size_bytes bigint, content_hash string, source_file_id string, video_script_seq int, status string, "
-    "added_at timestamp, updated_at timestamp, version_uploaded_at timestamp, version_uploaded_by bigint, "
-    "last_scanned_at timestamp, last_scan_id string, highest_risk string, open_findings int")
-
-AUDIT_LOG = (
-    "id string, organization_id string, user_id bigint, action string, entity_type string, entity_id string, "
-    "details struct<added:array<string>, still_in_progress:int, skipped:array<struct<staged_id:string, "
-    "reason:string>>>, request_id string, created_at timestamp")
-
-ARCHIVE_ENTRY = "archive string, entry_pos int, name string, size bigint, csize bigint, flags int"
-
-LIFECYCLE_EVENT = (
-    "file_id string, ts timestamp, seq bigint, kind string, token string, status string, message string, "
-    "entries_total int, entries_done int, detected_type string")
-
 LOG_LINE = (
     "ts string, level string, event string, logger string, pid int, file_id string, batch_id string, "
     "task_id string, attempt int, entry_index int, status string, reason string, countdown int, sweep string, "

@@ -195,7 +195,7 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
         except (*FORMAT_ERRORS, RuntimeError) as problem:
             # zipfile reports a password-protected entry as a bare RuntimeError.
             text = str(problem) or type(problem).__name__
-            return None, length, True, f"'{info.filename}' does not match its index ({text})", None, None
+            return None, length, True, f"'{info.filename}'{M.INDEX_DISAGREES}{text})", None, None
         return digest.hexdigest(), length, False, None, head, None
 
     def extract(run) -> Iterator[tuple]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 64 * 1024
+BUFFER = 8 * 1024 * 1024
 
 
 def manifest(spark: SparkSession, prefix: str, pattern: str | None = None) -> DataFrame:
@@ -38,10 +39,12 @@ def open_object(path: str):
 
 
 def hash_objects(objects: DataFrame) -> DataFrame:
-    """SHA-256 and byte count of each `path`, streamed in 64 KB blocks: any object size, constant memory."""
+    """SHA-256 and byte count of each `path`, streamed through a buffer: any object size, constant memory, one ranged
+    request of a store for many blocks."""
     def digest(path: str) -> tuple[str, str, int]:
         seen, total = hashlib.sha256(), 0
-        with open_object(path) as source:
+        store, plain = filesystem(path)
+        with store.open_input_stream(plain, buffer_size=BUFFER) as source:
             while block := source.read(BLOCK):
                 seen.update(block)
                 total += len(block)
@@ -74,7 +77,9 @@ def run_object_plan(plan: DataFrame, root: str) -> None:
         for row in rows:
             target = f"{base}/{row.dst}"
             if store.get_file_info(f"{base}/{row.src}").type == fs.FileType.NotFound:
-                continue
+                if store.get_file_info(target).type == fs.FileType.NotFound:
+                    raise FileNotFoundError(f"neither {row.src} nor {row.dst} exists under {root}")
+                continue            # moved by an earlier run of the same plan
             store.create_dir(target.rsplit("/", 1)[0], recursive=True)
             with store.open_input_stream(f"{base}/{row.src}") as source, store.open_output_stream(target) as out:
                 shutil.copyfileobj(source, out, BLOCK)
