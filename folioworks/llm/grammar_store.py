@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs, written
-from folioworks.llm.token_ids import TextEncoder, gather
+from folioworks.llm.token_ids import encoder, gather
 
 FIRST_RULE = 1 << 17        # nonterminals are numbered from here
 BUCKETS = 1 << 18
@@ -142,7 +142,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_to
     single longer document makes a longer block. Other columns are not read. An empty table gives no blocks.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = TextEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        reader, part, block = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         sizes: list[np.ndarray] = []
@@ -163,7 +163,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_to
 
         for batch in batches:
             for run in runs(batch, "text"):
-                flat, n = encoder.encode(run.column("text").to_pylist())
+                flat, n = reader.encode(run.column("text").to_pylist())
                 closed = np.insert(flat, np.cumsum(n), end_id)
                 ids.append(closed)
                 sizes.append(n + 1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs, written
-from folioworks.llm.token_ids import TextEncoder
+from folioworks.llm.token_ids import encoder
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, doc_id: str = "doc_id",
@@ -30,11 +30,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, doc_id:
     `part` and `local_rank` number the pieces of each length within the task that read them.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = TextEncoder(tokenizer_path), TaskContext.get().partitionId()
+        reader, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for run in runs(batch, "text"):
-                ids, n = encoder.encode(run.column("text").to_pylist())
+                ids, n = reader.encode(run.column("text").to_pylist())
                 closed = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 parts = -(-n // size)

@@ -2,7 +2,7 @@
 
 All unseen pre-tokens of a batch lie in one flat array of symbols. A round finds each sequence's lowest-ranked adjacent
 pair and merges all its occurrences in every sequence at the same time; sequences without a known pair leave. What
-survives is counted. Counts of chunks and pre-tokens are kept per task, so each distinct word is merged about once.
+survives is counted. Counts of chunks and pre-tokens are kept per worker process, so each distinct word is merged about once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,12 @@ class MergeCounter:
         return [sum(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> MergeCounter:
+    """The worker process's counter: tasks that follow one another in it share what it knows."""
+    return MergeCounter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
@@ -128,10 +135,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, doc_id
     gives no rows, other columns are not read. Texts of any length are counted whole.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(tokenizer_path)
+        known = counter(tokenizer_path)
         for batch in batches:
             for run in runs(batch, "text"):
-                counts = counter.count(run.column("text").to_pylist())
+                counts = known.count(run.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("n_bytes"),
                                                   pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

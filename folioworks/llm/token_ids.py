@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once per task.
+"""Token ids of whole texts by the tokenizers library, each distinct word encoded about once per worker process.
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its space-separated
 chunks in order. A chunk of Latin letters with trailing punctuation is one word and one mark; any other chunk goes through the
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -105,10 +106,16 @@ class TextEncoder:
         both = self.parts[at].reshape(-1)       # a word, its mark, the next word, …
         ids, sizes = gather(self.flat, self.starts[both], self.lengths[both])
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
+        bounds = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
         return ids, np.diff(ends[2 * bounds])
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> TextEncoder:
+    """The worker process's encoder: tasks that follow one another in it share what it knows."""
+    return TextEncoder(path)
+
+
 def _room(values: np.ndarray, rows: int) -> np.ndarray:
     """`values`, grown so that it has at least `rows` rows."""
     while len(values) < rows:
