@@ -31,7 +31,7 @@ STEMS = (4, 5, 6)       # letters of a word that also count as terms
 class Settings:
     """train_rows bounds the labelled rows that are fitted; everything else sizes the model."""
 
-    train_rows: int = 16_000
+    train_rows: int = 12_000
     hash_bits: int = 20
     features: int = 2048
     least_docs: int = 5
@@ -113,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     y = np.array([r["y"] for r in rows], float)
     sets = [np.frombuffer(r["terms"], "<u4") for r in rows]
     flat, sizes = np.concatenate([np.zeros(0, np.uint32), *sets]), np.array([len(s) for s in sets], np.int64)
+    del rows, sets
     row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    hits = np.bincount(flat, y[row], 1 << bits) if len(flat) else np.zeros(1 << bits)
+    hits = np.bincount(flat[(y > 0)[row]], minlength=1 << bits)
     seen = np.bincount(flat, minlength=1 << bits)
     ones = max(y.sum(), 1.0)
     zeros = max(len(y) - y.sum(), 1.0)
