@@ -17,6 +17,7 @@ from folioworks.llm import decontaminate, jaccard, lines, packing, toxicity
 from folioworks.llm.tables import table, written
 
 SEQUENCE = 2048
+REPEATED = lines.Seldom(ratio=0.01, long_ratio=0.001, long_words=20, least_pages=3)
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -37,8 +38,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of their source's documents (and on ten at least) leave the texts."""
-    found = lines.drop_boilerplate(_carried(docs), F.col("source"), lines.text_lines(F.col("text")), 0.1, 10)
+    """Lines on more than a tenth of their source's documents (and on ten at least) leave the texts, and so do those that
+    REPEATED finds; documents that consist mostly of the latter are copies, which the next stage thins out."""
+    found = lines.drop_boilerplate(_carried(docs), F.col("source"), lines.text_lines(F.col("text")), 0.1, 10, REPEATED)
     chars = F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("bigint")).otherwise(F.col("_row.n_chars"))
     return _restored(found, docs, text=F.col("kept"), n_chars=chars)
 

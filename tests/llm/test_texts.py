@@ -57,6 +57,30 @@ def test_lines_against_brute_force(spark):
     assert lines.drop_boilerplate(table.limit(0), F.col("site"), lines.text_lines(F.col("body"))).count() == 0
 
 
+def test_pipeline_drops_repeated_passages(spark):
+    """A long passage on a few documents of a large source goes; single lines, pairs and what copies share stay."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    own = {i: [" ".join(f"own{i}x{k}w{n}" for n in range(25)) for k in range(3)] for i in range(2000)}
+    passage, short, pair = (" ".join(f"{w}{n}" for n in range(30)) for w in ("passage", "short", "pair"))
+    short = " ".join(short.split()[:6])
+    for i in range(0, 1000, 250):
+        own[i].append(passage)                      # 4 of 2,000: 0.2%
+    for i in range(0, 2000, 50):
+        own[i].insert(1, short)                     # 40 of 2,000: 2%
+    for i in (1, 2):
+        own[i].append(pair)
+    texts = {i: "\n".join(x) for i, x in own.items()}
+    copied = " ".join(f"copied{n}" for n in range(200))
+    texts |= {2000 + i: f"{copied}\nlast {i}" for i in range(6)}
+    rows = [(i, t, "en", "big", len(t)) for i, t in texts.items()] + [(9000, passage, "en", "other", len(passage)), (9001, None, "en", "big", 0)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in pipeline.repeated_lines(spark, table, SF).collect()}
+    assert len(got) == len(rows)
+    for i, t, _, source, _ in rows:
+        want = t if t is None or source != "big" else "\n".join(x for x in t.split("\n") if x not in (passage, short))
+        assert (got[i].text, got[i].n_chars) == (want, len(want or ""))
+
+
 def test_html_lines_and_hosts(spark):
     html = "<p>one<b> two</b></p><SCRIPT>\nvar x</script><!-- no\n --><style>p{}</style><li> three </li>"
     row = spark.createDataFrame([(html, "https://A.Example.com:80/x?y"), (None, None), ("", "x")], "h string, u string").select(
