@@ -16,6 +16,7 @@ component meet all blocks. So copies of one text, however many, never meet in al
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,7 +95,12 @@ def parts_of(c: int, num: int, den: int) -> tuple[np.ndarray, int]:
     differing = (most + most * den // num) * (den - num) // (den + num)
     if not differing:
         return np.zeros(0, np.uint64), 0        # only equal sets can be linked
-    spare = 1 + differing // 300
+    # A set with more empty parts than `spare` needs the catch-all: as many as the smallest sets are likely to have.
+    spare, least = 1, int(size_ranges()[c])
+    for _ in range(4):
+        k = differing + 1 + spare
+        mean = k * math.exp(-least / k)
+        spare = 1 + int(mean + 3 * math.sqrt(mean))
     k = differing + 1 + spare
     return np.array([((i + 1) << 64) // k - 1 for i in range(k)], np.uint64), spare
 

@@ -91,6 +91,17 @@ def test_linked_sets_share_a_signature():
                 assert set(jaccard.signatures(x, num, den).tolist()) & set(jaccard.signatures(y, num, den).tolist())
 
 
+def test_few_sets_need_a_catch_all():
+    """Sets of any size are dealt by their parts; those with too many empty ones would all meet in one tree."""
+    rng = np.random.default_rng(5)
+    for num, den in ((9, 10), (4, 5)):
+        for n in (100, 300, 800, 3000):
+            with np.errstate(over="ignore"):
+                spare = {int(jaccard.mix(np.full(1, c, np.uint64) * jaccard._B + jaccard._C)[0]) for c in range(60)}
+            sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(40)]
+            assert sum(bool(spare & set(jaccard.signatures(s, num, den).tolist())) for s in sets) <= 2
+
+
 def test_tree_bounds_lose_no_link():
     rng = random.Random(4)
     sets = [np.unique(np.array([hash((rng.randint(0, 3), k)) & (1 << 62) - 1 for k in range(rng.randint(5, 90))], np.uint64)) for _ in range(90)]
