@@ -46,10 +46,18 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 the one with the smallest id stays."""
-    found = jaccard.near_duplicates(docs, width=5, num=4, den=5)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by five-word shingles at 0.8 one row stays, the one with the smallest id.
+
+    Repeated rows count as copies, and so do rows without an id, of which one stays where no linked row has an id. A second,
+    different text under an id is a document of its own. Texts without words all stay.
+    """
+    less = written(jaccard.surplus(docs, width=5, num=4, den=5), "surplus")
+    keyed, both = jaccard.with_keys(docs), ["row_id", "text_key"]
+    kept = keyed.join(less.select(*both), both, "left_anti")
+    repeated = less.filter("keep = 1").select(*both)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, both, "left_semi").dropDuplicates(both))
+    return kept.select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

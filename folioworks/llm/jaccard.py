@@ -133,7 +133,7 @@ def set_keys(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (set identity), sigs of every row (doc_id, text)."""
+    """doc_id, text_key, n (set size), k1, k2 (set identity), sigs of every row (doc_id, text_key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
@@ -144,10 +144,11 @@ def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]),
-                     pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["doc_id", "n", "k1", "k2", "sigs"])
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+                    [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                    ["doc_id", "text_key", "n", "k1", "k2", "sigs"])
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
 
 
 def token_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -318,18 +319,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     copy only, and has the smallest id of its component or null. An empty table gives no rows; other columns are not
     read; texts are taken whole.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"),
+                       F.col(text).alias("text"))
+    sketches, rooted = _rooted(rows, width, num, den, True)
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("n", "k1", "k2", "component_id")
+    linked = sketches.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _rooted(rows: DataFrame, width: int, num: int, den: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows (doc_id, text_key, text), and n, k1, k2, rep (smallest id), root (component) of every set;
+    `by_id`: texts of one id are linked."""
     sketches = written(sketch(rows, width, num, den), "sketches")
     filled = sketches.filter("n > 0")
     classes = written(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     links = forest(rows, sketches, classes, width, num, den)
-    texts = filled.filter("doc_id is not null").select("doc_id", "k1")
-    several = texts.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("hi")).filter("a <> hi").select("doc_id", "a")
-    same_id = texts.join(several, "doc_id").select("a", F.col("k1").alias("b"))
-    roots = components(links.unionByName(same_id))
-    rooted = classes.join(roots, classes["k1"] == roots["node"], "left").select(
+    if by_id:
+        texts = filled.filter("doc_id is not null").select("doc_id", "k1")
+        several = texts.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("hi")).filter("a <> hi").select("doc_id", "a")
+        links = links.unionByName(texts.join(several, "doc_id").select("a", F.col("k1").alias("b")))
+    roots = components(links)
+    return sketches, classes.join(roots, classes["k1"] == roots["node"], "left").select(
         "n", "k1", "k2", "rep", F.coalesce("root", "k1").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("n", "k1", "k2", "component_id")
-    linked = sketches.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def surplus(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """row_id, text_key, keep: of the rows of `docs` with both, `keep` (0 or 1) are to stay; rows not named here all stay.
+
+    Of each component of texts one row stays: the one of the smallest id, then of the smallest text_key (xxhash64 of the
+    text). row_id is the id, or the text_key of a row without one; such rows link like any other, and stay only where
+    their component has no id. Different texts of one id are different documents. Texts without words are not named.
+    """
+    rows = with_keys(docs).select(F.col("row_id").alias("doc_id"), "text_key", "text")
+    sketches, rooted = _rooted(rows, width, num, den, False)
+    linked = written(sketches.filter("n > 0").select("doc_id", "text_key", "n", "k1", "k2").join(
+        rooted.select("n", "k1", "k2", "root"), ["n", "k1", "k2"]).select(F.col("doc_id").alias("row_id"), "text_key", "root"),
+        "linked-rows")
+    first = F.min(F.struct((F.col("row_id") == F.col("text_key")).alias("no_id"), "row_id", "text_key")).alias("f")
+    best = linked.groupBy("root").agg(first).select("f.row_id", "f.text_key", F.lit(1).alias("keep"))
+    counted = linked.groupBy("row_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    return (counted.join(best, ["row_id", "text_key"], "left").filter("keep is null or n > 1")
+            .select("row_id", "text_key", F.coalesce("keep", F.lit(0)).alias("keep")))
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text and any others) and the row_id and text_key of every row."""
+    key = F.xxhash64("text")
+    return docs.withColumns({"row_id": F.coalesce(F.col("doc_id").cast("bigint"), key), "text_key": key})

@@ -81,6 +81,23 @@ def test_pipeline_drops_repeated_passages(spark):
         assert (got[i].text, got[i].n_chars) == (want, len(want or ""))
 
 
+def test_one_row_stays_of_near_duplicates(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(60)) for x in "abcd")
+    near = {x: x[:-3] + "end" for x in (a, b, c, d)}
+    rows = [(1, a), (1, a), (2, near[a]), (None, a), (None, near[a]),       # one row of id 1 stays
+            (2, b), (3, near[b]),                                           # a second text under id 2, which loses above
+            (None, c), (None, c), (None, near[c]),                          # no id anywhere: one row stays
+            (4, d), (4, "all other words than those of d"), (5, None), (5, None), (6, ""), (None, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, table, SF).collect()]
+    (free,) = [r for r in got if r[0] is None and r[1]]
+    assert free[1] in (c, near[c])
+    want = [(1, a), (2, b), free, (4, d), (4, rows[11][1]), (5, None), (5, None), (6, ""), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_html_lines_and_hosts(spark):
     html = "<p>one<b> two</b></p><SCRIPT>\nvar x</script><!-- no\n --><style>p{}</style><li> three </li>"
     row = spark.createDataFrame([(html, "https://A.Example.com:80/x?y"), (None, None), ("", "x")], "h string, u string").select(
