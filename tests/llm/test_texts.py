@@ -98,6 +98,17 @@ def test_one_row_stays_of_near_duplicates(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_short_items_remove_what_they_cover(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    ten = " ".join(f"q{n}" for n in range(12))
+    spark.createDataFrame([(1, "yes"), (2, "the answer"), (3, ten)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "yes that is a long and clean document"), (2, "Yes, yes!"), (3, "so the answer yes"), (4, f"before it {ten} " + "and more " * 40),
+            (5, "yes " + " ".join(ten.split()[:9]) + " no"), (6, None), (7, "the answer to some other thing")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in pipeline.benchmark_leaks(spark, table, str(tmp_path)).collect()} == {1, 5, 6, 7}
+
+
 def test_html_lines_and_hosts(spark):
     html = "<p>one<b> two</b></p><SCRIPT>\nvar x</script><!-- no\n --><style>p{}</style><li> three </li>"
     row = spark.createDataFrame([(html, "https://A.Example.com:80/x?y"), (None, None), ("", "x")], "h string, u string").select(
