@@ -24,6 +24,7 @@ from folioworks.llm.tables import runs
 
 WORDS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
+GROUP = 500             # sets counted at a time
 STEMS = (4, 5, 6)       # letters of a word that also count as terms
 
 
@@ -31,7 +32,7 @@ STEMS = (4, 5, 6)       # letters of a word that also count as terms
 class Settings:
     """train_rows bounds the labelled rows that are fitted; everything else sizes the model."""
 
-    train_rows: int = 12_000
+    train_rows: int = 16_000
     hash_bits: int = 20
     features: int = 2048
     least_docs: int = 5
@@ -58,17 +59,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + _margin(row, flat, len(sizes), self.weights, self.factors)[0], -30, 30)))
 
 
-def _sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    if values.ndim == 1:
-        return np.bincount(row, values, n)
-    return np.stack([np.bincount(row, values[:, f], n) for f in range(values.shape[1])], axis=1)
-
-
 def _margin(row, col, n, weights, factors):
-    """Linear part plus half of (square of sums minus sum of squares), and the sums of factors."""
-    v = factors[col]
-    sums = _sums(row, v, n)
-    return _sums(row, weights[col], n) + 0.5 * (sums ** 2 - _sums(row, v ** 2, n)).sum(axis=1), sums
+    """Linear part plus half of (square of sums minus sum of squares), and the sums of factors; one factor at a time."""
+    each = [factors[:, f] for f in range(factors.shape[1])]
+    sums = np.stack([np.bincount(row, v[col], n) for v in each], axis=1)
+    squares = np.stack([np.bincount(row, (v ** 2)[col], n) for v in each], axis=1)
+    return np.bincount(row, weights[col], n) + 0.5 * (sums ** 2 - squares).sum(axis=1), sums
 
 
 class Terms:
@@ -112,11 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     rows = sorted(sample.mapInArrow(terms, "doc_id bigint, y int, terms binary").collect())
     y = np.array([r["y"] for r in rows], float)
     sets = [np.frombuffer(r["terms"], "<u4") for r in rows]
-    flat, sizes = np.concatenate([np.zeros(0, np.uint32), *sets]), np.array([len(s) for s in sets], np.int64)
-    del rows, sets
-    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    hits = np.bincount(flat[(y > 0)[row]], minlength=1 << bits)
-    seen = np.bincount(flat, minlength=1 << bits)
+    del rows
+    hits, seen = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for start in range(0, len(sets), GROUP):            # all terms at once would take many times the memory of the sets
+        for counts, chosen in ((seen, range(start, min(start + GROUP, len(sets)))),
+                               (hits, [i for i in range(start, min(start + GROUP, len(sets))) if y[i] > 0])):
+            counts += np.bincount(np.concatenate([np.zeros(0, np.uint32), *[sets[i] for i in chosen]]), minlength=1 << bits)
     ones = max(y.sum(), 1.0)
     zeros = max(len(y) - y.sum(), 1.0)
     spread = np.sqrt(np.maximum(seen, 1) / max(len(y), 1) * (1 / ones + 1 / zeros))
@@ -125,8 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     best = best[weight[best] > 3]                       # differences beyond chance
     feature = np.full(1 << bits, -1, np.int32)
     feature[best] = np.arange(len(best))
-    kept = feature[flat] >= 0
-    bias, weights, factors = _descend(row[kept], feature[flat[kept]], y, len(best), settings)
+    found = [f[f >= 0] for f in (feature[s] for s in sets)]
+    del sets
+    row = np.repeat(np.arange(len(y)), [len(f) for f in found])
+    col = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.intp)
+    bias, weights, factors = _descend(row, col, y, len(best), settings)
     return Machine(feature, bias, weights, factors, bits)
 
 
@@ -144,7 +144,8 @@ def _descend(row, col, y, features, s: Settings):
         error = (1 / (1 + np.exp(-np.clip(state[0][0] + margin, -30, 30))) - y) / n
         e = error[row]
         grads = [np.array([error.sum()]), np.bincount(col, e, features) + s.shrink * state[1],
-                 _sums(col, e[:, None] * (sums[row] - state[2][col]), features) + s.shrink * state[2]]
+                 np.stack([np.bincount(col, e * (sums[row, f] - state[2][col, f]), features) for f in range(s.factors)], axis=1)
+                 + s.shrink * state[2]]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g

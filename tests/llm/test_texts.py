@@ -152,6 +152,14 @@ def test_held_out_accuracy(spark):
         assert held.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= least
 
 
+def test_toxic_documents_are_recalled(spark):
+    """On a table with more labels than are learned from: what fewer rows cost shows in the recall."""
+    table, marks = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxicity(table, marks).filter("held_out").join(marks, "doc_id")
+    both, found, toxic = held.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert toxic > 500 and both >= 0.997 * toxic and both >= 0.997 * found
+
+
 def test_folds(spark):
     import zlib
     got = spark.range(50).select("id", fold("id", 4).alias("f")).collect()
