@@ -83,4 +83,48 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(other) AS component_id FROM r GROUP BY ALL) USING (doc_id)
 """
 
-ORACLES = {"op7_signature_forest": OP7, "op2_segment_topk": OP2, "op6_prefix_filter": OP6, "op9_chat_snapshots": OP9, "op10_site_lines": OP10}
+# Bars in percent as in repetition.Rules: most frequent 2- to 4-gram, coverage of 5- to 10-grams, lines.
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest(range(2, 11)) AS n) WHERE len(w) >= n)),
+dup AS (SELECT rid, n, k, count(*) AS c FROM g GROUP BY ALL HAVING count(*) > 1),
+occ AS (SELECT rid, n, i, k, c FROM g JOIN dup USING (rid, n, k)),
+bars AS (SELECT * FROM (VALUES (2, 20), (3, 18), (4, 16), (5, 30), (6, 28), (7, 26), (8, 24), (9, 22), (10, 20)) AS v (n, pct)),
+tops AS (SELECT rid, n, max(c * length(replace(k, ' ', ''))) AS chars FROM occ WHERE n <= 4 GROUP BY ALL),
+pos AS (SELECT DISTINCT rid, n, unnest(range(i, i + n)) AS p FROM occ WHERE n >= 3),
+cov AS (SELECT rid, n, count(*) AS words, sum(length(w[p])) AS chars FROM pos JOIN d USING (rid) GROUP BY ALL),
+ln AS (
+  SELECT rid, line, count(*) AS c FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+dl AS (
+  SELECT rid, sum(c - 1) AS n_dup, sum(CASE WHEN c > 1 THEN c * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) ELSE 0 END) AS chars
+  FROM ln GROUP BY ALL),
+f AS (
+  SELECT d.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c3.words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(dl.chars, 0) AS BIGINT) AS line_chars
+  FROM d LEFT JOIN dl USING (rid) LEFT JOIN (SELECT * FROM cov WHERE n = 3) c3 USING (rid)),
+m AS (
+  SELECT rid, n, chars FROM tops UNION ALL SELECT rid, n, chars FROM cov WHERE n >= 5),
+wide AS (
+  SELECT rid, @columns FROM m GROUP BY rid),
+over AS (
+  SELECT DISTINCT rid FROM m JOIN bars USING (n) JOIN f USING (rid) WHERE 100 * chars > pct * word_chars
+  UNION SELECT rid FROM f WHERE 100 * line_chars > 40 * word_chars)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND rid NOT IN (SELECT rid FROM over) AS kept,
+       @filled, line_chars
+FROM f LEFT JOIN wide USING (rid)
+"""
+_MEASURES = {n: f"top_{n}" if n < 5 else f"covered_{n}" for n in range(2, 11)}
+OP12 = OP12.replace("@columns", ", ".join(f"max(chars) FILTER (n = {n}) AS {name}" for n, name in _MEASURES.items())).replace(
+    "@filled", ", ".join(f"CAST(coalesce({name}, 0) AS BIGINT) AS {name}" for name in _MEASURES.values()))
+
+ORACLES = {"op12_repetition_rules": OP12, "op7_signature_forest": OP7, "op2_segment_topk": OP2, "op6_prefix_filter": OP6, "op9_chat_snapshots": OP9, "op10_site_lines": OP10}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import chat, decontaminate, grammar_store, jaccard, lines, packing, quality, token_counts, topk, toxicity
+from folioworks.llm import (
+    chat, decontaminate, grammar_store, jaccard, lines, packing, quality, repetition, spelling, token_counts, topk, toxicity, whitening)
 from folioworks.llm.oracles import ORACLES  # noqa: F401  for the entry module
 from folioworks.llm.tables import table
 
@@ -70,6 +71,22 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "n_lines", "n_dropped", "kept")
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first four whitened coordinates."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256.0)
+
+
+def op12_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document repeats, and whether it is kept."""
+    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its near words and its most frequent form."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity_machine, op2_segment_topk, op3_quality_kernel, op4_grammar_store, op5_best_two_fit, op6_prefix_filter,
-    op7_signature_forest, op8_token_counts, op9_chat_snapshots, op10_site_lines)}
+    op7_signature_forest, op8_token_counts, op9_chat_snapshots, op10_site_lines, op11_cholesky_whitening, op12_repetition_rules,
+    op13_spelling_variants)}
