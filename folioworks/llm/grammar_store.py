@@ -1,11 +1,11 @@
 """Token ids on disk under Re-Pair grammars: blocks of documents, each with its own rules.
 
 A block holds consecutive documents in id order. Its ids are one sequence in which frequent adjacent pairs were replaced
-by nonterminals, round after round; no pair spans two documents. Stored with it are the rules (left, right), every
-nonterminal's expansion length, and where each document starts in symbols and in ids, so that any span of ids is decoded
-from the symbols that cover it and nothing else. Pairs are replaced in rounds of many at a time (the most frequent ones,
-counted in one pass over the block) instead of one by one; the grammar is the same kind, found in a bounded number of
-passes. Ranges of documents are dealt to tasks by id; a task's memory is bounded by one block.
+by nonterminals, pass after pass, until no pair can be replaced eight times; no pair spans two documents. Stored with it
+are the rules (left, right), every nonterminal's expansion length, and where each document starts in symbols and in ids,
+so that any span of ids is decoded from the symbols that cover it and nothing else. A pass takes all frequent pairs at
+once instead of one: the grammar is the same kind, and later passes look only at places next to new symbols. Ranges of
+documents are dealt to tasks by id; a task's memory is bounded by one block.
 """
 
 from __future__ import annotations
@@ -20,63 +20,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs, written
-from folioworks.llm.token_ids import encoder, gather
+from folioworks.llm.token_ids import RUN, encoder, gather
 
 FIRST_RULE = 1 << 17        # nonterminals are numbered from here
-BUCKETS = 1 << 18
+LARGEST = 1 << 24           # symbols are stored in three bytes
+LEAST = 8                   # occurrences that are worth a rule
 BLOCK_SCHEMA = ("part int, block int, first_doc bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
                 "symbol_starts array<bigint>, tokens bigint, rules binary, expansions binary, low binary, high binary")
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, pairs: int = 1024,
-             least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Replace frequent pairs. `ends`: index of each document's last id. Returns symbols, rules, lengths, ends."""
-    symbols, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+def frequent(keys: np.ndarray, least: int) -> np.ndarray:
+    """The pairs that occur `least` times or more, the most frequent first; exact, by sorting."""
+    keys = np.sort(keys)
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    counts = np.diff(ends, prepend=0)
+    often = np.flatnonzero(counts >= least) if len(keys) else ends[:0]
+    return keys[ends[often[np.argsort(-counts[often], kind="stable")]] - 1]
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    """Place of a pair in a table of 2^21."""
+    return (keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(43)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace pairs until none can be replaced `least` times. `ends`: index of each document's last id. Returns symbols,
+    rules, lengths, ends.
+
+    A pass takes all frequent pairs at once; where they overlap, every other one. What it leaves behind can only have become
+    frequent next to a new symbol, so the next pass counts there, and where pairs were chosen and yet not replaced. When
+    all chosen pairs stand in each other's way, they are taken one by one.
+    """
+    symbols, last = ids.astype(np.int32), np.zeros(len(ids), bool)
     last[ends] = True
-    rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1] << 20) | symbols[1:]
-        bucket = ((key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(46)).astype(np.int32)
-        bucket[last[:-1]] = BUCKETS         # a pair over a document's end is none
-        counts = np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]
-        top = np.argpartition(counts, -pairs)[-pairs:]
-        top = top[counts[top] >= least]
-        if not len(top):
-            break
-        rank = np.full(BUCKETS + 1, -1, np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        where = np.flatnonzero(rank[bucket] >= 0)
-        ranks = rank[bucket[where]]
-        owner = np.zeros(len(top), np.int64)
-        owner[ranks] = key[where]           # one exact pair for a bucket
-        exact = owner[ranks] == key[where]
-        where, ranks = where[exact], ranks[exact]
-        fresh = np.r_[True, np.diff(where) != 1]
+    rules, lengths, made = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64), 0
+    at, turn = np.flatnonzero(~last[:-1]), None         # a pair over a document's end is none
+    table = np.full(1 << 21, -1, np.int32)
+    while len(at):
+        keys = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
+        chosen = frequent(keys, least)[:LARGEST - FIRST_RULE - made]
+        if turn is not None:
+            chosen = chosen[turn:turn + 1]
+        slots = slot(chosen)
+        table[slots[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]      # of pairs that share a slot the first
+        rank = table[slot(keys)]
+        table[slots] = -1
+        again = at[rank >= 0]
+        exact = (rank >= 0) & (chosen[rank] == keys) if len(chosen) else rank >= 0
+        where, rank = at[exact], rank[exact]
+        fresh = np.diff(where, prepend=-2) != 1         # a run of overlapping pairs: every other one of it
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
         every = (np.arange(len(where)) - run) % 2 == 0
-        where, ranks = where[every], ranks[every]
-        used = np.bincount(ranks, minlength=len(top)) >= least
-        where, ranks = where[used[ranks]], ranks[used[ranks]]
+        where, rank = where[every], rank[every]
+        used = np.bincount(rank, minlength=len(chosen)) >= least
+        where, rank = where[used[rank]], rank[used[rank]]
         if not len(where):
-            break
-        number = np.cumsum(used) - 1
-        left, right = owner[used] >> 20, owner[used] & ((1 << 20) - 1)
-        rules.append(np.stack([left, right], axis=1))
-        known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        lengths.append(expansion(left, known) + expansion(right, known))
-        symbols[where] = FIRST_RULE + made + number[ranks]
+            if not len(chosen):
+                break
+            turn = 0 if turn is None else turn + 1
+            continue
+        turn = None
+        rule = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
+        rules.append(rule)
+        lengths = np.concatenate([lengths, expansion(rule[:, 0], lengths) + expansion(rule[:, 1], lengths)])
+        symbols[where] = FIRST_RULE + made + (np.cumsum(used) - 1)[rank]
         last[where] |= last[where + 1]
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        made += int(used.sum())
-    empty = np.zeros((0, 2), np.int64)
-    return (symbols, np.concatenate(rules) if rules else empty,
-            np.concatenate(lengths) if lengths else empty[:, 0], np.flatnonzero(last))
+        open_ = np.zeros(len(symbols), bool)
+        open_[again] = open_[where] = True
+        open_[where[where > 0] - 1] = True              # …, or two before, where a symbol between was swallowed
+        open_[where[where > 1] - 2] |= ~keep[where[where > 1] - 1]
+        symbols, last, open_ = symbols[keep], last[keep], open_[keep]
+        made += len(rule)
+        at = np.flatnonzero(open_[:-1] & ~last[:-1])
+    return symbols, np.concatenate(rules), lengths, np.flatnonzero(last)
 
 
 def expansion(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -87,28 +105,30 @@ def expansion(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ids behind a sequence of symbols: every rule's expansion is laid out once, then gathered."""
-    if not len(symbols):
-        return np.zeros(0, np.int64)
-    rule_of = np.where(symbols >= FIRST_RULE, symbols - FIRST_RULE, -1)
-    needed = np.zeros(len(rules), bool)
-    needed[rule_of[rule_of >= 0]] = True
-    for r in np.flatnonzero(needed.any() and np.ones(len(rules), bool))[::-1]:
-        if needed[r]:
-            needed[[s - FIRST_RULE for s in rules[r] if s >= FIRST_RULE]] = True
-    starts = np.cumsum(np.where(needed, lengths, 0)) - np.where(needed, lengths, 0)
-    flat = np.zeros(int(lengths[needed].sum()), np.int64)
-    for r in np.flatnonzero(needed):
-        at = starts[r]
-        for s in rules[r]:
-            n = 1 if s < FIRST_RULE else lengths[s - FIRST_RULE]
-            flat[at:at + n] = s if s < FIRST_RULE else flat[starts[s - FIRST_RULE]:starts[s - FIRST_RULE] + n]
-            at += n
-    base = len(flat)
-    out, _ = gather(np.concatenate([flat, symbols]),
-                    np.where(rule_of >= 0, np.append(starts, 0)[rule_of], base + np.arange(len(symbols))),
-                    expansion(symbols, lengths))
-    return out
+    """The ids behind a sequence of symbols: every rule's expansion is laid out once, the shorter ones first, then gathered."""
+    needed, new = np.zeros(len(rules), bool), np.unique(symbols[symbols >= FIRST_RULE]) - FIRST_RULE
+    while len(new):
+        needed[new] = True
+        below = np.unique(rules[new])
+        below = below[below >= FIRST_RULE] - FIRST_RULE
+        new = below[~needed[below]]
+    own = np.flatnonzero(needed)
+    own = own[np.argsort(lengths[own], kind="stable")]          # a rule is longer than those it is made of
+    sizes, child = lengths[own], rules[own].reshape(-1)
+    starts = np.zeros(len(rules) + 1, np.int64)
+    starts[own] = len(child) + np.cumsum(sizes) - sizes
+    laid = np.concatenate([child, np.zeros(int(sizes.sum()), np.int64), symbols])
+
+    def source(of: np.ndarray, first: int) -> np.ndarray:
+        return np.where(of >= FIRST_RULE, starts[np.maximum(of - FIRST_RULE, -1)], first + np.arange(len(of)))
+
+    begin, part = source(child, 0), expansion(child, lengths)
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(own)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            data, _ = gather(laid, begin[2 * a:2 * b], part[2 * a:2 * b])
+            laid[starts[own[a]]:starts[own[a]] + len(data)] = data
+    return gather(laid, source(symbols, len(laid) - len(symbols)), expansion(symbols, lengths))[0]
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +158,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_to
     """Encode whole texts and store them as grammar-compressed blocks in ascending id order; returns the stored table.
 
     Every document is closed by `end_id`; a null or empty text is that id alone. Null ids come first; rows that share an
-    id keep their own entries side by side (texts in order). A block closes once it holds `block_tokens` ids, so only a
+    id keep their own entries side by side, in an order that depends on their texts alone; however many, they are dealt to
+    several tasks. A block closes once it holds `block_tokens` ids, so only a
     single longer document makes a longer block. Other columns are not read. An empty table gives no blocks.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +183,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_to
             return pa.RecordBatch.from_pylist([row], BLOCK_ARROW)
 
         for batch in batches:
-            for run in runs(batch, "text"):
-                flat, n = reader.encode(run.column("text").to_pylist())
+            for run in runs(batch, "text", RUN):
+                flat, n = reader.encode(run.column("text"))
                 closed = np.insert(flat, np.cumsum(n), end_id)
                 ids.append(closed)
                 sizes.append(n + 1)
@@ -174,8 +195,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_to
         if names:
             yield close()
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(encode, BLOCK_SCHEMA), "token-blocks")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs, written
-from folioworks.llm.token_ids import encoder
+from folioworks.llm.token_ids import RUN, encoder
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, doc_id: str = "doc_id",
@@ -33,8 +33,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, doc_id:
         reader, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            for run in runs(batch, "text"):
-                ids, n = reader.encode(run.column("text").to_pylist())
+            for run in runs(batch, "text", RUN):
+                ids, n = reader.encode(run.column("text"))
                 closed = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 parts = -(-n // size)

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs
-from folioworks.llm.token_ids import LATIN, byte_letters
+from folioworks.llm.token_ids import LETTERS, MARKS, byte_letters
 
 CACHE_WORDS = 400_000
 NONE = np.int64(1) << 40
+LATIN = re.compile(f"({LETTERS}+)({MARKS}*)")
 
 
 class MergeCounter:

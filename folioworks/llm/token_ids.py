@@ -2,20 +2,24 @@
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its space-separated
 chunks in order. A chunk of Latin letters with trailing punctuation is one word and one mark; any other chunk goes through the
-library's whole pipeline. Memory is bounded: the caches start anew when full, which changes nothing in the ids.
+library's whole pipeline. Chunks are split, numbered and taken apart in Arrow; Python sees each distinct part of a run of
+texts once, and the library each new one. Memory is bounded: the cache starts anew when full, which changes nothing in the ids.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@[-`{-~]*)")
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-/:-@\[-`{-~]"
+ODD = "\0"                  # begins the name of a part that is a whole chunk
+CACHE_WORDS, CACHE_IDS = 800_000, 6_000_000
+RUN = 4 << 20               # bytes of text worth encoding at once
 
 
 def byte_letters() -> dict[int, str]:
@@ -25,6 +29,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first looked up; `new` lists those not dealt with yet."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+    def taken(self) -> list[str]:
+        """The new keys; the list starts anew."""
+        new, self.new = self.new, []
+        return new
+
+
 class TextEncoder:
     """Ids of many texts at once, as flat arrays."""
 
@@ -38,72 +60,52 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        """Chunk → place of its two parts; part → place in `starts` and `lengths`; place 0 is the empty part."""
-        self.index: dict[str, int] = {"": 0}
-        self.parts = np.zeros((1 << 17, 2), np.int32)
-        self.words: dict[str, int] = {"": 0}
-        self.flat, self.used, self.known = np.zeros(1 << 20, np.int32), 0, 1
+        """Part → place in `starts` and `lengths`; place 0 is the empty part."""
+        self.words = Numbered()
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int32)
 
-    def _store(self, encoded: list[list[int]]) -> None:
-        """Append the ids of new parts."""
+    def _store(self, first: int, encoded: list[list[int]]) -> None:
+        """Append the ids of new parts, numbered from `first`."""
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        last, more = self.known + len(encoded), int(sizes.sum())
+        last, more = first + len(encoded), int(sizes.sum())
         self.flat = _room(self.flat, self.used + more)
         self.starts, self.lengths = _room(self.starts, last), _room(self.lengths, last)
         self.flat[self.used:self.used + more] = np.fromiter(chain.from_iterable(encoded), np.int32, more)
-        self.lengths[self.known:last] = sizes
-        self.starts[self.known:last] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.known = self.used + more, last
+        self.lengths[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.used += more
 
     def _tokenize(self, word: str) -> list[int]:
         inner = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return [token.id for token in self.model.tokenize(inner)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Give every chunk an index: a word and a mark each, or one part of its own from the library's pipeline."""
-        words, new, odd, split = self.words, [], [], LATIN.fullmatch
-        firsts, seconds, regular = [], [], []
-        for chunk in chunks:
-            match = split(chunk)
-            if match is None:
-                odd.append(chunk)
-                continue
-            regular.append(chunk)
-            word, mark = match.groups()
-            word = word.lower()
-            for part, places in ((word, firsts), (mark, seconds)):
-                place = words.get(part)
-                if place is None:
-                    place = words[part] = self.known + len(new)
-                    new.append(part)
-                places.append(place)
-        self._store([self._tokenize(word) for word in new])
-        own = self.known
-        if odd:
-            self._store([e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)])
-        first, last = len(self.index), len(self.index) + len(chunks)
-        self.parts = _room(self.parts, last)
-        self.parts[first:first + len(regular)] = np.array([firsts, seconds], np.int32).T
-        self.parts[first + len(regular):last, 0] = np.arange(own, own + len(odd))
-        self.parts[first + len(regular):last, 1] = 0
-        self.index.update(zip(chain(regular, odd), range(first, last), strict=True))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The number of each part; new ones are noted."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        return np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+
+    def _parts(self, chunks: pa.Array) -> np.ndarray:
+        """Two parts of each chunk: a word and a mark, or one of its own from the library's pipeline and the empty one."""
+        known, found = len(self.words), pc.extract_regex(chunks, f"^(?P<word>{LETTERS}+)(?P<mark>{MARKS}*)$")
+        word = pc.if_else(found.is_valid(), pc.utf8_lower(pc.struct_field(found, "word")), pc.binary_join_element_wise(ODD, chunks, ""))
+        both = np.stack([self._numbers(word), self._numbers(pc.fill_null(pc.struct_field(found, "mark"), ""))], axis=1)
+        new = self.words.taken()
+        odd = [part[1:] for part in new if part[0] == ODD]
+        whole = iter(self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
+        self._store(known, [next(whole).ids if part[0] == ODD else self._tokenize(part) for part in new])
+        return both
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of ids of each. A null text is an empty one."""
-        if max(len(self.index), self.known) > CACHE_WORDS or self.used > CACHE_IDS:
+        if len(self.words) > CACHE_WORDS or self.used > CACHE_IDS:
             self._reset()
-        per_text, chunks = [], []
-        for text in texts:
-            split = text.replace("\n", " ").split(" ") if text else [""]
-            per_text.append(len(split))
-            chunks += split
-        index = self.index
-        unknown = set(chunks).difference(index)
-        if unknown:
-            self._learn(list(unknown))
-        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        both = self.parts[at].reshape(-1)       # a word, its mark, the next word, …
+        filled = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(pc.replace_substring(filled, "\n", " "), " ")
+        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        chunks = pc.list_flatten(split).dictionary_encode()
+        both = self._parts(chunks.dictionary)[chunks.indices.to_numpy()].reshape(-1)    # a word, its mark, the next word, …
         ids, sizes = gather(self.flat, self.starts[both], self.lengths[both])
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         bounds = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])

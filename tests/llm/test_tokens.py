@@ -39,8 +39,9 @@ def test_counts_and_ids_are_the_library_s(texts):
     assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
 
 
-def test_caches_that_start_anew_change_nothing(monkeypatch):
-    monkeypatch.setattr("folioworks.llm.token_ids.CACHE_WORDS", 5)
+@pytest.mark.parametrize("cache", ["CACHE_WORDS", "CACHE_IDS"])
+def test_caches_that_start_anew_change_nothing(monkeypatch, cache):
+    monkeypatch.setattr(f"folioworks.llm.token_ids.{cache}", 5)
     monkeypatch.setattr("folioworks.llm.token_counts.CACHE_WORDS", 5)
     encoder, counter = TextEncoder(PATH), token_counts.MergeCounter(PATH)
     for _, text in awkward():
@@ -72,6 +73,23 @@ def test_grammar_round_trip_and_spans(documents, data):
     assert grammar_store.decode_span(row, doc, start, stop).tolist() == documents[doc][start:max(start, stop)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=80), min_size=1, max_size=4), st.integers(2, 4))
+def test_no_pair_is_left(documents, least):
+    flat = np.array([i for d in documents for i in d], np.int32)
+    symbols, _, _, ends = grammar_store.compress(flat, np.cumsum([len(d) for d in documents]) - 1, least=least)
+    counts, start = defaultdict(int), 0
+    for end in ends.tolist():
+        held = {}                                       # where the pair was last counted: overlapping ones count once
+        for i in range(start, end):
+            pair = (int(symbols[i]), int(symbols[i + 1]))
+            if held.get(pair) != i - 1:
+                counts[pair] += 1
+                held[pair] = i
+        start = end + 1
+    assert max(counts.values(), default=0) < least
+
+
 def test_repetition_becomes_rules():
     flat = np.array([7, 8, 9, 10] * 500, np.int32)
     symbols, rules, _, _ = grammar_store.compress(flat, np.array([len(flat) - 1]))
