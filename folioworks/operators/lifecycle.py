@@ -334,7 +334,7 @@ def classify_failures(failures: DataFrame) -> DataFrame:
            .when(status == 401, "config").otherwise("contract"))
     return failures.withColumn("failure_class", F.when(F.col("origin") == "storage", storage)
                                .when(F.col("origin") == "api", api)
-                               .when(F.col("origin") == "transport", "transient")
+                               .when(F.col("origin").isin("transport", "storage_transport"), "transient")
                                .when(F.col("origin") == "content", "rejected").otherwise("bug"))
 
 

@@ -14,7 +14,7 @@ from folioworks.operators import (admission, archives, candidates, commit, dupli
                                   quality, review, sweeps)
 from folioworks.plans import ingest
 from folioworks.plans import views as V
-from folioworks.session import configure, durable
+from folioworks.session import configure, durable, scratch
 from folioworks.settings import UploadLimits, MIB
 from folioworks.sources import archives as archive_source
 from folioworks.sources import logs
@@ -523,6 +523,46 @@ def archive_outcome(spark, sf):
     return archives.archive_outcome(V.entries(spark, sf), V.ENTRY_ORDER, V.ENTRY_LIMITS)
 
 
+@query
+def ingest_attempts(spark, sf):
+    """Objects read by path, some missing, unreadable or damaged: what becomes of every file, and its next attempt."""
+    uploads = V.stored_uploads(spark, sf)
+    done = ingest.process_attempts(uploads.drop("kind"))
+    again = ingest.next_attempts(done.attempts, V.AS_OF_US).select("file_id", F.col("attempt").alias("next_attempt"), "due_us")
+    tried = done.attempts.select("file_id", "failure_class", "action", "countdown")
+    return uploads.select("file_id", "attempt").join(done.files, "file_id", "left").join(tried, "file_id", "left").join(
+        again, "file_id", "left")
+
+
+@query
+def ingest_resumed(spark, sf):
+    """Candidates of stored archives whose first reading was cut short; no entry is read twice."""
+    uploads, progress = V.stored_uploads(spark, sf).filter("kind > 3"), scratch(spark, "progress")
+    index = archive_source.zip_index(uploads.select("path"))
+    wanted = archives.archive_candidates(durable(index), ["entry_pos"]).filter("entry_reason IS NULL")
+    archive_source.extract_resumable(wanted, uploads.select("path"), progress, stop_after=3)
+    done = ingest.process_attempts(uploads, progress=progress)
+    times = archive_source.read_progress(spark, progress).groupBy(F.col("archive").alias("path"), "entry_pos").agg(
+        F.count(F.lit(1)).alias("times_read"))
+    most = times.join(uploads, "path").groupBy(F.col("file_id").alias("source_file_id")).agg(F.max("times_read").alias("times_read"))
+    return done.candidates.join(most, "source_file_id").select(
+        "source_file_id", "source_entry_name", "entry_index", "status", "content_hash", "size_bytes", "times_read")
+
+
+@query
+def object_plan_results(spark, sf):
+    """A plan over stored objects, some of them missing or unreadable, carried out twice: what each operation came to."""
+    root = scratch(spark, "store")
+    stored = V.stored_uploads(spark, sf, f"{root}/incoming")
+    src = F.concat(F.lit("incoming/"), "file_name")
+    steps = F.array(F.struct(F.lit("copy").alias("op"), src.alias("src"), F.concat(F.lit("processed/"), "organization_id", F.lit("/v1_"), "file_name").alias("dst")),
+                    F.struct(F.lit("delete").alias("op"), src.alias("src"), F.lit(None).cast("string").alias("dst")))
+    plan = durable(stored.select(F.explode(steps).alias("s")).select("s.*"))
+    first, second = (object_source.execute_plan(plan, root).select("op", "src", F.col("outcome").alias(name), F.col("failure.code").alias(code))
+                     for name, code in (("outcome", "code"), ("outcome_again", "code_again")))
+    return plan.select("op", "src", "dst").join(first, ["op", "src"]).join(second, ["op", "src"])
+
+
 @query
 def entry_outcomes(spark, sf):
     found = archives.archive_candidates(V.entries(spark, sf), V.ENTRY_ORDER, V.ENTRY_LIMITS)

@@ -661,6 +661,36 @@ ORACLES: dict[str, str] = {
         FROM (SELECT w.*, first(entry_index) OVER k AS i0, first(file_name) OVER k AS n0 FROM good w
               WINDOW k AS (PARTITION BY source_file_id, source_entry_name ORDER BY seq))
         WHERE NOT (entry_index IS NOT DISTINCT FROM i0 AND file_name = n0) GROUP BY ALL"""),
+    "ingest_attempts": """
+        WITH b AS (SELECT doc_id // 32 AS b, count(*) AS n FROM documents GROUP BY 1),
+        k AS (SELECT *, (b % 8)::INTEGER AS kind, (1 + b // 8 % 3)::INTEGER AS attempt FROM b)
+        SELECT 'box' || b AS file_id, attempt, CASE kind WHEN 2 THEN 'corrupt' WHEN 3 THEN 'pdf' WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'zip' END AS detected_type,
+          CASE WHEN kind = 0 OR kind = 1 AND attempt = 3 THEN 'error' WHEN kind = 2 THEN 'rejected' WHEN kind > 2 THEN 'processed' END AS status,
+          CASE WHEN kind = 0 THEN 'Uploaded object not found' WHEN kind = 2 THEN 'Archive is damaged'
+               WHEN kind = 1 AND attempt = 3 THEN 'Could not be processed after 3 attempts: reading failed (OSError)' END AS status_message,
+          CASE WHEN kind > 3 THEN n::INTEGER END AS entries_total,
+          CASE WHEN kind > 3 THEN n::INTEGER WHEN kind = 1 AND attempt < 3 THEN NULL ELSE 0 END AS entries_done,
+          CASE kind WHEN 0 THEN 'not_found' WHEN 1 THEN 'transient' END AS failure_class,
+          CASE WHEN kind = 0 OR kind = 1 AND attempt = 3 THEN 'finish' WHEN kind = 1 THEN 'release_and_retry' END AS action,
+          CASE WHEN kind = 1 AND attempt < 3 THEN (5 * 2 ** attempt)::BIGINT END AS countdown,
+          CASE WHEN kind = 1 AND attempt < 3 THEN attempt + 1 END AS next_attempt,
+          CASE WHEN kind = 1 AND attempt < 3 THEN 1704067200000000 + 31 * 24 * 3600000000 + (5 * 2 ** attempt)::BIGINT * 1000000 END AS due_us
+        FROM k""",
+    "ingest_resumed": """
+        SELECT 'box' || doc_id // 32 AS source_file_id, 'docs/doc' || doc_id || '.pdf' AS source_entry_name,
+          (row_number() OVER (PARTITION BY doc_id // 32 ORDER BY doc_id) - 1)::INTEGER AS entry_index, 'processed' AS status,
+          sha256('%PDF-' || coalesce(text, '')) AS content_hash, 5 + octet_length(encode(coalesce(text, ''))) AS size_bytes, 1 AS times_read
+        FROM documents WHERE doc_id // 32 % 8 > 3""",
+    "object_plan_results": """
+        WITH b AS (SELECT DISTINCT doc_id // 32 AS b FROM documents),
+        k AS (SELECT b, b % 8 AS kind, 'box' || b || CASE WHEN b % 8 = 3 THEN '.pdf' ELSE '.zip' END AS file FROM b),
+        p AS (SELECT 'copy' AS op, 'incoming/' || file AS src, 'processed/org' || b % 7 || '/v1_' || file AS dst, kind FROM k
+              UNION ALL SELECT 'delete', 'incoming/' || file, NULL, kind FROM k)
+        SELECT op, src, dst, CASE WHEN kind > 1 THEN 'done' WHEN op = 'copy' THEN 'failed' ELSE 'held back' END AS outcome,
+          CASE WHEN op = 'copy' AND kind = 0 THEN 'NoSuchKey' WHEN op = 'copy' AND kind = 1 THEN 'OSError' END AS code,
+          CASE WHEN kind > 1 THEN 'already done' WHEN op = 'copy' THEN 'failed' ELSE 'held back' END AS outcome_again,
+          CASE WHEN op = 'copy' AND kind = 0 THEN 'NoSuchKey' WHEN op = 'copy' AND kind = 1 THEN 'OSError' END AS code_again
+        FROM p""",
     # The scale the SQL is compared at; these two read the table files themselves.
     "src_manifest": "SELECT parse_filename(filename) AS name, size AS length FROM read_blob('/root/testdata/sf0.01/*.parquet')",
     "src_file_hash": "SELECT parse_filename(filename) AS name, sha256(content) AS sha256, size AS bytes_read "

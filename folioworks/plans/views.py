@@ -10,14 +10,16 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from folioworks import messages as M
 from folioworks.functions import names
-from folioworks.session import durable
+from folioworks.session import durable, scratch
 from folioworks.settings import Ages, ArchiveLimits
+from folioworks.sources.objects import filesystem
 
 EPOCH_US = 1_704_067_200_000_000          # 2024-01-01
 HOUR_US = 3_600_000_000
@@ -365,3 +367,48 @@ def packed_uploads(spark: SparkSession, sf: str) -> DataFrame:
     return durable(packed(spark, sf).select(
         F.col("path").alias("file_id"), F.col("lang").alias("organization_id"), F.lit("b1").alias("batch_id"),
         F.concat("path", F.lit("."), ext).alias("file_name"), ext.alias("file_ext"), "path", "content"))
+
+
+BUNDLE = 32                 # documents in one stored object
+STORED = "file_id string, organization_id string, batch_id string, file_name string, file_ext string, path string, attempt int, kind int"
+
+
+def _pack_bundle(documents: list[tuple[int, str]]) -> bytes:
+    """An archive of documents as they are, one PDF each."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as box:
+        for number, text in documents:
+            box.writestr(zipfile.ZipInfo(f"docs/doc{number}.pdf", (1980, 1, 1, 0, 0, 0)), M.PDF_MAGIC + (text or "").encode())
+    return out.getvalue()
+
+
+def stored_uploads(spark: SparkSession, sf: str, root: str | None = None) -> DataFrame:
+    """The documents as objects under `root`, in the shared folder, written by tasks: uploads with the `path` of an archive of
+    32 documents each, numbered b. By b modulo 8: 0 no object is there, 1 a folder stands in its place, 2 the archive is damaged,
+    3 the object is one PDF and named so, else a sound archive. `attempt` goes from 1 to 3."""
+    root = root or scratch(spark, "objects")
+    bundle = F.floor(F.col("doc_id") / BUNDLE)
+    bundles = table(spark, sf, "documents").groupBy(bundle.alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("documents"))
+
+    def write(batches):
+        for batch in batches:
+            rows = []
+            for number, documents in zip(batch.column("b").to_pylist(), batch.column("documents").to_pylist(), strict=True):
+                kind, documents = number % 8, [(d["doc_id"], d["text"]) for d in documents]
+                ext = "pdf" if kind == 3 else "zip"
+                store, path = filesystem(f"{root}/box{number}.{ext}")
+                data = M.PDF_MAGIC + (documents[0][1] or "").encode() if kind == 3 else _pack_bundle(documents)
+                store.create_dir(path if kind == 1 else path.rsplit("/", 1)[0], recursive=True)
+                if kind > 1:
+                    with store.open_output_stream(path) as out:
+                        out.write(data[:-30] + b"\0" * 8 if kind == 2 else data)
+                rows.append((f"box{number}", f"org{number % 7}", "b1", f"box{number}.{ext}", ext, f"{root}/box{number}.{ext}",
+                             1 + number // 8 % 3, kind))
+            if not rows:
+                continue
+            names_ = [part.split()[0] for part in STORED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(column), pa.int32() if name in ("attempt", "kind") else pa.string())
+                                              for name, column in zip(names_, zip(*rows, strict=True), strict=True)], names_)
+
+    return durable(bundles.mapInArrow(write, STORED))

@@ -1,7 +1,8 @@
 """Archives and file types: index rows, streamed extraction and detection by content.
 
-Containers are opened inside tasks, by path or from an inline `content` column. Format errors are data; environment
-errors (a full disk, no memory, an unreachable store) propagate, so the task is retried.
+Containers are opened inside tasks, by path or from an inline `content` column. Format errors are data, and so is an object
+that is missing, refused or cannot be read for now (`failure`): it ends or delays one file, not the job. Errors of the
+machine itself (a full disk, no memory) propagate, so the task is retried.
 """
 
 from __future__ import annotations
@@ -15,19 +16,22 @@ from functools import partial
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
 from folioworks.functions.text import mismatch_reason
 from folioworks.operators.archives import container_reason
 from folioworks.settings import ARCHIVE_LIMITS, ArchiveLimits
-from folioworks.sources.objects import BLOCK, open_object, spread
+from folioworks.session import durable, exists, scratch
+from folioworks.sources.objects import BLOCK, FAILURE, FAILURE_TYPE, failure_of, open_object, spread
 
-FORMAT_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError)
+# The last one stands for a place before the beginning of a file too short to be an archive.
+FORMAT_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError, pa.ArrowInvalid)
 HEAD_OF_PART = 64 * 1024     # of the content-types part, where the document type is declared
 RUN_LENGTH = 64
-INDEX_SCHEMA = "archive string, entry_pos int, name string, size bigint, csize bigint, flags int, error string"
+CHANGED = {"origin": "storage_transport", "code": "ObjectChanged", "http_status": None, "detail": "the object changed while it was read"}
+INDEX_SCHEMA = f"archive string, entry_pos int, name string, size bigint, csize bigint, flags int, error string, failure {FAILURE}"
 LOOK = ("struct<opens: boolean, damage: string, n_entries: bigint, total_bytes: bigint, "
         "entries: array<struct<name: string, size: bigint, csize: bigint, flags: int>>, declares_wordml: boolean>")
 _ENTRY = pa.struct([("name", pa.string()), ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32())])
@@ -35,12 +39,12 @@ LOOK_TYPE = pa.struct([("opens", pa.bool_()), ("damage", pa.string()), ("n_entri
                        ("entries", pa.list_(_ENTRY)), ("declares_wordml", pa.bool_())])
 
 INDEX_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("name", pa.string()),
-                          ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32()), ("error", pa.string())])
+                          ("size", pa.int64()), ("csize", pa.int64()), ("flags", pa.int32()), ("error", pa.string()), ("failure", FAILURE_TYPE)])
 EXTRACT_FIELDS = pa.schema([("archive", pa.string()), ("entry_pos", pa.int32()), ("sha256", pa.string()),
                             ("bytes_read", pa.int64()), ("crc_error", pa.bool_()), ("error", pa.string()),
-                            ("head", pa.binary()), ("look", LOOK_TYPE)])
+                            ("head", pa.binary()), ("look", LOOK_TYPE), ("failure", FAILURE_TYPE)])
 EXTRACT_SCHEMA = ("archive string, entry_pos int, sha256 string, bytes_read bigint, crc_error boolean, error string, "
-                  f"head binary, look {LOOK}")
+                  f"head binary, look {LOOK}, failure {FAILURE}")
 
 
 def _record_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -54,6 +58,11 @@ def _source(path: str, content: bytes | None):
     return io.BytesIO(content) if content is not None else open_object(path)
 
 
+def _told(problem: Exception) -> str:
+    """The text of a format error."""
+    return "File is not a zip file" if isinstance(problem, pa.ArrowInvalid) else str(problem) or type(problem).__name__
+
+
 def files_of(box: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
     """Index entries that are files."""
     return [e for e in box.infolist() if not e.is_dir()]
@@ -67,7 +76,7 @@ def look_inside(source, limits: ArchiveLimits) -> dict:
     try:
         box = zipfile.ZipFile(source)
     except FORMAT_ERRORS as problem:
-        return {"opens": False, "damage": str(problem) or type(problem).__name__}
+        return {"opens": False, "damage": _told(problem)}
     with box:
         files, damage, wordml = files_of(box), None, False
         if {M.CONTENT_TYPES_PART, M.DOCUMENT_PART}.issubset(box.namelist()):
@@ -75,7 +84,7 @@ def look_inside(source, limits: ArchiveLimits) -> dict:
                 with box.open(M.CONTENT_TYPES_PART) as part:
                     wordml = part.read(HEAD_OF_PART).find(M.WORDML_TYPE.encode()) >= 0
             except (*FORMAT_ERRORS, RuntimeError) as problem:
-                damage = str(problem) or type(problem).__name__
+                damage = _told(problem)
     listed = files if len(files) <= limits.max_entries else []
     return {"opens": True, "damage": damage, "n_entries": len(files), "total_bytes": sum(e.file_size for e in files),
             "entries": [{"name": e.filename, "size": e.file_size, "csize": e.compress_size, "flags": e.flag_bits}
@@ -113,21 +122,25 @@ def detect_content(objects: DataFrame, into: str, limits: ArchiveLimits = ARCHIV
 
 
 def detect_objects(objects: DataFrame, limits: ArchiveLimits = ARCHIVE_LIMITS) -> DataFrame:
-    """(path, detected, detected_reason) of objects opened by path."""
+    """(path, detected, detected_reason, failure) of objects opened by path; detected is null where there is a failure."""
+    def look(path: str) -> tuple[bytes | None, dict | None, dict | None]:
+        try:
+            with open_object(path) as source:
+                head = source.read(8)
+                source.seek(0)
+                return head, look_inside(source, limits) if head.startswith(M.ZIP_MAGIC) else None, None
+        except OSError as problem:
+            return None, None, failure_of(problem)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, looks = [], []
-            for path in batch.column("path").to_pylist():
-                with open_object(path) as source:
-                    heads.append(source.read(8))
-                    source.seek(0)
-                    looks.append(look_inside(source, limits) if heads[-1].startswith(M.ZIP_MAGIC) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary()), pa.array(looks, LOOK_TYPE)],
-                                             ["path", "head", "look"])
+            found = list(map(look, batch.column("path").to_pylist()))
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate((pa.binary(), LOOK_TYPE, FAILURE_TYPE))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", "head", "look", "failure"])
 
-    seen = objects.select("path").mapInArrow(run, f"path string, head binary, look {LOOK}")
-    found = seen.select("path", judged(F.col("head"), F.col("look"), limits).alias("d"))
-    return found.select("path", F.col("d.type").alias("detected"), F.col("d.reason").alias("detected_reason"))
+    seen = objects.select("path").mapInArrow(run, f"path string, head binary, look {LOOK}, failure {FAILURE}")
+    found = seen.select("path", F.when(F.col("failure").isNull(), judged(F.col("head"), F.col("look"), limits)).alias("d"), "failure")
+    return found.select("path", F.col("d.type").alias("detected"), F.col("d.reason").alias("detected_reason"), "failure")
 
 
 def document_outcome(declared: Column, detected: Column, reason: Column) -> tuple[Column, Column]:
@@ -139,7 +152,7 @@ def document_outcome(declared: Column, detected: Column, reason: Column) -> tupl
 
 def zip_index(archives: DataFrame) -> DataFrame:
     """Index rows of each archive, in directory order, folders left out. A damaged archive yields one row with
-    `error`. `archives`: path and, where bytes are inline, content."""
+    `error`, one that cannot be read a row with `failure`. `archives`: path and, where bytes are inline, content."""
     inline = "content" in archives.columns
 
     def index(row) -> Iterator[tuple]:
@@ -147,9 +160,11 @@ def zip_index(archives: DataFrame) -> DataFrame:
             with _source(row.path, row.content if inline else None) as source, zipfile.ZipFile(source) as box:
                 files = files_of(box)
             for at, e in enumerate(files):
-                yield row.path, at, e.filename, e.file_size, e.compress_size, e.flag_bits, None
+                yield row.path, at, e.filename, e.file_size, e.compress_size, e.flag_bits, None, None
         except FORMAT_ERRORS:
-            yield row.path, None, None, None, None, None, M.DAMAGED
+            yield row.path, None, None, None, None, None, M.DAMAGED, None
+        except OSError as problem:
+            yield row.path, None, None, None, None, None, None, failure_of(problem)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +183,8 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
     The unit of work is a run of up to 64 neighbouring entries, so a huge archive is shared out and still not
     reopened for every entry; nothing is copied to disk. `entries`: archive,
     entry_pos. `archives`: path and, where bytes are inline, content, which then travels once per run. Without
-    `entries`, all entries of inline archives are read where the bytes lie; damaged archives yield nothing.
+    `entries`, all entries of inline archives are read where the bytes lie; damaged archives yield nothing. A run whose
+    object cannot be read, or no longer is what its index said, ends in a row without entry_pos and with `failure`.
     """
     inline = "content" in archives.columns
     if entries is None:
@@ -191,25 +207,29 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
                     length, head = length + len(block), head or block[:8]
             if head.startswith(M.ZIP_MAGIC):
                 with box.open(info) as part:            # seekable: only what the look needs is read again
-                    return digest.hexdigest(), length, False, None, head, look_inside(part, limits)
+                    return digest.hexdigest(), length, False, None, head, look_inside(part, limits), None
         except (*FORMAT_ERRORS, RuntimeError) as problem:
             # zipfile reports a password-protected entry as a bare RuntimeError.
-            text = str(problem) or type(problem).__name__
-            return None, length, True, f"'{info.filename}'{M.INDEX_DISAGREES}{text})", None, None
-        return digest.hexdigest(), length, False, None, head, None
+            text = _told(problem)
+            return None, length, True, f"'{info.filename}'{M.INDEX_DISAGREES}{text})", None, None, None
+        return digest.hexdigest(), length, False, None, head, None, None
 
     def extract(run) -> Iterator[tuple]:
-        with _source(run.archive, run.content if inline else None) as source:
-            try:
-                box = zipfile.ZipFile(source)
-            except FORMAT_ERRORS:
-                if run.positions is None:
-                    return
-                raise                      # it was readable when it was indexed: try again
-            with box:
+        failure = None
+        try:
+            with _source(run.archive, run.content if inline else None) as source, zipfile.ZipFile(source) as box:
                 files = files_of(box)
                 for at in range(len(files)) if run.positions is None else run.positions:
+                    if at >= len(files):
+                        failure = CHANGED
+                        break
                     yield run.archive, int(at), *read(box, files[at])
+        except FORMAT_ERRORS:
+            failure = None if run.positions is None else CHANGED        # it was readable when it was indexed
+        except OSError as problem:
+            failure = failure_of(problem)
+        if failure:
+            yield run.archive, None, None, None, None, None, None, None, failure
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,4 +240,33 @@ def zip_extract(entries: DataFrame | None, archives: DataFrame, limits: ArchiveL
     kind = F.when(F.col("head").isNotNull(), judged(F.col("head"), F.col("look"), limits))
     return seen.withColumn("_d", kind).select(
         "archive", "entry_pos", "sha256", "bytes_read", "crc_error", "error", F.col("_d.type").alias("detected"),
-        F.col("_d.reason").alias("detected_reason"))
+        F.col("_d.reason").alias("detected_reason"), "failure")
+
+
+PROGRESS = ("archive string, entry_pos int, sha256 string, bytes_read bigint, crc_error boolean, error string, detected string, "
+            f"detected_reason string, failure {FAILURE}, run string, ok boolean")
+
+
+def read_progress(spark: SparkSession, progress: str) -> DataFrame:
+    """What earlier runs have read of archives' entries, and their failures (ok = false), by run."""
+    return spark.read.schema(PROGRESS).parquet(progress) if exists(spark, progress) else spark.createDataFrame([], PROGRESS)
+
+
+def extract_resumable(entries: DataFrame, archives: DataFrame, progress: str, limits: ArchiveLimits = ARCHIVE_LIMITS,
+                      waves: int = 8, stop_after: int | None = None) -> DataFrame:
+    """`zip_extract` in waves, each of which commits what it has read under `progress`: a run that ends early, for whatever
+    reason, has left its waves there, and the next one reads only the entries that are missing.
+
+    A wave is a share of all runs of entries, so every wave works on all archives and keeps all tasks busy. Only entries that
+    were read count as done; failures belong to the run that met them. `stop_after` ends a run early on purpose. Returns
+    the rows of the entries from all runs, and the failures of this one.
+    """
+    spark, run = entries.sparkSession, scratch(entries.sparkSession, "run").rsplit("-", 1)[1]
+    done = read_progress(spark, progress).filter("ok").select("archive", "entry_pos")
+    todo = durable(entries.select("archive", "entry_pos").join(done, ["archive", "entry_pos"], "left_anti"))
+    wave = F.pmod(F.xxhash64("archive", F.floor(F.col("entry_pos") / RUN_LENGTH)), F.lit(waves))
+    for number in range(waves if stop_after is None else stop_after):
+        found = zip_extract(todo.filter(wave == number), archives, limits)
+        found.select("*", F.lit(run).alias("run"), F.col("failure").isNull().alias("ok")).write.partitionBy(
+            "run", "ok").mode("append").parquet(progress)
+    return read_progress(spark, progress).filter(F.col("ok") | (F.col("run") == run)).drop("run", "ok")

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import errno
 import hashlib
+import re
 import shutil
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioworks.session import durable
+
 BLOCK = 64 * 1024
 BUFFER = 8 * 1024 * 1024
+# What went wrong with one object's reading or writing, as data: `classify_failures` takes it from here.
+FAILURE = "struct<origin: string, code: string, http_status: int, detail: string>"
+FAILURE_TYPE = pa.struct([("origin", pa.string()), ("code", pa.string()), ("http_status", pa.int32()), ("detail", pa.string())])
+OWN_MACHINE = (errno.ENOSPC, errno.EMFILE, errno.ENFILE, errno.ENOMEM, errno.EDQUOT)
 
 
 def manifest(spark: SparkSession, prefix: str, pattern: str | None = None) -> DataFrame:
@@ -38,23 +46,53 @@ def open_object(path: str):
     return store.open_input_file(plain)
 
 
+def failure_of(problem: OSError) -> dict:
+    """The failure that an object's OSError stands for. Trouble of the task's own machine is raised again instead, so that
+    the task is repeated elsewhere.
+
+    A store's answer carries its own code and status; a missing or refused file of a mounted system has the code a store
+    would give; anything else (an interrupted connection, a folder in the object's place) is trouble on the way.
+    """
+    if problem.errno in OWN_MACHINE:
+        raise problem
+    named = re.search(r"AWS Error ([A-Z_]+)", str(problem))
+    http = re.search(r"HTTP (?:status|response code)[ :]*(\d{3})", str(problem))
+    status = int(http[1]) if http else None
+    if isinstance(problem, FileNotFoundError):
+        origin, code, status = "storage", "NoSuchKey", status or 404
+    elif isinstance(problem, PermissionError):
+        origin, code, status = "storage", "AccessDenied", status or 403
+    elif named and named[1] != "NETWORK_CONNECTION":
+        origin, code = "storage", "".join(part.title() for part in named[1].split("_"))
+    elif http:
+        origin, code = "storage", http[1]
+    else:
+        origin, code = "storage_transport", errno.errorcode.get(problem.errno, type(problem).__name__)
+    return {"origin": origin, "code": code, "http_status": status, "detail": f"reading failed ({code})"}
+
+
 def hash_objects(objects: DataFrame) -> DataFrame:
     """SHA-256 and byte count of each `path`, streamed through a buffer: any object size, constant memory, one ranged
-    request of a store for many blocks."""
-    def digest(path: str) -> tuple[str, str, int]:
+    request of a store for many blocks. An object that cannot be read has a `failure` instead."""
+    def digest(path: str) -> tuple[str | None, int | None, dict | None]:
         seen, total = hashlib.sha256(), 0
-        store, plain = filesystem(path)
-        with store.open_input_stream(plain, buffer_size=BUFFER) as source:
-            while block := source.read(BLOCK):
-                seen.update(block)
-                total += len(block)
-        return path, seen.hexdigest(), total
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            store, plain = filesystem(path)
+            with store.open_input_stream(plain, buffer_size=BUFFER) as source:
+                while block := source.read(BLOCK):
+                    seen.update(block)
+                    total += len(block)
+        except OSError as problem:
+            return None, None, failure_of(problem)
+        return seen.hexdigest(), total, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([digest(path) for path in batch["path"]], columns=["path", "sha256", "bytes_read"])
+            found = list(map(digest, batch.column("path").to_pylist()))
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), FAILURE_TYPE))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], ["path", "sha256", "bytes_read", "failure"])
 
-    return objects.select("path").mapInPandas(run, "path string, sha256 string, bytes_read bigint")
+    return objects.select("path").mapInArrow(run, f"path string, sha256 string, bytes_read bigint, failure {FAILURE}")
 
 
 def spread(rows: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
@@ -70,25 +108,70 @@ def hash_content(objects: DataFrame) -> DataFrame:
     return objects.withColumn("sha256", F.sha2("content", 256))
 
 
-def run_object_plan(plan: DataFrame, root: str) -> None:
-    """Carry out (op, src, dst) under `root`, copies before deletes, in tasks; running it again changes nothing."""
-    def copy(rows) -> None:
-        store, base = filesystem(root)
-        for row in rows:
-            target = f"{base}/{row.dst}"
-            if store.get_file_info(f"{base}/{row.src}").type == fs.FileType.NotFound:
-                if store.get_file_info(target).type == fs.FileType.NotFound:
-                    raise FileNotFoundError(f"neither {row.src} nor {row.dst} exists under {root}")
-                continue            # moved by an earlier run of the same plan
-            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            with store.open_input_stream(f"{base}/{row.src}") as source, store.open_output_stream(target) as out:
-                shutil.copyfileobj(source, out, BLOCK)
-
-    def delete(rows) -> None:
+PLAN_RESULT = f"op string, src string, dst string, outcome string, failure {FAILURE}"
+LOT = 1000                  # operations of one lot
+DONE, ALREADY, FAILED, HELD = "done", "already done", "failed", "held back"
+
+
+def _copy(store: fs.FileSystem, base: str, src: str, dst: str) -> str:
+    """Copy an object, under another name until it is whole; a whole one that is there already stays."""
+    source, target = f"{base}/{src}", f"{base}/{dst}"
+    have, found = store.get_file_info([source, target])
+    if found.type == fs.FileType.File and (have.type == fs.FileType.NotFound or have.size == found.size):
+        return ALREADY
+    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    with store.open_input_stream(source) as data, store.open_output_stream(f"{target}.part") as out:
+        shutil.copyfileobj(data, out, BLOCK)
+    store.move(f"{target}.part", target)
+    return DONE
+
+
+def _delete(store: fs.FileSystem, base: str, src: str) -> str:
+    if store.get_file_info(f"{base}/{src}").type == fs.FileType.NotFound:
+        return ALREADY
+    store.delete_file(f"{base}/{src}")
+    return DONE
+
+
+def carry_out(operations: DataFrame, root: str) -> DataFrame:
+    """PLAN_RESULT rows of (op, src, dst) under `root`, in lots of neighbouring keys: one row for each operation, with what
+    went wrong where it failed. An operation that was carried out before is none again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(root)
-        for row in rows:
-            if store.get_file_info(f"{base}/{row.src}").type == fs.FileType.File:
-                store.delete_file(f"{base}/{row.src}")
+        for batch in batches:
+            for start in range(0, batch.num_rows, LOT):
+                lot, outcomes, failures = batch.slice(start, LOT), [], []
+                for row in lot.to_pylist():
+                    try:
+                        outcomes.append(_copy(store, base, row["src"], row["dst"]) if row["op"] == "copy" else _delete(store, base, row["src"]))
+                        failures.append(None)
+                    except OSError as problem:
+                        outcomes.append(FAILED)
+                        failures.append(failure_of(problem))
+                yield pa.RecordBatch.from_arrays([*(lot.column(c) for c in ("op", "src", "dst")), pa.array(outcomes, pa.string()),
+                                                  pa.array(failures, FAILURE_TYPE)], ["op", "src", "dst", "outcome", "failure"])
+
+    # Every operation once: a repeated row would race with itself.
+    rows = operations.select("op", "src", "dst").distinct()
+    return durable(rows.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").mapInArrow(run, PLAN_RESULT))
+
+
+def execute_plan(plan: DataFrame, root: str) -> DataFrame:
+    """Carry out copies, then deletes, of (op, src, dst) under `root`; PLAN_RESULT with one row per distinct operation.
+
+    An object whose copy failed is not deleted: that is held back until the plan runs again. So the plan may stop anywhere and be run
+    again; failures can be classified and retried like those of reads. Empty plans give no rows.
+    """
+    copies = carry_out(plan.filter("op = 'copy'"), root)
+    broken = copies.filter(F.col("outcome") == FAILED).select("src").distinct()
+    deletes = plan.filter("op = 'delete'").select("op", "src", "dst").distinct()
+    held = deletes.join(broken, "src", "left_semi").select(
+        "op", "src", "dst", F.lit(HELD).alias("outcome"), F.lit(None).cast(FAILURE).alias("failure"))
+    return copies.unionByName(held).unionByName(carry_out(deletes.join(broken, "src", "left_anti"), root))
+
 
-    plan.filter("op = 'copy'").foreachPartition(copy)
-    plan.filter("op = 'delete'").foreachPartition(delete)
+def run_object_plan(plan: DataFrame, root: str) -> None:
+    """`execute_plan`, for callers that want all or an error."""
+    failed = execute_plan(plan, root).filter(F.col("outcome") == FAILED).select("op", "src", "failure.code").head(5)
+    if failed:
+        raise OSError(f"operations failed, among them {[tuple(r) for r in failed]}")

@@ -36,12 +36,13 @@ def stream_manifest(spark: SparkSession, prefix: str, files_per_trigger: int = 1
 
 def run_ingest(objects: DataFrame, out: str, checkpoint: str, limits: ArchiveLimits = ARCHIVE_LIMITS,
                now: bool = True) -> None:
-    """Type, guard and explode arriving objects. Each trigger writes its own folder of `files` and `candidates`, with
-    ids and keys derived from names, so a repeated trigger leaves the same tables."""
+    """Type, guard and explode arriving objects. Each trigger writes its own folder of `files`, `candidates` and `attempts`,
+    with ids and keys derived from names, so a repeated trigger leaves the same tables. Entries of archives are read once,
+    also by a trigger that is repeated."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        files, candidates = ingest.process(ingest.uploads_of(batch), limits)
-        files.write.mode("overwrite").parquet(f"{out}/files/trigger={batch_id}")
-        candidates.write.mode("overwrite").parquet(f"{out}/candidates/trigger={batch_id}")
+        done = ingest.process_attempts(ingest.uploads_of(batch), limits, progress=f"{out}/progress/trigger={batch_id}")
+        for name, rows in done._asdict().items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/trigger={batch_id}")
 
     writer = objects.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     (writer.trigger(availableNow=True) if now else writer).start().awaitTermination()
