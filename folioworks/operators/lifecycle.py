@@ -164,6 +164,32 @@ def advance(events: DataFrame, ages: Ages, previous: DataFrame | None = None) ->
         F.aggregate("_fresh", F.col("_start"), lambda s, e: step(s, e, ages)).alias("state"))
 
 
+def advance_any(events: DataFrame, ages: Ages, previous: DataFrame, hot_rows: int = FOLD_ROWS) -> DataFrame:
+    """`advance`, for triggers of any size: of a file with more than `hot_rows` events among `events` no history is gathered, its
+    events are worked off in phases from where `previous` left it. Only files with events come back."""
+    counts = events.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = durable(counts.filter(F.col("n") > hot_rows).select("file_id"))
+    known = previous.join(counts, "file_id", "left_semi")
+    if hot.isEmpty():
+        return advance(events, ages, known)
+    few = advance(events.join(hot, "file_id", "left_anti"), ages, known.join(hot, "file_id", "left_anti"))
+    many, before = _judged(events.join(hot, "file_id", "left_semi")), durable(known.join(hot, "file_id", "left_semi"))
+    last = F.struct(F.col("last_us").alias("ts_us"), F.col("last_seq").alias("seq"))
+    placed = many.join(before.select("file_id", last.alias("_last")), "file_id", "left")
+    late = F.coalesce(F.struct("ts_us", "seq") <= F.col("_last"), F.lit(False))
+    placed = durable(placed.withColumn("_late", late))
+    fresh = placed.filter("NOT _late").drop("_last", "_late")
+    ends = placed.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("_events"), F.min("ts_us").alias("_created"), F.count_if("_late").alias("_late"),
+        F.max(F.when(~F.col("_late"), F.struct("ts_us", "seq"))).alias("_end"))
+    states = _by_phases(fresh, ages, before.select("file_id", "state", last.alias("at"))).select("file_id", F.col("state").alias("_state"))
+    rows = ends.join(before, "file_id", "left").join(states, "file_id", "left")
+    return few.unionByName(rows.select(
+        "file_id", (F.coalesce("events", F.lit(0)) + F.col("_events")).alias("events"), F.least("created_us", "_created").alias("created_us"),
+        F.coalesce("_end.ts_us", "last_us").alias("last_us"), F.coalesce("_end.seq", "last_seq").alias("last_seq"),
+        (F.coalesce("late", F.lit(0)) + F.col("_late")).alias("late"), F.coalesce("_state", "state", initial_state()).alias("state")))
+
+
 def _fold(events: DataFrame, ages: Ages) -> DataFrame:
     return advance(events, ages).select("file_id", "events", "created_us", "last_us", "state")
 
@@ -179,8 +205,9 @@ def _open_claims(folded: DataFrame) -> DataFrame:
                          *[state[n].alias(n) for n in kept], wins.alias("wins"))
 
 
-def _by_phases(events: DataFrame, ages: Ages) -> DataFrame:
-    """The same result for files with huge histories, without gathering any of them.
+def _by_phases(events: DataFrame, ages: Ages, start: DataFrame | None = None) -> DataFrame:
+    """The same result for files with huge histories, without gathering any of them. `start`: file_id, state and at (ts_us,
+    seq of the last event before) of files that are not new.
 
     Only a few events change a file's status: the first confirm, at most max_attempts claims, and what ends each.
     Every round finds each file's next such event with partial aggregates and applies the shared `step` to it; the
@@ -191,7 +218,9 @@ def _by_phases(events: DataFrame, ages: Ages) -> DataFrame:
     origin = F.struct(F.lit(-2 ** 62).cast("bigint").alias("ts_us"), F.lit(-1).cast("bigint").alias("seq"))
     states = durable(events.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("events"), F.min("e.ts_us").alias("created_us"), F.max("e.ts_us").alias("last_us"))
-        .select("*", initial_state().alias("state"), origin.alias("at")))
+        .select("*", initial_state().alias("state"), origin.alias("at")) if start is None else events.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("events"), F.min("e.ts_us").alias("created_us"), F.max("e.ts_us").alias("last_us")).join(
+        start, "file_id", "left").withColumns({"state": F.coalesce("state", initial_state()), "at": F.coalesce("at", origin)}))
     fields = ("entries_total", "entries_done", "detected_type")
     while True:
         ahead = events.join(states.select("file_id", "state", "at"), "file_id").filter("pos > at")

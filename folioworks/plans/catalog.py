@@ -47,8 +47,8 @@ def _states(spark, sf):
     return lifecycle.lifecycle_state(V.lifecycle(V.events(spark, sf)), V.LIFECYCLE_AGES)
 
 
-def _streamed_states(spark, sf):
-    return jobs.read_states(spark, jobs.run_lifecycle(V.lifecycle(V.event_stream(spark, sf)), spark, V.LIFECYCLE_AGES))
+def _streamed(spark, sf):
+    return jobs.run_lifecycle(V.lifecycle(V.event_stream(spark, sf)), spark, V.LIFECYCLE_AGES, delay_us=V.HOUR_US, rebase=3)
 
 
 def _accepted_writes(spark, sf):
@@ -816,15 +816,14 @@ def stream_intake(spark, sf):
 
 @query
 def stream_lifecycle(spark, sf):
-    return _streamed_states(spark, sf).select(
+    return jobs.read_states(spark, _streamed(spark, sf)).select(
         "file_id", "status", "status_message", "attempt_count", "claim_token", "heartbeat_us", "uploaded_us",
         "entries_total", "entries_done", "detected_type")
 
 
 @query
 def stream_stale(spark, sf):
-    stale = jobs.stale_alerts(_streamed_states(spark, sf), V.LIFECYCLE_AGES, V.HOUR_US)
-    return stale.select("file_id", "heartbeat_us", "attempt_count")
+    return jobs.stale_alerts(spark, _streamed(spark, sf)).select("file_id", "heartbeat_us", "attempt_count")
 
 
 @query

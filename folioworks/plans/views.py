@@ -146,11 +146,17 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events")
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    # A pattern, so that the table may be one file or a folder of files.
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 64)
-            .parquet(f"{sf.rstrip('/')}/event[s].parquet"))
+def event_stream(spark: SparkSession, sf: str, parts: int = 4, part_rows: int = 1_000_000) -> DataFrame:
+    """The events table as a stream of files in the order of their time, a trigger for each: `parts`, or more of `part_rows`
+    rows where the table is large."""
+    events, path = table(spark, sf, "events"), scratch(spark, "events")
+    parts = max(parts, -(-events.count() // part_rows))
+    second = F.col("ts").cast("timestamp").cast("bigint")
+    cuts = events.select(second.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], 0.001)
+    number = sum((F.when(second > cut, 1).otherwise(0) for cut in sorted(set(cuts))), F.lit(0))
+    for part in range(len(set(cuts)) + 1):             # one after the other: the stream takes the oldest file first
+        events.filter(number == part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _events(raw: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Adaptive execution splits skewed join partitions even where that costs an extra shuffle downstream; session
-# windows merge inside map tasks first, so a file with a third of all heartbeats ships one row per session.
+# windows merge inside map tasks first, so a file with a third of all heartbeats ships one row per session. Batches that
+# go to Python hold texts or bytes, so they are small. Where few of many wide rows find a partner, a Bloom filter of bounded
+# size keeps the others out of the shuffle.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,6 +23,9 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64MB",
 }
 
 
@@ -92,6 +97,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder; none where there is no such folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [found.getPath().getName() for found in store.listStatus(place)] if store.exists(place) else []
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application wrote under the shared folder; call it when its results are stored elsewhere."""
     remove(spark, application_dir(spark))
