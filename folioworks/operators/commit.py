@@ -4,24 +4,29 @@ A candidate that loses on content never occupies its title, so this is a greedy
 windows. It runs as rounds: every edge (content, title) that ranks first among the live edges of both its keys is
 accepted, then all edges sharing a key with it leave. Each round is grouped minima plus equi joins; copies of the
 same (content, title) collapse before the first round, so a content that makes up a third of all candidates is one
-edge. The number of rounds is logarithmic in expectation (Blelloch, Fineman, Shun, SPAA 2012); there is no cap, and no
-other path for what is left: rounds go on until every edge is decided.
+edge. The number of rounds is logarithmic in expectation (Blelloch, Fineman, Shun, SPAA 2012), but chains of conflicts in rank order
+would need one for every two links. So once rounds stop halving what is left, the graph is divided into its components, and
+each is finished in one sorted pass; of a component too large for that, the edges of the lowest ranks are finished first,
+as what follows cannot change them. A remainder below the bound of one pass is finished at once. There is no cap: all
+goes on until every edge is decided.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks import messages as M
 from folioworks.functions import names
-from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 
 ORG_HASH = ["organization_id", "content_hash"]
 ORG_TITLE = ["organization_id", "title_norm"]
+PASS_EDGES = 200_000        # three integers each: what one sorted pass may hold
 
 
 def finished_candidates(candidates: DataFrame, files: DataFrame) -> DataFrame:
@@ -70,23 +75,84 @@ def commit(candidates: DataFrame, files: DataFrame, library: DataFrame, batch_or
             .drop("_hash_held", "_title_held", "_hash_pos", "_title_pos"))
 
 
-def greedy_matching(edges: DataFrame) -> DataFrame:
+def greedy_matching(edges: DataFrame, most: int = PASS_EDGES) -> DataFrame:
     """Edges the sequential pass would accept. `edges`: organization_id, content_hash, title_norm, unique `pos`.
 
-    Every edge gets its rank once, and each content and title the smallest rank among its edges as an id, so a round
-    works on three integers: two hash aggregates, equi joins and one write, until nothing is left.
+    Every edge gets an increasing number once, and each content and title the smallest number among its edges as an id, so
+    what follows works on three integers.
     """
-    ranked = durable(ordered_scan(edges, [], ["pos"], {"rank": ("number", None)}))
+    ranked = durable(edges.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("rank", F.monotonically_increasing_id()))
     contents = ranked.groupBy(*ORG_HASH).agg(F.min("rank").alias("h"))
     titles = ranked.groupBy(*ORG_TITLE).agg(F.min("rank").alias("t"))
     alive = durable(ranked.join(contents, ORG_HASH).join(titles, ORG_TITLE).select("rank", "h", "t"))
-    accepted = []
-    while True:
-        judged = durable(_round(alive))
+    accepted, left = [], alive.count()
+    while left:
+        if left <= most:
+            accepted.append(_in_order(alive.withColumn("c", F.lit(0))).select("rank"))
+            break
+        judged, before = durable(_round(alive)), left
         accepted.append(judged.filter("wins").select("rank"))
         alive = judged.filter("NOT wins AND NOT lost").select("rank", "h", "t")
-        if alive.isEmpty():
-            return ranked.join(reduce(DataFrame.unionByName, accepted), "rank", "left_semi").select(*edges.columns)
+        left = alive.count()
+        if left > most and 2 * left > before:
+            won, alive = _by_components(alive, most)
+            accepted.append(won)
+            left = alive.count()
+    if not accepted:
+        return edges.limit(0)
+    return ranked.join(reduce(DataFrame.unionByName, accepted), "rank", "left_semi").select(*edges.columns)
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """The sequential pass over (c, rank, h, t), for each c: the accepted edges. It holds the keys taken in one c only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, contents, titles = None, set(), set()
+        for batch in batches:
+            kept = []
+            for at, (c, h, t) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("c", "h", "t")), strict=True)):
+                if c != own:
+                    own, contents, titles = c, set(), set()
+                if h not in contents and t not in titles:
+                    contents.add(h)
+                    titles.add(t)
+                    kept.append(at)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = edges.select(F.col("c").cast("bigint").alias("c"), "rank", "h", "t")
+    return durable(rows.repartition("c").sortWithinPartitions("c", "rank").mapInArrow(run, rows.schema))
+
+
+def _by_components(alive: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Finish the components of up to `most` edges, and of larger ones about as many of the lowest ranks: the ranks
+    accepted, and the edges left."""
+    parts = durable(components(alive))
+    large = parts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("c")
+    rest = durable(parts.join(large, "c", "left_semi"))
+    ready, total = parts.join(large, "c", "left_anti"), rest.count()
+    if not total:
+        return _in_order(ready).select("rank"), alive.limit(0)
+    (cut,) = rest.approxQuantile("rank", [most / total], most / total / 4)
+    first = F.col("rank") <= cut
+    won = _in_order(ready.unionByName(rest.filter(first)))
+    later = rest.filter(~first).join(won.select("h"), "h", "left_anti").join(won.select("t"), "t", "left_anti")
+    return won.select("rank"), durable(later.select("rank", "h", "t"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """`edges` (rank, h, t) with the component `c` of each, named by its smallest rank. Labels spread over contents and titles,
+    and every label is replaced by the label of the edge it names, so that the rounds are logarithmic in a path's length."""
+    labelled = durable(edges.withColumn("c", F.least("h", "t", "rank")))
+    while True:
+        by_h = labelled.groupBy("h").agg(F.min("c").alias("_h"))
+        by_t = labelled.groupBy("t").agg(F.min("c").alias("_t"))
+        spread = durable(labelled.join(by_h, "h").join(by_t, "t").select(
+            "rank", "h", "t", F.least("_h", "_t").alias("n"), "c"))
+        named = spread.select(F.col("rank").alias("n"), F.col("n").alias("_n"))
+        after = durable(spread.join(named, "n", "left").select(
+            "rank", "h", "t", F.least("n", F.coalesce("_n", "n")).alias("c"), (F.least("n", F.coalesce("_n", "n")) < F.col("c")).alias("moved")))
+        labelled = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return labelled
 
 
 def _round(alive: DataFrame) -> DataFrame:

@@ -164,3 +164,44 @@ def test_name_and_size_lookup_ignores_case(spark):
                                   "id string, organization_id string, file_name string, size_bytes bigint")
     got = D.by_name_and_size(asked.withColumn("file_name_norm", names.file_name_norm(F.col("file_name"))), lib)
     assert {r.id: r.duplicate_of for r in got.collect()} == {"a": "d1", "b": None}
+
+
+def edges_of(spark, pairs):
+    """(content, title) in order of rank."""
+    rows = [("o", f"h{h}", f"t{t}", i) for i, (h, t) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "organization_id string, content_hash string, title_norm string, n bigint").select(
+        "organization_id", "content_hash", "title_norm", F.struct("n").alias("pos"))
+
+
+def taken(pairs):
+    contents, titles, out = set(), set(), []
+    for i, (h, t) in enumerate(pairs):
+        if h not in contents and t not in titles:
+            contents.add(h)
+            titles.add(t)
+            out.append(i)
+    return out
+
+
+def chain(n, first=0):
+    return [(first + (i + 1) // 2, first + i // 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("pairs,most,writes", [
+    (chain(10_000), C.PASS_EDGES, 4),                                   # below the bound of one pass: no rounds at all
+    ([p for k in range(40) for p in chain(12, 100 * k)], 50, 30),       # many chains, each finished in one pass
+    (chain(120), 50, 60)])                                              # one chain beyond the bound: lowest ranks first
+def test_chains_need_few_rounds(spark, monkeypatch, pairs, most, writes):
+    written = []
+    kept = C.durable
+    monkeypatch.setattr(C, "durable", lambda df: (written.append(1), kept(df))[1])
+    got = C.greedy_matching(edges_of(spark, pairs), most)
+    assert sorted(r.pos.n for r in got.collect()) == taken(pairs) and len(written) <= writes
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_equal_the_sequential_pass(spark, seed):
+    rng = random.Random(seed)
+    pairs = list(dict.fromkeys((rng.randint(0, 150), rng.randint(0, 150)) for _ in range(260)))
+    assert sorted(r.pos.n for r in C.greedy_matching(edges_of(spark, pairs), 20).collect()) == taken(pairs)
+    assert C.greedy_matching(edges_of(spark, []), 20).count() == 0
