@@ -1,17 +1,18 @@
 """Analytics over log lines and lifecycle intervals.
 
-Per-file answers are grouped minima chained by equi joins, never a gathered history; order statistics and running
-totals go through `ordered_scan`, which holds for groups of any size.
+Per-file answers are grouped minima chained by equi joins, never a gathered history. Order statistics count values in
+ranges that narrow, and peaks combine sums of time buckets: neither puts all rows of a group in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.operators.ranking import ordered_scan
 from folioworks.session import durable
 
+BUCKETS = 1024              # ranges counted at each level of a selection
+
 
 def _once(rows: DataFrame) -> DataFrame:
     """Rows that several steps read: parsed or joined once, kept narrow."""
@@ -36,26 +37,55 @@ def confirm_to_claim(lines: DataFrame) -> DataFrame:
     return first.withColumn("delay_us", F.col("claimed_us") - F.col("confirmed_us"))
 
 
-def nearest_rank(values: DataFrame, keys: list[str], value: str, tie: str, percent: float) -> DataFrame:
-    """Exact nearest-rank percentile per group: position round_half_even(p/100·n + 0.5), at least 1."""
-    ranked = _ranked(values, keys, value, tie)
-    wanted = F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0).cast("bigint")
-    wanted = F.least(F.col("n"), F.greatest(F.lit(1), wanted))
-    return ranked.filter(F.col("_rank") == wanted).select(*keys, "n", F.col(value).alias("percentile"))
-
-
-def _ranked(values: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """`_rank` by value and the group's size `n`. The values are computed once, counted and ranked from a copy."""
-    return ordered_scan(_once(values.select(*keys, value, tie)), keys, [value, tie],
-                        {"_rank": ("number", None), "n": ("size", None)})
+def select_ranks(values: DataFrame, value: str, wanted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The value at each wanted rank of its group, found by counting; nothing is sorted.
 
-
-def spread(values: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Median (mean of the two middle values), minimum and maximum per group."""
-    ranked = _ranked(values, keys, value, tie)
-    middle = F.col("_rank").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
-    return ranked.groupBy(*keys).agg(F.avg(F.when(middle, F.col(value))).alias("median"),
-                                     F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    `values`: k (the group, a struct) and an integer column. `wanted`: k, w (names the rank within the group), rank (from
+    1, in the order of values) and lo, hi (smallest and largest value). Each level counts the values between lo and hi in
+    `buckets` ranges of equal width and narrows lo and hi to the range that holds the rank: one pass over the values and
+    at most `buckets` rows per rank are shuffled, and a 64-bit range takes seven levels at most.
+    """
+    bounds = durable(wanted.select("k", "w", "rank", "lo", "hi"))
+    within = Window.partitionBy("k", "w").orderBy("bucket")
+    while True:
+        open_ = bounds.filter("lo < hi")
+        if open_.isEmpty():
+            return bounds.select("k", "w", F.col("lo").alias("found"))
+        ranges = open_.withColumn("step", F.expr(f"(hi - lo) div {buckets} + 1"))
+        counted = (values.select("k", F.col(value).alias("v")).join(ranges, "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+                   .groupBy("k", "w", F.expr("(v - lo) div step").alias("bucket")).agg(F.count(F.lit(1)).alias("c")))
+        placed = counted.join(ranges, ["k", "w"]).withColumn("upto", F.sum("c").over(within))
+        holds = placed.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        low = F.col("lo") + F.col("bucket") * F.col("step")
+        bounds = durable(bounds.filter("lo >= hi").unionByName(holds.select(
+            "k", "w", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), low.alias("lo"),
+            F.least("hi", low + F.col("step") - 1).alias("hi"))))
+
+
+def _grouped(values: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(values with their group k, groups with n, lo, hi). The values are computed once."""
+    rows = _once(values.select(F.struct(*keys, F.lit(0).alias("_")).alias("k"), value).filter(F.col(value).isNotNull()))
+    return rows, rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def nearest_rank(values: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
+    """Exact nearest-rank percentile per group of an integer column: position round_half_even(p/100·n + 0.5), at least 1."""
+    rows, sizes = _grouped(values, keys, value)
+    rank = F.bround(F.lit(percent) / 100 * F.col("n") + 0.5, 0).cast("bigint")
+    sizes = durable(sizes.withColumns({"w": F.lit(0), "rank": F.least(F.col("n"), F.greatest(F.lit(1), rank))}))
+    found = select_ranks(rows, value, sizes)
+    return sizes.select("k", "n").join(found, "k").select(*[F.col(f"k.{key}").alias(key) for key in keys], "n", F.col("found").alias("percentile"))
+
+
+def spread(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Median (mean of the two middle values), minimum and maximum per group of an integer column."""
+    rows, sizes = _grouped(values, keys, value)
+    sizes = durable(sizes)
+    middle = F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))
+    found = select_ranks(rows, value, sizes.select("k", "lo", "hi", F.posexplode(middle).alias("w", "rank")))
+    medians = found.groupBy("k").agg(F.avg("found").alias("median"))
+    return sizes.join(medians, "k").select(*[F.col(f"k.{key}").alias(key) for key in keys], "median", F.col("lo").alias("lowest"),
+                                           F.col("hi").alias("highest"))
 
 
 def sweep_totals(lines: DataFrame) -> DataFrame:
@@ -75,17 +105,30 @@ def sweep_coverage(lines: DataFrame) -> DataFrame:
     return lines.filter("event = 'enqueued'").select("file_id").distinct().join(named, "file_id", "left_anti")
 
 
-def peak_concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Most intervals open at once per group. `intervals`: keys, id, from_us, to_us (NULL: still open).
+def peak_concurrency(intervals: DataFrame, keys: list[str], marks_per_bucket: int = 1000) -> DataFrame:
+    """Most intervals open at once per group. `intervals`: keys, from_us, to_us (NULL: still open).
 
-    Ends sort before starts at the same instant. The running sum is a sliced scan, not one global window.
+    Ends come before starts at the same instant. Marks are first added up by instant, then each bucket of time is summed up as
+    (change, highest level within), which combine from left to right like the marks themselves; so only marks of one
+    bucket, and then buckets of one group, are ever put in order.
     """
     edges = F.array(F.struct(F.col("from_us").alias("at"), F.lit(1).alias("delta")),
                     F.struct(F.col("to_us").alias("at"), F.lit(-1).alias("delta")))
-    marks = intervals.select(*keys, "id", F.explode(edges).alias("m")).select(
-        *keys, "id", F.col("m.at").alias("at"), F.col("m.delta").alias("delta")).filter("at IS NOT NULL")
-    running = ordered_scan(_once(marks), keys, ["at", "delta", "id"], {"open": ("sum", F.col("delta"))})
-    return running.groupBy(*keys).agg(F.max("open").cast("bigint").alias("peak"))
+    group = F.struct(*keys, F.lit(0).alias("_")).alias("k")
+    marks = intervals.select(group, F.explode(edges).alias("m")).filter("m.at IS NOT NULL").groupBy("k", F.col("m.at").alias("at")).agg(
+        F.sum("m.delta").alias("change"), F.min("m.delta").alias("first"))
+    # Highest level reached within an instant: after its first end, or at its end.
+    marks = _once(marks.select("k", "at", "change", F.when(F.col("first") < 0, F.greatest(F.lit(-1), "change")).otherwise(F.col("change")).alias("top")))
+    spans = marks.groupBy("k").agg(F.min("at").alias("lo"), F.expr(
+        f"(max(at) - min(at)) div greatest(count(1) div {marks_per_bucket}, 1) + 1").alias("step"))
+    bucketed = marks.join(spans, "k").withColumn("bucket", F.expr("(at - lo) div step"))
+
+    def summed(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        before = F.coalesce(F.sum("change").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return rows.withColumn("level", before + F.col("top")).groupBy(*by).agg(F.sum("change").alias("change"), F.max("level").alias("top"))
+
+    whole = summed(summed(bucketed, ["k", "bucket"], "at"), ["k"], "bucket")
+    return whole.select(*[F.col(f"k.{key}").alias(key) for key in keys], F.col("top").cast("bigint").alias("peak"))
 
 
 def claim_counts(lines: DataFrame) -> DataFrame:

@@ -73,13 +73,13 @@ def _delays(spark, sf):
 
 @query
 def src_manifest(spark, sf):
-    found = object_source.manifest(spark, sf, "*.parquet")
+    found = object_source.list_objects(spark, sf, "*.parquet")
     return found.select(names.base_name(F.col("path")).alias("name"), "length")
 
 
 @query
 def src_file_hash(spark, sf):
-    hashed = object_source.hash_objects(object_source.manifest(spark, sf, "*.parquet"))
+    hashed = object_source.hash_objects(object_source.list_objects(spark, sf, "*.parquet"))
     return hashed.select(names.base_name(F.col("path")).alias("name"), "sha256", "bytes_read")
 
 
@@ -473,12 +473,12 @@ def dq_open_files(spark, sf):
 
 @query
 def latency_p95(spark, sf):
-    return metrics.nearest_rank(_delays(spark, sf), ["period"], "delay_us", "file_id", 95)
+    return metrics.nearest_rank(_delays(spark, sf), ["period"], "delay_us", 95)
 
 
 @query
 def latency_spread(spark, sf):
-    return metrics.spread(_delays(spark, sf), ["period"], "delay_us", "file_id")
+    return metrics.spread(_delays(spark, sf), ["period"], "delay_us")
 
 
 @query
@@ -490,8 +490,7 @@ def sweep_totals(spark, sf):
 def peak_concurrency(spark, sf):
     spans = V.lifecycle_files(_states(spark, sf)).select("organization_id", "file_id", F.explode("wins").alias("w"))
     return metrics.peak_concurrency(spans.select(
-        "organization_id", F.concat_ws("/", "file_id", F.col("w.from_seq").cast("string")).alias("id"),
-        F.col("w.from_us").alias("from_us"), F.col("w.to_us").alias("to_us")), ["organization_id"])
+        "organization_id", F.col("w.from_us").alias("from_us"), F.col("w.to_us").alias("to_us")), ["organization_id"])
 
 
 @query

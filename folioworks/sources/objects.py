@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import errno
+import fnmatch
 import hashlib
 import re
 import shutil
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +33,50 @@ def manifest(spark: SparkSession, prefix: str, pattern: str | None = None) -> Da
     return reader.load(prefix).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+LISTED = "path string, length bigint, modified timestamp, folder boolean"
+PYTHON_STORES = ("file", "s3", "gs", "gcs", "hdfs")
+
+
+def list_objects(spark: SparkSession, prefix: str, pattern: str | None = None) -> DataFrame:
+    """The manifest again, listed by tasks: the folders of one level are rows, each is listed by a task, and the folders found are
+    the next level. Nothing is held in the driver, whatever the number of objects; the result is a written table.
+
+    `pattern` is matched against an object's name. A store that only Spark reaches is listed by Spark. A prefix that is one
+    object gives that object; one that is not there is an error.
+    """
+    scheme = prefix.split(":", 1)[0] if ":" in prefix.split("/", 1)[0] else "file"
+    if scheme not in PYTHON_STORES:
+        return manifest(spark, prefix, pattern)
+    store, start = filesystem(prefix)
+    if store.get_file_info(start).type == fs.FileType.File:
+        return manifest(spark, prefix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(prefix)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder))
+                for at in range(0, len(found), LOT):
+                    part = found[at:at + LOT]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.path for f in part], pa.string()), pa.array([f.size for f in part], pa.int64()),
+                         pa.array([(f.mtime_ns or 0) // 1000 for f in part], pa.timestamp("us", "UTC")),
+                         pa.array([f.type == fs.FileType.Directory for f in part])], ["path", "length", "modified", "folder"])
+
+    level, files = spark.createDataFrame([(start,)], "path string"), []
+    while True:
+        found = durable(spread(level, "path").mapInArrow(run, LISTED))
+        files.append(found.filter("NOT folder"))
+        level = found.filter("folder").select("path")
+        if level.isEmpty():
+            break
+    rows = reduce(DataFrame.unionByName, files).withColumn("_name", F.element_at(F.split("path", "/"), -1))
+    if pattern:
+        rows = rows.filter(F.col("_name").rlike(fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$")))
+    head = "file:" if scheme == "file" else prefix[:prefix.index(start)]
+    return rows.select(F.concat(F.lit(head), "path").alias("path"), "length", "modified")
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of an address; Spark writes local ones as file:/…"""
     if path.startswith("file:"):

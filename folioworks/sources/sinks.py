@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioworks.session import children, exists
+
+MARKERS = "_commits"
+
 
 def write_commit(rows: DataFrame, table: str, commit_id: str) -> None:
     """Write one commit's rows (library documents or audit rows) as their own folder of a parquet table.
@@ -18,6 +22,25 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table)
 
 
+def publish(tables: dict[str, DataFrame], root: str, commit_id: str) -> None:
+    """Write one commit's rows to several tables under `root`, visible all at once: the marker, written last, is what readers
+    of `published` go by. A commit that stops on the way is not seen, and running it again overwrites what it left."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, rows in tables.items():
+        write_commit(rows, f"{root}/{name}", commit_id)
+    names = [(name,) for name in sorted(tables)]
+    write_commit(spark.createDataFrame(names, "table string").coalesce(1), f"{root}/{MARKERS}", commit_id)
+
+
+def published(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of all commits to `table` whose marker is complete, with their `commit_id`."""
+    known = [name for name in children(spark, f"{root}/{table}") if name.startswith("commit_id=")]
+    done = [f"{root}/{table}/{name}" for name in known if exists(spark, f"{root}/{MARKERS}/{name}/_SUCCESS")]
+    if not done:
+        return spark.read.parquet(*[f"{root}/{table}/{n}" for n in known[:1]]).limit(0) if known else spark.createDataFrame([], "commit_id string")
+    return spark.read.option("basePath", f"{root}/{table}").parquet(*done)
+
+
 def write_snapshot(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Replace a snapshot, e.g. files partitioned by status so that sweeps read one partition."""
     writer = rows.write.mode("overwrite")
