@@ -1,10 +1,12 @@
 """Boilerplate lines by their frequency within a site.
 
 For every host the pages that contain a line are counted; a line on more than a given share of the host's pages is
-boilerplate and goes from every page of that host. Two passes over the table, no text in any shuffle that the optimizer
-can avoid: the first counts hashed lines (each page ships a distinct line once, and map tasks add up before the
-shuffle), the second filters each page against its host's short list. That list is bounded: with L lines a page on
-average, at most L / ratio lines can exceed the ratio.
+boilerplate and goes from every page of that host. Two passes over the table: the first counts hashed lines (each page
+ships a distinct line once, and map tasks add up before the shuffle) and writes the hosts' short lists; the second
+filters each page against its host's list. A list is bounded: with L lines a page on average, at most L / ratio lines
+can exceed the ratio. The lists' size is known when the second pass is planned, so that they go to the pages, which stay
+where they were read, as long as the optimizer's limit for broadcasts allows; beyond it both sides are shuffled by host
+and adaptive execution splits a host with many pages.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioworks.llm.tables import written
+
 
 @dataclass(frozen=True)
 class Seldom:
@@ -80,7 +84,7 @@ def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float, least_pag
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1,
-                     least_pages: int = 10, seldom: Seldom | None = None) -> DataFrame:
+                     least_pages: int = 3, seldom: Seldom | None = None) -> DataFrame:
     """All columns of `pages`, plus `host`, `n_lines`, `n_dropped` and `kept` (the remaining lines as one text).
 
     A line counts once per page, compared without outer spaces; empty lines are neither counted nor dropped. It goes
@@ -91,7 +95,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
     added = ("host", "n_lines", "n_dropped", "kept")
     # A hint keeps the two uses of the split apart from the scan's columns; underscored names don't clash with the input's.
     ready = pages.withColumns({"_site": F.coalesce(host, F.lit("")), "_lines": lines})
-    drops = boilerplate(ready, "_site", "_lines", ratio, least_pages, seldom)
+    drops = written(boilerplate(ready, "_site", "_lines", ratio, least_pages, seldom), "boilerplate")
     marked = ready.join(drops, ready["_site"] == drops["_host"], "left")
 
     def without(keys: Column) -> Column:

@@ -47,7 +47,7 @@ WITH p AS (
 l AS (SELECT rid, host, unnest(list_distinct(lines)) AS line FROM p),
 drops AS (
   SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY ALL)
-  JOIN (SELECT host, count(*) AS pages FROM p GROUP BY ALL) USING (host) WHERE n >= 10 AND n > pages * 0.1),
+  JOIN (SELECT host, count(*) AS pages FROM p GROUP BY ALL) USING (host) WHERE n >= 3 AND n > pages * 0.1),
 e AS (SELECT rid, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM p),
 k AS (SELECT rid, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY i) AS kept
       FROM e WHERE NOT EXISTS (SELECT 1 FROM drops WHERE drops.host = e.host AND drops.line = e.line) GROUP BY rid)

@@ -67,7 +67,7 @@ def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's visible lines without its host's boilerplate."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = lines.drop_boilerplate(pages, lines.url_host(F.col("url")), lines.html_lines(F.col("html")), 0.1, 10)
+    found = lines.drop_boilerplate(pages, lines.url_host(F.col("url")), lines.html_lines(F.col("html")), 0.1, 3)
     return found.select("page_id", "host", "n_lines", "n_dropped", "kept")
 
 
