@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.samples import fold, labelled
+from folioworks.llm.samples import fold, labelled, one_per_id
 from folioworks.llm.tables import runs, written
 
 # Function words of English, German, French and Spanish.
@@ -120,7 +120,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on the labelled sample: statistics in tasks, normal equations summed per partition, calibration on a fold."""
     sample = labelled(docs, labels, "quality", 5, 0, settings.train_rows)
-    measured = written(_measure(sample, "y int"), "quality-sample")
+    measured = written(one_per_id(_measure(sample, "y int"), "y", "stats"), "quality-sample")
     moments = measured.select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")).orderBy("at").collect()
     mean = np.array([m["mean"] for m in moments] or [0.0] * STATISTICS)

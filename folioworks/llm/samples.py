@@ -27,3 +27,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     truth = usable.filter(chosen).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.filter(chosen).join(F.broadcast(truth), "doc_id")     # as many rows as are learned from, at most
+
+
+def one_per_id(measured: DataFrame, *columns: str) -> DataFrame:
+    """One row per doc_id of what was measured of labelled texts, the smallest: an id that repeats, however often, counts once,
+    so what is collected stays within the bound on labels."""
+    least = measured.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("m"))
+    return least.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in columns])

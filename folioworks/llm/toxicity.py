@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its hashed terms: words and their first letters, so that inflected forms share one. Those whose document frequency differs most between the classes stay as
-features. The machine adds a weight per feature and, through low-rank factors, one per pair of features, so that words
-harmless alone can count together. It is fitted on a bounded labelled sample and applied to every whole text.
+A document is the set of its hashed terms: words and their first letters, so that inflected forms share one. Features are
+the terms whose document frequency differs most between the classes, and the terms of pairs whose joint frequency does
+although neither term's own does. The machine adds a weight per feature and, through low-rank factors, one per pair of
+features, so that words harmless alone can count together. It is fitted on a bounded labelled sample and applied to
+every whole text.
 """
 
 from __future__ import annotations
@@ -17,13 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folioworks.llm.samples import fold, labelled
+from folioworks.llm.samples import fold, labelled, one_per_id
 from folioworks.llm.tables import runs
 
 WORDS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GROUP = 500             # sets counted at a time
 STEMS = (4, 5, 6)       # letters of a word that also count as terms
 
@@ -36,6 +37,8 @@ class Settings:
     hash_bits: int = 20
     features: int = 2048
     least_docs: int = 5
+    common: int = 512       # most common terms, of which all pairs are counted
+    paired: int = 64        # terms that may become features for a pair
     factors: int = 4
     steps: int = 300
     rate: float = 0.05
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                                                  ["doc_id", "y", "terms"])
 
     sample = labelled(docs, labels, "toxic", 4, 2, settings.train_rows)
-    rows = sorted(sample.mapInArrow(terms, "doc_id bigint, y int, terms binary").collect())
+    rows = sorted(one_per_id(sample.mapInArrow(terms, "doc_id bigint, y int, terms binary"), "y", "terms").collect())
     y = np.array([r["y"] for r in rows], float)
     sets = [np.frombuffer(r["terms"], "<u4") for r in rows]
     del rows
@@ -114,14 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for counts, chosen in ((seen, range(start, min(start + GROUP, len(sets)))),
                                (hits, [i for i in range(start, min(start + GROUP, len(sets))) if y[i] > 0])):
             counts += np.bincount(np.concatenate([np.zeros(0, np.uint32), *[sets[i] for i in chosen]]), minlength=1 << bits)
-    ones = max(y.sum(), 1.0)
-    zeros = max(len(y) - y.sum(), 1.0)
-    spread = np.sqrt(np.maximum(seen, 1) / max(len(y), 1) * (1 / ones + 1 / zeros))
-    weight = np.where(seen >= settings.least_docs, np.abs(hits / ones - (seen - hits) / zeros) / spread, 0)
-    best = np.argsort(-weight, kind="stable")[:settings.features]
+    if not 0 < y.sum() < len(y):                        # one class only: nothing to tell apart
+        seen[:] = 0
+    weight = np.where(seen >= settings.least_docs, _deviations(hits, seen, y), 0)
+    best = np.argsort(-weight, kind="stable")[:settings.features - settings.paired]
     best = best[weight[best] > 3]                       # differences beyond chance
     feature = np.full(1 << bits, -1, np.int32)
     feature[best] = np.arange(len(best))
+    best = np.append(best, _of_pairs(sets, y, seen, feature, settings))
+    feature[best] = np.arange(len(best))
     found = [f[f >= 0] for f in (feature[s] for s in sets)]
     del sets
     row = np.repeat(np.arange(len(y)), [len(f) for f in found])
@@ -130,10 +134,42 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return Machine(feature, bias, weights, factors, bits)
 
 
+def _deviations(hits: np.ndarray, seen: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many standard deviations the share of documents with something differs between the classes, given in how many
+    documents, and in how many positive ones, it was seen."""
+    ones, zeros = max(y.sum(), 1.0), max(len(y) - y.sum(), 1.0)
+    return np.abs(hits / ones - (seen - hits) / zeros) / np.sqrt(np.maximum(seen, 1) / max(len(y), 1) * (1 / ones + 1 / zeros))
+
+
+def _of_pairs(sets: list[np.ndarray], y: np.ndarray, seen: np.ndarray, feature: np.ndarray, s: Settings) -> np.ndarray:
+    """Common terms, none a feature yet, whose pairs differ between the classes: all pairs of `common` terms are counted,
+    and six deviations are beyond chance among so many."""
+    balance = np.where((feature < 0) & (seen >= s.least_docs), np.minimum(seen, len(y) - seen), 0)
+    common = np.argsort(-balance, kind="stable")[:s.common]
+    common = common[balance[common] > 0]
+    place = np.full(len(seen), -1, np.int32)
+    place[common] = np.arange(len(common))
+    both, hits = np.zeros((2, len(common), len(common)))
+    for start in range(0, len(sets), GROUP):
+        inside = np.zeros((min(GROUP, len(sets) - start), len(common)), np.float32)
+        for i, terms in enumerate(sets[start:start + GROUP]):
+            own = place[terms]
+            inside[i, own[own >= 0]] = 1
+        positive = inside[y[start:start + GROUP] > 0]
+        both += inside.T @ inside
+        hits += positive.T @ positive
+    apart = np.where(both >= s.least_docs, _deviations(hits, both, y), 0)
+    np.fill_diagonal(apart, 0)
+    strongest = apart.max(axis=1, initial=0)
+    best = np.argsort(-strongest, kind="stable")[:s.paired]
+    return common[best[strongest[best] > 6]]
+
+
 def _descend(row, col, y, features, s: Settings):
-    """Full-batch Adam on logistic loss."""
+    """Full-batch Adam on logistic loss. The base rate leans on nine clean documents besides the labelled ones, so that few
+    labels, or one class alone, condemn nothing."""
     n = max(len(y), 1)
-    base = (y.sum() + 1) / (len(y) + 2)
+    base = (y.sum() + 1) / (len(y) + 10) if y.sum() < len(y) else 0.1
     state = [np.array([np.log(base / (1 - base))]), np.zeros(features),
              np.random.default_rng(7).normal(0, 0.02, (features, s.factors))]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
@@ -158,26 +194,30 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
     predicted (1 where score >= threshold).
 
     A null or empty text has no features and gets the base rate. Repeated rows and null ids are scored like any other;
-    an empty table gives no rows. Works on whole texts of any length.
+    an empty table gives no rows. Works on whole texts of any length; only the texts go to Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)   # size fixed by the settings, not by the data
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         reader = Terms(model.bits, model.feature)
         for batch in batches:
-            for run in runs(batch, "text"):
-                flat, sizes = flat_sets(reader.of(run.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(model.score(flat, sizes))],
-                                                 [*run.schema.names, "score"])
+            scores = [np.zeros(0)]
+            for run in runs(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
+                scores.append(model.score(*flat_sets(reader.of(run.column(0).to_pylist()))))
+            yield pa.array(np.concatenate(scores))
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return (docs.mapInArrow(judge, schema)
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    return docs.withColumn("score", F.arrow_udf(judge, "double")("text")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Fit and score: doc_id, held_out (fold 2 of 4, never learned from), score, predicted."""
+    """Fit and score: doc_id, held_out (fold 2 of 4, never learned from), score, predicted.
+
+    One row per row of `docs`, as `score` says: null and empty texts get the base rate, repeated rows and null ids are
+    scored like any other, an empty table gives no rows. Where no labels, or labels of one class only, are left to learn from,
+    every score is 0.1, below the threshold. Of the rows of a labelled id one is learned from. Other columns are not read.
+    """
     machine = fit(docs, labels, settings)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = score(rows, machine, settings.threshold)
