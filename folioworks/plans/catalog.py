@@ -248,10 +248,7 @@ def mismatch_reason(spark, sf):
 
 @query
 def folder_depth(spark, sf):
-    from folioworks.operators.ranking import ordered_scan
-    rows = ordered_scan(V.entries(spark, sf), ["archive"], V.ENTRY_ORDER, {"pos": ("number", None)})
-    return rows.select("archive", (F.col("pos") - 1).cast("int").alias("entry_pos"),
-                       names.folder_depth(F.col("name")).alias("depth"))
+    return V.entries(spark, sf).select("archive", "name", names.folder_depth(F.col("name")).alias("depth"))
 
 
 @query
@@ -652,7 +649,7 @@ def get_document(spark, sf):
 @query
 def log_merge(spark, sf):
     lines = _log(spark, sf).filter("file_id IS NOT NULL")
-    return metrics.merge_snapshots(lines, lines.filter("pid = 0")).select("file_id", "ts_us", "event", "pid")
+    return metrics.merge_snapshots(lines.filter("pid = 0"), lines.filter("ts_us % 3 <> 0")).select("file_id", "ts_us", "event", "pid")
 
 
 @query

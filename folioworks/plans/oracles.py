@@ -484,7 +484,7 @@ ORACLES: dict[str, str] = {
         SELECT e AS declared, detected, {MISMATCH.format(d='e', t='detected')} AS reason, count(*) AS entries
         FROM ent GROUP BY ALL"""),
     "folder_depth": over("ent", """
-        SELECT archive, pos::INTEGER AS entry_pos, len(list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.'))) - 1 AS depth FROM ent"""),
+        SELECT archive, name, len(list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.'))) - 1 AS depth FROM ent"""),
     "archive_guard": over("guarded", "SELECT archive, n_entries, total_bytes, reason FROM guarded"),
     "archive_candidates": over("visible", """
         SELECT archive, entry_index::INTEGER AS entry_index, name, file_name,
@@ -725,7 +725,7 @@ ORACLES: dict[str, str] = {
     "list_library": over("lib", "SELECT organization_id, document_id, title, title_norm, file_name, file_ext, size_bytes, added_us FROM lib"),
     "get_document": over("lib", "SELECT document_id, title, file_name, size_bytes FROM lib WHERE organization_id = 'en' AND document_id = 'lib-1'"),
     # sets
-    "log_merge": over("log", "SELECT DISTINCT file_id, ts_us, event, pid FROM log WHERE NOT sweep"),
+    "log_merge": over("log", "SELECT DISTINCT file_id, ts_us, event, pid FROM log WHERE NOT sweep AND (pid = 0 OR ts_us % 3 <> 0)"),
     "sweep_coverage": over("log", """
         SELECT DISTINCT file_id FROM log WHERE event = 'enqueued' AND file_id NOT IN (SELECT unnest(file_ids) FROM log WHERE sweep)"""),
     "active_batches": over("state", """
