@@ -23,18 +23,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.tables import runs, written
+from folioworks.llm.tables import dropped, runs, written
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 GROWTH = 1.25               # ratio of neighbouring size ranges
 BITS = 4096                 # of a token bitmap
 FANOUT = 8
 BLOCK_BYTES = 8 << 20       # shingles of one block of a tree
-BROADCAST_ROWS = 1_000_000  # rows of two integers that may be broadcast; larger sides are shuffled
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -132,15 +131,34 @@ def set_keys(tokens: np.ndarray) -> tuple[int, int]:
                 int(mix(tokens * _C + _A).sum(dtype=np.uint64).view(np.int64)))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Sorted shingle hashes in the six bytes that are kept of each once sets are compared: two of a pair's shingles meet by chance
+    with a probability below 1e-8 for sets of a thousand."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Sorted numbers of 48 bits."""
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1)
+
+
 def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, n (set size), k1, k2 (set identity), sigs of every row (doc_id, text_key, text)."""
+    """doc_id, text_key, n (set size), k1, k2 (set identity), sigs of every row (doc_id, text_key, text). Of the copies that
+    a task meets the first carries the signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
+        shingles, met = Shingles(width), set()
         for batch in batches:
             for part in runs(batch, "text"):
                 sets = shingles.of(part.column("text").cast(pa.binary()).to_pylist())
-                sigs = [signatures(s, num, den) for s in sets]
                 keys = np.array([set_keys(s) for s in sets], np.int64).reshape(-1, 2)
+                if len(met) > CACHE_WORDS:
+                    met = set()
+                sigs = []
+                for s, key in zip(sets, map(tuple, keys.tolist()), strict=True):
+                    sigs.append(signatures(s[:0] if key in met else s, num, den))
+                    met.add(key)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -162,7 +180,7 @@ def token_sets(texts: DataFrame, width: int) -> DataFrame:
                 own = [(k, s) for k, s in zip(nodes, sets, strict=True) if set_keys(s)[0] == k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()),
-                     pa.array([s.tobytes() for _, s in own], pa.binary())], ["node", "n", "tokens"])
+                     pa.array([packed(s) for _, s in own], pa.binary())], ["node", "n", "tokens"])
     return texts.mapInArrow(run, "node bigint, n bigint, tokens binary")
 
 
@@ -233,7 +251,7 @@ def _traverse(num: int, den: int):
             if len(held) < 2:
                 return []
             nodes = np.fromiter(held, np.int64, len(held))
-            sets = [np.frombuffer(t, np.uint64) for t, _ in held.values()]
+            sets = [unpacked(t) for t, _ in held.values()]
             labels = np.array([label for _, label in held.values()], np.int64)
             return tree_links(nodes, sets, labels, num, den)
 
@@ -255,17 +273,23 @@ def _traverse(num: int, den: int):
     return run
 
 
-def forest(docs: DataFrame, sketches: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _met(signed: DataFrame) -> DataFrame:
+    """sig, node, first: the sets (k1) that share a signature with another, and the smallest set that has it.
+
+    Nearly all signatures are of one set only. They are dealt once; what they have in common is looked for where they arrive.
+    """
+    each, own = signed.select(F.explode("sigs").alias("sig"), F.col("k1").alias("node")), Window.partitionBy("sig")
+    met = each.withColumns({"first": F.min("node").over(own), "last": F.max("node").over(own)}).filter("first <> last")
+    return written(met.dropDuplicates(["sig", "node"]).select("sig", "node", "first"), "members")
+
+
+def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between set identities that connect everything linked through different sets."""
-    each = sketches.select(F.explode("sigs").alias("sig"), "k1")
-    shared = written(each.groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi")
-                     .select("sig"), "shared-signatures")
-    few = shared.count() <= BROADCAST_ROWS
-    members = written(each.join(F.broadcast(shared) if few else shared, "sig").distinct()
-                      .select("sig", F.col("k1").alias("node")), "members")
+    shared = _met(signed)
+    dropped(signed)             # the largest table, and of no more use
+    members = shared.select("sig", "node")
     # Sets joined by shared signatures form a cluster; all of a cluster stand in one tree, each once.
-    leaders = members.groupBy("sig").agg(F.min("node").alias("first"))
-    roots = components(members.join(leaders, "sig").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    roots = components(shared.select(F.col("node").alias("a"), F.col("first").alias("b")))
     nodes = members.select("node").distinct()
     clusters = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"))
     reps = classes.groupBy(F.col("k1").alias("node")).agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"))
@@ -280,8 +304,8 @@ def forest(docs: DataFrame, sketches: DataFrame, classes: DataFrame, width: int,
     in_trees = written(single.unionByName(inside.join(trees, "sig").select(F.col("sig").alias("tree"), "node", "first")),
                        "tree-members")
 
-    chosen = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    sets = written(token_sets(docs.join(chosen, "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
+    # The condition on n holds for all; it lets the optimizer keep texts that nothing asks for out of the shuffle.
+    sets = written(token_sets(docs.join(placed.filter("n > 0"), "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
 
     split = (in_trees.join(placed.select("node", "n"), "node").groupBy("tree")
              .agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")))
@@ -331,10 +355,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
 def _rooted(rows: DataFrame, width: int, num: int, den: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows (doc_id, text_key, text), and n, k1, k2, rep (smallest id), root (component) of every set;
     `by_id`: texts of one id are linked."""
-    sketches = written(sketch(rows, width, num, den), "sketches")
+    signed = written(sketch(rows, width, num, den), "signatures")
+    sketches = written(signed.drop("sigs"), "sketches")
     filled = sketches.filter("n > 0")
     classes = written(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    links = forest(rows, sketches, classes, width, num, den)
+    links = forest(rows, signed, classes, width, num, den)
     if by_id:
         texts = filled.filter("doc_id is not null").select("doc_id", "k1")
         several = texts.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("hi")).filter("a <> hi").select("doc_id", "a")

@@ -8,10 +8,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  registers pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.session import configure, scratch
+from folioworks.session import configure, remove, scratch
 
 # Text handed to one vectorised step, so that lists of words stay small whatever the Arrow batch holds.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more, to have its room back."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def runs(batch: pa.RecordBatch, column: str, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of `column` each, at least one row."""
     ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast("int64"))

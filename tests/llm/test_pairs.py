@@ -61,9 +61,11 @@ def families(seed=1, texts=14, copies=14):
 
 @pytest.mark.parametrize(("width", "num", "den"), [(3, 9, 10), (5, 4, 5)])
 @pytest.mark.parametrize("limits", [(8 << 20, 1_000_000), (20_000, 0)])
-def test_forest_finds_every_component(spark, monkeypatch, width, num, den, limits):
+def test_forest_finds_every_component(spark, monkeypatch, request, width, num, den, limits):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", limits[0])          # small: trees are split into blocks
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limits[1])       # 0: both sides are shuffled
+    if not limits[1]:                                               # both sides of every join are shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     rows = families() + [(i + 10_000 if i is not None else 99_999, t) for i, t in awkward() if (i, t) != (3, None)]
     seen = Counter(i for i, _ in rows)
     rows = [r for r in rows if seen[r[0]] == 1]
