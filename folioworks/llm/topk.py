@@ -1,10 +1,10 @@
 """Exact top-k inner products by multi-resolution segment statistics.
 
-Vectors are cut into 1, 4 and 16 segments; a segment is known by its mean and deviation. With m components in a segment,
+Vectors are cut into 1, 4, 16 and 32 segments; a segment is known by its mean and deviation. With m components in a segment,
 the inner product of two segments is at most m (mean·mean + deviation·deviation), the counterpart of the lower bound on
-their distance. Bounds are taken coarse to fine for blocks of queries against blocks of candidates; only pairs whose
-bound reaches the query's threshold (its k-th score within one block, found first) are computed exactly. No pair that
-could be among the k best is lost, ties included.
+their distance. A task holds one block of queries and reads one slice of the candidates, block by block; it keeps each
+query's k best so far, and the last of them is the query's threshold. Bounds are taken coarse to fine; only pairs whose bound
+reaches the threshold at every level are scored exactly. No pair that could be among the k best is lost, ties included.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.tables import written
 
-SEGMENTS = (1, 4, 16)
-CANDIDATES, QUERIES = 2048, 1024        # vectors in a block
+SEGMENTS = (1, 4, 16, 32)
+CANDIDATES, QUERIES = 1024, 2048        # vectors in a block
+SLICES = 16                             # parts of the candidates that a block of queries meets in parallel
+SPARSE = 0.05                           # share of pairs left below which they are scored one by one
 EXACT = float(1 << 52)
+LOWEST = -float(1 << 62)
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -64,23 +67,35 @@ def _levels(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
-         k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best candidates that reach its threshold tau."""
-    width = -(-max(q.shape[1], x.shape[1], 1) // SEGMENTS[-1]) * SEGMENTS[-1]
-    q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-    rows, cols, alive = np.arange(len(q)), np.arange(len(x)), q_ids[:, None] != x_ids[None, :]
-    fq, fx = q.astype(float), x.astype(float)
+def survivors(fq: np.ndarray, fx: np.ndarray, tau: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns with pairs left, and which of their pairs are, after the bounds of all levels."""
+    rows, cols = np.arange(len(fq)), np.arange(len(fx))
     slack = 1e-9 * np.linalg.norm(fq, axis=1).max(initial=0) * np.linalg.norm(fx, axis=1).max(initial=0) + 1e-6
     for a, b in zip(_levels(fq), _levels(fx), strict=True):
-        alive &= a[rows] @ b[cols].T >= tau[rows, None] - slack
+        alive = alive & (a[rows] @ b[cols].T >= tau[rows, None] - slack)
         r, c = alive.any(axis=1), alive.any(axis=0)
         rows, cols, alive = rows[r], cols[c], alive[np.ix_(r, c)]
         if not alive.size:
             break
+    return rows, cols, alive
+
+
+def scored(q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
+           k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the pairs whose exact score reaches the query's threshold, and the k-th in the block."""
+    none = np.zeros(0, np.int64)
+    width = -(-max(q.shape[1], x.shape[1], 1) // SEGMENTS[-1]) * SEGMENTS[-1]
+    q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
+    fq, fx = q.astype(float), x.astype(float)
+    rows, cols, alive = survivors(fq, fx, tau, q_ids[:, None] != x_ids[None, :])
     if not alive.size:
-        none = np.zeros(0, np.int64)
         return none, none, none
+    if alive.mean() < SPARSE:
+        i, j = np.nonzero(alive)
+        parts = [(q[rows[i[a:a + 65_536]]] * x[cols[j[a:a + 65_536]]]).sum(axis=1) for a in range(0, len(i), 65_536)]
+        s = np.concatenate([none, *parts])
+        reached = s >= tau[rows[i]]
+        return rows[i[reached]], cols[j[reached]], s[reached]
     reach = float(np.abs(fq).max()) * float(np.abs(fx).max()) * width
     scores = (fq[rows] @ fx[cols].T).astype(np.int64) if reach < EXACT else q[rows] @ x[cols].T
     alive &= scores >= tau[rows, None]
@@ -88,12 +103,32 @@ def best(q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray, x: np.ndarray, x_ids
         floor = np.where(alive, scores, np.iinfo(np.int64).min)
         alive &= scores >= np.partition(floor, -k, axis=1)[:, -k][:, None]
     i, j = np.nonzero(alive)
-    s = scores[i, j]
-    order = np.lexsort((x_ids[cols[j]], -s, i))
-    i, j, s = i[order], j[order], s[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    first = rank < k
-    return rows[i[first]], cols[j[first]], s[first]
+    return rows[i], cols[j], scores[i, j]
+
+
+class Running:
+    """The k best candidates so far of each query of a block."""
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> None:
+        self.q, self.q_ids, self.k = q, q_ids, k
+        self.row, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.tau = np.full(len(q), LOWEST)
+
+    def meet(self, x: np.ndarray, x_ids: np.ndarray) -> None:
+        """Take a block of candidates into account."""
+        i, j, s = scored(self.q, self.q_ids, self.tau, x, x_ids, self.k)
+        row, vec, score = np.concatenate([self.row, i]), np.concatenate([self.vec, x_ids[j]]), np.concatenate([self.score, s])
+        order = np.lexsort((vec, -score, row))
+        row, vec, score = row[order], vec[order], score[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        self.row, self.vec, self.score = row[first], vec[first], score[first]
+        full = np.bincount(self.row, minlength=len(self.q)) == self.k
+        last = np.searchsorted(self.row, np.flatnonzero(full), side="right") - 1
+        self.tau[full] = self.score[last]
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[self.row]), pa.array(self.vec), pa.array(self.score)],
+                                          ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, vec_id: str = "vec_id",
@@ -115,61 +150,35 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     if candidates.isEmpty() or asking.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
 
-    q_side = asking.select("block", *[F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "values", "width")])
-    # First one block per query block, for the thresholds.
-    first = candidates.orderBy("block").limit(1).drop("block")
-    one = q_side.withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    ready = written(one.mapInArrow(_thresholds(k), "block bigint, q_dims bigint, q_ids binary, q_values binary, "
-                                                   "q_width bigint, tau binary"), "thresholds")
-    # Every query block meets every candidate block once: both sides carry the pair as their key.
-    c_blocks, q_blocks = candidates.select(F.col("block").alias("c_block")), ready.select(F.col("block").alias("q_block"))
-    n_q = q_blocks.count()
-    numbered = q_blocks.withColumn("q", F.row_number().over(Window.orderBy("q_block")) - 1)
-    n_c = c_blocks.count()
-    c_numbered = c_blocks.withColumn("c", F.row_number().over(Window.orderBy("c_block")) - 1)
-    left = (ready.withColumnRenamed("block", "q_block").join(numbered, "q_block").drop("q_block")
-            .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
-    right = (candidates.withColumnRenamed("block", "c_block").join(c_numbered, "c_block").drop("c_block")
-             .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-    found = left.join(right, ["q", "c"]).drop("q", "c").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    # Every block of queries goes to all slices; the candidates of a slice follow it there, and no pair of blocks meets twice.
+    slices = min(SLICES, candidates.count())
+    packed = ["dims", "ids", "values", "width"]
+    queries = asking.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+                            F.lit(-1).cast("bigint").alias("c"), *packed)
+    follow = candidates.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")).join(
+        queries.select("q", "slice"), "slice").select("q", "slice", F.col("block").alias("c"), *packed)
+    dealt = queries.unionByName(follow).repartition("q", "slice").sortWithinPartitions("q", "slice", "c")
+    found = dealt.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _sides(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    q_ids, x_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-    return (_matrix(row["q_values"], row["q_width"], row["q_dims"], len(q_ids)), q_ids,
-            _matrix(row["values"], row["width"], row["dims"], len(x_ids)), x_ids)
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-
-
-def _thresholds(k: int):
-    lowest = -float(1 << 62)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            q, q_ids, x, x_ids = _sides(row)
-            tau = np.full(len(q), lowest)
-            i, _, s = best(q, q_ids, tau, x, x_ids, k)
-            full = np.bincount(i, minlength=len(q)) == k
-            last = np.searchsorted(i, np.flatnonzero(full), side="right") - 1
-            tau[full] = s[last]
-            own = ["block", "q_dims", "q_ids", "q_values", "q_width"]
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]]) for c in own] + [pa.array([tau.tobytes()])], [*own, "tau"])
-    return run
-
-
 def _search(k: int):
+    """Rows in the order of (q, slice, c), the queries' own first → each query's k best of the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            q, q_ids, x, x_ids = _sides(row)
-            i, j, s = best(q, q_ids, np.frombuffer(row["tau"]), x, x_ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(x_ids[j]), pa.array(s)],
-                                             ["query_id", "vec_id", "score"])
+        running = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                ids = np.frombuffer(row["ids"], "<i8")
+                values = _matrix(row["values"], row["width"], row["dims"], len(ids))
+                if row["c"] < 0:
+                    if running:
+                        yield running.found()
+                    running = Running(values, ids, k)
+                else:
+                    running.meet(values, ids)
+        if running:
+            yield running.found()
     return run
