@@ -39,13 +39,12 @@ def _key(of: Column, at: Column, size: int) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows: window_id, window (its words), length, items (ids, as strings, of the items that hold it)."""
+    """window_id, window (its words), length and item (its id as a string) of every window of every item."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(
         (F.size("w") > 0) & F.col("item").isNotNull())
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = items.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(size)).alias("window"))
-    return each.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).select(
-        F.sha2(F.concat_ws(" ", "window"), 256).alias("window_id"), "window", F.size("window").alias("length"), "items")
+    return each.distinct().select(F.sha2(F.concat_ws(" ", "window"), 256).alias("window_id"), "window", F.size("window").alias("length"), "item")
 
 
 def _shingles(found: DataFrame, size: int) -> DataFrame:
@@ -68,10 +67,10 @@ def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return places.withColumn("key", F.explode(F.array(*keys)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
-    """Verified occurrences over `docs` (columns words, n_words and any others): those others, n_words, start (0-based),
-    length, items. Each document also has one row of length 0, so that none is missing."""
-    found = written(windows(benchmark, size), "windows")
+def hits(docs: DataFrame, found: DataFrame, size: int = 10, shingle: int = 3) -> DataFrame:
+    """Verified occurrences of the windows `found` (window_id, window, length, distinct) over `docs` (columns words, n_words
+    and any others): those others, n_words, start (0-based), length, window_id. Each document also has one row of length 0, so that
+    none is missing. Which items a window stands for does not travel with it: it may be any number."""
     places = written(_shingles(found, shingle), "shingles")
     facts = found.agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least"), F.max("length").alias("most")).first()
     blocks = max(1, math.ceil(facts["n"] / BLOCK_WINDOWS))
@@ -89,10 +88,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3
     rarest = (places.join(rarity, "key", "left")
               .groupBy("window_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "key")).alias("p"))
               .filter("p.n > 0").select("window_id", "p.place", "p.key"))
-    entered = written(found.join(rarest, "window_id").select("window_id", "key", "place", "window", "length", "items"), "entries")
+    entered = written(found.join(rarest, "window_id").select("window_id", "key", "place", "window", "length"), "entries")
     every = docs.sparkSession.range(1).select(
         F.lit("").alias("window_id"), F.lit(EVERY).cast("bigint").alias("key"), F.lit(0).alias("place"),
-        F.array().cast("array<string>").alias("window"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items"))
+        F.array().cast("array<string>").alias("window"), F.lit(0).alias("length"))
 
     def verified(i: int) -> DataFrame:
         side = block(entered, "window_id", i)
@@ -101,7 +100,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle: int = 3
         near = _positions(docs, sizes).join(F.broadcast(side), "key").filter(
             (start >= 0) & (start + F.col("length") <= F.col("n_words")))
         same = near.filter(F.slice("words", start + 1, F.col("length")) == F.col("window"))
-        return same.select(*[c for c in docs.columns if c != "words"], start.alias("start"), "length", "items")
+        return same.select(*[c for c in docs.columns if c != "words"], start.alias("start"), "length", "window_id")
 
     return reduce(DataFrame.unionByName, [verified(i) for i in range(blocks)])
 
@@ -118,11 +117,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id:
     give no rows or no hits; other columns are not read.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), words(F.col(text)).alias("words"))
-    found = hits(base.withColumn("n_words", F.size("words")), benchmark, size)
+    of_items = written(windows(benchmark, size), "windows")
+    distinct = written(of_items.select("window_id", "window", "length").distinct(), "distinct-windows")
+    found = hits(base.withColumn("n_words", F.size("words")), distinct, size)
     spans = F.array_sort(F.collect_set(F.when(F.col("length") > 0, F.struct("start", (F.col("start") + F.col("length")).alias("stop")))))
-    grouped = found.groupBy("doc_id", "text_key", "n_words").agg(
+    grouped = written(found.groupBy("doc_id", "text_key", "n_words").agg(
         F.count_if(F.col("length") == 0).alias("_rows"), spans.alias("_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        F.collect_set(F.when(F.col("length") > 0, F.col("window_id"))).alias("_windows")), "documents-with-hits")
+    # Only documents with hits, and each of their windows once, meet the items.
+    own = grouped.select("doc_id", "text_key", F.explode("_windows").alias("window_id")).join(of_items.select("window_id", "item"), "window_id")
+    listed = own.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
+    grouped = grouped.join(listed, same, "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     covered = F.aggregate("_spans", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("hit")), lambda s, x: F.struct(
         F.greatest(s["upto"], x["stop"]).alias("upto"),
         (s["hit"] + F.greatest(F.lit(0), x["stop"] - F.greatest(s["upto"], x["start"]))).alias("hit")), lambda s: s["hit"])
