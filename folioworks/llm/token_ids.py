@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-/:-@\[-`{-~]"
 ODD = "\0"                  # begins the name of a part that is a whole chunk
-CACHE_WORDS, CACHE_IDS = 800_000, 6_000_000
+CACHE_WORDS, CACHE_IDS = 600_000, 5_000_000
 RUN = 4 << 20               # bytes of text worth encoding at once
 
 
