@@ -536,7 +536,7 @@ def ingest_resumed(spark, sf):
     uploads, progress = V.stored_uploads(spark, sf).filter("kind > 3"), scratch(spark, "progress")
     index = archive_source.zip_index(uploads.select("path"))
     wanted = archives.archive_candidates(durable(index), ["entry_pos"]).filter("entry_reason IS NULL")
-    archive_source.extract_resumable(wanted, uploads.select("path"), progress, stop_after=3)
+    archive_source.extract_resumable(wanted, uploads.select("path"), progress, waves=8, stop_after=3)
     done = ingest.process_attempts(uploads, progress=progress)
     times = archive_source.read_progress(spark, progress).groupBy(F.col("archive").alias("path"), "entry_pos").agg(
         F.count(F.lit(1)).alias("times_read"))
@@ -810,6 +810,16 @@ def stream_intake(spark, sf):
     return jobs.read_back(jobs.intake(V.lifecycle(V.event_stream(spark, sf)), "40 days"), spark).select("file_id")
 
 
+@query
+def stream_ingest(spark, sf):
+    """Objects that arrive under a prefix, a few triggers of them: typed, guarded and exploded as they come."""
+    root, out = scratch(spark, "arrivals"), scratch(spark, "ingested")
+    arrived = V.stored_uploads(spark, sf, root, keyed=True).filter("kind > 1").count()
+    objects = jobs.stream_manifest(spark, f"{root}/incoming", max(1, -(-arrived // 3)))
+    jobs.run_ingest(objects, out, scratch(spark, "stream-state"))
+    return spark.read.parquet(f"{out}/files").drop("trigger")
+
+
 @query
 def stream_lifecycle(spark, sf):
     return jobs.read_states(spark, _streamed(spark, sf)).select(

@@ -676,6 +676,13 @@ ORACLES: dict[str, str] = {
           CASE WHEN kind = 1 AND attempt < 3 THEN attempt + 1 END AS next_attempt,
           CASE WHEN kind = 1 AND attempt < 3 THEN 1704067200000000 + 31 * 24 * 3600000000 + (5 * 2 ** attempt)::BIGINT * 1000000 END AS due_us
         FROM k""",
+    "stream_ingest": """
+        SELECT 'box' || doc_id // 32 AS file_id, CASE doc_id // 32 % 8 WHEN 2 THEN 'corrupt' WHEN 3 THEN 'pdf' ELSE 'zip' END AS detected_type,
+          CASE WHEN doc_id // 32 % 8 = 2 THEN 'rejected' ELSE 'processed' END AS status,
+          CASE WHEN doc_id // 32 % 8 = 2 THEN 'Archive is damaged' END AS status_message,
+          CASE WHEN doc_id // 32 % 8 > 3 THEN count(*)::INTEGER END AS entries_total,
+          CASE WHEN doc_id // 32 % 8 > 3 THEN count(*)::INTEGER ELSE 0 END AS entries_done
+        FROM documents WHERE doc_id // 32 % 8 > 1 GROUP BY doc_id // 32""",
     "ingest_resumed": """
         SELECT 'box' || doc_id // 32 AS source_file_id, 'docs/doc' || doc_id || '.pdf' AS source_entry_name,
           (row_number() OVER (PARTITION BY doc_id // 32 ORDER BY doc_id) - 1)::INTEGER AS entry_index, 'processed' AS status,

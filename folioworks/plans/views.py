@@ -388,10 +388,11 @@ def _pack_bundle(documents: list[tuple[int, str]]) -> bytes:
     return out.getvalue()
 
 
-def stored_uploads(spark: SparkSession, sf: str, root: str | None = None) -> DataFrame:
+def stored_uploads(spark: SparkSession, sf: str, root: str | None = None, keyed: bool = False) -> DataFrame:
     """The documents as objects under `root`, in the shared folder, written by tasks: uploads with the `path` of an archive of
     32 documents each, numbered b. By b modulo 8: 0 no object is there, 1 a folder stands in its place, 2 the archive is damaged,
-    3 the object is one PDF and named so, else a sound archive. `attempt` goes from 1 to 3."""
+    3 the object is one PDF and named so, else a sound archive. `attempt` goes from 1 to 3. `keyed`: under the key of an
+    incoming file instead of its name."""
     root = root or scratch(spark, "objects")
     bundle = F.floor(F.col("doc_id") / BUNDLE)
     bundles = table(spark, sf, "documents").groupBy(bundle.alias("b")).agg(
@@ -403,13 +404,14 @@ def stored_uploads(spark: SparkSession, sf: str, root: str | None = None) -> Dat
             for number, documents in zip(batch.column("b").to_pylist(), batch.column("documents").to_pylist(), strict=True):
                 kind, documents = number % 8, [(d["doc_id"], d["text"]) for d in documents]
                 ext = "pdf" if kind == 3 else "zip"
-                store, path = filesystem(f"{root}/box{number}.{ext}")
+                key = f"incoming/org{number % 7}/b1/box{number}_box{number}.{ext}" if keyed else f"box{number}.{ext}"
+                store, path = filesystem(f"{root}/{key}")
                 data = M.PDF_MAGIC + (documents[0][1] or "").encode() if kind == 3 else _pack_bundle(documents)
                 store.create_dir(path if kind == 1 else path.rsplit("/", 1)[0], recursive=True)
                 if kind > 1:
                     with store.open_output_stream(path) as out:
                         out.write(data[:-30] + b"\0" * 8 if kind == 2 else data)
-                rows.append((f"box{number}", f"org{number % 7}", "b1", f"box{number}.{ext}", ext, f"{root}/box{number}.{ext}",
+                rows.append((f"box{number}", f"org{number % 7}", "b1", f"box{number}.{ext}", ext, f"{root}/{key}",
                              1 + number // 8 % 3, kind))
             if not rows:
                 continue

@@ -30,6 +30,7 @@ from folioworks.sources.objects import BLOCK, FAILURE, FAILURE_TYPE, failure_of,
 FORMAT_ERRORS = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, NotImplementedError, pa.ArrowInvalid)
 HEAD_OF_PART = 64 * 1024     # of the content-types part, where the document type is declared
 RUN_LENGTH = 64
+MOST_WAVES = 8
 CHANGED = {"origin": "storage_transport", "code": "ObjectChanged", "http_status": None, "detail": "the object changed while it was read"}
 INDEX_SCHEMA = f"archive string, entry_pos int, name string, size bigint, csize bigint, flags int, error string, failure {FAILURE}"
 LOOK = ("struct<opens: boolean, damage: string, n_entries: bigint, total_bytes: bigint, "
@@ -253,18 +254,23 @@ def read_progress(spark: SparkSession, progress: str) -> DataFrame:
 
 
 def extract_resumable(entries: DataFrame, archives: DataFrame, progress: str, limits: ArchiveLimits = ARCHIVE_LIMITS,
-                      waves: int = 8, stop_after: int | None = None) -> DataFrame:
+                      waves: int | None = None, stop_after: int | None = None) -> DataFrame:
     """`zip_extract` in waves, each of which commits what it has read under `progress`: a run that ends early, for whatever
     reason, has left its waves there, and the next one reads only the entries that are missing.
 
-    A wave is a share of all runs of entries, so every wave works on all archives and keeps all tasks busy. Only entries that
-    were read count as done; failures belong to the run that met them. `stop_after` ends a run early on purpose. Returns
-    the rows of the entries from all runs, and the failures of this one.
+    A wave is a share of all runs of entries, so every wave works on all archives and keeps all tasks busy; there are up to
+    `MOST_WAVES`, fewer where they would be too small for that. Only entries that were read count as done; failures
+    belong to the run that met them. `stop_after` ends a run early on purpose. Returns the rows of the entries from all
+    runs, and the failures of this one.
     """
     spark, run = entries.sparkSession, scratch(entries.sparkSession, "run").rsplit("-", 1)[1]
     done = read_progress(spark, progress).filter("ok").select("archive", "entry_pos")
     todo = durable(entries.select("archive", "entry_pos").join(done, ["archive", "entry_pos"], "left_anti"))
-    wave = F.pmod(F.xxhash64("archive", F.floor(F.col("entry_pos") / RUN_LENGTH)), F.lit(waves))
+    number = F.floor(F.col("entry_pos") / RUN_LENGTH)
+    if waves is None:
+        runs = todo.select("archive", number).distinct().count()
+        waves = max(1, min(MOST_WAVES, runs // (4 * spark.sparkContext.defaultParallelism)))
+    wave = F.pmod(F.xxhash64("archive", number), F.lit(waves))
     for number in range(waves if stop_after is None else stop_after):
         found = zip_extract(todo.filter(wave == number), archives, limits)
         found.select("*", F.lit(run).alias("run"), F.col("failure").isNull().alias("ok")).write.partitionBy(
