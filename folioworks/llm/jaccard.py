@@ -33,6 +33,7 @@ CACHE_WORDS = 200_000
 GROWTH = 1.25               # ratio of neighbouring size ranges
 BITS = 4096                 # of a token bitmap
 FANOUT = 8
+PRUNED_SETS = 8192          # of a tree whose bitmaps one task compares; larger ones are split into blocks below
 BLOCK_BYTES = 8 << 20       # shingles of one block of a tree
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -184,14 +185,83 @@ def token_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, n bigint, tokens binary")
 
 
+def bitmap(tokens: np.ndarray, width: int = BITS) -> np.ndarray:
+    """Which of `width` places hold a token."""
+    bits = np.zeros(width, bool)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = True
+    return bits
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """node, n, map (packed bits) of rows (node, n, tokens); a map has the least power of two of places that is at least
+    twice the size, and 512 at least."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_pylist()
+            maps = [np.packbits(bitmap(unpacked(t.as_py()), max(512, 1 << (2 * n - 1).bit_length())))
+                    for n, t in zip(sizes, batch.column("tokens"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([m.tobytes() for m in maps], pa.binary())],
+                                             ["node", "n", "map"])
+    return sets.select("node", "n", "tokens").mapInArrow(run, "node bigint, n bigint, map binary")
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Maps of one width, that of the narrowest: the halves of a wider one laid over each other make the narrower one."""
+    narrow, out = min(map(len, maps)), []
+    for m in maps:
+        bits = np.frombuffer(m, np.uint64)
+        out.append(np.bitwise_or.reduce(bits.reshape(-1, narrow // 8), axis=0))
+    return np.stack(out)
+
+
+def with_partner(maps: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of a tree may be linked to another one of it, by their bitmaps and sizes."""
+    out, slack = np.zeros(len(n), bool), n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    step = max(1, (4 << 20) // max(1, maps.size * 8))
+    for start in range(0, len(n), step):
+        own = slice(start, start + step)
+        common = np.bitwise_count(maps[own, None, :] & maps[None, :, :]).sum(axis=2, dtype=np.int64)
+        most = np.minimum(common + np.minimum(slack[own, None], slack[None, :]), np.minimum(n[own, None], n[None, :]))
+        may = most * (num + den) >= num * (n[own, None] + n[None, :])
+        may[np.arange(len(may)), np.arange(start, start + len(may))] = False
+        out[own] = may.any(axis=1)
+    return out
+
+
+def _prune(num: int, den: int):
+    """Trees of rows sorted by tree: node, n, map → members that may have a partner there (tree, node)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def kept() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            nodes, n, maps = zip(*held, strict=True)
+            may = with_partner(folded(maps), np.array(n), num, den)
+            return [(key, node) for node, m in zip(nodes, may.tolist(), strict=True) if m]
+
+        def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([m for _, m in found], pa.int64())],
+                                              ["tree", "node"])
+
+        for batch in batches:
+            out = []
+            for tree, *row in zip(*(batch.column(c).to_pylist() for c in ("tree", "node", "n", "map")), strict=True):
+                if tree != key:
+                    out += kept()
+                    key, held = tree, []
+                held.append(row)
+            yield rows(out)
+        yield rows(kept())
+    return run
+
+
 class SignatureTree:
     """Nodes over documents in order of size: OR of bitmaps, smallest and largest size, largest number of tokens that
     share a bit with another of the same document."""
 
     def __init__(self, tokens: list[np.ndarray]) -> None:
-        bits = np.zeros((len(tokens), BITS), bool)
-        for row, t in enumerate(tokens):
-            bits[row, (t % np.uint64(BITS)).astype(np.int64)] = True
+        bits = np.stack([bitmap(t) for t in tokens])
         sizes = np.array([len(t) for t in tokens], np.int64)
         self.levels = [(np.packbits(bits, axis=1).view(np.uint64), sizes, sizes, sizes - bits.sum(axis=1))]
         while len(self.levels[-1][1]) > 1:
@@ -283,6 +353,14 @@ def _met(signed: DataFrame) -> DataFrame:
     return written(met.dropDuplicates(["sig", "node"]).select("sig", "node", "first"), "members")
 
 
+def _merged(trees: DataFrame) -> DataFrame:
+    """Of trees (tree, node) with the same members one; their number, two sums of hashes and the smallest tell."""
+    alike = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                      F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("first"))
+    chosen = alike.filter("c > 1").groupBy("c", "x", "y", "first").agg(F.min("tree").alias("tree")).select("tree")
+    return trees.join(chosen, "tree", "left_semi")
+
+
 def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between set identities that connect everything linked through different sets."""
     shared = _met(signed)
@@ -294,19 +372,34 @@ def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     clusters = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("tree"))
     reps = classes.groupBy(F.col("k1").alias("node")).agg(F.min("rep").alias("doc_id"), F.max("n").alias("n"))
     placed = written(clusters.join(reps, "node"), "tree-nodes")
+    # The condition on n holds for all; it lets the optimizer keep texts that nothing asks for out of the shuffle.
+    sets = written(token_sets(docs.join(placed.filter("n > 0"), "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
+
     heavy = placed.groupBy("tree").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 > BLOCK_BYTES).select("tree")
-    # A cluster too large for one task stands in a tree per signature instead, trees of the same members in one.
+    # A cluster too large for one task stands in a tree per signature instead, trees of the same members in one. There sets
+    # have met by chance, too: only those whose bitmap leaves room for a partner in the tree stay in it.
     inside = members.join(placed.join(heavy, "tree", "left_semi").select("node"), "node", "left_semi")
-    alike = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                      F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("first"))
-    trees = alike.groupBy("c", "x", "y", "first").agg(F.min("sig").alias("sig")).select("sig", "first")
-    single = placed.join(heavy, "tree", "left_anti").select("tree", "node", F.col("tree").alias("first"))
-    in_trees = written(single.unionByName(inside.join(trees, "sig").select(F.col("sig").alias("tree"), "node", "first")),
+    each_tree = written(_merged(inside.select(F.col("sig").alias("tree"), "node")), "signature-trees")
+    sizes = each_tree.groupBy("tree").agg(F.count(F.lit(1)).alias("c"))
+    small = each_tree.join(sizes.filter(F.col("c") <= PRUNED_SETS).select("tree"), "tree", "left_semi")
+    large = each_tree.join(sizes.filter(F.col("c") > PRUNED_SETS).select("tree"), "tree", "left_semi")
+    maps = written(bitmaps(sets.join(each_tree.select("node").distinct(), "node", "left_semi")), "bitmaps")
+    pruned = small.join(maps, "node").select("tree", "node", "n", "map").repartition("tree").sortWithinPartitions(
+        "tree").mapInArrow(_prune(num, den), "tree bigint, node bigint")
+    together = _merged(written(pruned, "pruned-trees")).unionByName(large)
+    # What is left joins fewer sets: clusters again, each in one tree where a task can hold it.
+    firsts = together.groupBy("tree").agg(F.min("node").alias("first"))
+    left = written(together.join(firsts, "tree").select("tree", "node", "first"), "trees-left")
+    again = components(left.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    smaller = written(left.select("node").distinct().join(again, "node", "left").select("node", F.coalesce("root", "node").alias("tree"))
+                      .join(placed.select("node", "n"), "node"), "clusters-left")
+    still = smaller.groupBy("tree").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 > BLOCK_BYTES).select("tree")
+    single = (placed.join(heavy, "tree", "left_anti").select("tree", "node")
+              .unionByName(smaller.join(still, "tree", "left_anti").select("tree", "node")))
+    apart = left.join(smaller.join(still, "tree", "left_semi").select("node"), "node", "left_semi")
+    in_trees = written(single.select("tree", "node", F.col("tree").alias("first")).unionByName(apart.select("tree", "node", "first")),
                        "tree-members")
 
-    # The condition on n holds for all; it lets the optimizer keep texts that nothing asks for out of the shuffle.
-    sets = written(token_sets(docs.join(placed.filter("n > 0"), "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
-
     split = (in_trees.join(placed.select("node", "n"), "node").groupBy("tree")
              .agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -328,8 +421,8 @@ def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     sizes = labelled.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c"))
     main = (sizes.groupBy("tree").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("most"))
             .filter("labels > 1").select("tree", F.col("most.label").alias("main")))
-    apart = labelled.join(main, "tree")
-    second = traversed(apart, F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(every))
+    outside = labelled.join(main, "tree")
+    second = traversed(outside, F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(every))
     return first.unionByName(second)
 
 

@@ -133,10 +133,11 @@ def brute_top(vectors, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [(2048, 1024), (16, 4)])
+@pytest.mark.parametrize("sizes", [(2048, 1024, 0.05), (16, 4, 2.0), (16, 4, 0.0)])
 def test_top_k_is_exact(spark, monkeypatch, sizes):
     monkeypatch.setattr(topk, "CANDIDATES", sizes[0])
     monkeypatch.setattr(topk, "QUERIES", sizes[1])
+    monkeypatch.setattr(topk, "SPARSE", sizes[2])           # 2: survivors one by one; 0: by the dense product
     rng = np.random.default_rng(9)
     vectors = [(i, rng.normal(0, 1, 10).astype(float).tolist()) for i in range(150)]
     vectors += [(200 + i, vectors[0][1]) for i in range(40)] + [(300, None), (None, vectors[1][1]), (305, [float("nan")] * 10),
@@ -188,7 +189,45 @@ def test_decontamination_is_exact(spark, monkeypatch, block):
         assert len({p for s in r.spans for p in range(s.start, s.stop)}) == r.n_hit
 
 
+def test_a_window_of_very_many_items(spark):
+    """Thousands of items share a window: they are counted where it occurs, and do not travel with the window."""
+    bench = spark.range(3000).selectExpr("id AS item_id", "'one two three four five ' || id AS text")
+    found = decontaminate.decontaminate(docs(spark, [(1, "zero one two three four five six"), (2, "nothing here")]), bench, size=5)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in found.collect()} == {1: (5, 3000), 2: (0, 0)}
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert [(r.n_words, r.n_hit) for r in decontaminate.decontaminate(docs(spark, [(1, "a b")]), bench).collect()] == [(2, 0)]
     assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
+
+
+def test_bitmaps_drop_no_possible_partner():
+    """Sets of several sizes: whoever has a linked set in the tree stays, and most of those that have none leave."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 47, 3000).astype(np.uint64))
+    sets = []
+    for size in (300, 700, 1500, 2900):
+        for _ in range(6):
+            own = rng.choice(base[:size * 2] if size < 1500 else base, size, replace=False)
+            sets.append(np.unique(own))
+            changed = own.copy()
+            changed[:size // 12] = rng.integers(0, 1 << 47, size // 12)
+            sets.append(np.unique(changed))
+        sets.append(np.unique(rng.integers(0, 1 << 47, size).astype(np.uint64)))
+    sets = [jaccard.unpacked(jaccard.packed(s << np.uint64(16))) for s in sets]
+    n = np.array([len(s) for s in sets])
+    maps = [np.packbits(jaccard.bitmap(s, max(512, 1 << (2 * len(s) - 1).bit_length()))).tobytes() for s in sets]
+    folded = jaccard.folded(maps)
+    assert folded.shape == (len(sets), min(map(len, maps)) // 8)
+    for i, s in enumerate(sets):
+        assert (folded[i] == np.packbits(jaccard.bitmap(s, min(map(len, maps)) * 8)).view(np.uint64)).all()
+    same = [k for k in range(len(sets)) if 2 * 700 <= 2 * n[k] <= 2 * 1500]
+    for group in (list(range(len(sets))), same):
+        tree = jaccard.folded([maps[k] for k in group])
+        may = jaccard.with_partner(tree, n[group], 4, 5)
+        for a, k in enumerate(group):
+            linked = any(5 * len(np.intersect1d(sets[k], sets[j])) >= 4 * len(np.union1d(sets[k], sets[j])) for j in group if j != k)
+            assert may[a] or not linked
+    alone = jaccard.with_partner(jaccard.folded([maps[12], maps[25]]), n[[12, 25]], 4, 5)
+    assert not alone.any()
