@@ -35,6 +35,7 @@ BITS = 4096                 # of a token bitmap
 FANOUT = 8
 PRUNED_SETS = 8192          # of a tree whose bitmaps one task compares; larger ones are split into blocks below
 BLOCK_BYTES = 8 << 20       # shingles of one block of a tree
+CLUSTER_BYTES = 1 << 18     # shingles of a cluster that is compared as it is
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -375,9 +376,9 @@ def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     # The condition on n holds for all; it lets the optimizer keep texts that nothing asks for out of the shuffle.
     sets = written(token_sets(docs.join(placed.filter("n > 0"), "doc_id").select("node", "text"), width), "token-sets").dropDuplicates(["node"])
 
-    heavy = placed.groupBy("tree").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 > BLOCK_BYTES).select("tree")
-    # A cluster too large for one task stands in a tree per signature instead, trees of the same members in one. There sets
-    # have met by chance, too: only those whose bitmap leaves room for a partner in the tree stay in it.
+    heavy = placed.groupBy("tree").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 > CLUSTER_BYTES).select("tree")
+    # A larger cluster stands in a tree per signature instead, trees of the same members in one. There sets have met by
+    # chance, too: only those whose bitmap leaves room for a partner in the tree stay in it.
     inside = members.join(placed.join(heavy, "tree", "left_semi").select("node"), "node", "left_semi")
     each_tree = written(_merged(inside.select(F.col("sig").alias("tree"), "node")), "signature-trees")
     sizes = each_tree.groupBy("tree").agg(F.count(F.lit(1)).alias("c"))

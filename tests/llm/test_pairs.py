@@ -63,6 +63,7 @@ def families(seed=1, texts=14, copies=14):
 @pytest.mark.parametrize("limits", [(8 << 20, 1_000_000), (20_000, 0)])
 def test_forest_finds_every_component(spark, monkeypatch, request, width, num, den, limits):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", limits[0])          # small: trees are split into blocks
+    monkeypatch.setattr(jaccard, "CLUSTER_BYTES", min(limits[0], 1 << 18))
     if not limits[1]:                                               # both sides of every join are shuffled
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
