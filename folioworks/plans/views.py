@@ -401,7 +401,8 @@ def stored_uploads(spark: SparkSession, sf: str, root: str | None = None, keyed:
     def write(batches):
         for batch in batches:
             rows = []
-            for number, documents in zip(batch.column("b").to_pylist(), batch.column("documents").to_pylist(), strict=True):
+            for at in range(batch.num_rows):           # one object's documents in Python at a time
+                number, documents = batch.column("b")[at].as_py(), batch.column("documents")[at].as_py()
                 kind, documents = number % 8, [(d["doc_id"], d["text"]) for d in documents]
                 ext = "pdf" if kind == 3 else "zip"
                 key = f"incoming/org{number % 7}/b1/box{number}_box{number}.{ext}" if keyed else f"box{number}.{ext}"

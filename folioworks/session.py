@@ -24,6 +24,7 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16MB",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64MB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64MB",
 }
