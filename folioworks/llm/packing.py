@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm.tables import runs, written
-from folioworks.llm.token_ids import RUN, encoder
+from folioworks.llm.token_ids import encoder
+
+RUN = 1 << 20               # bytes of text encoded at once: what a task needs for them is small beside the encoder's cache
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, doc_id: str = "doc_id",

@@ -33,10 +33,12 @@ def dropped(df: DataFrame) -> None:
 
 
 def runs(batch: pa.RecordBatch, column: str, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `limit` bytes of `column` each, at least one row."""
+    """Slices of a batch with about `limit` bytes of `column` each, at least one row. What Arrow holds free after the last one
+    goes back to the system: a reused Python worker would keep it for all later stages."""
     ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast("int64"))
     ends, start, base = ends.to_numpy(zero_copy_only=False), 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(ends.searchsorted(base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start, base = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()

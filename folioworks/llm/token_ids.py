@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", r"[!-/:-@\[-`{-~]"
 ODD = "\0"                  # begins the name of a part that is a whole chunk
-CACHE_WORDS, CACHE_IDS = 600_000, 5_000_000
+CACHE_WORDS, CACHE_IDS = 250_000, 2_500_000
 RUN = 4 << 20               # bytes of text worth encoding at once
 
 
@@ -84,7 +84,7 @@ class TextEncoder:
         """The number of each part; new ones are noted."""
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        return np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return np.fromiter(map(self.words.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
 
     def _parts(self, chunks: pa.Array) -> np.ndarray:
         """Two parts of each chunk: a word and a mark, or one of its own from the library's pipeline and the empty one."""
@@ -128,5 +128,8 @@ def _room(values: np.ndarray, rows: int) -> np.ndarray:
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[s:s+n] for every start and size, concatenated."""
     total = int(sizes.sum())
+    place = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
     before = np.cumsum(sizes, dtype=np.int64) - sizes
-    return flat[np.repeat(starts - before, sizes) + np.arange(total)], sizes
+    at = np.repeat((starts - before).astype(place), sizes)
+    at += np.arange(total, dtype=place)
+    return flat[at], sizes

@@ -156,3 +156,22 @@ def test_packing_awkward_rows(spark):
     total = sum(r.length for r in got)
     assert len(sequences) <= -(-total // 64) * 1.05 + 1
     assert packing.pack(docs(spark, []), PATH).count() == 0
+
+
+def test_packing_encodes_in_little_memory():
+    """Four megabytes of text take a task a bounded share of them at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from folioworks.llm.tables import runs
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}, " for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(words[k:] + words[:k]) for k in [*range(600)] * 2])], ["text"])
+    encoder = TextEncoder(PATH)
+    encoder.encode(words)
+    tracemalloc.start()
+    for run in runs(batch, "text", packing.RUN):
+        encoder.encode(run.column("text"))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert batch.nbytes > 4 << 20 and peak < 32 << 20, peak
