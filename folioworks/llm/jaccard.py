@@ -3,7 +3,9 @@
 A document is its set of word shingles. Documents with equal sets form one class. Classes are dealt to trees so that no
 link can be missed: for a range of set sizes, at most d shingles differ between linked sets; cut the shingle space into
 more than d parts, and at least one part holds the same shingles in both. Sets with an equal part stand in one tree.
-(Parts that are empty don't count; a set with too many of them also stands in its range's tree for such sets.)
+(Parts that are empty don't count; a set with d filled ones or fewer also stands in its range's tree for such sets.)
+Of a set's filled parts all but d are equal in a linked one: a set that meets others in fewer parts of a range met them by
+chance, and stands in none of the range's trees.
 
 In a tree, documents are leaves in order of size; a node holds the OR of the token bitmaps below it and their range of
 sizes. Two nodes are traversed together only if their sizes are compatible and their bitmaps leave room for enough
@@ -36,6 +38,7 @@ FANOUT = 8
 PRUNED_SETS = 8192          # of a tree whose bitmaps one task compares; larger ones are split into blocks below
 BLOCK_BYTES = 8 << 20       # shingles of one block of a tree
 CLUSTER_BYTES = 1 << 18     # shingles of a cluster that is compared as it is
+RANGE = 255                 # bits of a signature that name its size range
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -90,40 +93,59 @@ def size_ranges() -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def parts_of(c: int, num: int, den: int) -> tuple[np.ndarray, int]:
-    """For pairs whose smaller set lies in range c: upper ends of the parts, and how many empty ones are harmless."""
-    most = int(size_ranges()[c + 1]) - 1
-    differing = (most + most * den // num) * (den - num) // (den + num)
+def parts_of(c: int, num: int, den: int) -> np.ndarray:
+    """For pairs whose smaller set lies in range c: upper ends of the parts."""
+    differing = most_differing(int(size_ranges()[c + 1]) - 1, c, num, den)
     if not differing:
-        return np.zeros(0, np.uint64), 0        # only equal sets can be linked
-    # A set with more empty parts than `spare` needs the catch-all: as many as the smallest sets are likely to have.
+        return np.zeros(0, np.uint64)           # only equal sets can be linked
+    # Parts to spare, as many as the smallest sets are likely to leave empty.
     spare, least = 1, int(size_ranges()[c])
     for _ in range(4):
         k = differing + 1 + spare
         mean = k * math.exp(-least / k)
         spare = 1 + int(mean + 3 * math.sqrt(mean))
     k = differing + 1 + spare
-    return np.array([((i + 1) << 64) // k - 1 for i in range(k)], np.uint64), spare
+    return np.array([((i + 1) << 64) // k - 1 for i in range(k)], np.uint64)
+
+
+def most_differing(n: int, c: int, num: int, den: int) -> int:
+    """How many shingles a set of n may have apart from a linked one, if the smaller of the two lies in range c."""
+    most = int(size_ranges()[c + 1]) - 1
+    return (n + (n * den // num if n <= most else most)) * (den - num) // (den + num)
+
+
+def catch_all(c: int) -> np.ndarray:
+    """The signature of sets with few filled parts in range c."""
+    return mix(np.full(1, c, np.uint64) * _B + _C)
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the set's parts, for every size range in which it may have a partner."""
-    n, starts, out = len(tokens), size_ranges(), []
+    return signed_parts(tokens, num, den)[0]
+
+
+def signed_parts(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """The set's signatures, and for every size range how many of them a linked set has at least (above the bits of RANGE)."""
+    n, starts, out, least = len(tokens), size_ranges(), [], []
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ _C), dtype=np.uint64)])
     c = int(np.searchsorted(starts, n, side="right")) - 1
     while c >= 0 and (int(starts[c + 1]) - 1) * den >= num * n:
-        ends, spare = parts_of(c, num, den)
+        ends = parts_of(c, num, den)
         if len(ends):
             at = np.concatenate([[0], np.searchsorted(tokens, ends, side="right")])
             full = at[1:] > at[:-1]
             number = np.arange(len(ends), dtype=np.uint64) + np.uint64(c << 32)
-            out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(number * _A + _B))[full])
-            if len(ends) - int(full.sum()) > spare:
-                out.append(mix(np.full(1, c, np.uint64) * _B + _C))
+            parts = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(number * _A + _B))[full]
+            out.append(parts & ~np.uint64(RANGE) | np.uint64(c))
+            # Every filled part that a linked set has not got holds a shingle in which the two differ.
+            equal = len(parts) - most_differing(n, c, num, den)
+            if equal <= 0:
+                out.append(catch_all(c))
+            least.append(max(equal, 1) * (RANGE + 1) + c)
         c -= 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), least
 
 
 def set_keys(tokens: np.ndarray) -> tuple[int, int]:
@@ -147,8 +169,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, n (set size), k1, k2 (set identity), sigs of every row (doc_id, text_key, text). Of the copies that
-    a task meets the first carries the signatures."""
+    """doc_id, text_key, n (set size), k1, k2 (set identity), sigs, least of every row (doc_id, text_key, text). Of the copies
+    that a task meets the first carries the signatures, and how many of them a linked set shares."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, met = Shingles(width), set()
         for batch in batches:
@@ -157,18 +179,20 @@ def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 keys = np.array([set_keys(s) for s in sets], np.int64).reshape(-1, 2)
                 if len(met) > CACHE_WORDS:
                     met = set()
-                sigs = []
+                sigs, least = [], []
                 for s, key in zip(sets, map(tuple, keys.tolist()), strict=True):
-                    sigs.append(signatures(s[:0] if key in met else s, num, den))
+                    own, counts = signed_parts(s[:0] if key in met else s, num, den)
+                    sigs.append(own)
+                    least.append(counts)
                     met.add(key)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["doc_id", "text_key", "n", "k1", "k2", "sigs"])
-    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(least, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "n", "k1", "k2", "sigs", "least"])
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, n bigint, k1 bigint, k2 bigint, sigs array<bigint>, least array<bigint>")
 
 
 def token_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -354,6 +378,19 @@ def _met(signed: DataFrame) -> DataFrame:
     return written(met.dropDuplicates(["sig", "node"]).select("sig", "node", "first"), "members")
 
 
+def _enough(shared: DataFrame, least: DataFrame) -> DataFrame:
+    """What `_met` gives without the sets that share fewer signatures of a size range with others than they would with one linked
+    set (node, c, least)."""
+    everywhere = F.col("sig").isin(np.concatenate([catch_all(c) for c in range(len(size_ranges()) - 1)]).view(np.int64).tolist())
+    counted = shared.filter(~everywhere).select("sig", "node", F.col("sig").bitwiseAND(RANGE).alias("c")).withColumn(
+        "met", F.count(F.lit(1)).over(Window.partitionBy("node", "c")))
+    enough = counted.join(least, ["node", "c"]).filter("met >= least").select("sig", "node")
+    own = Window.partitionBy("sig")
+    left = enough.unionByName(shared.filter(everywhere).select("sig", "node")).withColumns(
+        {"first": F.min("node").over(own), "last": F.max("node").over(own)})
+    return written(left.filter("first <> last").select("sig", "node", "first"), "members-left")
+
+
 def _merged(trees: DataFrame) -> DataFrame:
     """Of trees (tree, node) with the same members one; their number, two sums of hashes and the smallest tell."""
     alike = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -365,7 +402,11 @@ def _merged(trees: DataFrame) -> DataFrame:
 def forest(docs: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between set identities that connect everything linked through different sets."""
     shared = _met(signed)
+    least = signed.select(F.col("k1").alias("node"), F.explode("least").alias("l")).select(
+        "node", F.col("l").bitwiseAND(RANGE).alias("c"), F.shiftright("l", RANGE.bit_length()).alias("least"))
+    least = written(least.groupBy("node", "c").agg(F.min("least").alias("least")), "least-shared")
     dropped(signed)             # the largest table, and of no more use
+    shared = _enough(shared, least)
     members = shared.select("sig", "node")
     # Sets joined by shared signatures form a cluster; all of a cluster stand in one tree, each once.
     roots = components(shared.select(F.col("node").alias("a"), F.col("first").alias("b")))
@@ -450,7 +491,7 @@ def _rooted(rows: DataFrame, width: int, num: int, den: int, by_id: bool) -> tup
     """Sketches of the rows (doc_id, text_key, text), and n, k1, k2, rep (smallest id), root (component) of every set;
     `by_id`: texts of one id are linked."""
     signed = written(sketch(rows, width, num, den), "signatures")
-    sketches = written(signed.drop("sigs"), "sketches")
+    sketches = written(signed.drop("sigs", "least"), "sketches")
     filled = sketches.filter("n > 0")
     classes = written(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     links = forest(rows, signed, classes, width, num, den)

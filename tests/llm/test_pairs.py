@@ -94,6 +94,46 @@ def test_linked_sets_share_a_signature():
                 assert set(jaccard.signatures(x, num, den).tolist()) & set(jaccard.signatures(y, num, den).tolist())
 
 
+def test_linked_sets_share_as_many_parts_as_are_asked_for():
+    rng = np.random.default_rng(7)
+    assert len(jaccard.size_ranges()) <= jaccard.RANGE + 1
+    asked = Counter()
+    for num, den in ((9, 10), (4, 5)):
+        for n in [*range(1, 90), *([*range(100, 160), 200, 249, 250, 333, 2000] * 3)]:
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            gone, new = (int(rng.integers(0, (den - num) * n // num + 1)) for _ in range(2))
+            y = np.unique(np.concatenate([x[rng.permutation(n)[gone:]], rng.integers(0, 1 << 64, new, dtype=np.uint64)]))
+            common = len(np.intersect1d(x, y))
+            if not len(y) or common * den < num * (len(x) + len(y) - common) or common == len(x) == len(y):
+                continue
+            c = int(np.searchsorted(jaccard.size_ranges(), min(len(x), len(y)), side="right")) - 1
+            (own, least), (other, least_other) = (jaccard.signed_parts(s, num, den) for s in (x, y))
+            shared, rare = set(own.tolist()) & set(other.tolist()), int(jaccard.catch_all(c)[0])
+            met = sum(s & jaccard.RANGE == c for s in shared - {rare})
+            for counts in (least, least_other):
+                asked[num] += 1
+                assert rare in shared or met >= {k & jaccard.RANGE: k >> 8 for k in counts}[c] >= 1
+    assert min(asked.values()) > 100
+
+
+def test_sets_that_meet_by_chance_stand_in_no_tree(spark, monkeypatch):
+    """A phrase of many texts is a part of its own in some: these share a signature, more of them the larger the table, and no link."""
+    rng, tables, write = random.Random(6), {}, jaccard.written
+
+    def recorded(df, purpose):
+        tables[purpose] = write(df, purpose)
+        return tables[purpose]
+    monkeypatch.setattr(jaccard, "written", recorded)
+    rows = [(k, " ".join([f"a{rng.random()}" for _ in range(30)] + ["one", "phrase", "of", "five", "words"]
+                         + [f"b{rng.random()}" for _ in range(30)])) for k in range(200)]
+    rows += [(1000, rows[7][1] + " more"), (1001, "less " + rows[9][1]), (1002, rows[3][1])]
+    got = jaccard.near_duplicates(docs(spark, rows), 5, 4, 5)
+    assert [tuple(r) for r in got.filter("component_id <> doc_id").select("doc_id", "component_id").orderBy("doc_id").collect()] == [
+        (1000, 7), (1001, 9), (1002, 3)]
+    assert tables["members"].select("node").distinct().count() > 15
+    assert sorted(r.doc_id for r in tables["tree-nodes"].collect()) == [7, 9, 1000, 1001]
+
+
 def test_few_sets_need_a_catch_all():
     """Sets of any size are dealt by their parts; those with too many empty ones would all meet in one tree."""
     rng = np.random.default_rng(5)
